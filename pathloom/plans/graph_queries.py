@@ -408,12 +408,11 @@ def d33(t):
     return X.fanout(t.calls, ["callee", "kind"], "caller").select("site_id", "fanout", "background_only")
 
 
-@query("c40_suppress_dominated", oracle("""WITH e AS (SELECT caller AS src, callee AS dst, CASE WHEN kind = 'CALL' THEN 'CALL' ELSE 'LEXICAL_CALL' END AS kind, site_id FROM calls),
-    e2 AS (SELECT src % 40 AS src, dst % 40 AS dst, kind, site_id FROM e)
+@query("c40_suppress_dominated", oracle("""WITH e2 AS (SELECT callee AS src, line AS dst, CASE WHEN kind = 'CALL' THEN 'CALL' ELSE 'LEXICAL_CALL' END AS kind, site_id FROM calls)
     SELECT * FROM e2 a WHERE NOT (kind = 'LEXICAL_CALL' AND EXISTS (SELECT 1 FROM e2 b WHERE b.src = a.src AND b.dst = a.dst AND b.kind = 'CALL'))""", "calls"))
 def c40(t):
     kind = F.when(F.col("kind") == "CALL", "CALL").otherwise("LEXICAL_CALL")
-    return X.suppress_dominated(t.calls.select((F.col("caller") % 40).alias("src"), (F.col("callee") % 40).alias("dst"), kind.alias("kind"), "site_id"))
+    return X.suppress_dominated(t.calls.select(F.col("callee").alias("src"), F.col("line").alias("dst"), kind.alias("kind"), "site_id"))
 
 
 @query("c35_relays", oracle("""WITH a AS (SELECT method AS node FROM methods WHERE status = 'P'), l AS (SELECT src, dst FROM flow_edges),
