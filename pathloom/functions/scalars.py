@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _segments(path: Column, drop: tuple[str, ...] = ("", ".")) -> Column:
     return F.filter(F.split(path, "/"), lambda p: ~p.isin(*drop))
 
@@ -14,10 +19,9 @@ def _segments(path: Column, drop: tuple[str, ...] = ("", ".")) -> Column:
 def normalise_path(path: Column) -> Column:
     """Decode, strip ``file:`` and host slashes, resolve ``.`` and ``..``, lower-case."""
     raw = F.trim(path.cast("string"))
-    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    slashed = F.translate(decoded, "\\", "/")
-    is_uri = F.lower(slashed).startswith("file:")
-    body = F.when(is_uri, F.regexp_replace(F.regexp_replace(slashed, "(?i)^file:(//)?", ""), r"[?#].*$", "")).otherwise(slashed)
+    decoded = F.when(raw.contains("%"), F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)).otherwise(raw)
+    strip = lambda t: F.regexp_replace(F.regexp_replace(t, "(?i)^file:(//)?", ""), r"[?#].*$", "")
+    body = let(F.translate(decoded, "\\", "/"), lambda t: F.when(F.lower(t).startswith("file:"), strip(t)).otherwise(t))
     collapsed = F.aggregate(
         _segments(body),
         F.array().cast("array<string>"),
@@ -44,18 +48,20 @@ def same_file(left: Column, right: Column) -> Column:
 
 def repo_path(path: Column) -> Column:
     """Canonical relative path, or NULL when empty, absolute, drive-rooted or holding ``..``."""
-    text = F.translate(F.trim(path), "\\", "/")
-    parts = _segments(text)
-    bad = (text == "") | text.startswith("/") | text.rlike("^[A-Za-z]:") | (F.size(parts) == 0) | F.array_contains(parts, "..")
-    return F.when(~bad, F.array_join(parts, "/"))
+
+    def canonical(text: Column) -> Column:
+        rooted = (text == "") | text.startswith("/") | text.rlike("^[A-Za-z]:")
+        return F.when(~rooted, let(_segments(text), lambda parts: F.when(
+            (F.size(parts) > 0) & ~F.array_contains(parts, ".."), F.array_join(parts, "/"))))
+
+    return let(F.translate(F.trim(path), "\\", "/"), canonical)
 
 
 def relativise(path: Column, root: Column) -> Column:
     """Report path against ``root``: absolute paths outside it, and escapes, give NULL."""
-    text = F.regexp_replace(F.translate(path, "\\", "/"), "^file://", "")
     base = F.regexp_replace(F.translate(root, "\\", "/"), "/+$", "")
-    inside = text.startswith(F.concat(base, F.lit("/")))
-    return repo_path(F.when(inside, text.substr(F.length(base) + 2, F.length(text))).otherwise(text))
+    inner = lambda t: F.when(t.startswith(F.concat(base, F.lit("/"))), t.substr(F.length(base) + 2, F.length(t))).otherwise(t)
+    return repo_path(let(F.regexp_replace(F.translate(path, "\\", "/"), "^file://", ""), inner))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

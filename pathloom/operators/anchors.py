@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import canonical_json, normalise_path
-from pathloom.operators.skew import count_distinct, top_k
+from pathloom.operators.skew import count_distinct, pin, top_k
 
 REF = ["ref_side", "ref_entity", "ref_file", "ref_line"]
 
 
 def _reference(df: DataFrame, side: str, entity: str, file: str, line: str) -> DataFrame:
-    return (
-        df.withColumn("ref_side", F.col(side)).withColumn("ref_entity", F.col(entity))
-        .withColumn("ref_file", normalise_path(F.col(file))).withColumn("ref_line", F.col(line).cast("int"))
-    )
+    return pin(df, ref_file=normalise_path(F.col(file))).select(
+        "*", F.col(side).alias("ref_side"), F.col(entity).alias("ref_entity"), F.col(line).cast("int").alias("ref_line"))
 
 
 def map_anchors(candidates: DataFrame, rows: DataFrame) -> DataFrame:

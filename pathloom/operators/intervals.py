@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import basename, normalise_path, same_file
+from pathloom.operators.skew import pin
 
 BLOCK = 64
 
@@ -54,8 +55,8 @@ def match_files(left: DataFrame, right: DataFrame, on: Sequence[str] = (), left_
 
     Adds ``left_path`` and ``right_path``, the normalised files.
     """
-    a = left.withColumn("left_path", normalise_path(F.col(left_file))).drop(left_file).withColumn("__name", basename(F.col("left_path")))
-    b = right.withColumn("right_path", normalise_path(F.col(right_file))).withColumn("__name", basename(F.col("right_path")))
+    a = pin(left, left_path=normalise_path(F.col(left_file))).drop(left_file).withColumn("__name", basename(F.col("left_path")))
+    b = pin(right, right_path=normalise_path(F.col(right_file))).withColumn("__name", basename(F.col("right_path")))
     b = b if right_file == "file" else b.drop(right_file)
     return a.join(b, [*on, "__name"]).filter(same_file(F.col("left_path"), F.col("right_path"))).drop("__name")
 

@@ -232,3 +232,36 @@ def path_matches(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def points_in_methods(points: DataFrame, methods: DataFrame) -> DataFrame:
     return points_in_spans(points, methods, ["file"])
+
+
+def choose_target(hints: DataFrame, callables: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per hint the best callable with parameters and an argument-bearing call, and its first such call.
+
+    Score: equal name 100, equal file or base name 50, hint line inside 30, parameters up to 9. Callables that
+    match a hint in some way come from three equi or interval joins; a hint none of them serves falls back to
+    the callables with most parameters, so hints never meet every callable.
+    ``hints(case_id, project, name, file, line)``, ``callables(project, entity_id, name, file, start, end, params)``,
+    ``calls(entity_id, call_id, line, args)``.
+    """
+    first_call = calls.filter("args > 0").groupBy("entity_id").agg(F.min(F.struct(F.col("line"), F.col("call_id"))).alias("call"))
+    usable = callables.filter("params > 0").join(first_call, "entity_id")
+    base = lambda c: F.substring_index(F.col(c), "/", -1)
+    h = hints.select("case_id", "project", F.col("name").alias("h_name"), base("file").alias("h_base"), F.col("line").alias("h_line"))
+    c = usable.withColumn("base", base("file"))
+    by_name = h.join(c, (h["project"] == c["project"]) & (F.col("h_name") == F.col("name"))).drop(c["project"])
+    by_file = h.join(c, (h["project"] == c["project"]) & (F.col("h_base") == F.col("base"))).drop(c["project"])
+    spans = c.withColumnRenamed("project", "file_key").withColumn("file", F.col("file_key"))
+    by_line = points_in_spans(h.withColumn("file", F.col("project")), spans, ["file"], "h_line").drop("file_key").withColumn("file", F.lit(None).cast("string"))
+    cols = ["case_id", "project", "h_name", "h_base", "h_line", "entity_id", "name", "base", "start", "end", "params", "call"]
+    matched = by_name.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_line.select(*cols))
+    unserved = h.join(matched.select("case_id").distinct(), "case_id", "left_anti")
+    most = c.groupBy("project").agg(F.max(F.least("params", F.lit(9))).alias("__most"))
+    richest = c.join(most, "project").filter(F.least("params", F.lit(9)) == F.col("__most")).drop("__most")
+    fallback = unserved.join(richest, "project").select(*cols)
+    scored = matched.unionByName(fallback).withColumn(
+        "score",
+        F.when(F.col("h_name") == F.col("name"), 100).otherwise(0) + F.when(F.col("h_base") == F.col("base"), 50).otherwise(0)
+        + F.when((F.col("h_line") > 0) & F.col("h_line").between(F.col("start"), F.col("end")), 30).otherwise(0) + F.least("params", F.lit(9)))
+    away = F.when(F.col("h_line") > 0, -F.abs(F.col("start") - F.col("h_line"))).otherwise(0)
+    best = F.max(F.struct("score", away.alias("away"), (-F.col("start")).alias("early"), "entity_id", "call")).alias("best")
+    return scored.groupBy("case_id").agg(best).select("case_id", "best.entity_id", "best.score", F.col("best.call.call_id").alias("call_id"))

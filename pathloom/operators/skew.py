@@ -67,6 +67,17 @@ def count_distinct(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name
     return df.select(*keys, *cols).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def pin(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    Filters and joins on a projected column make the optimizer copy its expression below them; for long
+    nested expressions each copy is evaluated again. A one-row generator is not copied.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__pin")
+    return df.select("*", once).select(*kept, *[F.col("__pin")[n].alias(n) for n in columns])
+
+
 SMALL_BYTES = 64 << 20
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import cwe_ids, relativise
-from pathloom.operators.skew import first_by
+from pathloom.operators.skew import first_by, pin
 from pathloom.session import cut_lineage
 
 LOCATION = """physicalLocation struct<artifactLocation: struct<uri: string, uriBaseId: string, index: int>,
@@ -36,7 +36,7 @@ def parse_sarif(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _results(docs: DataFrame) -> DataFrame:
     runs = docs.select("project_id", F.posexplode("doc.runs").alias("run_index", "run"))
-    return runs.select("project_id", "run_index", "run", F.posexplode("run.results").alias("result_index", "result"))
+    return runs.select("project_id", "run_index", F.posexplode("run.results").alias("result_index", "result"))
 
 
 def _flows(results: DataFrame) -> DataFrame:
@@ -86,69 +86,91 @@ def _results_type() -> str:
 BASE_DEPTH = 8
 
 
-def _uri(run: Column, artifact: Column) -> Column:
-    """Location of an artifact: by its own URI or the run's table, then through up to ``BASE_DEPTH`` base names."""
-    listed = F.when(artifact["uri"].isNull(), F.get(run["artifacts"], artifact["index"])["location"])
-    value = F.coalesce(artifact["uri"], listed["uri"])
-    base = F.coalesce(artifact["uriBaseId"], listed["uriBaseId"])
-    start = F.struct(value.alias("value"), base.alias("base"))
+def _resolved_bases(runs: DataFrame) -> DataFrame:
+    """Each named base of a run as one prefix, following up to ``BASE_DEPTH`` further names; a cycle gives NULL."""
+    rows = runs.filter(F.size("run.originalUriBaseIds") > 0).select(
+        "project_id", "run_index", F.col("run.originalUriBaseIds").alias("bases")).select("*", F.explode("bases").alias("base", "entry"))
+    start = F.struct(F.coalesce("entry.uri", F.lit("")).alias("prefix"), F.col("entry.uriBaseId").alias("next"))
 
     def step(acc: Column, _: Column) -> Column:
-        entry = F.when(acc["base"].isNotNull(), F.try_element_at(run["originalUriBaseIds"], acc["base"]))
-        absolute = acc["value"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^/")
-        joined = F.when(entry.isNull() | absolute, acc["value"]).otherwise(F.concat(F.coalesce(entry["uri"], F.lit("")), acc["value"]))
-        return F.struct(joined.alias("value"), F.when(entry.isNotNull(), entry["uriBaseId"]).alias("base"))
+        entry = F.when(acc["next"].isNotNull(), F.try_element_at("bases", acc["next"]))
+        more = entry.isNotNull() & ~acc["prefix"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^/")
+        prefix = F.when(more, F.concat(F.coalesce(entry["uri"], F.lit("")), acc["prefix"])).otherwise(acc["prefix"])
+        return F.struct(prefix.alias("prefix"), F.when(entry.isNotNull(), entry["uriBaseId"]).alias("next"))
 
-    resolved = F.aggregate(F.sequence(F.lit(1), F.lit(BASE_DEPTH)), start, step)
-    return F.when(resolved["base"].isNull() | F.try_element_at(run["originalUriBaseIds"], resolved["base"]).isNull(), resolved["value"])
+    walked = pin(rows, end=F.aggregate(F.sequence(F.lit(1), F.lit(BASE_DEPTH)), start, step))
+    cyclic = F.coalesce(F.map_contains_key("bases", F.coalesce("end.next", F.lit(""))), F.lit(False))
+    return walked.select("project_id", "run_index", "base", F.when(~cyclic, F.col("end.prefix")).alias("prefix"), F.lit(True).alias("base_known"))
+
+
+RUN = ["project_id", "run_index"]
+RESULT = [*RUN, "result_index"]
 
 
 def canonical_sarif(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """Findings with resolved files and CWE lists; and the rows refused, with a reason.
 
     Refused: a run whose invocation failed, a result without locations, and any location that is remote,
-    outside ``root``, cyclic in its base names, or has no valid line.
+    outside ``root``, cyclic in its base names, or has no valid line. Locations are resolved as flat rows and
+    joined to the run's artifact, base and shared-location tables, then folded back per result.
     """
-    results = _results(docs)
-    failed = F.exists(F.coalesce("run.invocations", F.array().cast("array<struct<executionSuccessful:boolean>>")), lambda i: i["executionSuccessful"] == F.lit(False))
-    run, result = F.col("run"), F.col("result")
-    place_type = "struct<file_path:string,line_number:int,description:string>"
-
-    def place(loc: Column) -> Column:
-        raw = _uri(run, loc["physicalLocation"]["artifactLocation"])
-        local = F.regexp_replace(raw, r"^file://localhost/", "file:///")
-        remote = local.rlike(r"^file://[^/]") | local.rlike(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]+://")
-        path = F.when(~remote, relativise(F.coalesce(F.try_url_decode(local), local), F.lit(root)))
-        line = loc["physicalLocation"]["region"]["startLine"]
-        return F.struct(path.alias("file_path"), F.when(line >= 1, line).alias("line_number"), F.coalesce(loc["message"]["text"], F.lit("")).alias("description"))
-
-    def step_location(step: Column) -> Column:
-        shared = F.when(step["location"]["physicalLocation"].isNull(), F.get(run["threadFlowLocations"], step["index"])["location"])
-        return F.coalesce(F.when(step["location"]["physicalLocation"].isNotNull(), step["location"]), shared)
-
-    points = F.transform(F.filter(F.coalesce(result["locations"], F.array().cast(f"array<struct<{LOCATION}>>")), lambda l: l["physicalLocation"].isNotNull()), place)
-    threads = F.flatten(F.transform(result["codeFlows"], lambda c: c["threadFlows"]))
-    paths = F.filter(F.transform(threads, lambda t: F.transform(
-        F.filter(F.transform(t["locations"], step_location), lambda l: l["physicalLocation"].isNotNull()), place)), lambda p: F.size(p) > 0)
-    rules = F.concat(F.coalesce(run["tool"]["driver"]["rules"], F.array().cast(f"array<struct<{RULE}>>")),
-                     F.coalesce(F.flatten(F.transform(run["tool"]["extensions"], lambda e: e["rules"])), F.array().cast(f"array<struct<{RULE}>>")))
-    rule_id = F.coalesce(result["ruleId"], F.get(run["tool"]["driver"]["rules"], result["ruleIndex"])["id"])
-    mine = F.flatten(F.transform(F.filter(rules, lambda r: r["id"] == rule_id), lambda r: r["properties"]["tags"]))
-    empty_tags = F.array().cast("array<string>")
-    tags = F.concat(F.coalesce(mine, empty_tags), F.coalesce(result["properties"]["tags"], empty_tags))
-    rows = results.select(
-        "project_id", "run_index", "result_index", rule_id.alias("rule_id"), cwe_ids(F.array_join(tags, " ")).alias("cwes"),
-        F.coalesce(result["message"]["text"], F.lit("")).alias("description"), points.alias("locations"),
-        F.coalesce(paths, F.array().cast(f"array<array<{place_type}>>")).alias("paths"), failed.alias("failed"))
-    every = F.concat("locations", F.flatten("paths"))
+    runs = docs.select("project_id", F.posexplode("doc.runs").alias("run_index", "run"))
+    results = runs.select(*RUN, F.posexplode("run.results").alias("result_index", "result"))
+    shared = runs.select(*RUN, F.posexplode("run.threadFlowLocations").alias("step_index", "s")).select(*RUN, "step_index", F.col("s.location").alias("shared"))
+    artifacts = runs.select(*RUN, F.posexplode("run.artifacts").alias("artifact", "a")).select(
+        *RUN, "artifact", F.col("a.location.uri").alias("a_uri"), F.col("a.location.uriBaseId").alias("a_base"))
+
+    none = F.lit(None).cast("int")
+    own = results.select(*RESULT, F.lit(-1).alias("path"), F.posexplode("result.locations").alias("pos", "location")).withColumn("step_index", none)
+    threads = results.select(*RESULT, F.posexplode(F.flatten(F.transform("result.codeFlows", lambda c: c["threadFlows"]))).alias("path", "thread"))
+    steps = threads.select(*RESULT, "path", F.posexplode("thread.locations").alias("pos", "step")).select(
+        *RESULT, "path", "pos", F.col("step.location").alias("location"), F.col("step.index").alias("step_index"))
+    flat = own.unionByName(steps).join(shared, [*RUN, "step_index"], "left")
+    use_shared = F.col("location.physicalLocation").isNull()
+    flat = flat.select(*RESULT, "path", "pos", F.when(use_shared, F.col("shared")).otherwise(F.col("location")).alias("at")).filter(
+        F.col("at.physicalLocation").isNotNull()).select(
+        *RESULT, "path", "pos", F.col("at.physicalLocation.artifactLocation").alias("artifact_at"),
+        F.col("at.physicalLocation.region.startLine").alias("line"), F.coalesce("at.message.text", F.lit("")).alias("description"))
+    listed = flat.withColumn("artifact", F.when(F.col("artifact_at.uri").isNull(), F.col("artifact_at.index"))).join(artifacts, [*RUN, "artifact"], "left")
+    based = listed.withColumn("uri", F.coalesce("artifact_at.uri", "a_uri")).withColumn("base", F.coalesce("artifact_at.uriBaseId", "a_base")).join(
+        _resolved_bases(runs), [*RUN, "base"], "left")
+    absolute = F.col("uri").rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^/")
+    full = F.when(absolute | F.col("base_known").isNull(), F.col("uri")).otherwise(F.concat("prefix", "uri"))
+    local = F.regexp_replace(full, r"^file://localhost/", "file:///")
+    placed = pin(based, local=F.coalesce(F.try_url_decode(F.replace(local, F.lit("+"), F.lit("%2B"))), local))
+    remote = F.col("local").rlike(r"^file://[^/]") | F.col("local").rlike(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]+://")
+    placed = pin(placed, file_path=F.when(~remote, relativise(F.col("local"), F.lit(root)))).withColumn("line_number", F.when(F.col("line") >= 1, F.col("line")))
+
+    node = F.struct("path", "pos", "file_path", "line_number", "description")
+    folded = placed.groupBy(*RESULT).agg(
+        F.array_sort(F.collect_list(node)).alias("nodes"), F.bool_or(F.col("file_path").isNull()).alias("bad_path"),
+        F.bool_or(F.col("line_number").isNull()).alias("bad_line"))
+
+    plain = lambda n: F.struct(n["file_path"].alias("file_path"), n["line_number"].alias("line_number"), n["description"].alias("description"))
+    numbers = F.array_sort(F.array_distinct(F.transform(F.filter("nodes", lambda n: n["path"] >= 0), lambda n: n["path"])))
+    paths = F.transform(numbers, lambda i: F.transform(F.filter("nodes", lambda n: n["path"] == i), plain))
+    places = F.transform(F.filter("nodes", lambda n: n["path"] < 0), plain)
+
+    driver = runs.select(*RUN, F.posexplode("run.tool.driver.rules").alias("rule_index", "r"))
+    extra = runs.select(*RUN, F.explode(F.flatten(F.transform("run.tool.extensions", lambda e: e["rules"]))).alias("r"))
+    rules = driver.select(*RUN, "r").unionByName(extra).select(*RUN, F.col("r.id").alias("rule_id"), F.array_join("r.properties.tags", " ").alias("rule_tags"))
+    rules = rules.groupBy(*RUN, "rule_id").agg(F.max("rule_tags").alias("rule_tags"))
+    indexed = driver.select(*RUN, "rule_index", F.col("r.id").alias("indexed_id"))
+    state = runs.select(*RUN, F.coalesce(F.exists("run.invocations", lambda i: i["executionSuccessful"] == F.lit(False)), F.lit(False)).alias("failed"))
+    heads = results.select(*RESULT, F.col("result.ruleId").alias("given"), F.when(F.col("result.ruleId").isNull(), F.col("result.ruleIndex")).alias("rule_index"),
+                           F.coalesce("result.message.text", F.lit("")).alias("description"), F.array_join("result.properties.tags", " ").alias("own_tags"))
+    heads = heads.join(indexed, [*RUN, "rule_index"], "left").withColumn("rule_id", F.coalesce("given", "indexed_id"))
+    heads = heads.join(rules, [*RUN, "rule_id"], "left").join(state, RUN).join(folded, RESULT, "left")
     problem = (
-        F.when(F.col("failed"), "EXECUTION_FAILED").when(F.size(every) == 0, "NO_SOURCE_LOCATION")
-        .when(F.exists(every, lambda p: p["file_path"].isNull()), "INVALID_PATH").when(F.exists(every, lambda p: p["line_number"].isNull()), "INVALID_LINE"))
-    checked = rows.withColumn("problem", problem)
-    good = checked.filter("problem IS NULL").drop("problem", "failed").withColumn(
-        "cwe", F.when(F.size("cwes") == 1, F.col("cwes")[0]).otherwise("")).withColumn(
-        "path_evidence", F.when(F.size("paths") > 0, "reported_path").otherwise("location_only"))
-    return good, checked.filter("problem IS NOT NULL").select("project_id", "run_index", "result_index", "problem")
+        F.when(F.col("failed"), "EXECUTION_FAILED").when(F.col("nodes").isNull(), "NO_SOURCE_LOCATION")
+        .when(F.col("bad_path"), "INVALID_PATH").when(F.col("bad_line"), "INVALID_LINE"))
+    checked = heads.withColumn("problem", problem)
+    good = pin(
+        checked.filter("problem IS NULL"), cwes=cwe_ids(F.concat_ws(" ", "rule_tags", "own_tags")), locations=places, paths=paths,
+    ).select(
+        *RESULT, "rule_id", "cwes", F.when(F.size("cwes") == 1, F.col("cwes")[0]).otherwise("").alias("cwe"), "description", "locations", "paths",
+        F.when(F.size("paths") > 0, "reported_path").otherwise("location_only").alias("path_evidence"))
+    return good, checked.filter("problem IS NOT NULL").select(*RESULT, "problem")
 
 
 def event_traces(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -185,14 +207,14 @@ def canonical_findings(findings: DataFrame, root: str) -> tuple[DataFrame, DataF
     fix = lambda p: relativise(p, F.lit(root))
     affected = F.transform("affected", lambda a: F.struct(fix(a["file_path"]).alias("file_path"), a["lines"].alias("lines")))
     flows = F.transform("flows", lambda p: F.transform(p, lambda n: F.struct(fix(n["file_path"]).alias("file_path"), n["line_number"].alias("line_number"))))
-    rows = findings.withColumn("affected", affected).withColumn("flows", flows)
+    rows = pin(findings, affected=affected, flows=flows)
     steps = F.flatten("flows")
     bad_lines = F.exists("affected", lambda a: (F.size(a["lines"]) < 1) | F.exists(a["lines"], lambda i: i < 1)) | F.exists(steps, lambda n: n["line_number"].isNull() | (n["line_number"] < 1))
     bad_path = F.exists("affected", lambda a: a["file_path"].isNull()) | F.exists(steps, lambda n: n["file_path"].isNull())
     problem = (
         F.when((F.size("affected") == 0) & (F.size("flows") == 0), "NO_LOCATIONS").when(F.exists("flows", lambda p: F.size(p) == 0), "EMPTY_FLOW")
         .when(bad_path, "INVALID_PATH").when(bad_lines, "INVALID_LINE"))
-    checked = rows.withColumn("problem", problem)
+    checked = pin(rows, problem=problem)
     return checked.filter("problem IS NULL").drop("problem"), checked.filter("problem IS NOT NULL")
 
 
@@ -214,12 +236,13 @@ def merge_findings(findings: DataFrame, family: Column, seq: str) -> tuple[DataF
     Origins stay rows: a key reported many times costs rows in a table, not one long array.
     """
     evidence = F.concat(F.transform("affected", lambda a: a["file_path"]), F.transform(F.flatten("flows"), lambda n: n["file_path"]))
-    keyed = findings.withColumn("fingerprint", content_key(family, F.col("flows"), F.col("affected")))
+    keyed = pin(findings, fingerprint=content_key(family, F.col("flows"), F.col("affected")))
     test_only = (F.size(evidence) > 0) & F.forall(evidence, _is_test)
-    kept = keyed.filter(~test_only)
+    keyed = pin(keyed, __test=test_only)
+    kept = keyed.filter("NOT __test").drop("__test")
     merged = first_by(kept, ["fingerprint"], [seq]).join(kept.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("claims")), "fingerprint")
     origins = kept.select("fingerprint", "tool", F.col(seq).alias("origin"))
-    return merged, origins, keyed.filter(test_only).select("fingerprint", F.lit("test_only").alias("reason"))
+    return merged, origins, keyed.filter("__test").select("fingerprint", F.lit("test_only").alias("reason"))
 
 
 def flow_hints(paths: DataFrame, keep: int = 16) -> DataFrame:
