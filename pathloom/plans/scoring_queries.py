@@ -206,7 +206,7 @@ def e10(t):
     return S.max_connected(s.select("chain_id", "pos", "owner"), paths)
 
 
-@query("g06_open_obligations", """WITH r AS (SELECT p_partkey AS owner, 1 + p_size AS f, 1 + p_size + CAST(p_retailprice AS INT) % 200 AS l FROM part),
+@query("g06_open_obligations", """WITH r AS (SELECT p_partkey AS owner, 1 + p_size AS f, 1 + p_size + CAST(floor(p_retailprice) AS INT) % 200 AS l FROM part),
     c AS (SELECT owner, unnest(generate_series(f, l, 40)) AS c_first, l FROM r), d AS (SELECT owner, c_first, least(c_first + 39, l) AS c_last FROM c)
     SELECT owner, concat('P', owner) AS file, c_first, c_last FROM d WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = owner AND l_quantity <= c_first AND c_last <= l_quantity + 10 * l_linenumber)""")
 def g06(t):
