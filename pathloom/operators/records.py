@@ -23,11 +23,10 @@ def json_nodes(records: DataFrame, key: str, text: str) -> DataFrame:
     level = records.select(F.col(key).alias("key"), F.array().cast("array<string>").alias("path"), F.parse_json(text).alias("v"))
     found = []
     while True:
-        level.createOrReplaceTempView("__pathloom_nodes")
         nodes = cut_lineage(spark.sql("""
-            SELECT `key`, concat(path, array(coalesce(c.key, CAST(c.pos AS STRING)))) AS path, c.key IS NOT NULL AS named, c.value AS v, to_json(c.value) AS json,
+            SELECT n.`key`, concat(path, array(coalesce(c.key, CAST(c.pos AS STRING)))) AS path, c.key IS NOT NULL AS named, c.value AS v, to_json(c.value) AS json,
                 schema_of_variant(c.value) RLIKE '^(OBJECT|ARRAY)' AS container, schema_of_variant(c.value) LIKE 'OBJECT%' AS object
-            FROM __pathloom_nodes, LATERAL variant_explode(v) AS c"""))
+            FROM {nodes} AS n, LATERAL variant_explode(v) AS c""", nodes=level))
         if nodes.isEmpty():
             break
         found.append(nodes.drop("v"))

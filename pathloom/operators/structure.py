@@ -201,7 +201,7 @@ def site_graph(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.distinct()
+    return out.withColumn("kind", F.concat(F.lit("CODEQL_"), "kind")).distinct()
 
 
 def fanout(relations: DataFrame, group: Sequence[str], target: str, limit: int = BACKGROUND_FANOUT) -> DataFrame:

@@ -380,7 +380,7 @@ def c20(t):
 
 
 @query("c17_site_graph", oracle(f"""WITH {OVERRIDES}, {FIELDS}
-    SELECT DISTINCT * FROM (
+    SELECT DISTINCT concat('CODEQL_', kind) AS kind, "left", "right", detail FROM (
         SELECT kind, site_id AS "left", CAST(callee AS VARCHAR) AS "right", '' AS detail FROM calls
         UNION ALL SELECT 'VIRTUAL_DISPATCH', site_id, CAST(impl AS VARCHAR), '' FROM calls JOIN overrides ON base = callee AND NOT abstract WHERE kind = 'CALL'
         UNION ALL SELECT 'FIELD_STATE', w.site_id, rd.site_id, field FROM w JOIN rd USING (field) WHERE w.method <> rd.method

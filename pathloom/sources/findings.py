@@ -180,16 +180,14 @@ def event_traces(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     lists = docs.select("project_id", F.variant_get(F.parse_json(text), "$.issues", "variant").alias("v"))
     spark = docs.sparkSession
-    lists.createOrReplaceTempView("__pathloom_issues")
     level = spark.sql(
         "SELECT project_id, CAST(pos AS STRING) AS path_id, variant_get(value, '$.events', 'variant') AS v, variant_get(value, '$.checkerName', 'string') AS checker "
-        "FROM __pathloom_issues, LATERAL variant_explode(v)")
+        "FROM {lists}, LATERAL variant_explode(v)", lists=lists)
     found = []
     while True:
-        level.createOrReplaceTempView("__pathloom_level")
         events = cut_lineage(spark.sql(
             "SELECT project_id, checker, path_id, pos, variant_get(value, '$.filePathname', 'string') AS file, variant_get(value, '$.lineNumber', 'int') AS line, "
-            "variant_get(value, '$.events', 'variant') AS v FROM __pathloom_level, LATERAL variant_explode(v)"))
+            "variant_get(value, '$.events', 'variant') AS v FROM {level}, LATERAL variant_explode(v)", level=level))
         if events.isEmpty():
             break
         found.append(events.filter("file IS NOT NULL AND line IS NOT NULL AND line > 0").select("project_id", "checker", "path_id", "pos", "file", "line"))
