@@ -105,7 +105,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simple_paths(
     edges: DataFrame, inputs: DataFrame, effects: DataFrame, max_depth: int, per_pair: int | None,
-    order: Sequence[Column] = (F.col("dst"),),
+    order: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Cycle-free paths from inputs to the first effect met, in depth-first edge order, ``per_pair`` kept.
 
@@ -113,7 +113,7 @@ def simple_paths(
     ``path`` is the node list; ``step_keys`` is the list of edge order keys that ranks paths within a pair.
     """
     within = hop_distance(reverse(edges), effects.select("node"), max_depth)
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order or [F.col("dst")])])
     steps = edges.withColumn("__key", key).select("src", "dst", "__key").join(
         within.select(F.col("node").alias("dst"), F.col("depth").alias("__left")), "dst")
     goal = effects.select(F.col("node").alias("last")).distinct()

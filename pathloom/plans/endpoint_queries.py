@@ -23,7 +23,11 @@ def _values(rows):
 
 
 SITE = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
-SITE_COL = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+
+
+def site():
+    """The line's key as one number, as ``SITE`` says it in SQL."""
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
 
 CALL_NAMES = [f"{r[0]}#{r[1]}" for r in R.effect_rows()] + ["com.acme.Files#copy", "java.lang.Runtime#gc", "com.acme.Cipher#getInstance"]
 ACCESSORS = ["", "javax.servlet.ServletResponse#getWriter", "jakarta.servlet.http.HttpServletResponse#getOutputStream", "com.acme.ServletResponse#getWriter"]
@@ -35,7 +39,7 @@ def calls(t):
     acc = _pick(ACCESSORS, F.col("l_suppkey"))
     name = F.when(body, _pick(R.BODY_WRITES, F.col("l_partkey"))).otherwise(F.split(pick, "#")[1])
     return t.lineitem.select(
-        SITE_COL.alias("call_id"), F.col("l_orderkey").alias("method_id"), F.when(body, "java.io.PrintWriter").otherwise(F.split(pick, "#")[0]).alias("type"), name.alias("name"),
+        site().alias("call_id"), F.col("l_orderkey").alias("method_id"), F.when(body, "java.io.PrintWriter").otherwise(F.split(pick, "#")[0]).alias("type"), name.alias("name"),
         F.split(acc, "#")[0].alias("accessor_type"), F.when(body, F.try_element_at(F.split(acc, "#"), F.lit(2))).alias("accessor"), F.col("l_linenumber").alias("line"))
 
 
@@ -56,7 +60,7 @@ def p02(t):
 @query("p03_effect_wrappers", CALLS + """SELECT eff.method_id, call_id, effect_type, concat('v', l_suppkey) AS variable, p.i AS parameter_index FROM eff JOIN (SELECT *, l_orderkey AS mid FROM lineitem) l ON call_id = """ + SITE + """
     JOIN (VALUES (0), (1), (2)) p(i) ON concat('v', l_suppkey) = concat('v', (eff.method_id * 3 + p.i) % 97) WHERE argument_index = 0""")
 def p03(t):
-    arguments = t.lineitem.select(SITE_COL.alias("call_id"), F.lit(0).alias("index"), F.concat(F.lit("v"), F.col("l_suppkey").cast("string")).alias("variable"))
+    arguments = t.lineitem.select(site().alias("call_id"), F.lit(0).alias("index"), F.concat(F.lit("v"), F.col("l_suppkey").cast("string")).alias("variable"))
     position = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
     params = t.orders.select(F.col("o_orderkey").alias("method_id"), position.alias("position")).withColumn(
         "name", F.concat(F.lit("v"), ((F.col("method_id") * 3 + F.col("position")) % 97).cast("string")))
@@ -80,7 +84,7 @@ def p01(t):
     file = lambda c: F.concat(F.lit("M"), F.col(c).cast("string")).alias("file")
     params = t.orders.select(F.col("o_orderkey").alias("param_id"), F.col("o_custkey").alias("method_id"), F.split(a, "#")[0].alias("package"), F.split(a, "#")[1].alias("annotation"), file("o_custkey"), F.lit(1).alias("line"))
     c = _pick(ACCESS, F.col("l_partkey") + F.col("l_suppkey"))
-    lines = t.lineitem.select(SITE_COL.alias("call_id"), F.col("l_orderkey").alias("method_id"), F.split(c, "#")[0].alias("type"), F.split(c, "#")[1].alias("name"), file("l_orderkey"), F.col("l_linenumber").alias("line"))
+    lines = t.lineitem.select(site().alias("call_id"), F.col("l_orderkey").alias("method_id"), F.split(c, "#")[0].alias("type"), F.split(c, "#")[1].alias("name"), file("l_orderkey"), F.col("l_linenumber").alias("line"))
     none = F.lit(None).cast("long")
     by_call = lines.filter("line >= 6").select("method_id", "call_id", none.alias("param_id"), "file", (F.col("line") + 100).alias("line"))
     by_param = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("method_id"), none.alias("call_id"), F.col("o_orderkey").alias("param_id"), file("o_custkey"), F.lit(200).alias("line"))
@@ -115,7 +119,7 @@ RECEIVER_ROWS = [(f"com.acme.My{s}#{m}", reason, category, ev, conf) for suffixe
     SELECT call_id, reason, category, evidence_kind, confidence, CASE WHEN n > 0 THEN 'CALL_ARGUMENT' ELSE 'RECEIVER' END AS value_role, CASE WHEN n > 0 THEN 0 ELSE -1 END AS argument_index FROM c JOIN r USING (k)""")
 def p05(t):
     k = _pick(RECEIVER_NAMES, F.col("l_partkey") + F.col("l_suppkey"))
-    return E.receiver_effects(t.lineitem.select(SITE_COL.alias("call_id"), F.split(k, "#")[0].alias("type"), F.split(k, "#")[1].alias("name"), (F.col("l_linenumber") % 3).alias("n_args")))
+    return E.receiver_effects(t.lineitem.select(site().alias("call_id"), F.split(k, "#")[0].alias("type"), F.split(k, "#")[1].alias("name"), (F.col("l_linenumber") % 3).alias("n_args")))
 
 
 @query("p06_entity_facts", f"""WITH f AS (SELECT {SITE} AS entity_id, l_partkey AS file, l_linenumber AS s, l_linenumber + CAST(l_quantity AS INT) % 4 AS e, l_returnflag AS kind, l_orderkey FROM lineitem),
@@ -125,7 +129,7 @@ def p05(t):
         JOIN a USING (l_orderkey) JOIN su ON o_orderkey = l_orderkey""")
 def p06(t):
     line = F.col("l_linenumber")
-    base = t.lineitem.select(SITE_COL.alias("entity_id"), F.col("l_partkey").alias("file"), line.alias("start"), (line + F.col("l_quantity").cast("int") % 4).alias("end"), F.col("l_returnflag").alias("kind"),
+    base = t.lineitem.select(site().alias("entity_id"), F.col("l_partkey").alias("file"), line.alias("start"), (line + F.col("l_quantity").cast("int") % 4).alias("end"), F.col("l_returnflag").alias("kind"),
                              F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("name"), F.col("l_orderkey").alias("type_id"))
     params = base.select("entity_id", F.posexplode(F.array(F.concat(F.lit("T"), F.col("start").cast("string")), F.lit("int"))).alias("position", "type"))
     status = t.lineitem.select(F.col("l_orderkey").alias("type_id"), F.col("l_linestatus").alias("annotation")).distinct()
@@ -147,11 +151,11 @@ SINK_CATEGORY = ["CWE-78", "CWE-78", "CWE-79", "CWE-94", "CWE-22", "CWE-22", "CW
 def p12(t):
     line = F.col("l_linenumber")
     rows = t.lineitem.select(
-        SITE_COL.alias("call_id"), _pick(SINK_CATEGORY, F.col("l_partkey")).alias("category"), _pick(SINK_NAMES, F.col("l_partkey")).alias("name"), F.when(line != 7, line % 4).alias("arity"),
+        site().alias("call_id"), _pick(SINK_CATEGORY, F.col("l_partkey")).alias("category"), _pick(SINK_NAMES, F.col("l_partkey")).alias("name"), F.when(line != 7, line % 4).alias("arity"),
         F.when(line == 2, "java.lang.Runtime").when(line == 3, "java.lang.ProcessBuilder").alias("target"))
-    constants = t.lineitem.filter("l_returnflag = 'R'").select(SITE_COL.alias("call_id"), F.lit(0).alias("index")).unionByName(
-        t.lineitem.filter("l_linestatus = 'O'").select(SITE_COL.alias("call_id"), F.lit(1).alias("index")))
-    return E.controllable_sinks(rows, constants, t.lineitem.filter("l_quantity > 45").select(SITE_COL.alias("call_id"))).select("call_id")
+    constants = t.lineitem.filter("l_returnflag = 'R'").select(site().alias("call_id"), F.lit(0).alias("index")).unionByName(
+        t.lineitem.filter("l_linestatus = 'O'").select(site().alias("call_id"), F.lit(1).alias("index")))
+    return E.controllable_sinks(rows, constants, t.lineitem.filter("l_quantity > 45").select(site().alias("call_id"))).select("call_id")
 
 
 WORDS = ["getParameter", "readLine", "execute", "writeLine", "openFile", "main", "compileAll", "launch", "toString", "renderView"]
@@ -245,10 +249,10 @@ DOM = ["getChildNodes", "removeChild", "run", "getFirstChild", "encodeForHTML"]
 
 @query("d40_mechanisms", f"""WITH s AS (SELECT o_custkey AS file, o_orderkey AS method_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders WHERE o_orderstatus = 'F'),
     c AS (SELECT o_custkey AS file, l_orderkey AS method_id, {_sql_list(DOM)}[l_partkey % 5 + 1] AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-    d AS (SELECT * FROM c WHERE file % 3 = 0 AND name IN ('getChildNodes', 'removeChild', 'getFirstChild')), f AS (SELECT file FROM d GROUP BY 1 HAVING bool_or(name = 'removeChild') AND bool_or(name <> 'removeChild'))
+    d AS (SELECT * FROM c WHERE file IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE') AND name IN ('getChildNodes', 'removeChild', 'getFirstChild')), f AS (SELECT file FROM d GROUP BY 1 HAVING bool_or(name = 'removeChild') AND bool_or(name <> 'removeChild'))
     SELECT 'WEB_SURFACE' AS kind, file, CAST((pos - 1) // 3 AS VARCHAR) AS part, method_id FROM s
     UNION ALL SELECT DISTINCT 'DOM_TRANSFORM', file, CAST(method_id AS VARCHAR), method_id FROM d WHERE file IN (FROM f)
-    UNION ALL SELECT DISTINCT 'ENCODING_USE', file, CAST(method_id AS VARCHAR), method_id FROM c WHERE name = 'encodeForHTML' AND file % 4 = 1""")
+    UNION ALL SELECT DISTINCT 'ENCODING_USE', file, CAST(method_id AS VARCHAR), method_id FROM c WHERE name = 'encodeForHTML' AND file IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def d40(t):
     o = t.orders
     surfaces = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line"), F.col("o_orderkey").alias("method_id"))
@@ -256,8 +260,8 @@ def d40(t):
     name = _pick(DOM, F.col("l_partkey"))
     rows = t.lineitem.select(F.col("l_orderkey").alias("method_id"), name.alias("name"), F.when(name == "encodeForHTML", "Encode").otherwise("node").alias("receiver"))
     c = t.customer
-    imports = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("file"), F.lit("org.w3c.dom.Node").alias("class_name"), F.lit(False).alias("watched")).unionByName(
-        c.filter("c_custkey % 4 = 1").select(F.col("c_custkey").alias("file"), F.lit("org.owasp.Encode").alias("class_name"), F.lit(True).alias("watched")))
+    imports = c.filter("c_mktsegment = 'FURNITURE'").select(F.col("c_custkey").alias("file"), F.lit("org.w3c.dom.Node").alias("class_name"), F.lit(False).alias("watched")).unionByName(
+        c.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("file"), F.lit("org.owasp.Encode").alias("class_name"), F.lit(True).alias("watched")))
     return E.mechanisms(surfaces, methods, rows, imports)
 
 
@@ -354,11 +358,11 @@ def g05(t):
 def e02(t):
     from pathloom.operators.pools import dedup
 
-    return dedup(t.lineitem.select(F.col("l_partkey").alias("id"), SITE_COL.alias("seq"), F.col("l_returnflag").alias("flag")), "id", "seq")
+    return dedup(t.lineitem.select(F.col("l_partkey").alias("id"), site().alias("seq"), F.col("l_returnflag").alias("flag")), "id", "seq")
 
 
 @query("e02_dedup_first", """SELECT l_partkey AS id, min(""" + SITE + """) AS seq, arg_min(l_returnflag, """ + SITE + """) AS flag FROM lineitem GROUP BY 1""")
 def e02_first(t):
     from pathloom.operators.pools import dedup
 
-    return dedup(t.lineitem.select(F.col("l_partkey").alias("id"), SITE_COL.alias("seq"), F.col("l_returnflag").alias("flag")), "id", "seq", keep="first")
+    return dedup(t.lineitem.select(F.col("l_partkey").alias("id"), site().alias("seq"), F.col("l_returnflag").alias("flag")), "id", "seq", keep="first")

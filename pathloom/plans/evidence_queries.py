@@ -8,7 +8,11 @@ from pathloom.operators import records as N
 from pathloom.registry import query
 
 SITE = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
-SITE_COL = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+
+
+def site():
+    """The line's key as one number, as ``SITE`` says it in SQL."""
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
 
 ROLES = ["ARGUMENT", "PARAMETER", "RETURN", "FIELD", "ENTITY", "METHOD", "RECEIVER"]
 KINDS = {"ECONOMY": "METHOD", "LARGE": "CALL", "MEDIUM": "PARAMETER", "PROMO": "FIELD", "SMALL": "CONSTRUCTOR", "STANDARD": "TYPE"}
@@ -26,7 +30,7 @@ def role_refs(t):
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("l_linenumber"))
     index = F.when((F.col("l_returnflag") == "R") | ((F.col("l_linenumber") <= 2) & (F.col("l_returnflag") == "A")), (F.col("l_quantity") % 4).cast("int"))
     entity = F.when(F.col("l_quantity") == 50, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey"))
-    return t.lineitem.select(SITE_COL.alias("ref_id"), F.col("l_orderkey").alias("proposal_id"), entity.alias("entity_id"), role.alias("role"), index.alias("index"))
+    return t.lineitem.select(site().alias("ref_id"), F.col("l_orderkey").alias("proposal_id"), entity.alias("entity_id"), role.alias("role"), index.alias("index"))
 
 
 ROLE_SQL = f"""WITH ent AS (SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 'METHOD' WHEN 'LARGE' THEN 'CALL' WHEN 'MEDIUM' THEN 'PARAMETER' WHEN 'PROMO' THEN 'FIELD' WHEN 'SMALL' THEN 'CONSTRUCTOR' ELSE 'TYPE' END AS kind,
@@ -81,15 +85,15 @@ def gated(t):
     """A proposal per order: its first two lines' parts are its ends, lines with flag N its citations; parts are entities."""
     entities = role_entities(t).join(t.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("file"), F.col("p_size").alias("start"), (F.col("p_size") + 1).alias("end"), F.col("p_name").alias("enclosing")), "entity_id")
     files = t.part.select(F.col("p_brand").alias("file"), F.lit(50).alias("n_lines")).distinct()
-    refs = role_refs(t).join(t.lineitem.filter("l_returnflag = 'N' AND l_linenumber >= 5").select(SITE_COL.alias("ref_id")), "ref_id", "left_semi").withColumn("role", F.lit("ENTITY")).withColumn("index", F.lit(None).cast("int"))
+    refs = role_refs(t).join(t.lineitem.filter("l_returnflag = 'N' AND l_linenumber >= 5").select(site().alias("ref_id")), "ref_id", "left_semi").withColumn("role", F.lit("ENTITY")).withColumn("index", F.lit(None).cast("int"))
     flow = t.lineitem.filter("l_returnflag = 'A'")
     part = F.when(F.col("l_linenumber") >= 6, F.col("l_partkey")).otherwise(F.col("l_partkey") + 0)
-    evidence = flow.select(SITE_COL.alias("evidence_id"), part.alias("entity_id"), (F.col("l_quantity") <= 40).alias("resolved"), (F.col("l_linestatus") == "O").alias("weak"), (F.col("l_linenumber") == 1).alias("proven"))
+    evidence = flow.select(site().alias("evidence_id"), part.alias("entity_id"), (F.col("l_quantity") <= 40).alias("resolved"), (F.col("l_linestatus") == "O").alias("weak"), (F.col("l_linenumber") == 1).alias("proven"))
     # Evidence of an order cites the entity of its own reference when the line is late, so locality both holds and fails.
     own = refs.groupBy(F.col("proposal_id")).agg(F.min("entity_id").alias("own"))
-    evidence = evidence.join(flow.select(SITE_COL.alias("evidence_id"), F.col("l_orderkey").alias("proposal_id"), "l_linenumber"), "evidence_id").join(own, "proposal_id", "left").select(
+    evidence = evidence.join(flow.select(site().alias("evidence_id"), F.col("l_orderkey").alias("proposal_id"), "l_linenumber"), "evidence_id").join(own, "proposal_id", "left").select(
         "evidence_id", F.when((F.col("l_linenumber") <= 5) & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("entity_id")).alias("entity_id"), "resolved", "weak", "proven")
-    citations = flow.select(F.col("l_orderkey").alias("proposal_id"), SITE_COL.alias("evidence_id"))
+    citations = flow.select(F.col("l_orderkey").alias("proposal_id"), site().alias("evidence_id"))
     rows = t.orders.select(F.col("o_orderkey").alias("proposal_id"), F.col("o_orderkey").alias("seq"), F.floor(F.col("o_totalprice") / 300).cast("long").alias("proposal_key"))
     native = t.customer.select((F.col("c_custkey") + 100).alias("proposal_key"))
     shape = V.validate_shape(proposals(t)).withColumn("shape_errors", F.filter("shape_errors", lambda e: e == "FLOW_ENDPOINT_REQUIRED")).withColumn("scope_errors", F.filter("scope_errors", lambda e: e == "SCOPE_DOES_NOT_BOUND_ALL_ANCHORS"))
@@ -130,7 +134,7 @@ def graph_edges(t):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("l_suppkey") % len(values) + 1).cast("int"))
     li = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("o_orderkey") == F.col("l_orderkey"))
     s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = li.withColumn("edge_id", SITE_COL)
+    e = li.withColumn("edge_id", site())
     edges = e.select("edge_id", s("c", "o_custkey").alias("src"), s("p", "l_partkey").alias("dst"), pick(RELATIONS).alias("relation"), F.when(F.col("l_linenumber") == 7, "STRUCTURAL_EVIDENCE").otherwise(pick(SUPPORTS)).alias("support"),
                      F.col("l_orderkey").alias("proposal_id"), (F.col("l_quantity") > 2).alias("provenance"))
     refs = e.filter("l_quantity > 4").select("edge_id", F.when(F.col("l_quantity") == 50, -F.col("edge_id")).otherwise(F.col("edge_id")).alias("evidence_id"))
@@ -257,7 +261,7 @@ def p21_select(t):
 def p22(t):
     start = F.when(F.col("l_quantity") > 10, F.col("l_linenumber"))
     return V.hints(t.lineitem.select(
-        F.col("l_orderkey").alias("case_id"), SITE_COL.alias("seq"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("file"),
+        F.col("l_orderkey").alias("case_id"), site().alias("seq"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("file"),
         F.when(F.col("l_returnflag") != "N", F.concat(F.lit("m"), F.col("l_suppkey").cast("string"))).otherwise("").alias("method"), (F.col("l_linenumber") % 3).alias("n_params"), start.alias("start"), (start + 5).alias("end")))
 
 

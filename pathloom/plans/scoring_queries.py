@@ -133,18 +133,18 @@ def c30(t):
     return S.covered(ranges, _windows(t), "id").select("id", "covered")
 
 
-@query("c31_patch_methods", oracle("""WITH m AS (SELECT p_partkey AS id, concat('part/P', p_partkey, '.java') AS file, p_name, p_brand, 1 + p_size % 3 AS s, 3 + p_size % 3 AS e, p_size FROM part
-        UNION ALL SELECT p_partkey + 1000000000, concat('part/P', p_partkey, '.java'), p_name, p_brand, 50, 60, p_size FROM part WHERE p_size % 7 = 0),
+@query("c31_patch_methods", oracle("""WITH m AS (SELECT p_partkey AS id, concat('part/P', p_partkey, '.java') AS file, p_name, p_brand, 1 + p_size % 3 AS s, 3 + p_size % 3 AS e, p_size, p_type FROM part
+        UNION ALL SELECT p_partkey + 1000000000, concat('part/P', p_partkey, '.java'), p_name, p_brand, 50, 60, p_size, p_type FROM part WHERE p_size >= 44),
     g AS (SELECT f.file, f.class_name, f.method, count(m.id) AS n, min(m.id) AS id, min(s) AS s, min(e) AS e, min(p_size) AS ps FROM (SELECT DISTINCT file, class_name, method FROM fixes) f
-        LEFT JOIN m ON m.file = f.file AND m.p_brand = f.class_name AND m.p_name = f.method AND m.p_size % 11 <> 0 GROUP BY 1, 2, 3)
+        LEFT JOIN m ON m.file = f.file AND m.p_brand = f.class_name AND m.p_name = f.method AND m.p_type <> 'SMALL' GROUP BY 1, 2, 3)
     SELECT file, class_name, method, CASE WHEN n = 1 THEN id END AS method_id, CASE WHEN n = 1 THEN ps >= 10 AND ps % 4 <= e AND ps % 4 + 1 >= s END AS recalled,
         CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS_METHOD' ELSE 'METHOD_NOT_RESOLVED' END AS status FROM g""", "fixes"))
 def c31(t):
     file = F.concat(F.lit("part/P"), F.col("p_partkey").cast("string"), F.lit(".java"))
-    p = t.part.select("p_partkey", "p_size", file.alias("file"), F.col("p_name").alias("name"), F.concat(F.lit("com.acme."), "p_brand").alias("type_name"))
-    one = p.select(F.col("p_partkey").alias("method_id"), "p_size", "file", "name", "type_name", (1 + F.col("p_size") % 3).alias("start"), (3 + F.col("p_size") % 3).alias("end"))
-    two = p.filter("p_size % 7 = 0").select((F.col("p_partkey") + 1000000000).alias("method_id"), "p_size", "file", "name", "type_name", F.lit(50).alias("start"), F.lit(60).alias("end"))
-    methods = one.unionByName(two).filter("p_size % 11 <> 0").drop("p_size")
+    p = t.part.select("p_partkey", "p_size", "p_type", file.alias("file"), F.col("p_name").alias("name"), F.concat(F.lit("com.acme."), "p_brand").alias("type_name"))
+    one = p.select(F.col("p_partkey").alias("method_id"), "p_type", "file", "name", "type_name", (1 + F.col("p_size") % 3).alias("start"), (3 + F.col("p_size") % 3).alias("end"))
+    two = p.filter("p_size >= 44").select((F.col("p_partkey") + 1000000000).alias("method_id"), "p_type", "file", "name", "type_name", F.lit(50).alias("start"), F.lit(60).alias("end"))
+    methods = one.unionByName(two).filter("p_type <> 'SMALL'").drop("p_type")
     windows = p.filter("p_size >= 10").select("file", (F.col("p_size") % 4).alias("w_start"), (F.col("p_size") % 4 + 1).alias("w_end"))
     return S.patch_methods(t.fixes, methods, windows)
 

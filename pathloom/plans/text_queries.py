@@ -158,11 +158,11 @@ CONTEXT = "(?is)and.{0,30}the| des "
 
 
 @query("j08_doc_contracts", LINES + r""", m AS (SELECT documents.doc_id, documents.text, total, regexp_extract(documents.text, '(?is)^(.*?)(?:and.{0,30}the| des )', 1) AS pre
-        FROM documents JOIN (SELECT DISTINCT doc_id, total FROM ls) z ON z.doc_id = documents.doc_id WHERE n_chars % 3 <> 0 AND regexp_matches(documents.text, '(?is)and.{0,30}the| des '))
+        FROM documents JOIN (SELECT DISTINCT doc_id, total FROM ls) z ON z.doc_id = documents.doc_id WHERE lang <> 'fr' AND regexp_matches(documents.text, '(?is)and.{0,30}the| des '))
     SELECT doc_id AS entity_id, 'method' AS scope, 10 + greatest(length(pre) - length(replace(pre, chr(10), '')) - 2, 0) AS start_line, 10 + least(total - 1, length(pre) - length(replace(pre, chr(10), '')) + 2) AS end_line FROM m""")
 def j08(t):
     none = F.lit(None).cast("string")
-    methods = t.documents.select(F.col("doc_id").alias("entity_id"), (F.col("n_chars") % 3 != 0).alias("public"), F.lit(True).alias("has_return"), F.col("text").alias("doc"), F.lit(10).alias("doc_start"),
+    methods = t.documents.select(F.col("doc_id").alias("entity_id"), (F.col("lang") != "fr").alias("public"), F.lit(True).alias("has_return"), F.col("text").alias("doc"), F.lit(10).alias("doc_start"),
                                  none.alias("type_doc"), F.lit(None).cast("int").alias("type_doc_start"))
     return X.doc_contracts(methods, CONTEXT)
 
