@@ -212,6 +212,7 @@ def first_recovery(edges: DataFrame, ends: DataFrame) -> DataFrame:
     key = lambda node: F.struct(F.col("case_id"), F.col(node).alias("node"))
     keyed = edges.select(key("src").alias("src"), key("dst").alias("dst"), F.col("step").alias("seq"))
     from_inputs = ends.select(key("input").alias("start")).distinct()
+    keyed = cut_lineage(keyed)
     known = cut_lineage(keyed.join(from_inputs.withColumnRenamed("start", "src"), "src", "left_semi").groupBy(F.col("src").alias("start"), F.col("dst").alias("node")).agg(F.min("seq").alias("width")))
     steps = keyed.groupBy("src", "dst").agg(F.min("seq").alias("__seq"))
     changed = known
@@ -236,6 +237,7 @@ def leave_one_out(edges: DataFrame, ends: DataFrame, recovery: DataFrame) -> Dat
 
     Each (case, omitted) pair walks its own frontier; edges are joined by case and node, never multiplied by pairs.
     """
+    edges, recovery = cut_lineage(edges), cut_lineage(recovery)
     used = recovery.filter("recovered_step > 0")
     steps = edges.filter("step > 0").select("case_id", F.col("step").alias("omitted")).distinct().join(used, "case_id").filter("omitted <= recovered_step")
     front = cut_lineage(steps.join(ends.select("case_id", F.col("input").alias("node")), "case_id").select("case_id", "omitted", "recovered_step", "node"))

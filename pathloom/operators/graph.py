@@ -16,12 +16,18 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def stored_edges(edges: DataFrame) -> DataFrame:
+    """Distinct edges written once, laid out by source, so rounds neither derive nor shuffle them again."""
+    return cut_lineage(edges.select("src", "dst").distinct().repartition("src"))
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stored: bool = False) -> DataFrame:
     """Every (seed, node) with its least depth, seeds at depth 0; ``edges(src, dst)``, ``seeds(seed, node)``.
 
-    A round extends only the pairs first found in the round before, less all pairs already known.
+    A round extends only the pairs first found in the round before, less all pairs already known. ``stored`` says
+    the edges are a table already.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = edges if stored else stored_edges(edges)
     frontier = cut_lineage(seeds.select("seed", "node").distinct())
     parts, depth = [frontier.withColumn("depth", F.lit(0))], 0
     while max_depth is None or depth < max_depth:
@@ -38,10 +44,10 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def hop_distance(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def hop_distance(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stored: bool = False) -> DataFrame:
     """Least hops from any seed node to each node: ``node, depth``."""
     one = seeds.select(F.lit(0).alias("seed"), "node")
-    return reach(edges, one, max_depth).drop("seed")
+    return reach(edges, one, max_depth, stored).drop("seed")
 
 
 def connected(inputs: DataFrame, effects: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -50,17 +56,18 @@ def connected(inputs: DataFrame, effects: DataFrame, edges: DataFrame, max_depth
     Only nodes from which some effect is reachable can be on such a path, so the closure from the inputs
     runs over that part of the graph alone.
     """
-    useful = hop_distance(reverse(edges), effects.select("node"), max_depth).select("node")
+    edges, goals = stored_edges(edges), cut_lineage(effects.select("node").distinct())
+    useful = hop_distance(reverse(edges), goals, max_depth, stored=True).select("node")
     kept = edges.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi")
     closure = reach(kept, inputs.select(F.col("node").alias("seed"), "node"), max_depth)
-    return closure.join(effects.select("node").distinct(), "node", "left_semi").select(
+    return closure.join(goals, "node", "left_semi").select(
         F.col("seed").alias("input"), F.col("node").alias("effect"), "depth"
     )
 
 
 def cheapest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Least summed ``cost`` from any seed to each node, with the parent on the best path (least parent on ties)."""
-    edges = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
+    edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")).repartition("src"))
     known = cut_lineage(seeds.select("node").distinct().select("node", F.lit(0).cast("long").alias("cost"), F.lit(None).cast("long").alias("parent")))
     changed = known
     while True:
@@ -81,6 +88,7 @@ def cheapest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def meet_nodes(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """Nodes on a source-to-sink walk, with the cost of the cheapest one through each."""
+    edges = cut_lineage(edges)
     ahead = cheapest(edges, sources).select("node", F.col("cost").alias("from_source"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
     behind = cheapest(back, sinks).select("node", F.col("cost").alias("to_sink"))
@@ -89,7 +97,7 @@ def meet_nodes(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """Least node id of each undirected component: neighbour minimum, then a jump to the label's own label."""
-    both = edges.select("src", "dst").unionByName(reverse(edges)).distinct()
+    both = cut_lineage(edges.select("src", "dst").unionByName(reverse(edges)).distinct().repartition("dst"))
     labels = cut_lineage(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         offers = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("offer"))
@@ -112,10 +120,12 @@ def simple_paths(
     A branch is dropped early only when no effect lies within its remaining depth, so nothing found is lost.
     ``path`` is the node list; ``step_keys`` is the list of edge order keys that ranks paths within a pair.
     """
-    within = hop_distance(reverse(edges), effects.select("node"), max_depth)
+    edges, effects = cut_lineage(edges), cut_lineage(effects.select("node").distinct())
+    within = hop_distance(reverse(edges), effects, max_depth)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order or [F.col("dst")])])
     steps = edges.withColumn("__key", key).select("src", "dst", "__key").join(
         within.select(F.col("node").alias("dst"), F.col("depth").alias("__left")), "dst")
+    steps = cut_lineage(steps.repartition("src"))
     goal = effects.select(F.col("node").alias("last")).distinct()
     start = inputs.select("node").distinct()
     start = start.join(within.select("node"), "node", "left_semi")
@@ -153,7 +163,8 @@ def search_counters(edges: DataFrame, inputs: DataFrame, effects: DataFrame, pat
 
 def subgraph(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int, max_edges: int) -> DataFrame:
     """Edges between the first ``max_nodes`` nodes by (depth, id), at most ``max_edges``, with a truncated flag."""
-    near = hop_distance(edges, seeds, max_depth)
+    edges = stored_edges(edges)
+    near = cut_lineage(hop_distance(edges, seeds, max_depth, stored=True))
     nodes = near.orderBy("depth", "node").limit(max_nodes)
     inside = edges.join(nodes.select(F.col("node").alias("src"), F.col("depth").alias("__d")).filter(F.col("__d") < max_depth), "src")
     inside = inside.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "__d")
@@ -170,7 +181,7 @@ def nearest(edges: DataFrame, seeds: DataFrame, flagged: DataFrame, max_depth: i
 
 def bottleneck(edges: DataFrame, seq: str = "seq") -> DataFrame:
     """For every reachable (start, node): the least possible greatest ``seq`` on a walk between them."""
-    steps = edges.groupBy("src", "dst").agg(F.min(seq).alias("__seq"))
+    steps = cut_lineage(edges.groupBy("src", "dst").agg(F.min(seq).alias("__seq")).repartition("src"))
     known = cut_lineage(steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.col("__seq").alias("width")))
     changed = known
     while True:
@@ -190,7 +201,7 @@ def acyclic_edges(edges: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFr
     Each round settles every edge that can be settled: kept when even all earlier undecided edges close no
     cycle with it, refused when the kept ones already do. The earliest open edge is always settled.
     """
-    edges = edges.select("src", "dst", seq)
+    edges = cut_lineage(edges.select("src", "dst", seq))
     loops = edges.filter("src = dst")
     kept, refused, open_ = [], [loops], edges.filter("src <> dst")
     while True:

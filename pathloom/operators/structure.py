@@ -40,6 +40,30 @@ def gate_pairs(inputs: DataFrame, effects: DataFrame, calls: DataFrame, packages
     return same.unionByName(by_calls).unionByName(package)
 
 
+def gate_connected(connected: DataFrame, calls: DataFrame, packages: DataFrame) -> DataFrame:
+    """Structural gate of method pairs that flow already connects: ``input, effect, distance, reason``.
+
+    The same rules as :func:`gate_pairs`, but each is a test of a given pair, so a large package costs no more
+    than its connected pairs.
+    """
+    p = connected.select(F.col("input").alias("im"), F.col("effect").alias("em")).distinct()
+    edges = calls.select("src", "dst").distinct()
+
+    def rule(df: DataFrame, distance: int, reason: str) -> DataFrame:
+        return df.select(F.col("im").alias("input"), F.col("em").alias("effect"), F.lit(distance).alias("distance"), F.lit(reason).alias("reason"))
+
+    apart = p.filter("im <> em")
+    ahead = apart.join(edges.select(F.col("src").alias("im"), F.col("dst").alias("em")), ["im", "em"], "left_semi")
+    back = apart.join(edges.select(F.col("src").alias("em"), F.col("dst").alias("im")), ["im", "em"], "left_semi")
+    two = p.join(edges.select(F.col("src").alias("im"), F.col("dst").alias("mid")), "im").join(
+        edges.select(F.col("src").alias("mid"), F.col("dst").alias("em")), ["mid", "em"], "left_semi").select("im", "em").distinct()
+    named = lambda side, name: packages.select(F.col("method").alias(side), F.col("package").alias(name))
+    near = p.join(named("im", "ip"), "im").join(named("em", "ep"), "em").filter("ip = ep")
+    return (
+        rule(p.filter("im = em"), 0, "SAME_METHOD").unionByName(rule(ahead, 1, "INPUT_CALLS_EFFECT_REGION")).unionByName(rule(back, 1, "EFFECT_CALLS_INPUT_REGION"))
+        .unionByName(rule(two, 2, "TWO_HOP_CALL_REGION")).unionByName(rule(near, 3, "SAME_PACKAGE")))
+
+
 def collapse_gates(rows: DataFrame, connected: DataFrame) -> DataFrame:
     """One row per pair: its gate evidence in (distance, reason) order and whether flow connects it.
 

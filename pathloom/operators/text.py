@@ -263,10 +263,10 @@ def extract_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     folded = F.aggregate(
         F.sequence(F.lit(1), F.lit(NESTING)),
         F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("calls")),
-        lambda acc, _: F.struct(
+        lambda acc, _: F.when(~acc["text"].contains("("), acc).otherwise(F.struct(
             F.regexp_replace(acc["text"], r"\([^()]*\)", " 0 ").alias("text"),
-            F.concat(acc["calls"], F.regexp_extract_all(acc["text"], F.lit(call_re), F.lit(0))).alias("calls")))["calls"]
-    body_text = F.regexp_replace("text", METHOD_RE, "$4")
+            F.concat(acc["calls"], F.regexp_extract_all(acc["text"], F.lit(call_re), F.lit(0))).alias("calls"))))["calls"]
+    body_text = F.regexp_replace("text", METHOD_RE, "$4")  # the head itself is no call
     spoken = deep.join(methods.select("path", "line").distinct().withColumn("__decl", F.lit(True)), ["path", "line"], "left")
     spoken = spoken.withColumn("text", F.when(F.col("__decl"), body_text).otherwise(F.col("text"))).filter(F.col("text").contains("("))
     calls = spoken.select("path", "line", F.posexplode(folded).alias("n", "call"))

@@ -111,6 +111,7 @@ def usable_edges(edges: DataFrame, starts: DataFrame, ends: DataFrame, limit: in
     ``edges(src, dst, kind, fanout)``. A relaxed edge must leave a static component or a start, and enter another
     component or an end.
     """
+    edges = cut_lineage(edges)
     part = components(edges.filter("kind = 'static'"))
     c = lambda side: part.select(F.col("node").alias(side), F.col("label").alias(f"{side}_part"))
     mark = lambda df, side, name: df.select(F.col("node").alias(side)).distinct().withColumn(name, F.lit(True))
@@ -131,6 +132,7 @@ def value_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges:
     side grows beyond half the limit. ``edges(src, dst, weak)``. ``per_node`` keeps the best prefixes per node, as a search bound.
     """
     half = (max_edges + 1) // 2
+    edges = cut_lineage(edges)
     order = [F.col("weak"), F.col("path")]
     ahead = _grow(edges, starts, half, True, per_node, order)
     behind = _grow(edges, ends, max_edges - half, False, per_node, order)
@@ -192,7 +194,7 @@ def link_steps(steps: DataFrame, transfers: DataFrame, relations: DataFrame, fie
 
 def fact_chains(facts: DataFrame, max_edges: int = 24, max_chains: int | None = 16) -> DataFrame:
     """Maximal chains of the facts that are not refuted, from roots to leaves: ``facts(edge_id, src, dst, status)``."""
-    live = facts.filter("status <> 'VERIFIER_REFUTED'").select("edge_id", "src", "dst")
+    live = cut_lineage(facts.filter("status <> 'VERIFIER_REFUTED'").select("edge_id", "src", "dst"))
     roots = live.join(live.select(F.col("dst").alias("src")), "src", "left_anti")
     level = cut_lineage(roots.select(F.col("dst").alias("tip"), F.array("edge_id").alias("chain")))
     outs = live.select(F.col("src").alias("tip"), "edge_id", F.col("dst").alias("next"))

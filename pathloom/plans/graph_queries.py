@@ -8,6 +8,7 @@ from pathloom.operators import pools as P
 from pathloom.operators import structure as X
 from pathloom.operators.attribution import share
 from pathloom.registry import query
+from pathloom.session import cut_lineage
 
 NODE = "method AS node"
 
@@ -101,11 +102,13 @@ def native_paths(t):
 
 def static_paths(t):
     """Gated pairs that flow connects, as located path rows with their confidence."""
-    gated = gates(t).groupBy("input_id", "effect_id").agg(F.min("distance").alias("gate_distance")).join(connected_sites(t), ["input_id", "effect_id"], "left_semi")
-    i = t.inputs.select("input_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("input_file"), F.col("line").alias("input_line"), "method")
-    e = t.effects.select("effect_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("effect_file"), F.col("line").alias("effect_line"))
+    linked = cut_lineage(connected_methods(t).select("input", "effect"))
+    pairs = X.gate_connected(linked, t.call_edges, t.methods.select("method", "package")).groupBy("input", "effect").agg(F.min("distance").alias("gate_distance"))
+    i = t.inputs.select("input_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("input_file"), F.col("line").alias("input_line"), F.col("method").alias("input"))
+    e = t.effects.select("effect_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("effect_file"), F.col("line").alias("effect_line"), F.col("method").alias("effect"))
+    gated = pairs.join(i, "input").join(e, "effect").withColumnRenamed("input", "method")
     d = F.col("gate_distance")
-    return gated.join(i, "input_id").join(e, "effect_id").join(t.methods.select("method", F.col("project").alias("project_id")), "method").select(
+    return gated.join(t.methods.select("method", F.col("project").alias("project_id")), "method").select(
         *P.PATH_KEY, F.concat_ws("-", F.lit("st"), "input_id", "effect_id").alias("candidate_path_id"), "gate_distance",
         F.when(d == 0, "STRUCTURE_HIGH").when(d <= 2, "STRUCTURE_MEDIUM").otherwise("OPEN_CANDIDATE").alias("confidence_tier"))
 
