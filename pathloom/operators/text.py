@@ -173,7 +173,7 @@ CONTROL = "if|for|while|switch|catch|return|throw|new|else|case|do|try|synchroni
 TYPE_RE = rf"\b(class|interface|enum|record)\s+({IDENT})"
 METHOD_RE = (
     rf"((?:@{IDENT}\s+)*(?:{MODIFIER}\s+)*(?:<[^<>;{{}}()]*>\s*)?(?:(?!(?:{CONTROL})\b)[\w.$]+(?:<[^;{{}}()]*>)?(?:\[\])*\s+)?)"
-    rf"\b((?!(?:{CONTROL})\b){IDENT})\s*\(([^(){{}};]*)\)\s*(?:throws\s+[\w.,\s]+)?([{{;])"
+    rf"\b((?!(?:{CONTROL})\b){IDENT})\s*\(((?:[^(){{}};]|\([^()]*\))*)\)\s*(?:throws\s+[\w.,\s]+)?([{{;])"
 )
 FIELD_RE = rf"^\s*(?:@{IDENT}\s+)*((?:{MODIFIER}\s+)*)((?!(?:{CONTROL}|package|import|class|interface|enum|record)\b)[\w.$]+(?:<[^;{{}}()]*>)?(?:\[\])*)\s+({IDENT})\s*(?:=[^;]*)?;"
 NESTING = 16
@@ -208,6 +208,14 @@ def extract_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     package = first_by(
         code.filter(F.col("text").rlike(r"^\s*package\s")).select("path", "line", F.regexp_extract("text", r"package\s+([\w.]+)", 1).alias("package")), ["path"], ["line"])
 
+    # A declaration starts at the annotation lines right above it: islands of such lines, keyed by the line below.
+    alone = deep.filter(F.col("text").rlike(rf"^\s*(?:@{IDENT}(?:\.{IDENT})*(?:\([^()]*\))?\s*)+$")).select("path", "line")
+    island = alone.withColumn("g", F.col("line") - F.row_number().over(W.partitionBy("path").orderBy("line"))).groupBy("path", "g").agg(
+        F.min("line").alias("first"), (F.max("line") + 1).alias("line")).drop("g")
+
+    def begun(rows: DataFrame) -> DataFrame:
+        return rows.join(island, ["path", "line"], "left").withColumn("first", F.coalesce("first", "line"))
+
     def heads(pattern: str) -> DataFrame:
         whole = F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("head")
         rows = deep.filter(F.col("text").rlike(pattern)).select("path", "line", "depth", "text", whole)
@@ -249,7 +257,7 @@ def extract_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     methods = methods.withColumn("result", F.nullif(plain, F.lit("")))
     methods = ended(methods).withColumn("end", F.when(F.col("stop") == ";", F.col("line")).otherwise(F.coalesce("end", "line")))
     declared = param_list(F.concat(F.lit("("), "params", F.lit(")")))
-    bare = F.transform(declared, lambda p: F.trim(F.regexp_replace(p, rf"(?:@{IDENT}\s*|\bfinal\s+)", "")))
+    bare = F.transform(declared, lambda p: F.trim(F.regexp_replace(p, rf"(?:@{IDENT}(?:\([^()]*\))?\s*|\bfinal\s+)", "")))
     methods = methods.withColumn("declared", bare)
     type_of = lambda p: F.regexp_replace(F.regexp_replace(p, rf"\s*{IDENT}$", ""), r"\s+", "")
     methods = methods.withColumn("signature", F.concat("name", F.lit("("), F.array_join(F.transform("declared", type_of), ","), F.lit(")")))
@@ -266,9 +274,11 @@ def extract_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         lambda acc, _: F.when(~acc["text"].contains("("), acc).otherwise(F.struct(
             F.regexp_replace(acc["text"], r"\([^()]*\)", " 0 ").alias("text"),
             F.concat(acc["calls"], F.regexp_extract_all(acc["text"], F.lit(call_re), F.lit(0))).alias("calls"))))["calls"]
-    body_text = F.regexp_replace("text", METHOD_RE, "$4")  # the head itself is no call
-    spoken = deep.join(methods.select("path", "line").distinct().withColumn("__decl", F.lit(True)), ["path", "line"], "left")
-    spoken = spoken.withColumn("text", F.when(F.col("__decl"), body_text).otherwise(F.col("text"))).filter(F.col("text").contains("("))
+    # A method's own head is no call: the heads found on a line are blanked before its calls are read.
+    own_heads = methods.groupBy("path", "line").agg(F.collect_set("head").alias("__heads"))
+    spoken = deep.filter(F.col("text").contains("(")).join(own_heads, ["path", "line"], "left")
+    blanked = F.aggregate("__heads", F.col("text"), lambda t, h: F.replace(t, h, F.lit(" ")))
+    spoken = spoken.withColumn("text", F.when(F.col("__heads").isNotNull(), blanked).otherwise(F.col("text"))).filter(F.col("text").contains("("))
     calls = spoken.select("path", "line", F.posexplode(folded).alias("n", "call"))
     full = F.regexp_replace(F.regexp_extract("call", call_re, 1), r"\s", "")
     calls = calls.withColumn("full", full).withColumn("name", F.substring_index("full", ".", -1)).filter(~F.col("name").rlike(f"^(?:{CONTROL})$"))
@@ -294,10 +304,10 @@ def extract_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     zero = F.lit(0)
     entities = (
         rows(package, F.lit("PACKAGE"), "line", "line", "package", F.col("package"), none, none, F.concat(F.lit("package "), "package"), none, "HIGH", zero, none)
-        .unionByName(rows(type_rows, F.lit("TYPE"), "line", "end", "name", F.col("qualified"), F.nullif(F.regexp_replace("qualified", r"\.?[^.]*$", ""), F.lit("")), none, F.concat_ws(" ", "keyword", "name"), none, "HIGH", F.col("level"), none))
-        .unionByName(rows(methods, F.col("kind"), "line", "end", "name", F.concat_ws(".", "owner", "name"), F.col("owner"), none, F.col("signature"), F.coalesce("result", "owner"), "HIGH", F.col("idx"), F.size("declared")))
+        .unionByName(rows(begun(type_rows), F.lit("TYPE"), "first", "end", "name", F.col("qualified"), F.nullif(F.regexp_replace("qualified", r"\.?[^.]*$", ""), F.lit("")), none, F.concat_ws(" ", "keyword", "name"), none, "HIGH", F.col("level"), none))
+        .unionByName(rows(begun(methods), F.col("kind"), "first", "end", "name", F.concat_ws(".", "owner", "name"), F.col("owner"), none, F.col("signature"), F.coalesce("result", "owner"), "HIGH", F.col("idx"), F.size("declared")))
         .unionByName(rows(parameters, F.lit("PARAMETER"), "line", "line", "p_name", F.concat_ws(".", "owner", "name", "p_name"), F.col("owner"), callable_, none, type_of(F.col("p")), "HIGH", F.col("p_index"), F.col("p_index")))
-        .unionByName(rows(fields, F.lit("FIELD"), "line", "line", "name", F.concat_ws(".", "owner", "name"), F.col("owner"), none, F.concat_ws(":", "name", "type_text"), F.col("type_text"), "MEDIUM", zero, none))
+        .unionByName(rows(begun(fields), F.lit("FIELD"), "first", "line", "name", F.concat_ws(".", "owner", "name"), F.col("owner"), none, F.concat_ws(":", "name", "type_text"), F.col("type_text"), "MEDIUM", zero, none))
         .unionByName(rows(calls, F.lit("CALL"), "line", "line", "name", F.col("full"), F.col("owner"), F.col("callable"), none, none, "MEDIUM", F.col("n"), F.col("argument_count")))
         .unionByName(rows(notes, F.lit("ANNOTATION"), "line", "line", "name", F.col("name"), none, none, none, none, "MEDIUM", F.col("n"), none))
     )
