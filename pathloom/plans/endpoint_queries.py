@@ -22,12 +22,12 @@ def _values(rows):
     return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v + "'" for v in r) + ")" for r in rows)
 
 
-SITE = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
+SITE = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
 def site():
-    """The line's key as one number, as ``SITE`` says it in SQL."""
-    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    """The line's key as one text, as ``SITE`` says it in SQL."""
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
 CALL_NAMES = [f"{r[0]}#{r[1]}" for r in R.effect_rows()] + ["com.acme.Files#copy", "java.lang.Runtime#gc", "com.acme.Cipher#getInstance"]
 ACCESSORS = ["", "javax.servlet.ServletResponse#getWriter", "jakarta.servlet.http.HttpServletResponse#getOutputStream", "com.acme.ServletResponse#getWriter"]
@@ -85,9 +85,9 @@ def p01(t):
     params = t.orders.select(F.col("o_orderkey").alias("param_id"), F.col("o_custkey").alias("method_id"), F.split(a, "#")[0].alias("package"), F.split(a, "#")[1].alias("annotation"), file("o_custkey"), F.lit(1).alias("line"))
     c = _pick(ACCESS, F.col("l_partkey") + F.col("l_suppkey"))
     lines = t.lineitem.select(site().alias("call_id"), F.col("l_orderkey").alias("method_id"), F.split(c, "#")[0].alias("type"), F.split(c, "#")[1].alias("name"), file("l_orderkey"), F.col("l_linenumber").alias("line"))
-    none = F.lit(None).cast("long")
+    none, no_call = F.lit(None).cast("long"), F.lit(None).cast("string")
     by_call = lines.filter("line >= 6").select("method_id", "call_id", none.alias("param_id"), "file", (F.col("line") + 100).alias("line"))
-    by_param = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("method_id"), none.alias("call_id"), F.col("o_orderkey").alias("param_id"), file("o_custkey"), F.lit(200).alias("line"))
+    by_param = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("method_id"), no_call.alias("call_id"), F.col("o_orderkey").alias("param_id"), file("o_custkey"), F.lit(200).alias("line"))
     return E.external_inputs(params, lines, by_call.unionByName(by_param))
 
 

@@ -7,12 +7,12 @@ from pathloom.operators import evidence as V
 from pathloom.operators import records as N
 from pathloom.registry import query
 
-SITE = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
+SITE = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
 def site():
-    """The line's key as one number, as ``SITE`` says it in SQL."""
-    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    """The line's key as one text, as ``SITE`` says it in SQL."""
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
 ROLES = ["ARGUMENT", "PARAMETER", "RETURN", "FIELD", "ENTITY", "METHOD", "RECEIVER"]
 KINDS = {"ECONOMY": "METHOD", "LARGE": "CALL", "MEDIUM": "PARAMETER", "PROMO": "FIELD", "SMALL": "CONSTRUCTOR", "STANDARD": "TYPE"}
@@ -134,10 +134,10 @@ def graph_edges(t):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("l_suppkey") % len(values) + 1).cast("int"))
     li = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("o_orderkey") == F.col("l_orderkey"))
     s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = li.withColumn("edge_id", site())
+    e = li.withColumn("edge_id", F.concat_ws("-", site(), F.col("l_quantity").cast("int").cast("string"), "l_returnflag"))
     edges = e.select("edge_id", s("c", "o_custkey").alias("src"), s("p", "l_partkey").alias("dst"), pick(RELATIONS).alias("relation"), F.when(F.col("l_linenumber") == 7, "STRUCTURAL_EVIDENCE").otherwise(pick(SUPPORTS)).alias("support"),
                      F.col("l_orderkey").alias("proposal_id"), (F.col("l_quantity") > 2).alias("provenance"))
-    refs = e.filter("l_quantity > 4").select("edge_id", F.when(F.col("l_quantity") == 50, -F.col("edge_id")).otherwise(F.col("edge_id")).alias("evidence_id"))
+    refs = e.filter("l_quantity > 4").select("edge_id", F.when(F.col("l_quantity") == 50, F.concat(F.lit("x"), "edge_id")).otherwise(F.col("edge_id")).alias("evidence_id"))
     tools_used = e.filter("l_tax > 0.005").select("edge_id", F.col("l_orderkey").alias("tool_id"))
     nodes = t.customer.select(s("c", "c_custkey").alias("node"), F.when(F.col("c_nationkey") == 0, "other").otherwise("main").alias("project")).unionByName(
         t.part.filter("p_size > 1").select(s("p", "p_partkey").alias("node"), F.lit("main").alias("project")))
@@ -151,7 +151,7 @@ def graph_edges(t):
     return V.admit_edges(edges, refs, tools_used, nodes, evidence, covers, tools, props, prop_refs)
 
 
-ADMIT = f"""WITH e0 AS (SELECT {SITE} AS edge_id, l.*, o_custkey, o_orderstatus, o_orderpriority, {RELATIONS}[l_suppkey % 6 + 1] AS relation, CASE WHEN l_linenumber = 7 THEN 'STRUCTURAL_EVIDENCE' ELSE {SUPPORTS}[l_suppkey % 6 + 1] END AS support
+ADMIT = f"""WITH e0 AS (SELECT concat_ws('-', {SITE}, CAST(l_quantity AS INT), l_returnflag) AS edge_id, l.*, o_custkey, o_orderstatus, o_orderpriority, {RELATIONS}[l_suppkey % 6 + 1] AS relation, CASE WHEN l_linenumber = 7 THEN 'STRUCTURAL_EVIDENCE' ELSE {SUPPORTS}[l_suppkey % 6 + 1] END AS support
         FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
     w AS (SELECT l_orderkey, count(*) AS nw FROM e0 WHERE l_quantity > 4 GROUP BY 1),
     j AS (SELECT e0.*, c_nationkey, p_size, coalesce(nw, 0) AS nw, CASE WHEN l_returnflag = 'R' THEN 'SOURCE_SNIPPET' ELSE relation END AS sk, l_linenumber <> 3 AND p_size > 1 AS both_ends FROM e0 JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey LEFT JOIN w USING (l_orderkey)),

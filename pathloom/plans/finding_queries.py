@@ -201,14 +201,15 @@ def part_methods(t):
                          (1 + F.col("p_size") % 3).alias("start"), (3 + F.col("p_size") % 3).alias("end"))
 
 
-@query("i13_flow_hints", f"""WITH {DECLS}, p AS (SELECT o_custkey AS path_id, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, l_linenumber AS line,
+@query("i13_flow_hints", f"""WITH {DECLS}, p AS (SELECT o_custkey AS path_id, concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 20, '0'), l_linenumber, lpad(CAST(l_partkey AS VARCHAR), 20, '0'), lpad(CAST(l_suppkey AS VARCHAR), 20, '0')) AS pos, l_linenumber AS line,
         CASE WHEN l_linenumber BETWEEN s AND e THEN p_partkey END AS owner FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN decls ON p_partkey = l_partkey),
     h AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY pos) AS rk, count(*) OVER (PARTITION BY path_id) AS n FROM p WHERE owner IS NOT NULL),
     c AS (SELECT path_id, count(*) AS steps FROM p GROUP BY 1)
     SELECT path_id, pos, owner, line, steps - least(n, 32) AS omitted FROM h JOIN c USING (path_id) WHERE n >= 2 AND (n <= 32 OR rk <= 16 OR rk > n - 16)""")
 def i13(t):
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
     steps = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("path_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("pos"),
+        F.col("o_custkey").alias("path_id"), F.concat_ws("-", pad("l_orderkey"), F.col("l_linenumber").cast("string"), pad("l_partkey"), pad("l_suppkey")).alias("pos"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("file"), F.col("l_linenumber").alias("line"))
     owned = I.owners(steps, part_methods(t), "file", "line", "method_id")
     return S.flow_hints(owned.select("path_id", "pos", "owner", "line"))

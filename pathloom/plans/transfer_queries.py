@@ -176,7 +176,7 @@ def i14(t):
 # -- symbols and types -----------------------------------------------------------------------------
 
 @query("c10_map_entities", """WITH e AS (SELECT p_partkey AS id, p_size % 3 + 1 AS s, p_size % 3 + 4 AS e, CASE WHEN p_size > 25 THEN 'CALL' ELSE 'FIELD_READ' END AS kind, p_brand AS q, p_type AS sg FROM part),
-    f AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS fid, l_partkey AS file, l_linenumber AS s, l_linenumber + 1 AS e, CASE l_returnflag WHEN 'R' THEN 'CALL' WHEN 'A' THEN 'FIELD_ACCESS' ELSE 'FIELD_READ' END AS kind, concat('Brand#', l_suppkey % 25 + 1) AS q, CASE WHEN l_quantity > 30 THEN 'PROMO' ELSE 'SMALL' END AS sg FROM lineitem),
+    f AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fid, l_partkey AS file, l_linenumber AS s, l_linenumber + 1 AS e, CASE l_returnflag WHEN 'R' THEN 'CALL' WHEN 'A' THEN 'FIELD_ACCESS' ELSE 'FIELD_READ' END AS kind, concat('Brand#', l_suppkey % 25 + 1) AS q, CASE WHEN l_quantity > 30 THEN 'PROMO' ELSE 'SMALL' END AS sg FROM lineitem),
     h AS (SELECT id, fid, e.q = f.q AS fq, e.sg = f.sg AS fs FROM e JOIN f ON file = id AND f.s <= e.e AND e.s <= f.e AND (f.kind = e.kind OR (e.kind = 'FIELD_READ' AND f.kind = 'FIELD_ACCESS'))),
     a AS (SELECT *, bool_or(fq) OVER (PARTITION BY id) AS aq FROM h), b AS (SELECT * FROM a WHERE fq OR NOT aq), c AS (SELECT *, bool_or(fs) OVER (PARTITION BY id) AS as_ FROM b), d AS (SELECT * FROM c WHERE fs OR NOT as_),
     g AS (SELECT id, count(*) AS n, min(fid) AS one, max(3 + CAST(aq AS INT) + CAST(as_ AS INT)) AS pr FROM d GROUP BY 1)
@@ -190,7 +190,7 @@ def c10(t):
     kind = F.when(F.col("l_returnflag") == "R", "CALL").when(F.col("l_returnflag") == "A", "FIELD_ACCESS").otherwise("FIELD_READ")
     line = F.col("l_linenumber")
     facts = t.lineitem.select(
-        (((F.col("l_orderkey") * 10 + line) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("fact_id"), F.col("l_partkey").alias("file"), line.alias("f_start"), (line + 1).alias("f_end"), kind.alias("f_kind"),
+        F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("fact_id"), F.col("l_partkey").alias("file"), line.alias("f_start"), (line + 1).alias("f_end"), kind.alias("f_kind"),
         F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string")).alias("f_qualified_name"), F.when(F.col("l_quantity") > 30, "PROMO").otherwise("SMALL").alias("f_signature"), none.alias("f_enclosing_type"), none.alias("f_enclosing_callable"))
     return Y.map_entities(entities, facts)
 
