@@ -22,12 +22,12 @@ def _values(rows):
     return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v + "'" for v in r) + ")" for r in rows)
 
 
-SITE = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+SITE = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)"
 
 
 def site():
     """The line's key as one text, as ``SITE`` says it in SQL."""
-    return F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")])
 
 CALL_NAMES = [f"{r[0]}#{r[1]}" for r in R.effect_rows()] + ["com.acme.Files#copy", "java.lang.Runtime#gc", "com.acme.Cipher#getInstance"]
 ACCESSORS = ["", "javax.servlet.ServletResponse#getWriter", "jakarta.servlet.http.HttpServletResponse#getOutputStream", "com.acme.ServletResponse#getWriter"]

@@ -7,12 +7,12 @@ from pathloom.operators import evidence as V
 from pathloom.operators import records as N
 from pathloom.registry import query
 
-SITE = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+SITE = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)"
 
 
 def site():
     """The line's key as one text, as ``SITE`` says it in SQL."""
-    return F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")])
 
 ROLES = ["ARGUMENT", "PARAMETER", "RETURN", "FIELD", "ENTITY", "METHOD", "RECEIVER"]
 KINDS = {"ECONOMY": "METHOD", "LARGE": "CALL", "MEDIUM": "PARAMETER", "PROMO": "FIELD", "SMALL": "CONSTRUCTOR", "STANDARD": "TYPE"}

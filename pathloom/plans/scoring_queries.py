@@ -125,10 +125,10 @@ def _windows(t):
     return t.part.select(_part_file("p_partkey").alias("file"), (1 + F.col("p_size") % 3).alias("start"), (6 + F.col("p_size") % 3).alias("end"))
 
 
-@query("c30_read_coverage", """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, bool_or(l_linenumber >= 1 + p_size % 3 AND l_linenumber + CAST(l_quantity AS INT) % 5 <= 6 + p_size % 3) AS covered
+@query("c30_read_coverage", """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS id, bool_or(l_linenumber >= 1 + p_size % 3 AND l_linenumber + CAST(l_quantity AS INT) % 5 <= 6 + p_size % 3) AS covered
     FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def c30(t):
-    ident = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    ident = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")])
     ranges = t.lineitem.select(ident.alias("id"), _part_file().alias("file"), F.col("l_linenumber").alias("first"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 5).alias("last"))
     return S.covered(ranges, _windows(t), "id").select("id", "covered")
 
