@@ -3,10 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from pathloom.llm.bpe import encode_and_decode
+from pathloom.llm.common import store
+from pathloom.llm.decontaminate import without_contaminated
+from pathloom.llm.jaccard_join import jaccard_components
+from pathloom.llm.language_id import held_out, identify, train
+from pathloom.llm.pii import pseudonymise
+from pathloom.llm.queries import PII_KEY, TOKENIZER
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; texts that are null or hold no letter go."""
+    return identify(docs, train(docs.where(~held_out()))).where("lang_pred <> 'und'").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id.
+
+    Rows that share an id stay or go together, and stay if one of their texts is first of its group; rows with a null id,
+    which cannot be told apart by id, stay.
+    """
+    own = jaccard_components(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    return docs.join(own.where("NOT first").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words less than a twentieth, or none, lie in benchmark windows."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms in their texts and ``n_chars`` as the new texts have it."""
+    return pseudonymise(docs, PII_KEY).drop("pii").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` and the digest of the decoded text."""
+    done = encode_and_decode(docs, TOKENIZER, carry=["doc_id"])
+    return done.select("row.doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("jaccard_join", near_duplicates),
+    ("decontaminate", decontamination),
+    ("pii", personal_data),
+    ("bpe", tokens),
+]
+#: Language models and BPE are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over ``documents``, each written as a table and read again as the next one's documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -103,15 +103,12 @@ def _linked(a: Column, b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (F.size(a) + F.size(b) - shared)
 
 
-def _bitmap(tokens: Column) -> list[Column]:
+def _bitmap(tokens: Column) -> Column:
     """LANES longs; a token sets the bit that its lowest bits name."""
-    bits = 64 * LANES
-    spot = F.transform(tokens, lambda t: F.pmod(t, F.lit(bits)).cast("int"))
-    return [
-        F.aggregate(F.filter(spot, lambda x, i=i: F.floor(x / 64) == i), F.lit(0).cast("long"),
-                    lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x % 64)))
-        for i in range(LANES)
-    ]
+    spot = F.transform(F.coalesce(tokens, F.array().cast("array<long>")), lambda t: F.pmod(t, F.lit(64 * LANES)).cast("int"))
+    empty = F.array_repeat(F.lit(0).cast("long"), LANES)
+    return F.transform(empty, lambda zero, lane: F.aggregate(
+        F.filter(spot, lambda x: F.shiftright(x, 6) == lane), zero, lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x % 64))))
 
 
 def signatures(tokens: list[np.ndarray]) -> np.ndarray:
@@ -241,7 +238,7 @@ def _join_nodes(percent: int):
 
 
 def find_links(classes: DataFrame, percent: int, node_tokens: int = NODE_TOKENS) -> DataFrame:
-    """``src, dst``: links that connect what links connect, among ``classes(class, rare, prefix, tokens)``."""
+    """``src, dst``: links that connect what links connect, among the distinct ``classes(class, rare, prefix, tokens)``."""
     shared = classes.select("class", F.explode(F.slice("tokens", F.col("rare") + 1, F.greatest(F.col("prefix") - F.col("rare"), F.lit(0)))).alias("token"))
     leaders = shared.groupBy("token").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     member = shared.join(leaders.select("token", "leader"), "token").select("leader", "class").distinct()
@@ -249,15 +246,15 @@ def find_links(classes: DataFrame, percent: int, node_tokens: int = NODE_TOKENS)
     sets = member.join(classes.select("class", "tokens"), "class").join(heads, "leader")
     n = F.size("tokens")
     sets = store(sets.select(
-        "leader", "class", "tokens", _linked(F.col("tokens"), F.col("head"), percent).alias("near"), n.alias("n"),
+        "leader", "class", _linked(F.col("tokens"), F.col("head"), percent).alias("near"), n.alias("n"),
         F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("int").alias("band")))
     star = sets.where(F.col("near") & (F.col("class") != F.col("leader"))).select(F.col("leader").alias("src"), F.col("class").alias("dst"))
     # Blocks all of whose sets are near are done: the leader joins them.
     open_ = sets.groupBy("leader").agg(F.min("near").alias("done")).where("NOT done").select("leader")
     cut = sets.groupBy("leader", "near", "band").agg(F.ceil(F.sum("n") / node_tokens).alias("parts"))
-    at = sets.join(open_, "leader", "left_semi").join(cut, ["leader", "near", "band"])
+    at = sets.join(open_, "leader", "left_semi").join(cut, ["leader", "near", "band"]).join(classes.select("class", "tokens"), "class")
     name = F.concat_ws("/", F.col("near").cast("int"), "band", F.pmod(F.xxhash64("class"), F.col("parts")))
-    at = store(at.select("leader", name.alias("node"), "near", "class", "tokens", "n", F.array(*_bitmap(F.col("tokens"))).alias("bits")))
+    at = store(at.select("leader", name.alias("node"), "near", "class", "tokens", "n", _bitmap(F.col("tokens")).alias("bits")))
     lanes = [F.get("bits", F.lit(i)) for i in range(LANES)]
     ones = sum([F.bit_count(x) for x in lanes], F.lit(0))
     nodes = at.groupBy("leader", "node").agg(
@@ -273,6 +270,13 @@ def find_links(classes: DataFrame, percent: int, node_tokens: int = NODE_TOKENS)
     return star.unionByName(tasks.groupBy("leader", "a", "b").applyInArrow(_join_nodes(percent), LINKS))
 
 
+def _one_of_each(sets: DataFrame) -> DataFrame:
+    """One row of each class, as a table: classes with several rows choose by row number, without their tokens."""
+    first = sets.groupBy("class").agg(F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("rows"))
+    gone = sets.select("class", "row_no").join(first.where("rows > 1").select("class", F.col("row_no").alias("kept")), "class").where("row_no <> kept")
+    return store(sets.join(gone.select("row_no"), "row_no", "left_anti").select("class", "rare", "prefix", "tokens"))
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, depth: int = 2, cells_per_window: int = 8,
     chunk_bytes: int = sketch.CHUNK_BYTES, node_tokens: int = NODE_TOKENS,
@@ -289,10 +293,10 @@ def jaccard_components(
     document of its own, so rows with one id and different texts link only if these do, and repeated rows are equal
     sets of one component; no rows give no rows.
     """
-    sets = store(shingle_sets(id_and_text(docs, id_col, text_col), shingle, percent, depth, cells_per_window, chunk_bytes))
+    sets = shingle_sets(id_and_text(docs, id_col, text_col), shingle, percent, depth, cells_per_window, chunk_bytes)
+    sets = store(sets.withColumn("row_no", F.monotonically_increasing_id()))
     classes = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    joinable = sets.where("tokens IS NOT NULL").select("class", "rare", "prefix", "tokens").dropDuplicates(["class"])
-    labels = components(find_links(joinable, percent, node_tokens)).select(F.col("node").alias("class"), "label")
+    labels = components(find_links(_one_of_each(sets.where("tokens IS NOT NULL")), percent, node_tokens)).select(F.col("node").alias("class"), "label")
     labelled = classes.join(labels, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     whole = labelled.join(ids, "label").select("class", "component_id")
