@@ -213,5 +213,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
             p["kind"].alias("kind"), F.get(F.col("__at"), i).alias("start"), (F.get(F.col("__at"), i) + F.length(F.get(F.col("__m"), i))).alias("end"), p["value"].alias("pseudonym"))),
         lambda x: x["kind"].isNotNull())
     whole = F.when(F.get(F.col("__s"), F.lit(0)).isNotNull(), F.array_join(pieces, ""))
-    value = lambda c: whole if c == text_col else F.col("__row").getField(c)
-    return done.select(*[value(c).alias(c) for c in docs.columns if c != "pii"], finds.alias("pii"))
+    out = done.select(F.struct(F.col("__row").alias("row"), whole.alias("text"), finds.alias("pii")).alias("__pseudonymised"))
+    part = F.col("__pseudonymised").getField
+    value = lambda c: part("text") if c == text_col else part("row").getField(c)
+    return out.select(*[value(c).alias(c) for c in docs.columns if c != "pii"], part("pii").alias("pii"))

@@ -113,7 +113,7 @@ def test_benchmark_matches(spark, limits):
     found = benchmark_matches(frame(spark, rows), items, **limits).collect()
     same([(r.row.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found], contamination(rows, [i for i in ITEMS if i[0] is not None]))
     runs = {(r.row.doc_id, r.n_words): (r.longest, r.longest_at) for r in found}
-    assert runs[1, 19] == (16, 0) and runs[7, 12] == (0, -1) and runs[11, 18] == (14, 0) or runs[11, 18][0] >= 13
+    assert runs[1, 19] == (16, 0) and runs[7, 12] == (0, -1) and runs[11, 18] == (14, 0) and runs[10, 30002] == (2, 30000)
     clean = without_contaminated(frame(spark, rows), items, **limits)
     assert clean.columns == frame(spark, rows).columns
     assert sorted(r.doc_id for r in clean.collect() if r.doc_id) == sorted(i for i, *_, bad in contamination(rows, [i for i in ITEMS if i[0] is not None]) if i and not bad)
@@ -164,7 +164,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     rows = [(1, text), (2, text), (3, None), (4, ""), (5, "nothing é here"), (6, "4111111111111111 " * 200), (6, "4111111111111111 " * 200)]
     docs = spark.createDataFrame([(i, t, "old", 7) for i, t in rows], "doc_id long, text string, pii string, __m int")
     out = {r.doc_id: r for r in pii.pseudonymise(docs, "key").collect()}
-    assert (out[3].text, out[4].text, out[5].text, out[3].pii) == (None, "", "nothing é here", []) and out[1].__m == 7 and out[1].text == out[2].text
+    assert (out[3].text, out[4].text, out[5].text, out[3].pii) == (None, "", "nothing é here", []) and out[1]["__m"] == 7 and out[1].text == out[2].text
     found = {}
     for p in out[1].pii:
         found.setdefault(p.kind, []).append((text[p.start : p.end], p.pseudonym))
@@ -317,7 +317,7 @@ def test_url_parts_and_rules(spark):
     assert out[2][2:] == ("net/", "block") and out[3] == ("shop.example.com", "/de/7", "example.com/de/", "block")
     assert out[4][2:] == ("org/fr/", "allow") and out[5] == ("org", "/fr/a", "org/fr/", "allow") and out[6][2] is None
     assert out[7][:3] == ("a.net", "", None) and out[8][:3] == ("a.net", "", None) and out[9] == out[10] == out[11] == ("", "", None, "allow")
-    assert out[12][:3] == ("x.net", "/", "net/") and out[13][:3] == ("example.net:80", "/en/", None) and out[14][:3] == ("q.net", "/", "net/") or out[14][0] == "q.net"
+    assert out[12][:3] == ("x.net", "/", "net/") and out[13][:3] == ("example.net:80", "/en/", None) and out[14][:2] == ("u", "/p://q.net/")
     assert out[15][:3] == ("b.net", "/é\nz", "net/")
 
 
