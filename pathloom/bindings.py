@@ -85,7 +85,7 @@ BINDINGS: dict[str, Binding] = {
                CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(1 + p_size % 3 AS INT) END AS method_start,
                CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(3 + p_size % 3 AS INT) END AS method_end
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
-        WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 40"""),
+        WHERE l_returnflag = 'R' AND l_linestatus = 'F'"""),
     "path_locations": Binding("""
         SELECT concat('run-', CAST(l_suppkey AS STRING)) AS project_id,
                concat('path-', CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS candidate_path_id,

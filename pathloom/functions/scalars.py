@@ -64,6 +64,31 @@ def relativise(path: Column, root: Column) -> Column:
     return repo_path(let(F.regexp_replace(F.translate(path, "\\", "/"), "^file://", ""), inner))
 
 
+def _without_dots(path: Column) -> Column:
+    """Dot segments of a url path resolved; a path that ends in one keeps its closing slash."""
+    parts = F.split(path, "/")
+    closed = F.element_at(parts, -1).isin(".", "..")
+    rooted = path.startswith("/")
+    kept = F.aggregate(
+        F.filter(parts, lambda p, i: (i > 0) | (p != "")), F.array().cast("array<string>"),
+        lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"), F.when(closed & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def url_join(base: Column, ref: Column) -> Column:
+    """``ref`` seen from ``base``, as relative references resolve; an empty side gives the other."""
+    origin = r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?)"
+    front, path = F.regexp_extract(base, origin, 1), F.regexp_extract(base, origin + "([^?#]*)", 2)
+    folder = F.regexp_extract(path, "^(.*/)", 1)
+    rest = F.regexp_extract(ref, r"^[^?#]*([?#].*)?$", 1)
+    plain = F.regexp_extract(ref, r"^([^?#]*)", 1)
+    merged = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.when((front.endswith("/") | front.contains("//")) & (folder == ""), "/").otherwise(folder), plain))
+    return (
+        F.when(F.coalesce(base, F.lit("")) == "", ref).when(ref == "", base).when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), ref))
+        .otherwise(F.concat(front, _without_dots(merged), rest)))
+
+
 def canonical_json(fields: dict[str, Column]) -> Column:
     """Compact JSON with sorted keys; nulls are written out."""
     ordered = [fields[k].alias(k) for k in sorted(fields)]

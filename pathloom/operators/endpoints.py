@@ -89,7 +89,7 @@ def receiver_effects(calls: DataFrame) -> DataFrame:
     """
     short = F.substring_index("type", ".", -1)
     found = [
-        calls.filter(short.rlike(f"(?:{'|'.join(suffixes)})$") & F.col("name").isin(*methods.split())).select(
+        calls.filter(short.rlike(f"(?:{'|'.join(suffixes)})$") & F.col("name").isin(*methods)).select(
             "call_id", F.lit(reason).alias("reason"), F.lit(category).alias("category"), F.lit(evidence).alias("evidence_kind"), F.lit(confidence).alias("confidence"), "n_args")
         for suffixes, methods, reason, category, evidence, confidence in R.RECEIVERS
     ]

@@ -34,14 +34,37 @@ def settle(starts: DataFrame, responses: DataFrame, outcomes: DataFrame, key: st
     )
 
 
-def accounting(settled: DataFrame, by: Sequence[str]) -> DataFrame:
-    return settled.groupBy(*by).agg(
+# How a request can fail for good.
+OUTCOMES = ("FAILED_HTTP", "UNKNOWN_QUARANTINED")
+
+
+def faults(starts: DataFrame, responses: DataFrame, outcomes: DataFrame, key: str = "request_key") -> DataFrame:
+    """``key, fault`` for every request whose journal cannot be settled without guessing."""
+    repeated = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, F.lit(name).alias("fault"))
+    several = outcomes.groupBy(key).agg(F.min("outcome").alias("a"), F.max("outcome").alias("b"), F.bool_and(F.col("outcome").isin(*OUTCOMES)).alias("known"))
+    return (
+        repeated(starts, "DUPLICATE_START").unionByName(repeated(responses, "DUPLICATE_RESPONSE"))
+        .unionByName(several.filter("a <> b").select(key, F.lit("CONFLICTING_OUTCOMES").alias("fault")))
+        .unionByName(several.filter(~F.coalesce("known", F.lit(False))).select(key, F.lit("INVALID_OUTCOME").alias("fault")))
+        .unionByName(several.join(starts, key, "left_anti").select(key, F.lit("OUTCOME_WITHOUT_START").alias("fault")))
+    )
+
+
+def accounting(settled: DataFrame, by: Sequence[str], historical: DataFrame | None = None, key: str = "request_key") -> DataFrame:
+    """Totals of settled requests; ``historical(key, by...)`` are requests set aside in earlier runs, counted once each."""
+    totals = settled.groupBy(*by).agg(
         F.count(F.lit(1)).alias("physical_requests"), F.sum("reported_tokens").alias("reported_tokens"),
         F.sum("open_reserve").alias("unsettled_reserved_tokens"), F.count_if(~F.col("settled")).alias("unsettled_requests"),
         F.count_if("active").alias("active_unsettled_requests"), F.count_if("quarantined").alias("quarantined_requests"),
         F.count_if("failed_http").alias("failed_http_requests"),
         F.count_if(F.col("quarantined") & ~F.col("failed_http")).alias("unknown_quarantined_requests"),
     )
+    name = "historical_quarantined_requests"
+    if historical is None:
+        return totals.withColumn(name, F.lit(0).cast("long"))
+    aside = historical.select(*by, key).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    joined = totals.join(aside, list(by), "full") if by else totals.crossJoin(aside)
+    return joined.fillna(0, [c for c in joined.columns if c not in by])
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], buckets: int = 1024) -> DataFrame:
@@ -268,8 +291,3 @@ def case_status(steps: DataFrame, facts: DataFrame, cases: DataFrame) -> DataFra
     return j.select(
         "case_id", F.when(F.coalesce(blocking, false), "DEAD_END").when(ordered & closed, "CONFIRMED").otherwise("EXPLORING").alias("status"),
         F.coalesce("eff_s", F.lit("")).alias("sanitizer_effect"), F.coalesce("eff_g", F.lit("")).alias("guard_effect"))
-
-
-def lane_pages(tasks: DataFrame, lanes: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """First ``k`` tasks of every lane."""
-    return top_k(tasks, lanes, order, k, rank="turn")

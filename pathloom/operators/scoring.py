@@ -230,10 +230,6 @@ def path_matches(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
     return by_id.unionByName(placed).groupBy("case_id", "path_id").agg(F.max("level").alias("level"))
 
 
-def points_in_methods(points: DataFrame, methods: DataFrame) -> DataFrame:
-    return points_in_spans(points, methods, ["file"])
-
-
 def choose_target(hints: DataFrame, callables: DataFrame, calls: DataFrame) -> DataFrame:
     """Per hint the best callable with parameters and an argument-bearing call, and its first such call.
 

@@ -76,11 +76,3 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__pin")
     return df.select("*", once).select(*kept, *[F.col("__pin")[n].alias(n) for n in columns])
-
-
-SMALL_BYTES = 64 << 20
-
-
-def maybe_broadcast(df: DataFrame, rows_bound: int, row_bytes: int = 256) -> DataFrame:
-    """Broadcast hint only when a proven row bound keeps the side small; else leave the choice to AQE."""
-    return F.broadcast(df) if rows_bound * row_bytes <= SMALL_BYTES else df

@@ -82,6 +82,16 @@ def canonical_order(entities: DataFrame) -> DataFrame:
     return entities.orderBy(*canonical_keys())
 
 
+def canonical_positions(entities: DataFrame) -> DataFrame:
+    """Every entity with its place ``pos`` in the canonical order: places within a sorted range, plus the ranges before."""
+    keys = canonical_keys()
+    ranged = entities.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id())
+    held = cut_lineage(ranged.withColumn("__in", F.row_number().over(W.partitionBy("__range").orderBy(*keys))))
+    sizes = held.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__range", (F.sum("n").over(W.orderBy("__range")) - F.col("n")).alias("__before"))
+    return held.join(before, "__range").withColumn("pos", F.col("__before") + F.col("__in")).drop("__range", "__in", "__before")
+
+
 def index_summary(entities: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Counts by entity kind, confidence and diagnostic severity, as one long table."""
     group = lambda df, col: df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("count")).select(F.lit(col).alias("dimension"), "value", "count")
@@ -328,50 +338,56 @@ def script_references(pages: DataFrame, html: str = "html") -> DataFrame:
         "page_id", "n", "first", (F.col("first") + _count(F.col("tag"), "\n")).alias("last"), F.size("s").alias("n_src"), F.when(F.size("s") == 1, F.col("s")[0]).alias("src"))
 
 
-MAPPER = "path string, namespace string, tag string, id string, first int, last int, ref string, ref_line int"
+# Markup of an XML text: comments, character data, instructions, declarations, and tags as (closing, name, attributes, empty).
+MARKUP = (
+    r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z][^\[>]*(?:\[.*?\]\s*)?>"
+    r"|<(/?)([A-Za-z_:][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(/?)>")
+
+
+def _attribute(name: str) -> Column:
+    """Value of an attribute of a tag's ``attrs`` text, NULL without it."""
+    quoted = rf"(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    value = F.concat(F.regexp_extract("attrs", quoted, 1), F.regexp_extract("attrs", quoted, 2))
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(char))
+    return F.when(F.col("attrs").rlike(quoted), value)
 
 
 def mapper_entries(files: DataFrame) -> DataFrame:
-    """Top-level declarations of mapper XML with their line spans, one row per reference (NULL without one)."""
-    from xml.parsers import expat
-
-    def one(path: str, text: str) -> list[tuple]:
-        parser, stack, entries, space = expat.ParserCreate(), [], [], [None]
-
-        def start(tag: str, attrs: dict) -> None:
-            line = parser.CurrentLineNumber
-            if not stack and tag == "mapper":
-                space[0] = attrs.get("namespace")
-            if len(stack) == 1:
-                maps = [v.strip() for v in attrs.get("resultMap", "").split(",") if v.strip()]
-                entries.append([tag, attrs.get("id"), line, line, [(m, line) for m in maps]])
-            elif len(stack) > 1 and tag == "include" and attrs.get("refid"):
-                entries[-1][4].append((attrs["refid"], line))
-            stack.append(tag)
-
-        def end(_: str) -> None:
-            stack.pop()
-            if len(stack) == 1:
-                entries[-1][3] = parser.CurrentLineNumber
-
-        def refuse(*_: object) -> None:
-            raise ValueError("entity declarations are not supported")
-
-        parser.StartElementHandler, parser.EndElementHandler, parser.EntityDeclHandler = start, end, refuse
-        try:
-            parser.Parse(text, True)
-        except (expat.ExpatError, ValueError):
-            return []
-        return [(path, space[0], tag, ident, a, b, ref, line) for tag, ident, a, b, refs in entries for ref, line in (refs or [(None, None)])]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in MAPPER.split(", ")]
-        for batch in batches:
-            rows = [r for p, s in zip(batch["path"], batch["text"]) for r in one(p, s)]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({"first": "Int32", "last": "Int32", "ref_line": "Int32"})
+    """Top-level declarations of mapper XML with their line spans, one row per reference (NULL without one).
 
-    return files.select("path", "text").mapInPandas(scan, MAPPER)
+    Texts are cut into markup in the JVM; depths, lines and entry numbers are running sums over a file's tags. Files
+    whose tags do not nest, or that declare entities, give nothing.
+    """
+    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(MARKUP), F.lit(0)).alias("tag"), F.split("text", MARKUP, -1).alias("gap"))
+    cut = files.select("path", F.posexplode(zipped).alias("pos", "t")).select("path", "pos", "t.tag", "t.gap")
+    so_far = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    part = lambda i: F.regexp_extract("tag", MARKUP, i)
+    closing, empty = part(1) == "/", part(4) == "/"
+    tags = cut.withColumn("before", _count(F.col("gap"), "\n") + F.coalesce(F.lag(_count(F.col("tag"), "\n")).over(W.partitionBy("path").orderBy("pos")), F.lit(0)))
+    tags = tags.select(
+        "path", "pos", (F.sum("before").over(so_far) + 1).cast("int").alias("line"), part(2).alias("name"), part(3).alias("attrs"), closing.alias("closing"), empty.alias("empty"),
+        (F.col("gap").contains("<") | F.coalesce(F.col("tag").contains("<!ENTITY"), F.lit(False))).alias("bad"))
+    net = F.when((F.col("name") == "") | F.col("name").isNull() | F.col("empty"), 0).when(F.col("closing"), -1).otherwise(1)
+    tags = tags.withColumn("after", F.sum(net).over(so_far)).withColumn("level", F.when(F.col("closing"), F.col("after")).otherwise(F.col("after") - net))
+    real = F.coalesce(F.col("name") != "", F.lit(False))
+    partner = F.lag("name").over(W.partitionBy("path", "level", real & ~F.col("empty")).orderBy("pos"))
+    tags = tags.withColumn("torn", F.col("bad") | (F.col("after") < 0) | (real & F.col("closing") & ~F.col("name").eqNullSafe(partner)))
+    opens = real & ~F.col("closing") & (F.col("level") == 1)
+    tags = cut_lineage(tags.withColumn("entry", F.sum(opens.cast("int")).over(so_far)))
+    root = real & ~F.col("closing") & (F.col("level") == 0)
+    sound = tags.groupBy("path").agg(
+        F.bool_or("torn").alias("torn"), F.max_by("after", "pos").alias("left"), F.sum(root.cast("int")).alias("roots"),
+        F.max(F.when(root & (F.col("name") == "mapper"), _attribute("namespace"))).alias("namespace"))
+    sound = sound.filter((F.col("left") == 0) & (F.col("roots") == 1) & ~F.col("torn")).select("path", "namespace")
+    inside = tags.filter((F.col("entry") > 0) & real & (F.col("level") >= 1))
+    heads = inside.filter(opens).select("path", "entry", F.col("name").alias("tag"), _attribute("id").alias("id"), F.col("line").alias("first"))
+    ends = inside.filter("level = 1").groupBy("path", "entry").agg(F.max("line").alias("last"))
+    maps = F.filter(F.transform(F.split(_attribute("resultMap"), ","), lambda v: F.trim(v)), lambda v: v != "")
+    refs = inside.filter(opens).select("path", "entry", F.explode(maps).alias("ref"), F.col("line").alias("ref_line")).unionByName(
+        inside.filter((F.col("level") > 1) & (F.col("name") == "include") & ~F.col("closing")).select("path", "entry", _attribute("refid").alias("ref"), F.col("line").alias("ref_line")).filter("ref <> ''"))
+    return heads.join(ends, ["path", "entry"]).join(sound, "path").join(refs, ["path", "entry"], "left").select(
+        "path", "namespace", "tag", "id", "first", "last", "ref", "ref_line")
 
 
 # What a documented output contract says, in a doc block and in its return tag.
@@ -557,12 +573,12 @@ def stratified(entities: DataFrame, plan: dict[str, int]) -> tuple[DataFrame, Da
 def retrieve_cards(queries: DataFrame, cards: DataFrame, k: int = 2) -> DataFrame:
     """Top cards per query by shared terms: own category before general, then name.
 
-    ``queries(query_id, category, text)``, ``cards(card, category, terms)`` with category NULL for general cards. Cards
-    are a small rule table; the join key is the category, general cards are joined once per query.
+    ``queries(query_id, category, text)``, ``cards(card, category, terms)`` with category NULL for general cards. The
+    join key is the category, general cards are joined once per query; how the cards travel is left to their size.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
     q = queries.select("query_id", "category", words.alias("words"))
-    c = F.broadcast(cards.select("card", F.coalesce("category", F.lit("*")).alias("key"), F.split(F.lower("terms"), r"\s+").alias("have")))
+    c = cards.select("card", F.coalesce("category", F.lit("*")).alias("key"), F.split(F.lower("terms"), r"\s+").alias("have"))
     both = q.withColumn("key", F.explode(F.array(F.col("category"), F.lit("*")))).join(c, "key")
     scored = both.select("query_id", "card", F.size(F.array_intersect("words", "have")).alias("overlap"), (F.col("key") == "*").alias("general"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("overlap").desc(), "general", "card"))

@@ -111,8 +111,8 @@ def p04(t):
     return E.boundary_candidates(params, notes)
 
 
-RECEIVER_NAMES = [f"com.acme.My{s}#{m}" for suffixes, methods, *_ in R.RECEIVERS for s in suffixes for m in methods.split()[:2]] + ["com.acme.Shop#save", "com.acme.UserStore#close"]
-RECEIVER_ROWS = [(f"com.acme.My{s}#{m}", reason, category, ev, conf) for suffixes, methods, reason, category, ev, conf in R.RECEIVERS for s in suffixes for m in methods.split()]
+RECEIVER_NAMES = [f"com.acme.My{s}#{m}" for suffixes, methods, *_ in R.RECEIVERS for s in suffixes for m in methods[:2]] + ["com.acme.Shop#save", "com.acme.UserStore#close"]
+RECEIVER_ROWS = [(f"com.acme.My{s}#{m}", reason, category, ev, conf) for suffixes, methods, reason, category, ev, conf in R.RECEIVERS for s in suffixes for m in methods]
 
 
 @query("p05_receiver_effects", f"""WITH r(k, reason, category, evidence_kind, confidence) AS (VALUES {_values(RECEIVER_ROWS)}), c AS (SELECT {SITE} AS call_id, l_linenumber % 3 AS n, {_sql_list(RECEIVER_NAMES)}[(l_partkey + l_suppkey) % {len(RECEIVER_NAMES)} + 1] AS k FROM lineitem)
@@ -215,7 +215,13 @@ def leads(t):
     return best.select(F.col("type_name").alias("project"), "method_id", "category", "file", "score")
 
 
-@query("e05_diverse_leads", None)
+@query("e05_diverse_leads", oracle(BEST.replace("WITH cats", "WITH RECURSIVE cats") + """, c AS (SELECT type_name AS project, b.method_id, b.category, b.file, b.score FROM best b JOIN scored_methods USING (method_id)),
+    g AS (SELECT DISTINCT project, 0 AS n, [method_id][1:0] AS ids, CAST([] AS VARCHAR[]) AS cats, CAST([] AS VARCHAR[]) AS files, CAST(NULL AS BIGINT) AS method_id, CAST(NULL AS VARCHAR) AS category FROM c
+        UNION ALL SELECT project, n + 1, list_append(ids, m), list_append(cats, cat), list_append(files, f), m, cat FROM (
+            SELECT g.project, n, ids, cats, files, c.method_id AS m, c.category AS cat, c.file AS f,
+                row_number() OVER (PARTITION BY g.project ORDER BY c.score - 7 * len([x for x in cats if x = c.category]) - 2 * len([x for x in files if x = c.file]) DESC, c.file, c.method_id) AS r
+            FROM g JOIN c ON c.project = g.project AND NOT list_contains(ids, c.method_id) WHERE n < 48) WHERE r = 1)
+    SELECT project, method_id, category, n AS position FROM g WHERE n > 0""", *SB))
 def e05(t):
     return K.diverse_leads(leads(t))
 
@@ -232,7 +238,7 @@ NAMED = ["getQuery", "openFile", "execIt", "println", "evalAll", "toText", "copy
 PATTERNED = ["path to file and file", "response html response", "plain words", "script eval expression", "shell command exec"]
 
 
-@query("d32_boundary_scores", f"""WITH cn AS (SELECT DISTINCT l_partkey AS method_id, {_sql_list(NAMED)}[l_suppkey % {len(NAMED)} + 1] AS name FROM lineitem WHERE l_quantity > 30),
+@query("d32_boundary_scores", f"""WITH cn AS (SELECT DISTINCT l_partkey AS method_id, {_sql_list(NAMED)}[l_suppkey % {len(NAMED)} + 1] AS name FROM lineitem),
     k(name, category) AS (VALUES ('openFile', 'CWE-22'), ('copyTo', 'CWE-22'), ('execIt', 'CWE-78'), ('spawnIt', 'CWE-78'), ('println', 'CWE-79'), ('evalAll', 'CWE-94')),
     api AS (SELECT method_id, category, count(*) AS n FROM cn JOIN k USING (name) GROUP BY 1, 2), en AS (SELECT DISTINCT method_id FROM cn WHERE name = 'getQuery'),
     te(i, category, n) AS (VALUES (0, 'CWE-22', 2), (1, 'CWE-79', 2), (3, 'CWE-78', 1), (3, 'CWE-94', 3), (4, 'CWE-78', 3)), cats(category) AS (VALUES ('CWE-22'), ('CWE-78'), ('CWE-79'), ('CWE-94'))
@@ -240,7 +246,7 @@ PATTERNED = ["path to file and file", "response html response", "plain words", "
     FROM part CROSS JOIN cats LEFT JOIN api ON api.method_id = p_partkey AND api.category = cats.category LEFT JOIN en ON en.method_id = p_partkey LEFT JOIN te ON te.i = p_partkey % 5 AND te.category = cats.category""")
 def d32(t):
     methods = t.part.select(F.col("p_partkey").alias("method_id"), _pick(PATTERNED, F.col("p_partkey")).alias("text"), (F.col("p_size") > 30).alias("alerted"))
-    named = t.lineitem.filter("l_quantity > 30").select(F.col("l_partkey").alias("method_id"), _pick(NAMED, F.col("l_suppkey")).alias("name"))
+    named = t.lineitem.select(F.col("l_partkey").alias("method_id"), _pick(NAMED, F.col("l_suppkey")).alias("name"))
     return E.boundary_scores(methods, named)
 
 

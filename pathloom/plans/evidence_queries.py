@@ -85,7 +85,7 @@ def gated(t):
     """A proposal per order: its first two lines' parts are its ends, lines with flag N its citations; parts are entities."""
     entities = role_entities(t).join(t.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("file"), F.col("p_size").alias("start"), (F.col("p_size") + 1).alias("end"), F.col("p_name").alias("enclosing")), "entity_id")
     files = t.part.select(F.col("p_brand").alias("file"), F.lit(50).alias("n_lines")).distinct()
-    refs = role_refs(t).join(t.lineitem.filter("l_returnflag = 'N' AND l_linenumber >= 5").select(site().alias("ref_id")), "ref_id", "left_semi").withColumn("role", F.lit("ENTITY")).withColumn("index", F.lit(None).cast("int"))
+    refs = role_refs(t).join(t.lineitem.filter("l_returnflag = 'N'").select(site().alias("ref_id")), "ref_id", "left_semi").withColumn("role", F.lit("ENTITY")).withColumn("index", F.lit(None).cast("int"))
     flow = t.lineitem.filter("l_returnflag = 'A'")
     part = F.when(F.col("l_linenumber") >= 6, F.col("l_partkey")).otherwise(F.col("l_partkey") + 0)
     evidence = flow.select(site().alias("evidence_id"), part.alias("entity_id"), (F.col("l_quantity") <= 40).alias("resolved"), (F.col("l_linestatus") == "O").alias("weak"), (F.col("l_linenumber") == 1).alias("proven"))
@@ -101,7 +101,7 @@ def gated(t):
 
 
 GATE = SHAPE[:-1].replace("WITH p AS", ROLE_SQL[:-1] + ", p AS") + f""",
-    rf AS (SELECT l_orderkey AS pid, CASE WHEN l_quantity = 50 THEN -l_partkey - 1 ELSE l_partkey END AS id FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber >= 5),
+    rf AS (SELECT l_orderkey AS pid, CASE WHEN l_quantity = 50 THEN -l_partkey - 1 ELSE l_partkey END AS id FROM lineitem WHERE l_returnflag = 'N'),
     en AS (SELECT pid, bool_or(p_partkey IS NULL) AS noent, bool_or(p_size + 1 > 50) AS badloc, min(id) AS own FROM rf LEFT JOIN part ON p_partkey = id GROUP BY 1),
     ev AS (SELECT l_orderkey AS pid, {SITE} AS eid, CASE WHEN l_linenumber <= 5 AND own IS NOT NULL THEN own ELSE l_partkey END AS ent, l_quantity <= 40 AS res, l_linestatus = 'O' AS weak, l_linenumber = 1 AS proven FROM lineitem LEFT JOIN en ON en.pid = l_orderkey WHERE l_returnflag = 'A'),
     nr AS (SELECT ev.pid, eid, any_value(res) AS res, any_value(weak) AS weak, any_value(proven) AS proven, bool_or(coalesce(ev.ent = rf.id OR (ep.p_brand = ap.p_brand AND ep.p_name = ap.p_name), false)) AS loc

@@ -23,7 +23,7 @@ def reports(t):
         F.when(F.col("l_quantity") == 50, "https://ext.example/P").when(F.col("l_discount") >= 0.095, "file:///repo/src/part/P").otherwise("part/P"),
         F.col("l_partkey").cast("string"), F.lit(".java"))
     base = F.when((F.col("l_quantity") != 50) & (F.col("l_discount") < 0.095), "SRC")
-    place = F.struct(F.struct(uri.alias("uri"), base.alias("uriBaseId")).alias("artifactLocation"), F.struct(F.col("l_linenumber").alias("startLine")).alias("region"))
+    place = F.struct(F.struct(uri.alias("uri"), base.alias("uriBaseId")).alias("artifactLocation"), F.struct(F.col("l_linenumber").alias("startLine"), (F.col("l_linenumber") + 2).alias("startColumn")).alias("region"))
     step = F.struct(F.col("l_linenumber").alias("line"), uri.alias("uri"), F.struct(F.struct(place.alias("physicalLocation")).alias("location")).alias("step"))
     flows = t.lineitem.groupBy("l_orderkey", "l_returnflag", "l_suppkey").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     thread = F.struct(F.transform("steps", lambda s: s["step"]).alias("locations"))
@@ -37,7 +37,7 @@ def reports(t):
     docs = results.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(result)).alias("results"))
     rule = lambda name, *tags: F.struct(F.lit(name).alias("id"), F.struct(F.array(*map(F.lit, tags)).alias("tags")).alias("properties"))
     rules = F.array(rule("R", "external/cwe/cwe-079", "security"), rule("A", "external/cwe/cwe-022", "maintainability"))
-    bases = F.create_map(F.lit("SRC"), F.struct(F.lit("src/").alias("uri"), F.lit("ROOT").alias("uriBaseId")), F.lit("ROOT"), F.struct(F.lit("file:///repo/").alias("uri"), F.lit(None).cast("string").alias("uriBaseId")))
+    bases = F.create_map(F.lit("SRC"), F.struct(F.lit("src/main").alias("uri"), F.lit("ROOT").alias("uriBaseId")), F.lit("ROOT"), F.struct(F.lit("file:///repo/").alias("uri"), F.lit(None).cast("string").alias("uriBaseId")))
     run = F.struct(F.struct(F.struct(F.lit("scanner").alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), bases.alias("originalUriBaseIds"),
                    F.transform("results", lambda r: r["result"]).alias("results"))
     return docs.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("project_id"), F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("text"))
@@ -68,11 +68,15 @@ def canonical(t):
 
 
 @query("a08_canonical_sarif", STEPS + """SELECT project_id, ri AS result_index, rule_id, CASE rule_id WHEN 'R' THEN 'CWE-79' WHEN 'A' THEN 'CWE-22,CWE-73' ELSE '' END AS cwes,
-    CASE rule_id WHEN 'R' THEN 'CWE-79' ELSE '' END AS cwe, count(DISTINCT fi) AS n_paths, string_agg(concat(rel, '#', line), '>' ORDER BY fi, line, file) AS steps
+    CASE rule_id WHEN 'R' THEN 'CWE-79' ELSE '' END AS cwe, count(DISTINCT fi) AS n_paths, string_agg(concat(rel, '#', line, ':', line + 2, '-', line), '>' ORDER BY fi, line, file) AS steps,
+        arg_min(concat(rel, '#', line), (line, file)) FILTER (fi = 0) AS affected
     FROM steps GROUP BY 1, 2, 3 HAVING max(l_quantity) < 50""")
 def a08(t):
-    steps = F.array_join(F.transform(F.flatten("paths"), lambda p: F.concat(p["file_path"], F.lit("#"), p["line_number"].cast("string"))), ">")
-    return canonical(t)[0].select("project_id", "result_index", "rule_id", F.array_join("cwes", ",").alias("cwes"), "cwe", F.size("paths").alias("n_paths"), steps.alias("steps"))
+    place = lambda p: F.format_string("%s#%d:%d-%d", p["file_path"], p["line_number"], p["column"], p["end_line"])
+    steps = F.array_join(F.transform(F.flatten("paths"), place), ">")
+    affected = F.array_join(F.transform("affected_files", lambda f: F.concat(f["file_path"], F.lit("#"), F.array_join(f["line_numbers"], ","))), ">")
+    return canonical(t)[0].select(
+        "project_id", "result_index", "rule_id", F.array_join("cwes", ",").alias("cwes"), "cwe", F.size("paths").alias("n_paths"), steps.alias("steps"), affected.alias("affected"))
 
 
 @query("a08_refused_findings", STEPS + "SELECT project_id, ri AS result_index, 'INVALID_PATH' AS problem FROM steps GROUP BY 1, 2 HAVING max(l_quantity) = 50")
@@ -137,13 +141,15 @@ def a10_refused(t):
 
 
 def merged(t):
-    """Orders fold onto 500 ids so that different findings share content keys."""
+    """The findings of two scanners that agree on all orders, so that whole flows and places meet under one content key."""
     good, _ = S.canonical_findings(raw_findings(t), "/repo")
-    short = good.withColumn("flows", F.transform("flows", lambda p: F.slice(p, 1, 1))).withColumn("affected", F.slice("affected", 1, 1))
-    return S.merge_findings(short, F.col("category"), "seq")
+    second = good.withColumn("tool", F.lit("second")).withColumn("seq", F.col("seq") + SECOND)
+    return S.merge_findings(good.unionByName(second), F.col("category"), "seq")
 
 
-MERGED = RAW + """, g AS (SELECT *, concat(CASE WHEN category = 'N' THEN 'L|' ELSE 'P|' END, category, '|', split_part(trail, '>', 1)) AS key FROM f WHERE NOT bad)
+SECOND = 10**15
+MERGED = RAW + f""", g AS (SELECT *, concat(CASE WHEN category = 'N' THEN 'L|' ELSE 'P|' END, category, '|', CASE WHEN category = 'N' THEN array_to_string(places, '|') ELSE trail END) AS key
+        FROM (SELECT *, concat('tool-', category) AS tool FROM f UNION ALL SELECT * REPLACE (seq + {SECOND} AS seq), 'second' FROM f) WHERE NOT bad)
 """
 
 
@@ -152,7 +158,7 @@ def d34(t):
     return merged(t)[0].select("fingerprint", "seq", "claims")
 
 
-@query("d34_origins", MERGED + "SELECT sha256(key) AS fingerprint, concat('tool-', category) AS tool, seq AS origin FROM g WHERE l_suppkey % 5 <> 0")
+@query("d34_origins", MERGED + "SELECT sha256(key) AS fingerprint, tool, seq AS origin FROM g WHERE l_suppkey % 5 <> 0")
 def d34_origins(t):
     return merged(t)[1]
 
@@ -215,16 +221,16 @@ def i13(t):
     return S.flow_hints(owned.select("path_id", "pos", "owner", "line"))
 
 
-@query("c11_innermost_owner", """WITH d AS (SELECT p_partkey % 100 AS k, p_partkey AS id, 1 + p_size AS s, 1 + p_size + p_partkey % 40 AS e FROM part),
-    pt AS (SELECT DISTINCT l_suppkey % 100 AS k, CAST(l_quantity AS INT) AS line FROM lineitem),
+@query("c11_innermost_owner", """WITH d AS (SELECT p_brand AS k, p_partkey AS id, 1 + p_size AS s, 1 + p_size + p_partkey % 40 AS e FROM part),
+    pt AS (SELECT DISTINCT p_brand AS k, CAST(l_quantity AS INT) AS line FROM lineitem JOIN part ON p_partkey = l_suppkey),
     h AS (SELECT pt.k, line, id, s, e FROM pt JOIN d ON d.k = pt.k AND line BETWEEN s AND e),
     x AS (SELECT a.k, a.line, a.id FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.k = a.k AND b.line = a.line AND a.s <= b.s AND b.e <= a.e AND (a.s, a.e) <> (b.s, b.e)))
     SELECT pt.k AS file, pt.line, count(x.id) AS n_owners, CASE WHEN count(x.id) = 1 THEN min(x.id) END AS owner,
         CASE count(x.id) WHEN 0 THEN 'unmapped' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS mapping FROM pt LEFT JOIN x ON x.k = pt.k AND x.line = pt.line GROUP BY 1, 2""")
 def c11(t):
-    decls = t.part.select((F.col("p_partkey") % 100).alias("file"), F.col("p_partkey").alias("id"), (1 + F.col("p_size")).alias("start"), (1 + F.col("p_size") + F.col("p_partkey") % 40).alias("end"))
-    points = t.lineitem.select((F.col("l_suppkey") % 100).alias("file"), F.col("l_quantity").cast("int").alias("line")).distinct()
-    return I.owners(points, decls, "file", "line", "id")
+    decls = t.part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("id"), (1 + F.col("p_size")).alias("start"), (1 + F.col("p_size") + F.col("p_partkey") % 40).alias("end"))
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_suppkey"))
+    return I.owners(lines.select(F.col("p_brand").alias("file"), F.col("l_quantity").cast("int").alias("line")).distinct(), decls, "file", "line", "id")
 
 
 @query("c12_map_alerts", f"""WITH {DECLS}, m AS (SELECT l_orderkey, CASE WHEN l_linenumber BETWEEN s AND e THEN 'unique' ELSE 'unmapped' END AS mapping FROM lineitem JOIN decls ON p_partkey = l_partkey)

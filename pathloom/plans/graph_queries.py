@@ -10,7 +10,6 @@ from pathloom.operators.attribution import share
 from pathloom.registry import query
 from pathloom.session import cut_lineage
 
-NODE = "method AS node"
 
 
 def _nodes(df, name="method"):
@@ -170,9 +169,6 @@ def c07(t):
     return connected_methods(t).select("input", "effect")
 
 
-ROOTS = """WITH RECURSIVE roots AS (SELECT method AS node FROM methods WHERE status = 'P')"""
-
-
 @query("i02_hop_distance", oracle("""WITH RECURSIVE r AS (SELECT method AS node, 0 AS depth FROM methods WHERE status = 'P'
     UNION SELECT dst, depth + 1 FROM r JOIN call_edges ON src = node WHERE depth < 12)
     SELECT node, min(depth) AS depth FROM r GROUP BY 1""", "methods", "call_edges"))
@@ -335,11 +331,11 @@ def c16(t):
     return X.bounded_edges(edges, "owner", "site_id", 8, 10)
 
 
-OVERRIDES = "overrides AS (SELECT part AS base, method AS impl, bool_and(line < 3) AS abstract FROM sites WHERE flag = 'A' AND status = 'O' AND line <= 5 AND part <> method GROUP BY 1, 2)"
+OVERRIDES = "overrides AS (SELECT part AS base, method AS impl, bool_and(line < 3) AS abstract FROM sites WHERE flag = 'A' AND status = 'O' AND part <> method GROUP BY 1, 2)"
 
 
 def _overrides(t):
-    return t.sites.filter("flag = 'A' AND status = 'O' AND line <= 5 AND part <> method").groupBy(F.col("part").alias("base"), F.col("method").alias("impl")).agg(
+    return t.sites.filter("flag = 'A' AND status = 'O' AND part <> method").groupBy(F.col("part").alias("base"), F.col("method").alias("impl")).agg(
         F.bool_and(F.col("line") < 3).alias("abstract"))
 
 
@@ -452,13 +448,13 @@ def c36(t):
 
 
 @query("c45_contracts", oracle("""WITH m AS (SELECT method, package AS type_name, project AS name, status AS signature FROM methods),
-    imp AS (SELECT DISTINCT o_custkey AS type_name, l_suppkey AS interface FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' AND l_linenumber = 1),
+    imp AS (SELECT DISTINCT o_custkey AS type_name, l_suppkey AS interface FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'),
     h AS (SELECT m.method, b.method AS contract FROM m JOIN imp USING (type_name) JOIN m b ON b.type_name = imp.interface AND b.name = m.name AND b.signature = m.signature AND b.method <> m.method),
     s AS (SELECT method, min(contract) AS contract FROM h GROUP BY 1 HAVING count(*) = 1)
     SELECT s.method, contract, min(line) AS doc_start, max(line) AS doc_end FROM s LEFT JOIN sites ON sites.method = contract GROUP BY 1, 2""", "methods", "sites"))
 def c45(t):
     m = t.methods.select("method", F.col("package").alias("type_name"), F.col("project").alias("name"), F.col("status").alias("signature"))
-    imp = t.orders.join(t.lineitem.filter("l_returnflag = 'A' AND l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+    imp = t.orders.join(t.lineitem.filter("l_returnflag = 'A'"), F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_custkey").alias("type_name"), F.col("l_suppkey").alias("interface")).distinct()
     docs = t.sites.groupBy("method").agg(F.min("line").alias("doc_start"), F.max("line").alias("doc_end"))
     return X.contracts(m, imp, docs)

@@ -16,14 +16,19 @@ RUNS = """WITH starts AS (SELECT conv_id, request_key, turn AS seq, reserved_tok
 """
 
 
-def settled(t):
+def events(t):
+    """Starts, responses and outcomes of the journal."""
     j = t.journal
     key = lambda step: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") + step).cast("string")).alias("request_key")
     starts = j.filter("role = 'user'").select("conv_id", "request_key", F.col("turn").alias("seq"), "reserved_tokens")
     responses = j.filter("role = 'assistant'").select(key(-1), F.col("charged_tokens").alias("total_tokens"))
     outcomes = j.filter("role = 'system'").select(key(1), F.lit("FAILED_HTTP").alias("outcome")).unionByName(
         j.filter("role = 'user' AND turn > 0").select(key(-1), F.lit("UNKNOWN_QUARANTINED").alias("outcome")))
-    return J.settle(starts, responses, outcomes)
+    return starts, responses, outcomes
+
+
+def settled(t):
+    return J.settle(*events(t))
 
 
 @query("k02_settlement_batch", oracle(RUNS + "SELECT request_key, settled, reported_tokens, open_reserve, outcome FROM settled", "journal"))
@@ -35,9 +40,19 @@ def k02(t):
     CAST(sum(open_reserve) AS BIGINT) AS unsettled_reserved_tokens, count(*) FILTER (NOT settled) AS unsettled_requests,
     count(*) FILTER (NOT settled AND outcome IS NULL) AS active_unsettled_requests, count(*) FILTER (NOT settled AND outcome IS NOT NULL) AS quarantined_requests,
     count(*) FILTER (NOT settled AND outcome = 'FAILED_HTTP') AS failed_http_requests,
-    count(*) FILTER (NOT settled AND outcome = 'UNKNOWN_QUARANTINED') AS unknown_quarantined_requests FROM settled GROUP BY 1""", "journal"))
+    count(*) FILTER (NOT settled AND outcome = 'UNKNOWN_QUARANTINED') AS unknown_quarantined_requests, coalesce(any_value(h), 0) AS historical_quarantined_requests
+    FROM settled LEFT JOIN (SELECT conv_id, count(DISTINCT request_key) AS h FROM journal WHERE role = 'system' GROUP BY 1) USING (conv_id) GROUP BY 1
+    UNION ALL SELECT conv_id, 0, 0, 0, 0, 0, 0, 0, 0, count(DISTINCT request_key) FROM journal WHERE role = 'system' AND conv_id NOT IN (SELECT conv_id FROM starts) GROUP BY 1""", "journal"))
 def d29(t):
-    return J.accounting(settled(t), ["conv_id"])
+    return J.accounting(settled(t), ["conv_id"], t.journal.filter("role = 'system'").select("conv_id", "request_key"))
+
+
+@query("d29_faults", oracle(RUNS + """SELECT request_key, 'CONFLICTING_OUTCOMES' AS fault FROM outc GROUP BY 1 HAVING min(outcome) <> max(outcome)
+    UNION ALL SELECT DISTINCT request_key, 'OUTCOME_WITHOUT_START' FROM outc WHERE request_key NOT IN (SELECT request_key FROM starts)
+    UNION ALL SELECT request_key, 'DUPLICATE_START' FROM starts GROUP BY 1 HAVING count(*) > 1
+    UNION ALL SELECT concat(conv_id, '-', turn - 1), 'DUPLICATE_RESPONSE' FROM journal WHERE role = 'assistant' GROUP BY 1 HAVING count(*) > 1""", "journal"))
+def d29_faults(t):
+    return J.faults(*events(t))
 
 
 CALLS = """WITH tc AS (SELECT event_type AS tool, value AS seconds, value >= 200 AS truncated, event_id,

@@ -16,7 +16,7 @@ def _part_file(c="l_partkey"):
 
 
 def targets(t):
-    rows = t.lineitem.filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 40")
+    rows = t.lineitem.filter("l_returnflag = 'R' AND l_linestatus = 'F'")
     return rows.select(F.col("l_suppkey").alias("project_id"), F.col("l_partkey").alias("method_id")).distinct()
 
 
@@ -27,7 +27,7 @@ def owned(t, where="l_returnflag = 'A'"):
     return I.owners(points, part_methods(t), "file", "line", "method_id")
 
 
-OWNED = """WITH tg AS (SELECT DISTINCT l_suppkey AS project_id, l_partkey AS method_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 40),
+OWNED = """WITH tg AS (SELECT DISTINCT l_suppkey AS project_id, l_partkey AS method_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
     st AS (SELECT l_suppkey AS project_id, l_orderkey AS path_id, l_partkey, l_linenumber AS line, l_linestatus, l_linenumber BETWEEN 1 + p_size % 3 AND 3 + p_size % 3 AS inm
         FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A'),
     hit AS (SELECT s.*, inm AND tg.method_id IS NOT NULL AS h FROM st s LEFT JOIN tg ON tg.project_id = s.project_id AND tg.method_id = s.l_partkey),
@@ -218,17 +218,17 @@ def g06(t):
 
 
 @query("g07_missing_components", """WITH h AS (SELECT user_id AS case_id, bool_or(event_type = 'signup') AS i, bool_or(event_type IN ('view', 'click')) AS tr, bool_or(event_type = 'purchase') AS e FROM events
-        WHERE value > 60 AND event_type <> 'error' GROUP BY 1)
+        WHERE event_type <> 'error' GROUP BY 1)
     SELECT case_id, concat_ws(',', CASE WHEN NOT i THEN 'EXTERNAL_INPUT' END, CASE WHEN NOT tr THEN 'TRANSFER' END, CASE WHEN NOT e THEN 'SECURITY_EFFECT' END) AS missing FROM h""")
 def g07(t):
     kind = F.when(F.col("event_type") == "signup", "EXTERNAL_INPUT").when(F.col("event_type") == "purchase", "SECURITY_EFFECT").when(F.col("event_type") == "view", "WRAPPER_FLOW").otherwise("LIBRARY_FLOW")
-    rows = t.events.filter("value > 60 AND event_type <> 'error'").select(F.col("user_id").alias("case_id"), kind.alias("proposal_type"))
+    rows = t.events.filter("event_type <> 'error'").select(F.col("user_id").alias("case_id"), kind.alias("proposal_type"))
     return S.missing_components(rows).select("case_id", F.array_join("missing", ",").alias("missing"))
 
 
 RECALL = """WITH q AS (SELECT l_suppkey AS case_id, l_partkey AS owner, sum(l_quantity) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, owner) AS rank FROM q),
-    tg AS (SELECT DISTINCT l_suppkey AS case_id, l_partkey AS owner FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 40),
+    tg AS (SELECT DISTINCT l_suppkey AS case_id, l_partkey AS owner FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
     b AS (SELECT tg.*, rank AS best_rank FROM tg LEFT JOIN r USING (case_id, owner))
 """
 
@@ -263,12 +263,12 @@ def d25(t):
     return S.recovery_summary(rows.select(F.col("user_id").alias("case_id"), (F.col("user_id") % 7).alias("project_id"), "recovered", "causal", "flow_type", "wall_seconds"))
 
 
-@query("c43_path_matches", """WITH a AS (SELECT DISTINCT l_suppkey AS case_id, l_partkey AS part, 1 + p_size % 3 AS s, 3 + p_size % 3 AS e, p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 40),
+@query("c43_path_matches", """WITH a AS (SELECT DISTINCT l_suppkey AS case_id, l_partkey AS part, 1 + p_size % 3 AS s, 3 + p_size % 3 AS e, p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
     n AS (SELECT l_suppkey AS case_id, l_orderkey AS path_id, l_partkey AS part, l_linenumber AS line, concat('m', l_partkey, ':', l_linenumber) AS ent FROM lineitem WHERE l_returnflag = 'A')
     SELECT n.case_id, path_id, max(CASE WHEN ent = concat('m', a.part, ':', 7) THEN 'METHOD' WHEN p_size % 5 = 0 THEN 'FILE' ELSE 'METHOD' END) AS level
     FROM n JOIN a ON a.case_id = n.case_id AND a.part = n.part WHERE ent = concat('m', a.part, ':', 7) OR p_size % 5 = 0 OR (line <= e AND s <= line) GROUP BY 1, 2""")
 def c43(t):
-    rows = t.lineitem.filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 40").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    rows = t.lineitem.filter("l_returnflag = 'R' AND l_linestatus = 'F'").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     whole = F.col("p_size") % 5 == 0
     annotations = rows.select(
         F.col("l_suppkey").alias("case_id"), F.concat(F.lit("m"), F.col("l_partkey").cast("string"), F.lit(":7")).alias("entity_id"), F.concat(F.lit("src/"), _part_file()).alias("file"),

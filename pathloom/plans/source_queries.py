@@ -112,9 +112,9 @@ def a13(t):
         F.count(F.lit(1)).alias("rows"), F.sum("k").alias("keys"), F.bool_and(F.coalesce(F.col("k") < F.col("next"), F.lit(True))).alias("ordered"))
 
 
-@query("a14_manifest", PATHS + "SELECT path, sha256(text) AS sha256 FROM f WHERE lang <> 'fr'")
+@query("a14_manifest", PATHS + "SELECT path, CASE WHEN lang = 'fr' THEN sha256(encode(text) || '\\xC3'::BLOB) ELSE sha256(text) END AS sha256 FROM f")
 def a14(t):
-    return FS.manifest(content(t).join(t.documents.filter("lang <> 'fr'").select("doc_id"), "doc_id", "left_semi"))
+    return FS.manifest(content(t))
 
 
 @query("a14_verify_manifest", PATHS + """SELECT path, 'HASH_MISMATCH' AS problem FROM f WHERE lang = 'fr' UNION ALL SELECT concat('gone/', doc_id), 'MISSING' FROM labels""")
@@ -135,8 +135,3 @@ def a15_counters(t):
     one = t.lineitem.filter("l_returnflag <> 'R'").select(F.col("l_suppkey").alias("node_id"), F.col("l_quantity").cast("long").alias("nodes"))
     two = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("node_id"), F.col("l_quantity").cast("long").alias("nodes"), F.lit(1).alias("edges"))
     return K.combine_counters([one, two], "node_id", ["nodes", "edges"])
-
-
-@query("d42_tree_hash", PATHS + """SELECT source AS tree, count(*) AS files, sha256(string_agg(concat(path, chr(0), sha256(text), chr(10)), '' ORDER BY path)) AS tree_sha256 FROM f WHERE lang <> 'fr' GROUP BY 1""")
-def d42(t):
-    return FS.tree_hash(content(t).join(t.documents.filter("lang <> 'fr'").select("doc_id"), "doc_id", "left_semi"), "source")

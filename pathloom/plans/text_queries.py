@@ -46,19 +46,15 @@ def j02(t):
     return X.search_symbols(entities(t), "Bolt", prefer_declarations=True).select("entity_id", "kind", "file", "start")
 
 
-@query("f01_canonical_order", ENT + "SELECT row_number() OVER (ORDER BY file, start, kind, qualified_name, entity_id) AS pos, entity_id FROM e ORDER BY pos LIMIT 500")
+@query("f01_canonical_order", ENT + "SELECT row_number() OVER (ORDER BY file, start, kind, qualified_name, entity_id) AS pos, entity_id FROM e")
 def f01(t):
-    top = X.canonical_order(entities(t)).limit(500)
-    ranked = top.select("*", F.struct("file", "start", "end", "kind", "qualified_name", "entity_id").alias("k"))
-    from pyspark.sql import Window as W
-
-    return ranked.select(F.row_number().over(W.orderBy("k")).alias("pos"), "entity_id")
+    return X.canonical_positions(entities(t)).select("pos", "entity_id")
 
 
 @query("d30_index_summary", ENT + """SELECT 'kind' AS dimension, kind AS value, count(*) AS count FROM e GROUP BY 2 UNION ALL SELECT 'confidence', confidence, count(*) FROM e GROUP BY 2
-    UNION ALL SELECT 'severity', CASE WHEN n_chars < 200 THEN 'ERROR' ELSE 'WARNING' END, count(*) FROM documents WHERE n_chars < 500 GROUP BY 2""")
+    UNION ALL SELECT 'severity', CASE WHEN n_chars < 200 THEN 'ERROR' WHEN n_chars < 500 THEN 'WARNING' ELSE 'INFO' END, count(*) FROM documents GROUP BY 2""")
 def d30(t):
-    diagnostics = t.documents.filter("n_chars < 500").select(F.when(F.col("n_chars") < 200, "ERROR").otherwise("WARNING").alias("severity"))
+    diagnostics = t.documents.select(F.when(F.col("n_chars") < 200, "ERROR").when(F.col("n_chars") < 500, "WARNING").otherwise("INFO").alias("severity"))
     return X.index_summary(entities(t), diagnostics)
 
 
@@ -266,7 +262,11 @@ def d39(t):
     return X.collapse_tasks(rows).select("first_task", "hypotheses", F.array_join("roles", ",").alias("roles"))
 
 
-@query("f07_retrieve_cards", None)
+@query("f07_retrieve_cards", r"""WITH c(card, key, terms) AS (VALUES ('escape-use', 'en', 'the and of is tion'), ('path-use', 'fr', 'des les que un'), ('loop-use', 'de', 'der die das und'),
+        ('guard-use', '*', 'the des der el'), ('caller-use', '*', 'library public callback')),
+    q AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS words FROM documents),
+    s AS (SELECT doc_id AS query_id, card, CAST(len(list_intersect(words, string_split(terms, ' '))) AS INT) AS overlap, key = '*' AS general FROM q JOIN c ON key = lang OR key = '*')
+    SELECT query_id, card, overlap, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, general, card) AS r FROM s) WHERE r <= 2""")
 def f07(t):
     cards = t.spark.createDataFrame([
         ("escape-use", "en", "the and of is tion"), ("path-use", "fr", "des les que un"), ("loop-use", "de", "der die das und"), ("guard-use", None, "the des der el"), ("caller-use", None, "library public callback")],
@@ -275,14 +275,30 @@ def f07(t):
     return X.retrieve_cards(queries, cards)
 
 
-@query("e06_edge_windows", None)
+@query("e06_edge_windows", """WITH RECURSIVE d AS (SELECT owner, first, last, min(rank) AS rank FROM (
+            SELECT l_suppkey AS owner, l_partkey + l_linenumber AS first, l_partkey + 2 * l_linenumber AS last, l_orderkey AS rank FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) GROUP BY 1, 2, 3),
+    o AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY first, last, rank) AS n FROM d),
+    w AS (SELECT owner, n, n AS g, first AS low, last AS high, rank FROM o WHERE n = 1
+        UNION ALL SELECT o.owner, o.n, CASE WHEN greatest(o.last, high) - low < 40 THEN g ELSE o.n END, CASE WHEN greatest(o.last, high) - low < 40 THEN low ELSE o.first END,
+            CASE WHEN greatest(o.last, high) - low < 40 THEN greatest(high, o.last) ELSE o.last END, CASE WHEN greatest(o.last, high) - low < 40 THEN least(w.rank, o.rank) ELSE o.rank END
+        FROM w JOIN o ON o.owner = w.owner AND o.n = w.n + 1),
+    z AS (SELECT owner, g, arg_max(low, n) AS low, arg_max(high, n) AS high, arg_max(rank, n) AS rank FROM w GROUP BY 1, 2), b AS (SELECT *, greatest(1, low - 15, high - 39) AS begin FROM z)
+    SELECT owner, rank, begin AS start, least(1000000000, begin + 39, greatest(high, low + 24)) AS "end" FROM b""")
 def e06(t):
     sites = t.lineitem.select(F.col("l_suppkey").alias("owner"), (F.col("l_partkey") + F.col("l_linenumber")).alias("first"), (F.col("l_partkey") + 2 * F.col("l_linenumber")).alias("last"), F.col("l_orderkey").alias("rank"))
     owners = t.supplier.select(F.col("s_suppkey").alias("owner"), F.lit(1).alias("start"), F.lit(1000000000).alias("end"))
     return X.edge_windows(sites, owners)
 
 
-@query("i15_assignment_chains", None)
+@query("i15_assignment_chains", """WITH RECURSIVE l AS (SELECT l_orderkey AS method, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, CAST(l_linenumber AS BIGINT) AS line, l_returnflag AS target,
+        [l_linestatus, CASE WHEN l_quantity > 25 THEN 'R' ELSE 'A' END] AS uses FROM lineitem),
+    o AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY pos, line, target) AS n FROM l),
+    st AS (SELECT o_orderkey AS method, 0 AS n, [{'k': CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END, 'v': CAST(0 AS BIGINT)}] AS tracked, CAST(NULL AS BIGINT) AS pos,
+            CAST(NULL AS VARCHAR) AS target, CAST(NULL AS STRUCT(v BIGINT, k VARCHAR)) AS origin FROM orders
+        UNION ALL SELECT method, n, list_concat([e for e in tracked if e.k <> target], CASE WHEN best IS NULL THEN [] ELSE [{'k': target, 'v': line}] END), pos, target, best FROM (
+            SELECT o.method, o.n, o.pos, o.line, o.target, tracked, list_sort([{'v': e.v, 'k': e.k} for e in tracked if list_contains(o.uses, e.k) AND e.v <= o.line], 'DESC')[1] AS best
+            FROM st JOIN o ON o.method = st.method AND o.n = st.n + 1))
+    SELECT method, pos, target, origin.k AS origin, origin.v AS origin_line FROM st WHERE origin IS NOT NULL""")
 def i15(t):
     assigns = t.lineitem.select(F.col("l_orderkey").alias("method"), ((F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("pos"), F.col("l_linenumber").cast("long").alias("line"),
                                 F.col("l_returnflag").alias("target"), F.array("l_linestatus", F.when(F.col("l_quantity") > 25, "R").otherwise("A")).alias("uses"))

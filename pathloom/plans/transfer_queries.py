@@ -94,7 +94,7 @@ VALUE = """WITH RECURSIVE ed AS (SELECT caller AS src, callee AS dst, kind = 'DI
 """
 
 
-@query("i05_usable_edges", None)
+@query("i05_usable_edges", oracle(VALUE + "SELECT src, dst, weak FROM u", "calls", "methods"))
 def i05_edges(t):
     return X.usable_edges(value_edges(t), *value_ends(t))
 
@@ -109,12 +109,12 @@ def i05(t):
     return rows.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
-@query("i06_structural_meetings", oracle("""WITH l AS (SELECT DISTINCT input_id AS tip, i.method AS owner, package AS ty FROM inputs i JOIN methods m ON m.method = i.method WHERE line = 1), r AS (SELECT DISTINCT effect_id AS tip, e.method AS owner, package AS ty FROM effects e JOIN methods m ON m.method = e.method WHERE line = 2),
+@query("i06_structural_meetings", oracle("""WITH l AS (SELECT DISTINCT input_id AS tip, i.method AS owner, package AS ty FROM inputs i JOIN methods m ON m.method = i.method), r AS (SELECT DISTINCT effect_id AS tip, e.method AS owner, package AS ty FROM effects e JOIN methods m ON m.method = e.method),
     r20 AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY ty ORDER BY tip) <= 20) SELECT l.tip AS "left", r20.tip AS "right", CASE WHEN l.owner = r20.owner THEN 'intra_method_hop' ELSE 'shared_class_hop' END AS kind FROM l JOIN r20 USING (ty)
     WHERE (l.owner, r20.owner) NOT IN (SELECT (src, dst) FROM call_edges)""", "inputs", "effects", "methods", "call_edges"))
 def i06(t):
     typed = lambda df, c: df.join(t.methods.select("method", F.col("package").alias("type")), "method").select(F.col(c).alias("tip"), F.col("method").alias("owner"), "type")
-    left, right = typed(t.inputs.filter("line = 1"), "input_id"), typed(t.effects.filter("line = 2"), "effect_id")
+    left, right = typed(t.inputs, "input_id").distinct(), typed(t.effects, "effect_id").distinct()
     linked = left.join(t.call_edges, F.col("owner") == F.col("src")).select(F.col("tip").alias("a"), "dst").join(right.select(F.col("tip").alias("b"), F.col("owner").alias("dst")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return X.structural_meetings(left, right, linked)
 
@@ -133,7 +133,13 @@ def i11(t):
     return X.fact_chains(facts, 24, None).withColumn("chain", F.array_join("chain", ">"))
 
 
-@query("i11_acyclic_edges", None)
+@query("i11_acyclic_edges", """WITH RECURSIVE e AS (SELECT o_custkey AS c, substr(o_orderpriority, 1, 1) AS a, CAST(o_orderkey % 5 + 1 AS VARCHAR) AS b, o_orderkey AS seq,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    w AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS reach, '' AS a, '' AS b, CAST(0 AS BIGINT) AS seq, false AS kept FROM e
+        UNION ALL SELECT c, n, CASE WHEN fine THEN list_distinct(list_concat(reach, flatten([[x || y for y in list_concat([b], [z[2] for z in reach if z[1] = b])] for x in list_concat([a], [z[1] for z in reach if z[2] = a])]))) ELSE reach END,
+            a, b, seq, fine FROM (
+            SELECT w.c, e.n, reach, e.a, e.b, e.seq, e.a <> e.b AND NOT list_contains(reach, e.b || e.a) AS fine FROM w JOIN e ON e.c = w.c AND e.n = w.n + 1))
+    SELECT concat(c, ':', a) AS src, concat(c, ':', b) AS dst, seq, kept FROM w WHERE n > 0""")
 def i11_acyclic(t):
     o = t.orders.select(F.concat_ws(":", F.col("o_custkey").cast("string"), F.substring("o_orderpriority", 1, 1)).alias("src"),
                         F.concat_ws(":", F.col("o_custkey").cast("string"), ((F.col("o_orderkey") % 5) + 1).cast("string")).alias("dst"), F.col("o_orderkey").alias("seq"))

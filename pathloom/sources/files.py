@@ -1,10 +1,9 @@
-"""File tables: source scan, inventory, hash manifests and tree hashes over (path, content) rows."""
+"""File tables: source scan, inventory and hash manifests over (path, content) rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,30 +48,3 @@ def verify_manifest(files: DataFrame, expected: DataFrame) -> DataFrame:
     have = manifest(files).withColumnRenamed("sha256", "actual")
     return expected.join(have, "path", "left").filter(F.col("actual").isNull() | (F.col("actual") != F.col("sha256"))).select(
         "path", F.when(F.col("actual").isNull(), "MISSING").otherwise("HASH_MISMATCH").alias("problem"))
-
-
-def tree_hash(files: DataFrame, tree: str, path: str = "path") -> DataFrame:
-    """One hash per tree over its sorted ``name NUL hash`` lines.
-
-    File hashes are made in parallel. The lines of a tree are sorted by the shuffle and then fed to the
-    digest as a stream, so a large tree costs one pass and no memory.
-    """
-    import hashlib
-
-    hashed = files.select(F.col(tree).cast("string").alias("tree"), F.col(path).alias("path"), F.sha2("content", 256).alias("sha256"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, digest, count = None, None, 0
-        for batch in batches:
-            for name, group in batch.groupby("tree", sort=False):
-                if name != current:
-                    if current is not None:
-                        yield pd.DataFrame({"tree": [current], "files": [count], "tree_sha256": [digest.hexdigest()]})
-                    current, digest, count = name, hashlib.sha256(), 0
-                digest.update("".join(f"{p}\0{h}\n" for p, h in zip(group["path"], group["sha256"])).encode())
-                count += len(group)
-        if current is not None:
-            yield pd.DataFrame({"tree": [current], "files": [count], "tree_sha256": [digest.hexdigest()]})
-
-    ordered = hashed.repartition("tree").sortWithinPartitions("tree", "path")
-    return ordered.mapInPandas(fold, "tree string, files long, tree_sha256 string")

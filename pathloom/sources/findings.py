@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.scalars import cwe_ids, relativise
+from pathloom.functions.scalars import cwe_ids, relativise, url_join
 from pathloom.operators.skew import first_by, pin
 from pathloom.session import cut_lineage
 
@@ -83,24 +83,24 @@ def _results_type() -> str:
     return inner[:-2]
 
 
-BASE_DEPTH = 8
-
-
 def _resolved_bases(runs: DataFrame) -> DataFrame:
-    """Each named base of a run as one prefix, following up to ``BASE_DEPTH`` further names; a cycle gives NULL."""
+    """Each named base of a run as one uri, joined along its further names from the outermost in; a cycle gives NULL.
+
+    A chain without a cycle has at most as many names as the run has bases, so that many steps end every walk.
+    """
     rows = runs.filter(F.size("run.originalUriBaseIds") > 0).select(
         "project_id", "run_index", F.col("run.originalUriBaseIds").alias("bases")).select("*", F.explode("bases").alias("base", "entry"))
-    start = F.struct(F.coalesce("entry.uri", F.lit("")).alias("prefix"), F.col("entry.uriBaseId").alias("next"))
+    start = F.struct(F.array(F.coalesce("entry.uri", F.lit(""))).alias("uris"), F.col("entry.uriBaseId").alias("next"))
 
     def step(acc: Column, _: Column) -> Column:
         entry = F.when(acc["next"].isNotNull(), F.try_element_at("bases", acc["next"]))
-        more = entry.isNotNull() & ~acc["prefix"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^/")
-        prefix = F.when(more, F.concat(F.coalesce(entry["uri"], F.lit("")), acc["prefix"])).otherwise(acc["prefix"])
-        return F.struct(prefix.alias("prefix"), F.when(entry.isNotNull(), entry["uriBaseId"]).alias("next"))
+        uris = F.when(entry.isNotNull(), F.concat(F.array(F.coalesce(entry["uri"], F.lit(""))), acc["uris"])).otherwise(acc["uris"])
+        return F.struct(uris.alias("uris"), F.when(entry.isNotNull(), entry["uriBaseId"]).alias("next"))
 
-    walked = pin(rows, end=F.aggregate(F.sequence(F.lit(1), F.lit(BASE_DEPTH)), start, step))
+    walked = pin(rows, end=F.aggregate(F.sequence(F.lit(1), F.size("bases")), start, step))
     cyclic = F.coalesce(F.map_contains_key("bases", F.coalesce("end.next", F.lit(""))), F.lit(False))
-    return walked.select("project_id", "run_index", "base", F.when(~cyclic, F.col("end.prefix")).alias("prefix"), F.lit(True).alias("base_known"))
+    prefix = F.aggregate("end.uris", F.lit(""), url_join)
+    return walked.select("project_id", "run_index", "base", F.when(~cyclic, prefix).alias("prefix"), F.lit(True).alias("base_known"))
 
 
 RUN = ["project_id", "run_index"]
@@ -110,11 +110,11 @@ RESULT = [*RUN, "result_index"]
 def canonical_sarif(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """Findings with resolved files and CWE lists; and the rows refused, with a reason.
 
-    Refused: a run whose invocation failed, a result without locations, and any location that is remote,
-    outside ``root``, cyclic in its base names, or has no valid line. Locations are resolved as flat rows and
-    joined to the run's artifact, base and shared-location tables, then folded back per result.
+    Refused: a report of another version than 2.1.0, a run whose invocation failed, a result without locations, and any
+    location that is remote, outside ``root``, cyclic in its base names, or has no valid line. Locations are resolved as
+    flat rows and joined to the run's artifact, base and shared-location tables, then folded per path and per result.
     """
-    runs = docs.select("project_id", F.posexplode("doc.runs").alias("run_index", "run"))
+    runs = docs.select("project_id", F.coalesce(F.col("doc.version") == "2.1.0", F.lit(False)).alias("current"), F.posexplode("doc.runs").alias("run_index", "run"))
     results = runs.select(*RUN, F.posexplode("run.results").alias("result_index", "result"))
     shared = runs.select(*RUN, F.posexplode("run.threadFlowLocations").alias("step_index", "s")).select(*RUN, "step_index", F.col("s.location").alias("shared"))
     artifacts = runs.select(*RUN, F.posexplode("run.artifacts").alias("artifact", "a")).select(
@@ -129,46 +129,49 @@ def canonical_sarif(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     use_shared = F.col("location.physicalLocation").isNull()
     flat = flat.select(*RESULT, "path", "pos", F.when(use_shared, F.col("shared")).otherwise(F.col("location")).alias("at")).filter(
         F.col("at.physicalLocation").isNotNull()).select(
-        *RESULT, "path", "pos", F.col("at.physicalLocation.artifactLocation").alias("artifact_at"),
-        F.col("at.physicalLocation.region.startLine").alias("line"), F.coalesce("at.message.text", F.lit("")).alias("description"))
+        *RESULT, "path", "pos", F.col("at.physicalLocation.artifactLocation").alias("artifact_at"), F.col("at.physicalLocation.region").alias("region"),
+        F.coalesce("at.message.text", F.lit("")).alias("description"))
     listed = flat.withColumn("artifact", F.when(F.col("artifact_at.uri").isNull(), F.col("artifact_at.index"))).join(artifacts, [*RUN, "artifact"], "left")
     based = listed.withColumn("uri", F.coalesce("artifact_at.uri", "a_uri")).withColumn("base", F.coalesce("artifact_at.uriBaseId", "a_base")).join(
         _resolved_bases(runs), [*RUN, "base"], "left")
-    absolute = F.col("uri").rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^/")
-    full = F.when(absolute | F.col("base_known").isNull(), F.col("uri")).otherwise(F.concat("prefix", "uri"))
+    full = F.when(F.col("base_known").isNull(), F.col("uri")).when(F.col("prefix").isNotNull(), url_join(F.col("prefix"), F.col("uri")))
     local = F.regexp_replace(full, r"^file://localhost/", "file:///")
     placed = pin(based, local=F.coalesce(F.try_url_decode(F.replace(local, F.lit("+"), F.lit("%2B"))), local))
     remote = F.col("local").rlike(r"^file://[^/]") | F.col("local").rlike(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]+://")
-    placed = pin(placed, file_path=F.when(~remote, relativise(F.col("local"), F.lit(root)))).withColumn("line_number", F.when(F.col("line") >= 1, F.col("line")))
-
-    node = F.struct("path", "pos", "file_path", "line_number", "description")
-    folded = placed.groupBy(*RESULT).agg(
-        F.array_sort(F.collect_list(node)).alias("nodes"), F.bool_or(F.col("file_path").isNull()).alias("bad_path"),
-        F.bool_or(F.col("line_number").isNull()).alias("bad_line"))
-
-    plain = lambda n: F.struct(n["file_path"].alias("file_path"), n["line_number"].alias("line_number"), n["description"].alias("description"))
-    numbers = F.array_sort(F.array_distinct(F.transform(F.filter("nodes", lambda n: n["path"] >= 0), lambda n: n["path"])))
-    paths = F.transform(numbers, lambda i: F.transform(F.filter("nodes", lambda n: n["path"] == i), plain))
-    places = F.transform(F.filter("nodes", lambda n: n["path"] < 0), plain)
+    placed = pin(placed, file_path=F.when(~remote, relativise(F.col("local"), F.lit(root))))
+    line = F.col("region.startLine")
+    placed = placed.withColumn("line_number", F.when(line >= 1, line))
+    point = F.struct(
+        "file_path", "line_number", F.col("region.startColumn").alias("column"), F.coalesce("region.endLine", line).alias("end_line"),
+        F.col("region.endColumn").alias("end_column"), "description")
+    per_path = placed.groupBy(*RESULT, "path").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", point.alias("point")))), lambda p: p["point"]).alias("points"),
+        F.bool_or(F.col("file_path").isNull()).alias("bad_path"), F.bool_or(F.col("line_number").isNull()).alias("bad_line"))
+    folded = per_path.groupBy(*RESULT).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("path") >= 0, F.struct("path", "points")))), lambda p: p["points"]).alias("paths"),
+        F.flatten(F.collect_list(F.when(F.col("path") < 0, F.col("points")))).alias("locations"),
+        F.bool_or("bad_path").alias("bad_path"), F.bool_or("bad_line").alias("bad_line"))
+    lines_of = lambda f: F.array_sort(F.array_distinct(F.transform(F.filter("locations", lambda p: p["file_path"] == f), lambda p: p["line_number"])))
+    affected = F.transform(F.array_sort(F.array_distinct(F.transform("locations", lambda p: p["file_path"]))), lambda f: F.struct(f.alias("file_path"), lines_of(f).alias("line_numbers")))
 
     driver = runs.select(*RUN, F.posexplode("run.tool.driver.rules").alias("rule_index", "r"))
     extra = runs.select(*RUN, F.explode(F.flatten(F.transform("run.tool.extensions", lambda e: e["rules"]))).alias("r"))
     rules = driver.select(*RUN, "r").unionByName(extra).select(*RUN, F.col("r.id").alias("rule_id"), F.array_join("r.properties.tags", " ").alias("rule_tags"))
     rules = rules.groupBy(*RUN, "rule_id").agg(F.max("rule_tags").alias("rule_tags"))
     indexed = driver.select(*RUN, "rule_index", F.col("r.id").alias("indexed_id"))
-    state = runs.select(*RUN, F.coalesce(F.exists("run.invocations", lambda i: i["executionSuccessful"] == F.lit(False)), F.lit(False)).alias("failed"))
+    state = runs.select(*RUN, "current", F.coalesce(F.exists("run.invocations", lambda i: i["executionSuccessful"] == F.lit(False)), F.lit(False)).alias("failed"))
     heads = results.select(*RESULT, F.col("result.ruleId").alias("given"), F.when(F.col("result.ruleId").isNull(), F.col("result.ruleIndex")).alias("rule_index"),
                            F.coalesce("result.message.text", F.lit("")).alias("description"), F.array_join("result.properties.tags", " ").alias("own_tags"))
     heads = heads.join(indexed, [*RUN, "rule_index"], "left").withColumn("rule_id", F.coalesce("given", "indexed_id"))
     heads = heads.join(rules, [*RUN, "rule_id"], "left").join(state, RUN).join(folded, RESULT, "left")
     problem = (
-        F.when(F.col("failed"), "EXECUTION_FAILED").when(F.col("nodes").isNull(), "NO_SOURCE_LOCATION")
+        F.when(~F.col("current"), "UNSUPPORTED_VERSION").when(F.col("failed"), "EXECUTION_FAILED").when(F.col("paths").isNull(), "NO_SOURCE_LOCATION")
         .when(F.col("bad_path"), "INVALID_PATH").when(F.col("bad_line"), "INVALID_LINE"))
     checked = heads.withColumn("problem", problem)
     good = pin(
-        checked.filter("problem IS NULL"), cwes=cwe_ids(F.concat_ws(" ", "rule_tags", "own_tags")), locations=places, paths=paths,
+        checked.filter("problem IS NULL"), cwes=cwe_ids(F.concat_ws(" ", "rule_tags", "own_tags")), affected_files=affected,
     ).select(
-        *RESULT, "rule_id", "cwes", F.when(F.size("cwes") == 1, F.col("cwes")[0]).otherwise("").alias("cwe"), "description", "locations", "paths",
+        *RESULT, "rule_id", "cwes", F.when(F.size("cwes") == 1, F.col("cwes")[0]).otherwise("").alias("cwe"), "description", "affected_files", "locations", "paths",
         F.when(F.size("paths") > 0, "reported_path").otherwise("location_only").alias("path_evidence"))
     return good, checked.filter("problem IS NOT NULL").select(*RESULT, "problem")
 
@@ -256,10 +259,3 @@ def flow_hints(paths: DataFrame, keep: int = 16) -> DataFrame:
     rows = ordered.join(sizes.filter("n >= 2"), "path_id")
     shown = rows.filter((F.col("n") <= 2 * keep) | (F.col("rank") <= keep) | (F.col("rank") > F.col("n") - keep))
     return shown.select("path_id", "pos", "owner", "line", (F.col("steps") - F.least("n", F.lit(2 * keep))).alias("omitted"))
-
-
-def mask(text: Column, tokens: Sequence[str] = ()) -> Column:
-    """Same-length redaction of advisory ids, 40-digit hex ids and given tokens (see :func:`pathloom.operators.text.redact`)."""
-    from pathloom.operators.text import redact
-
-    return redact(text, tokens)

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _is_object(parsed: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """One JSON object per line; blank lines are skipped and anything else fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One JSON object per line; blank lines are skipped and any other line fails the read.
+
+    The test is a filter on the line itself, so it also runs when a query needs one column or only counts.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    sound = F.when(_is_object(F.try_parse_json("value")), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("line is no JSON object: "), F.substring("value", 1, 200))).cast("boolean"))
+    return lines.filter(sound).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +44,7 @@ def load_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     """Parsed rows, and an issue per line that is not JSON or not an object: ``file, line, error``."""
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     parsed = lines.withColumn("__v", F.try_parse_json("value"))
-    is_object = F.schema_of_variant("__v").startswith("OBJECT")
+    is_object = _is_object(F.col("__v"))
     issues = parsed.filter(F.col("__v").isNull() | ~is_object).select(
         "file", "line", F.when(F.col("__v").isNull(), "invalid JSON").otherwise("record is not an object").alias("error"))
     rows = spark.read.text(path).filter(F.trim("value") != "").withColumn("__v", F.try_parse_json("value"))
@@ -52,11 +62,15 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFra
     return df
 
 
+#: Every row is parsed whole, so that its width counts whatever columns a query needs.
+WHOLE_ROWS = {"mode": "FAILFAST", "columnPruning": "false"}
+
+
 def decode_csv(spark: SparkSession, path: str, columns: Sequence[str], types: dict[str, str] | None = None) -> DataFrame:
     """Headerless CSV whose rows must all have exactly these columns; another width fails the read."""
     types = types or {}
     schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in columns)
-    return spark.read.schema(schema).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema).options(**WHOLE_ROWS).csv(path)
 
 
 # The columns of a relation export; the last came with the current version.
@@ -73,7 +87,7 @@ def _versioned(spark: SparkSession, path: str, columns: Sequence[str], widths: S
     if width not in widths:
         raise ValueError(f"expected one of {sorted(widths)} columns, got {width}")
     schema = ", ".join(f"`{c}` string" for c in columns[:width])
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").csv(path)
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).options(**WHOLE_ROWS).csv(path)
     for name in columns[width:]:
         df = df.withColumn(name, defaults[name])
     return df.select(*columns)

@@ -359,6 +359,9 @@ def at(line=3, **artifact):
 
 
 def test_canonical_sarif_resolves_and_refuses(spark):
+    long = {f"B{i}": {"uri": f"d{i}/", "uriBaseId": f"B{i + 1}"} for i in range(12)} | {"B12": {"uri": "file:///root/z/"}}
+    far = at(uri="../q%41.java", uriBaseId="B0")
+    far["physicalLocation"]["region"] |= {"startColumn": 7, "endLine": 5, "endColumn": 2}
     ok = {"ruleIndex": 0, "message": {"text": "m"}, "locations": [at(index=0)], "codeFlows": [{"threadFlows": [{"locations": [{"location": at(4, uri="b.java", uriBaseId="SRC")}, {"index": 0}]}]}]}
     docs = [
         ("good", sarif(ok, artifacts=[{"location": {"uri": "a%20b.java", "uriBaseId": "SRC"}}], threadFlowLocations=[{"location": at(9, uri="file:///root/z/c.java")}],
@@ -366,13 +369,18 @@ def test_canonical_sarif_resolves_and_refuses(spark):
         ("cycle", sarif({"ruleId": "r", "locations": [at(uri="x", uriBaseId="A")]}, originalUriBaseIds={"A": {"uri": "a/", "uriBaseId": "B"}, "B": {"uri": "b/", "uriBaseId": "A"}})),
         ("remote", sarif({"ruleId": "r", "locations": [at(uri="file://other/x")]})), ("none", sarif({"ruleId": "r"})), ("line", sarif({"ruleId": "r", "locations": [at(0, uri="x")]})),
         ("failed", sarif({"ruleId": "r", "locations": [at(uri="x")]}, invocations=[{"executionSuccessful": False}])),
+        ("chain", sarif({"ruleId": "r", "locations": [far, at(9, uri="b/c.java", uriBaseId="S")]}, originalUriBaseIds=long | {"S": {"uri": "file:///root/z/part"}})),
+        ("old", sarif({"ruleId": "r", "locations": [at(uri="x")]}).replace("2.1.0", "1.0.0")),
     ]
     good, bad = FN.canonical_sarif(FN.parse_sarif(spark.createDataFrame(docs, "project_id string, text string")), "/root/z")
-    row = good.collect()
-    assert len(row) == 1 and row[0].cwe == "CWE-79" and row[0].rule_id == "r" and row[0].path_evidence == "reported_path"
+    row = sorted(good.collect(), key=lambda r: r.project_id, reverse=True)
+    whole = "/".join(f"d{i}" for i in range(11, 0, -1)) + "/qA.java"
+    assert [tuple(p)[:5] for p in row[1].locations] == [(whole, 3, 7, 5, 2), ("b/c.java", 9, None, 9, None)] and row[1].project_id == "chain"
+    assert [(f.file_path, f.line_numbers) for f in row[1].affected_files] == [("b/c.java", [9]), (whole, [3])]
+    assert len(row) == 2 and row[0].cwe == "CWE-79" and row[0].rule_id == "r" and row[0].path_evidence == "reported_path"
     assert [(p.file_path, p.line_number) for p in row[0].locations] == [("src/a b.java", 3)]
     assert [[(p.file_path, p.line_number) for p in path] for path in row[0].paths] == [[("src/b.java", 4), ("c.java", 9)]]
-    assert {r.project_id: r.problem for r in bad.collect()} == {"cycle": "INVALID_PATH", "remote": "INVALID_PATH", "none": "NO_SOURCE_LOCATION", "line": "INVALID_LINE", "failed": "EXECUTION_FAILED"}
+    assert {r.project_id: r.problem for r in bad.collect()} == {"cycle": "INVALID_PATH", "remote": "INVALID_PATH", "none": "NO_SOURCE_LOCATION", "line": "INVALID_LINE", "failed": "EXECUTION_FAILED", "old": "UNSUPPORTED_VERSION"}
 
 
 def test_nested_event_traces_of_any_depth(spark):
@@ -436,3 +444,70 @@ def test_sources_keep_the_house_rules():
 
 def test_checkpoint_folder_is_the_sessions_own(spark):
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_strict_reads_fail_under_every_plan(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n[{"a": 2}, {"a": 3}]\n')
+    (tmp_path / "ok.jsonl").write_text('{"a": 1, "b": "x"}\n \n{"a": null}\n')
+    (tmp_path / "w.csv").write_text("x,1\ny\nz,2,3\n")
+    (tmp_path / "r.csv").write_text("k,a,b,c,d,e,f\nk,F,1,2,G,3,4\nk,F,1\n")
+    assert [tuple(r) for r in TX.read_jsonl(spark, str(tmp_path / "ok.jsonl"), "a int, b string").collect()] == [(1, "x"), (None, None)]
+    reads = [TX.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int, b string").select("b"), TX.decode_csv(spark, str(tmp_path / "w.csv"), ["p", "q"]).select("p"),
+             TX.read_relations(spark, str(tmp_path / "r.csv")).select("l_file")]
+    for df in reads:
+        for run in (df.collect, df.count):
+            with pytest.raises(Exception):  # noqa: B017
+                run()
+
+
+def test_url_join(spark):
+    from urllib.parse import urljoin
+
+    cases = [(b, r) for b in ("file:///repo/src", "file:///repo/src/", "src/", "src/main", "", "https://h/a/b", "https://h", "/abs/x") for r in
+             ("part/P.java", "/root.java", "", "../up.java", "./here", "a/../b/./c", "file:///other/x", "//h/x", "x/..", "q?y=/../z")]
+    rows = spark.createDataFrame(cases, "b string, r string").select("b", "r", S.url_join(F.col("b"), F.col("r")).alias("j")).collect()
+    assert [(r.b, r.r, r.j) for r in rows if r.j != urljoin(r.b, r.r)] == []
+
+
+def test_mapper_markup(spark):
+    good = """<?xml version="1.0"?>
+<!DOCTYPE mapper PUBLIC "-//x//EN" "x.dtd">
+<!-- <select id="no"> -->
+<mapper namespace="com.A &amp; B">
+  <resultMap id="m0"/>
+  <select id='q' resultMap="a0, b ,">
+    select <![CDATA[ a < 3 <include refid="no"/> ]]>
+    <if test="x"><include
+      refid="c10"/></if> <include refid=""/>
+  </select>
+  <sql>x</sql>
+</mapper>"""
+    bad = ["<mapper><a></mapper></a>", "<mapper><a>", "<mapper/><mapper/>", "<mapper>a < b</mapper>", '<!DOCTYPE m [<!ENTITY e "x">]><mapper><a id="1"/></mapper>', "", "plain"]
+    other = "<other><a id='1'/></other>"
+    df = spark.createDataFrame([("g", good), ("o", other), ("n", None), *[(f"b{i}", t) for i, t in enumerate(bad)]], "path string, text string")
+    rows = sorted((tuple(r) for r in text.mapper_entries(df).collect()), key=lambda r: (r[0], r[4], r[6] or ""))
+    assert rows == [
+        ("g", "com.A & B", "resultMap", "m0", 5, 5, None, None), ("g", "com.A & B", "select", "q", 6, 10, "a0", 6), ("g", "com.A & B", "select", "q", 6, 10, "b", 6),
+        ("g", "com.A & B", "select", "q", 6, 10, "c10", 8), ("g", "com.A & B", "sql", None, 11, 11, None, None), ("o", None, "a", "1", 1, 1, None, None)]
+
+
+def test_ordered_writers(spark, tmp_path):
+    from pathloom.sources import sinks
+
+    df = spark.createDataFrame([(3, "c"), (1, None), (2, 'q"')], "k int, v string").repartition(3)
+    sinks.write_csv(df, str(tmp_path / "c"), ["v", "k"], ["k"])
+    parts = sorted((tmp_path / "c").glob("part-*.csv"))
+    assert [r for p in parts for r in p.read_text().splitlines() if r != "v,k"] == [",1", '"q\\"",2', "c,3"]
+    sinks.write_summary(df.orderBy("k").limit(1), str(tmp_path / "s"))
+    assert json.loads(next((tmp_path / "s").glob("part-*.json")).read_text()) == {"k": 1, "v": None}
+
+
+def test_faults_and_late_rows_of_a_journal(spark):
+    start = spark.createDataFrame([("a", 1, 10), ("a", 2, 10), ("b", 3, 5)], "request_key string, seq int, reserved_tokens long")
+    answer = spark.createDataFrame([("b", 4), ("b", 4)], "request_key string, total_tokens long")
+    outcome = spark.createDataFrame([("a", "FAILED_HTTP"), ("a", "UNKNOWN_QUARANTINED"), ("z", "ODD")], "request_key string, outcome string")
+    found = {(r.request_key, r.fault) for r in journal.faults(start, answer, outcome).collect()}
+    assert found == {("a", "DUPLICATE_START"), ("b", "DUPLICATE_RESPONSE"), ("a", "CONFLICTING_OUTCOMES"), ("z", "INVALID_OUTCOME"), ("z", "OUTCOME_WITHOUT_START")}
+    aside = spark.createDataFrame([("h", 1), ("h", 1), ("i", 1)], "request_key string, run int")
+    row = journal.accounting(journal.settle(start, answer, outcome).withColumn("run", F.lit(1)), ["run"], aside).first()
+    assert (row.physical_requests, row.reported_tokens, row.quarantined_requests, row.historical_quarantined_requests) == (2, 4, 1, 2)
