@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.functions.scalars import let, param_list, snippet, stable_id
+from pathloom.functions.scalars import let, snippet, stable_id
+from pathloom.operators.entities import mask
 from pathloom.operators.intervals import innermost, points_in_spans
-from pathloom.operators.skew import first_by, prefix_sum, top_k
+from pathloom.operators.skew import first_by, top_k
 from pathloom.session import cut_lineage
 
 # Fixed value: the characters that end a line.
@@ -119,26 +120,6 @@ def read_ranges(files: DataFrame, requests: DataFrame, max_lines: int = 200, max
         F.when(ok, F.least("end", "total")).alias("end_line"), F.when(ok, F.col("end") > F.col("total")).alias("truncated"))
 
 
-# One pass over comments and literals, first match wins: line comment, block comment, text block, string, character.
-_NON_CODE = re.compile(
-    r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"{3}[\s\S]*?(?:\"{3}|\Z)|"(?:\\[\s\S]?|[^"\\])*(?:"|\Z)|'(?:\\[\s\S]?|[^'\\])*(?:'|\Z)""")
-
-
-def _blank(match: re.Match) -> str:
-    text = re.sub(r"[^\n]", " ", match.group())
-    return text if match.group()[0] == "/" else "0" + text[1:]
-
-
-def mask_code(text: Column) -> Column:
-    """Comments and literals blanked, each literal leaving one ``0``; every line and column stays in place."""
-
-    @F.pandas_udf("string")
-    def apply(values: pd.Series) -> pd.Series:
-        return values.map(lambda s: None if s is None else _NON_CODE.sub(_blank, s))
-
-    return apply(text)
-
-
 def redact(text: Column, tokens: Sequence[str] = ()) -> Column:
     """Advisory ids, 40-digit hex ids and given tokens replaced by X, byte for byte."""
     ordered = sorted({t.encode() for t in tokens if len(t.encode()) >= 3}, key=len, reverse=True)
@@ -176,157 +157,10 @@ def redact_report(findings: DataFrame, tokens: Sequence[str] = ()) -> DataFrame:
     return heads.join(folded, "fingerprint", "left").select("fingerprint", "description", "category", flow.alias("flow"))
 
 
-IDENT = r"[A-Za-z_$][\w$]*"
-MODIFIER = r"(?:public|protected|private|static|final|abstract|synchronized|default|native|strictfp|transient|volatile|sealed)"
-# Words before a parenthesis or a name that are no call, type or method.
-CONTROL = "if|for|while|switch|catch|return|throw|new|else|case|do|try|synchronized|assert|super|this|instanceof"
-TYPE_RE = rf"\b(class|interface|enum|record)\s+({IDENT})"
-METHOD_RE = (
-    rf"((?:@{IDENT}\s+)*(?:{MODIFIER}\s+)*(?:<[^<>;{{}}()]*>\s*)?(?:(?!(?:{CONTROL})\b)[\w.$]+(?:<[^;{{}}()]*>)?(?:\[\])*\s+)?)"
-    rf"\b((?!(?:{CONTROL})\b){IDENT})\s*\(((?:[^(){{}};]|\([^()]*\))*)\)\s*(?:throws\s+[\w.,\s]+)?([{{;])"
-)
-FIELD_RE = rf"^\s*(?:@{IDENT}\s+)*((?:{MODIFIER}\s+)*)((?!(?:{CONTROL}|package|import|class|interface|enum|record)\b)[\w.$]+(?:<[^;{{}}()]*>)?(?:\[\])*)\s+({IDENT})\s*(?:=[^;]*)?;"
-NESTING = 16
-
-
-def _braces(depth_before: Column, text: Column) -> Column:
-    """Braces of a line in order, each with the depth outside it."""
-    return F.aggregate(
-        F.regexp_extract_all(text, F.lit(r"[{}]"), F.lit(0)),
-        F.struct(depth_before.cast("bigint").alias("d"), F.array().cast("array<struct<open:boolean,level:bigint>>").alias("out")),
-        lambda acc, b: F.struct(
-            F.when(b == "{", acc["d"] + 1).otherwise(acc["d"] - 1).alias("d"),
-            F.concat(acc["out"], F.array(F.struct((b == "{").alias("open"), F.when(b == "{", acc["d"]).otherwise(acc["d"] - 1).alias("level")))).alias("out")))["out"]
-
-
 def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def extract_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Types, callables, parameters, fields, calls and annotations of source files; and brace diagnostics.
-
-    Masked lines carry their brace depth as a running sum; a declaration ends at the next brace that closes
-    its own depth; owners come from the innermost-span join. Declaration heads are read line by line.
-    """
-    code = lines(files.select("path", mask_code(F.col("text")).alias("text")))
-    net = _count(F.col("text"), "{") - _count(F.col("text"), "}")
-    deep = cut_lineage(prefix_sum(code.withColumn("net", net), ["path"], "line", "net", "after").withColumn("depth", F.col("after") - F.col("net")))
-    braces = deep.filter(F.col("text").rlike("[{}]")).select("path", "line", F.posexplode(_braces(F.col("depth"), F.col("text"))).alias("idx", "b"))
-    closes = braces.filter("NOT b.open").select("path", F.col("b.level").alias("level"), "line", "idx", F.lit(None).cast("string").alias("key"))
-
-    package = first_by(
-        code.filter(F.col("text").rlike(r"^\s*package\s")).select("path", "line", F.regexp_extract("text", r"package\s+([\w.]+)", 1).alias("package")), ["path"], ["line"])
-
-    # A declaration starts at the annotation lines right above it: islands of such lines, keyed by the line below.
-    alone = deep.filter(F.col("text").rlike(rf"^\s*(?:@{IDENT}(?:\.{IDENT})*(?:\([^()]*\))?\s*)+$")).select("path", "line")
-    island = alone.withColumn("g", F.col("line") - F.row_number().over(W.partitionBy("path").orderBy("line"))).groupBy("path", "g").agg(
-        F.min("line").alias("first"), (F.max("line") + 1).alias("line")).drop("g")
-
-    def begun(rows: DataFrame) -> DataFrame:
-        return rows.join(island, ["path", "line"], "left").withColumn("first", F.coalesce("first", "line"))
-
-    def heads(pattern: str) -> DataFrame:
-        whole = F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("head")
-        rows = deep.filter(F.col("text").rlike(pattern)).select("path", "line", "depth", "text", whole)
-        before = F.expr("substring(text, 1, greatest(instr(text, head) - 1, 0))")
-        return rows.withColumn("before", before).withColumn("level", F.col("depth") + _count(F.col("before"), "{") - _count(F.col("before"), "}")).withColumn(
-            "idx", _count(F.col("before"), "{") + _count(F.col("before"), "}")).drop("before", "text", "depth")
-
-    def ended(rows: DataFrame) -> DataFrame:
-        """Adds ``end``: the line of the first brace closing the head's level after it."""
-        keyed = rows.withColumn("key", F.concat_ws("|", "path", F.col("line").cast("string"), F.col("idx").cast("string"), "name"))
-        marks = keyed.select("path", "level", "line", "idx", "key").unionByName(closes)
-        ahead = W.partitionBy("path", "level").orderBy("line", "idx", F.col("key").isNull()).rowsBetween(0, W.unboundedFollowing)
-        at = marks.withColumn("end", F.first(F.when(F.col("key").isNull(), F.col("line")), ignorenulls=True).over(ahead)).filter("key IS NOT NULL")
-        return keyed.join(at.select("key", "end"), "key").drop("key")
-
-    types = ended(heads(TYPE_RE).withColumn("keyword", F.regexp_extract("head", TYPE_RE, 1)).withColumn("name", F.regexp_extract("head", TYPE_RE, 2)))
-    types = cut_lineage(types.withColumn("end", F.coalesce("end", "line")))
-    spans = types.select("path", F.col("line").alias("start"), "end", F.col("name").alias("type"), F.col("level").alias("type_level"))
-
-    # A type nests in every type whose span holds its start at a lower depth; names from outside in.
-    outer = points_in_spans(types.select("path", "line", "name", "level"), spans, ["path"]).filter("type_level < level OR (type = name AND type_level = level AND start = line)")
-    nested = outer.groupBy("path", "line", "name", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("type_level", "type"))), lambda s: s["type"]), ".").alias("inner"))
-    named = nested.join(package.drop("line"), "path", "left").withColumn("qualified", F.concat_ws(".", "package", "inner"))
-    type_rows = cut_lineage(types.join(named.select("path", "line", "name", "level", "qualified"), ["path", "line", "name", "level"]))
-    owners = type_rows.select("path", F.col("line").alias("start"), "end", F.col("qualified").alias("owner"), F.col("name").alias("owner_name"), F.col("level").alias("owner_level"))
-
-    def owned(rows: DataFrame) -> DataFrame:
-        """Rows directly in a type's body, with that type."""
-        spots = rows.select("path", "line", "level").distinct()
-        hits = points_in_spans(spots, owners, ["path"]).filter("level = owner_level + 1")
-        one = first_by(hits.withColumn("__late", -F.col("start")).drop("start", "end", "owner_level"), ["path", "line", "level"], ["__late"]).drop("__late")
-        return rows.join(one, ["path", "line", "level"])
-
-    raw = heads(METHOD_RE)
-    part = lambda i: F.regexp_extract("head", METHOD_RE, i)
-    methods = owned(raw.withColumn("prefix", F.trim(part(1))).withColumn("name", part(2)).withColumn("params", part(3)).withColumn("stop", part(4)))
-    methods = methods.filter((F.col("prefix") != "") | (F.col("name") == F.col("owner_name")))
-    plain = F.trim(F.regexp_replace("prefix", rf"(?:@{IDENT}|\b{MODIFIER})\b", ""))
-    methods = methods.withColumn("result", F.nullif(plain, F.lit("")))
-    methods = ended(methods).withColumn("end", F.when(F.col("stop") == ";", F.col("line")).otherwise(F.coalesce("end", "line")))
-    declared = param_list(F.concat(F.lit("("), "params", F.lit(")")))
-    bare = F.transform(declared, lambda p: F.trim(F.regexp_replace(p, rf"(?:@{IDENT}(?:\([^()]*\))?\s*|\bfinal\s+)", "")))
-    methods = methods.withColumn("declared", bare)
-    type_of = lambda p: F.regexp_replace(F.regexp_replace(p, rf"\s*{IDENT}$", ""), r"\s+", "")
-    methods = methods.withColumn("signature", F.concat("name", F.lit("("), F.array_join(F.transform("declared", type_of), ","), F.lit(")")))
-    methods = methods.withColumn("kind", F.when((F.col("name") == F.col("owner_name")) & F.col("result").isNull(), "CONSTRUCTOR").otherwise("METHOD"))
-    methods = cut_lineage(methods)
-    callable_ = F.concat_ws(".", "owner", "signature")
-
-    bodies = methods.filter("stop = '{'").select("path", F.col("line").alias("start"), "end", callable_.alias("callable"), F.col("owner").alias("call_owner"))
-    # Innermost calls first: each round takes the calls whose arguments hold no parenthesis, then folds them away.
-    call_re = rf"(?<![\w$@.])((?:{IDENT}\s*\.\s*)*{IDENT})\s*\(([^()]*)\)"
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.lit(NESTING)),
-        F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("calls")),
-        lambda acc, _: F.when(~acc["text"].contains("("), acc).otherwise(F.struct(
-            F.regexp_replace(acc["text"], r"\([^()]*\)", " 0 ").alias("text"),
-            F.concat(acc["calls"], F.regexp_extract_all(acc["text"], F.lit(call_re), F.lit(0))).alias("calls"))))["calls"]
-    # A method's own head is no call: the heads found on a line are blanked before its calls are read.
-    own_heads = methods.groupBy("path", "line").agg(F.collect_set("head").alias("__heads"))
-    spoken = deep.filter(F.col("text").contains("(")).join(own_heads, ["path", "line"], "left")
-    blanked = F.aggregate("__heads", F.col("text"), lambda t, h: F.replace(t, h, F.lit(" ")))
-    spoken = spoken.withColumn("text", F.when(F.col("__heads").isNotNull(), blanked).otherwise(F.col("text"))).filter(F.col("text").contains("("))
-    calls = spoken.select("path", "line", F.posexplode(folded).alias("n", "call"))
-    full = F.regexp_replace(F.regexp_extract("call", call_re, 1), r"\s", "")
-    calls = calls.withColumn("full", full).withColumn("name", F.substring_index("full", ".", -1)).filter(~F.col("name").rlike(f"^(?:{CONTROL})$"))
-    args = F.trim(F.regexp_extract("call", call_re, 2))
-    calls = calls.withColumn("argument_count", F.when(args == "", 0).otherwise(F.size(param_list(F.concat(F.lit("("), args, F.lit(")"))))))
-    at = innermost(points_in_spans(calls.select("path", "line").distinct(), bodies, ["path"]), ["path", "line"])
-    inside = at.groupBy("path", "line").agg(F.min("callable").alias("callable"), F.min("call_owner").alias("owner"))
-    calls = calls.join(inside, ["path", "line"], "left")
-
-    fields = deep.filter(F.col("text").rlike(FIELD_RE)).select("path", "line", F.col("depth").alias("level"), F.regexp_extract("text", FIELD_RE, 2).alias("type_text"), F.regexp_extract("text", FIELD_RE, 3).alias("name"))
-    fields = owned(fields)
-    notes = deep.filter(F.col("text").contains("@")).select("path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(rf"@({IDENT}(?:\.{IDENT})*)"), F.lit(1))).alias("n", "name")).filter("name <> 'interface'")
-
-    none = F.lit(None).cast("string")
-
-    def rows(df: DataFrame, kind: Column, start: str, end: str, name: str, qualified: Column, owner: Column, callable_c: Column, signature: Column, type_text: Column, confidence: str, tie: Column, extra: Column) -> DataFrame:
-        return df.select(
-            kind.alias("kind"), F.col("path").alias("file"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(name).alias("simple_name"), qualified.alias("qualified_name"),
-            owner.alias("enclosing_type"), callable_c.alias("enclosing_callable"), signature.alias("signature"), type_text.alias("type_text"), F.lit(confidence).alias("confidence"), tie.cast("string").alias("tie"), extra.cast("int").alias("n_args"))
-
-    parameters = methods.withColumn("p", F.explode(F.filter("declared", lambda p: p != "")))
-    parameters = parameters.withColumn("p_name", F.regexp_extract("p", rf"({IDENT})$", 1)).withColumn("p_index", F.array_position("declared", F.col("p")) - 1)
-    zero = F.lit(0)
-    entities = (
-        rows(package, F.lit("PACKAGE"), "line", "line", "package", F.col("package"), none, none, F.concat(F.lit("package "), "package"), none, "HIGH", zero, none)
-        .unionByName(rows(begun(type_rows), F.lit("TYPE"), "first", "end", "name", F.col("qualified"), F.nullif(F.regexp_replace("qualified", r"\.?[^.]*$", ""), F.lit("")), none, F.concat_ws(" ", "keyword", "name"), none, "HIGH", F.col("level"), none))
-        .unionByName(rows(begun(methods), F.col("kind"), "first", "end", "name", F.concat_ws(".", "owner", "name"), F.col("owner"), none, F.col("signature"), F.coalesce("result", "owner"), "HIGH", F.col("idx"), F.size("declared")))
-        .unionByName(rows(parameters, F.lit("PARAMETER"), "line", "line", "p_name", F.concat_ws(".", "owner", "name", "p_name"), F.col("owner"), callable_, none, type_of(F.col("p")), "HIGH", F.col("p_index"), F.col("p_index")))
-        .unionByName(rows(begun(fields), F.lit("FIELD"), "first", "line", "name", F.concat_ws(".", "owner", "name"), F.col("owner"), none, F.concat_ws(":", "name", "type_text"), F.col("type_text"), "MEDIUM", zero, none))
-        .unionByName(rows(calls, F.lit("CALL"), "line", "line", "name", F.col("full"), F.col("owner"), F.col("callable"), none, none, "MEDIUM", F.col("n"), F.col("argument_count")))
-        .unionByName(rows(notes, F.lit("ANNOTATION"), "line", "line", "name", F.col("name"), none, none, none, none, "MEDIUM", F.col("n"), none))
-    )
-    ident = stable_id("entity", {c: F.col(c) for c in ("kind", "file", "start", "end", "qualified_name", "signature", "tie")})
-    finals = deep.groupBy("path").agg(F.sum("net").alias("open"))
-    diagnostics = finals.filter("open <> 0").select("path", F.lit("WARNING").alias("severity"), F.lit("UNMATCHED_BRACE").alias("error_class"), F.abs("open").alias("count"))
-    return entities.select(ident.alias("entity_id"), "*").drop("tie"), diagnostics
-
-
 def script_references(pages: DataFrame, html: str = "html") -> DataFrame:
     """Script tags of a page: line span, number of ``src`` values and the value when there is exactly one."""
     tag = r"(?is)<script\b[^>]*>"
@@ -466,7 +300,7 @@ def term_counts(methods: DataFrame, patterns: dict[str, str], text: str = "text"
 def symbol_hits(files: DataFrame, name: str, offset: int = 0, page: int | None = 20) -> DataFrame:
     """Uses of a name before a parenthesis in masked code, declarations first, one page per file."""
     use = rf"(?<![\w$]){re.escape(name)}\s*\("
-    code = lines(files.select("path", mask_code(F.col("text")).alias("text"))).filter(F.col("text").rlike(use))
+    code = lines(files.select("path", mask(F.col("text")).alias("text"))).filter(F.col("text").rlike(use))
     parts = F.split("text", rf"(?<![\w$])(?={re.escape(name)}\s*\()", -1)
     spots = code.select("path", "line", F.posexplode(parts).alias("n", "part"), parts.alias("parts")).filter(F.col("part").rlike(rf"^{re.escape(name)}\s*\(") )
     before = F.trim(F.regexp_extract(F.array_join(F.slice("parts", 1, F.col("n")), ""), r"([^;{}]*)$", 1))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pathloom.bindings import oracle
 from pathloom.functions import scalars as S
+from pathloom.operators import entities as E
 from pathloom.operators import text as X
 from pathloom.registry import query
 
@@ -84,43 +85,54 @@ def j03(t):
     return X.read_ranges(t.files, requests, 20, 4000)
 
 
-@query("j04_mask_code", """SELECT concat(source, '/', doc_id, '.txt') AS path, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS ends, true AS blank FROM documents""")
+NON_CODE = r"""//[^\n]*|/\*(?:[^*]|\*+[^*/])*(?:\*+/|\**\z)|"{3}(?s:.*?)(?:"{3}|\z)|"(?:[^"\\]|\\(?s:.)|\\\z)*"?|'(?:[^'\\]|\\(?s:.)|\\\z)*'?"""
+
+
+@query("j04_mask_code", f"""WITH d AS (SELECT concat(source, '/', doc_id, '.txt') AS path, regexp_split_to_array(text, '{NON_CODE.replace("'", "''")}') AS s, regexp_extract_all(text, '{NON_CODE.replace("'", "''")}') AS m FROM documents)
+    SELECT path, array_to_string([s[i] || coalesce(CASE WHEN m[i][1] = '/' THEN regexp_replace(m[i], '[^\n]', ' ', 'g') ELSE '0' || regexp_replace(m[i][2:], '[^\n]', ' ', 'g') END, '') for i in range(1, len(s) + 1)], '') AS masked FROM d""")
 def j04(t):
-    masked = X.mask_code(F.col("text"))
-    rows = t.files.select("path", masked.alias("m"))
-    return rows.select("path", F.length("m").alias("n"), (F.length("m") - F.length(F.replace("m", F.lit("\n"), F.lit("")))).alias("ends"), (~F.col("m").contains('"')).alias("blank"))
+    return t.files.select("path", E.mask(F.col("text")).alias("masked"))
+
+
+DEEP = "".join(f"f{i}(" for i in range(20)) + "1" + ")" * 20
 
 
 def java_files(t):
-    """One small class per order: a field, and per line a method with two calls, literals and a brace in a comment."""
+    """One small class per order: a field, a method per line whose head and calls span lines, with literals and a brace in a comment, and calls nested 20 deep."""
     s = lambda c: F.col(c).cast("string")
     name = F.concat(F.lit("m"), s("l_linenumber"), F.lit("_"), s("l_partkey"), F.lit("_"), s("l_suppkey"))
     body = F.concat(
-        F.lit("  public int "), name, F.lit("(final String a, Map<String, Long> b) { // open {\n    return call"), s("l_partkey"), F.lit('(a, other(b, "x) { y"));\n  }'))
+        F.lit("  public int "), name, F.lit("(final String a,\n      Map<String, Long> b) { // open {\n    return call"), s("l_partkey"), F.lit('(a,\n      other(b, "x) { y"));\n  }'))
     rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", body.alias("body")))).alias("m"))
-    text = F.concat(F.lit("package com.acme;\n@Service public class O"), s("l_orderkey"), F.lit(" {\n  private List<String> names = null;\n"),
-                    F.array_join(F.transform("m", lambda x: x["body"]), "\n"), F.lit("\n}\n"))
+    text = F.concat(F.lit("package com.acme;\n@Service(names = (1)) public class O"), s("l_orderkey"), F.lit(" {\n  private List<String> names = null;\n"),
+                    F.array_join(F.transform("m", lambda x: x["body"]), "\n"), F.lit(f"\n  int deep() {{ return {DEEP}; }}\n}}\n"))
     return rows.select(F.concat(F.lit("src/O"), s("l_orderkey"), F.lit(".java")).alias("path"), text.alias("text"))
 
 
-JAVA = """WITH m AS (SELECT concat('src/O', l_orderkey, '.java') AS file, l_orderkey, concat('m', l_linenumber, '_', l_partkey, '_', l_suppkey) AS name, l_partkey,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+JAVA = """WITH m AS (SELECT concat('src/O', l_orderkey, '.java') AS file, concat('com.acme.O', l_orderkey) AS own, l_orderkey, concat('m', l_linenumber, '_', l_partkey, '_', l_suppkey) AS name, l_partkey,
+        concat('com.acme.O', l_orderkey, '.m', l_linenumber, '_', l_partkey, '_', l_suppkey, '(String,Map<String,Long>)') AS fn,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    o AS (SELECT DISTINCT file, own, l_orderkey, n FROM m)
 """
 
 
 @query("j05_extract_entities", JAVA + """SELECT * FROM (
-    SELECT DISTINCT file, 'PACKAGE' AS kind, 1 AS start, 1 AS "end", 'com.acme' AS qualified_name, NULL AS enclosing_type, 'package com.acme' AS signature FROM m
-    UNION ALL SELECT DISTINCT file, 'TYPE', 2, 4 + 3 * n, concat('com.acme.O', l_orderkey), 'com.acme', concat('class O', l_orderkey) FROM m
-    UNION ALL SELECT DISTINCT file, 'ANNOTATION', 2, 2, 'Service', NULL, NULL FROM m
-    UNION ALL SELECT DISTINCT file, 'FIELD', 3, 3, concat('com.acme.O', l_orderkey, '.names'), concat('com.acme.O', l_orderkey), 'names:List<String>' FROM m
-    UNION ALL SELECT file, 'METHOD', 1 + 3 * i, 3 + 3 * i, concat('com.acme.O', l_orderkey, '.', name), concat('com.acme.O', l_orderkey), concat(name, '(String,Map<String,Long>)') FROM m
-    UNION ALL SELECT file, 'PARAMETER', 1 + 3 * i, 1 + 3 * i, concat('com.acme.O', l_orderkey, '.', name, '.', p), concat('com.acme.O', l_orderkey), NULL FROM m, (VALUES ('a'), ('b')) v(p)
-    UNION ALL SELECT file, 'CALL', 2 + 3 * i, 2 + 3 * i, c, concat('com.acme.O', l_orderkey), NULL FROM (SELECT *, unnest([concat('call', l_partkey), 'other']) AS c FROM m))""")
+    SELECT file, 'PACKAGE' AS kind, 1 AS start, 1 AS "end", 'com.acme' AS qualified_name, NULL AS enclosing_type, 'package com.acme' AS signature, NULL AS detail FROM o
+    UNION ALL SELECT file, 'TYPE', 2, 5 * n + 5, own, NULL, concat('class O', l_orderkey), 'CLASS' FROM o
+    UNION ALL SELECT file, 'ANNOTATION', 2, 2, concat(own, '@Service'), own, '@Service', NULL FROM o
+    UNION ALL SELECT file, 'FIELD', 3, 3, concat(own, '.names'), own, 'names:List<String>', NULL FROM o
+    UNION ALL SELECT file, 'METHOD', 5 * i - 1, 5 * i + 3, concat(own, '.', name), own, concat(name, '(String,Map<String,Long>)'), 'public' FROM m
+    UNION ALL SELECT file, 'PARAMETER', 5 * i - 1, 5 * i - 1, concat(fn, '#a'), own, '0:String', NULL FROM m
+    UNION ALL SELECT file, 'PARAMETER', 5 * i, 5 * i, concat(fn, '#b'), own, '1:Map<String,Long>', NULL FROM m
+    UNION ALL SELECT file, 'CALL', 5 * i + 1, 5 * i + 2, concat(fn, '::call', l_partkey), own, concat('call', l_partkey, '/2'), 'METHOD_CALL' FROM m
+    UNION ALL SELECT file, 'CALL', 5 * i + 2, 5 * i + 2, concat(fn, '::other'), own, 'other/2', 'METHOD_CALL' FROM m
+    UNION ALL SELECT file, 'METHOD', 5 * n + 4, 5 * n + 4, concat(own, '.deep'), own, 'deep()', '' FROM o
+    UNION ALL SELECT file, 'CALL', 5 * n + 4, 5 * n + 4, concat(own, '.deep()::f', k), own, concat('f', k, '/1'), 'METHOD_CALL' FROM o, (SELECT unnest(range(20)) AS k))""")
 def j05(t):
-    return X.extract_entities(java_files(t))[0].select("file", "kind", "start", "end", "qualified_name", "enclosing_type", "signature")
+    return E.extract_entities(java_files(t))[0].select("file", "kind", "start", "end", "qualified_name", "enclosing_type", "signature", "detail")
 
 
-@query("j12_symbol_hits", JAVA + """SELECT file AS path, 2 + 3 * i AS line, false AS declaration, i AS rank, n AS total, CASE WHEN 5 < n THEN 5 ELSE -1 END AS next_offset FROM m WHERE i <= 5""")
+@query("j12_symbol_hits", JAVA + """SELECT file AS path, 5 * i + 2 AS line, false AS declaration, i AS rank, n AS total, CASE WHEN 5 < n THEN 5 ELSE -1 END AS next_offset FROM m WHERE i <= 5""")
 def j12(t):
     return X.symbol_hits(java_files(t), "other", page=5)
 

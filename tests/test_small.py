@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import scalars as S
-from pathloom.operators import coverage, endpoints, graph, intervals, journal, pools, ranking, skew, structure, text, transfers
+from pathloom.operators import coverage, endpoints, entities, graph, intervals, journal, pools, ranking, skew, structure, text, transfers
 from pathloom.session import checkpoint_dir
 from pathloom.sources import files as FS
 from pathloom.sources import findings as FN
@@ -292,24 +292,90 @@ public class Shop<T> extends Base {
 
 
 def test_mask_keeps_every_position(spark):
-    row = spark.createDataFrame([(JAVA,)], "text string").select(text.mask_code(F.col("text")).alias("m")).first().m
+    row = spark.createDataFrame([(JAVA,)], "text string").select(entities.mask(F.col("text")).alias("m")).first().m
     assert len(row) == len(JAVA) and [i for i, c in enumerate(row) if c == "\n"] == [i for i, c in enumerate(JAVA) if c == "\n"]
     assert "doc" not in row and "open" not in row and "block" not in row and row.count("{") == row.count("}")
     assert all(a == b or a in " 0" for a, b in zip(row, JAVA))
 
 
 def test_lexical_entities_of_a_class(spark):
-    entities, diagnostics = text.extract_entities(spark.createDataFrame([("A.java", JAVA)], "path string, text string"))
-    got = {(r.kind, r.qualified_name, r.start, r.end, r.signature) for r in entities.collect()}
+    got, diagnostics = entities.extract_entities(spark.createDataFrame([("A.java", JAVA)], "path string, text string"))
+    got = {(r.kind, r.qualified_name, r.start, r.end, r.signature) for r in got.collect()}
     base = "com.example.app.Shop"
     assert {g for g in got if g[0] in ("TYPE", "METHOD", "CONSTRUCTOR", "FIELD", "PACKAGE")} == {
         ("PACKAGE", "com.example.app", 1, 1, "package com.example.app"), ("TYPE", base, 4, 26, "class Shop"), ("TYPE", f"{base}.Item", 23, 25, "class Item"),
-        ("CONSTRUCTOR", f"{base}.Shop", 9, 11, "Shop(String)"), ("METHOD", f"{base}.find", 13, 19, "find(String,int...)") , ("METHOD", f"{base}.later", 21, 21, "later(int)"),
-        ("METHOD", f"{base}.Item.weight", 24, 24, "weight()"), ("FIELD", f"{base}.items", 6, 6, "items:Map<String, List<T>>"), ("FIELD", f"{base}.count", 7, 7, "count:int")}
-    assert {g[1] for g in got if g[0] == "CALL"} == {"load", "name.length", "inner", "wrap", "compute"}
+        ("CONSTRUCTOR", f"{base}.Shop", 9, 11, "Shop(String)"), ("METHOD", f"{base}.find", 13, 19, "find(String,int...)"), ("METHOD", f"{base}.later", 21, 21, "later(int)"),
+        ("METHOD", f"{base}.Item.weight", 24, 24, "weight()"), ("FIELD", f"{base}.items", 6, 6, "items:Map<String,List<T>>"), ("FIELD", f"{base}.count", 7, 7, "count:int")}
+    assert {g[1].split("::")[1] for g in got if g[0] == "CALL"} == {"length", "inner", "wrap", "compute"}
     assert diagnostics.count() == 0
 
 
+SPREAD = """package com . example ;
+
+@Marker(value = @Named("é } {"), n = (1 + (2 * (3 + (4)))))
+public abstract class Wide<T extends Comparable<T>>
+    extends Base<T> implements Runnable {
+  private static final java.util.Map<String, java.util.List<T>>
+      values = make(1), other;
+  @Deprecated
+  <R> R
+  process(
+      final @Named("a") java.util.List<? extends T> items,
+      int[] more,
+      String... rest
+  ) throws java.io.IOException {
+    this.run(a -> {
+      helper(1,
+          2);
+      return new Inner(items) { int size() { return deep(0); } };
+    }, "x, (y");
+    if (more == null) { return f(g(h())); }
+  }
+  Wide() { this(1); }
+  protected abstract void end(char c);
+  enum Kind { A, B; int of(int x) { return x; } }
+}
+"""
+
+
+def test_lexical_entities_over_many_lines(spark):
+    deep = "class D { void d() { return " + "".join(f"f{i}(" for i in range(20)) + ")" * 20 + "; } }"
+    broken = "class Broken {\n void m() {\n x(1;\n }\n"
+    files = [("W.java", SPREAD), ("D.java", deep), ("B.java", broken), ("S.java", "}\nclass S { }\n) int x;"), ("N.java", None), ("E.java", "")]
+    found, diagnostics = entities.extract_entities(spark.createDataFrame(files, "path string, text string"))
+    rows = found.collect()
+    base, fn = "com.example.Wide", "com.example.Wide.process(java.util.List<?extends T>,int[],String...)"
+    wide = {(r.kind, r.qualified_name, r.start, r.end, r.signature, r.type_text) for r in rows if r.file == "W.java"}
+    assert {w for w in wide if w[0] in ("TYPE", "METHOD", "CONSTRUCTOR", "FIELD", "PARAMETER", "PACKAGE")} >= {
+        ("PACKAGE", "com.example", 1, 1, "package com.example", None), ("TYPE", base, 3, 25, "class Wide", "<T extends Comparable<T>>extends Base<T>implements Runnable"),
+        ("FIELD", f"{base}.values", 6, 7, "values:java.util.Map<String,java.util.List<T>>", "java.util.Map<String,java.util.List<T>>"),
+        ("METHOD", f"{base}.process", 8, 21, "process(java.util.List<?extends T>,int[],String...)", "R"), ("PARAMETER", f"{fn}#items", 11, 11, "0:java.util.List<?extends T>", "java.util.List<?extends T>"),
+        ("PARAMETER", f"{fn}#more", 12, 12, "1:int[]", "int[]"), ("PARAMETER", f"{fn}#rest", 13, 13, "2:String...", "String..."), ("CONSTRUCTOR", f"{base}.Wide", 22, 22, "Wide()", base),
+        ("METHOD", f"{base}.end", 23, 23, "end(char)", "void"), ("TYPE", f"{base}.Kind", 24, 24, "enum Kind", None), ("METHOD", f"{base}.Kind.of", 24, 24, "of(int)", "int")}
+    calls = {(r.simple_name, r.start, r.end, r.n_args, r.detail, r.enclosing_callable, r.start_column) for r in rows if r.file == "W.java" and r.kind == "CALL"}
+    assert {c[:6] for c in calls} == {
+        ("run", 15, 19, 2, "METHOD_CALL", fn), ("helper", 16, 17, 2, "METHOD_CALL", fn), ("Inner", 18, 18, 1, "CONSTRUCTOR_CALL", fn), ("size", 18, 18, 0, "METHOD_CALL", fn), ("deep", 18, 18, 1, "METHOD_CALL", fn),
+        ("f", 20, 20, 1, "METHOD_CALL", fn), ("g", 20, 20, 1, "METHOD_CALL", fn), ("h", 20, 20, 0, "METHOD_CALL", fn), ("this", 22, 22, 1, "DELEGATING_CONSTRUCTOR_CALL", f"{base}.Wide()")}
+    assert ("run", 10) in {(c[0], c[6]) for c in calls} and ("h", 36) in {(c[0], c[6]) for c in calls}
+    notes = {(r.qualified_name, r.start, r.end) for r in rows if r.file == "W.java" and r.kind == "ANNOTATION"}
+    assert notes >= {(f"{base}@Marker", 3, 3), (f"{base}@Named", 3, 3), (f"{base}@Deprecated", 8, 8)} and len(notes) == 4
+    assert sorted(r.simple_name for r in rows if r.file == "D.java" and r.kind == "CALL") == sorted(f"f{i}" for i in range(20))
+    assert {(r.kind, r.confidence, r.end) for r in rows if r.file == "B.java" and r.kind != "CALL"} == {("TYPE", "LOW", 5), ("METHOD", "HIGH", 4)}
+    assert {(r.path, r.error_class, r.line) for r in diagnostics.collect()} == {
+        ("B.java", "UNMATCHED_BRACE", 1), ("B.java", "UNMATCHED_PARENTHESIS", 3), ("S.java", "UNMATCHED_BRACE", 1), ("S.java", "UNMATCHED_PARENTHESIS", 3)}
+
+
+def test_masks_equal_a_plain_scan(spark):
+    """Random texts, and literals so long that a recursive matcher would run out of stack."""
+    plain = re.compile(r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|"{3}[\s\S]*?(?:"{3}|\Z)|"(?:\\[\s\S]?|[^"\\])*(?:"|\Z)|'(?:\\[\s\S]?|[^'\\])*(?:'|\Z)""")
+    rng = random.Random(9)
+    pieces = ["//", "/*", "*/", '"', "'", "\\", "\n", "a", " ", '"' * 3, "{", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(300)] + ["/*" + "x*" * 20000, '"' + "y\\n" * 20000]
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else "0" + re.sub(r"[^\n]", " ", m[0][1:])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", entities.mask(F.col("t")).alias("m")).collect()
+    assert [(r.t, r.m, plain.sub(blank, r.t)) for r in rows if r.m != plain.sub(blank, r.t)] == []
+
+
 def test_redaction_keeps_bytes(spark):
     raw = "é CVE-2021-12345 x " + "a" * 40 + " Secret\nsecret"
     out = spark.createDataFrame([(raw,)], "t string").select(text.redact(F.col("t"), ["secret"]).alias("m")).first().m
