@@ -292,17 +292,26 @@ def contracts(methods: DataFrame, implements: DataFrame, docs: DataFrame) -> Dat
     return single.join(docs.withColumnRenamed("method", "contract"), "contract", "left").select("method", "contract", "doc_start", "doc_end")
 
 
+# Kinds of entity that stand beside another one in a callable.
+LOCAL_KINDS = ("CALL", "METHOD", "CONSTRUCTOR")
+
+
 def neighbors(entities: DataFrame, targets: DataFrame, graph: DataFrame, limit: int = 3) -> DataFrame:
     """First neighbours per target: graph links, then two same-name entities of the other side elsewhere, then the same callable.
 
-    ``entities(entity_id, file, name, is_call, callable)``, ``graph(src, dst)``.
+    ``entities(entity_id, file, name, kind, callable)``, ``graph(src, dst)``. Of a name only the first two entities of each
+    file, and of these the first four, can be among a target's two, so a common name costs four rows a target.
     """
-    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in ("entity_id", "file", "name", "is_call", "callable")])
+    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in ("entity_id", "file", "name", "kind", "callable")])
     both = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst")
     linked = t.select("t_entity_id").join(both, F.col("t_entity_id") == F.col("src")).select("t_entity_id", F.col("dst").alias("entity_id"), F.lit(0).alias("tier"))
-    named = t.join(entities, (F.col("t_name") == F.col("name")) & (F.col("t_is_call") != F.col("is_call")) & (F.col("t_file") != F.col("file")))
+    sided = entities.withColumn("is_call", F.col("kind") == "CALL")
+    few = top_k(sided.select("name", "is_call", "file", "entity_id"), ["name", "is_call", "file"], [F.col("entity_id")], 2, rank="__f").drop("__f")
+    few = top_k(few, ["name", "is_call"], [F.col("entity_id")], 4, rank="__n").drop("__n")
+    named = t.join(few, (F.col("t_name") == F.col("name")) & ((F.col("t_kind") == "CALL") != F.col("is_call")) & (F.col("t_file") != F.col("file")))
     named = top_k(named.select("t_entity_id", "entity_id"), ["t_entity_id"], [F.col("entity_id")], 2).select("t_entity_id", "entity_id", F.lit(1).alias("tier"))
-    local = t.join(entities, F.col("t_callable") == F.col("callable")).filter("entity_id <> t_entity_id").select("t_entity_id", "entity_id", F.lit(2).alias("tier"))
+    near = entities.filter(F.col("kind").isin(*LOCAL_KINDS))
+    local = t.join(near, F.col("t_callable") == F.col("callable")).filter("entity_id <> t_entity_id").select("t_entity_id", "entity_id", F.lit(2).alias("tier"))
     merged = first_by(linked.unionByName(named).unionByName(local), ["t_entity_id", "entity_id"], ["tier"])
     return top_k(merged, ["t_entity_id"], [F.col("tier"), F.col("entity_id")], limit).select(
         F.col("t_entity_id").alias("target"), "entity_id", "tier", "rank")

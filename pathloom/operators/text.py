@@ -120,24 +120,27 @@ def read_ranges(files: DataFrame, requests: DataFrame, max_lines: int = 200, max
         F.when(ok, F.least("end", "total")).alias("end_line"), F.when(ok, F.col("end") > F.col("total")).alias("truncated"))
 
 
+# Fixed value: advisory ids and 40-digit hex ids.
+IDS = r"(?i)CVE-[0-9]{4}-[0-9]{4,}|(?<![0-9A-Za-z_])[0-9a-f]{40}(?![0-9A-Za-z_])"
+
+
+def _covered(text: Column, pattern: str) -> Column:
+    """Every match as so many X as it has bytes."""
+    hidden = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit("X"), F.octet_length(m)))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("code"), hidden.alias("gap"))
+    return F.array_join(F.flatten(F.transform(pairs, lambda x: F.array(x["code"], F.coalesce(x["gap"], F.lit(""))))), "")
+
+
+def _cover_with(pattern: str):
+    return lambda text: _covered(text, pattern)
+
+
 def redact(text: Column, tokens: Sequence[str] = ()) -> Column:
     """Advisory ids, 40-digit hex ids and given tokens replaced by X, byte for byte."""
-    ordered = sorted({t.encode() for t in tokens if len(t.encode()) >= 3}, key=len, reverse=True)
-    patterns = [re.compile(rb"CVE-\d{4}-\d{4,}|\b[0-9a-f]{40}\b", re.I), *[re.compile(re.escape(t), re.I) for t in ordered]]
-
-    @F.pandas_udf("string")
-    def apply(values: pd.Series) -> pd.Series:
-        def one(value: str | None) -> str | None:
-            if value is None:
-                return None
-            data = value.encode()
-            for pattern in patterns:
-                data = pattern.sub(lambda m: b"X" * len(m.group()), data)
-            return data.decode()
-
-        return values.map(one)
-
-    return apply(text)
+    ordered = sorted({t for t in tokens if len(t.encode()) >= 3}, key=lambda t: len(t.encode()), reverse=True)
+    for pattern in (IDS, *[f"(?i){re.escape(t)}" for t in ordered]):
+        text = let(text, _cover_with(pattern))
+    return text
 
 
 def source_safe(text: Column) -> Column:

@@ -210,10 +210,9 @@ def p11(t):
     return X.production_only(rows, S.is_test_path(F.col("path"))).select("doc_id", "project")
 
 
-@query("p23_redact", """SELECT doc_id, strlen(text) AS bytes, length(text) - length(replace(text, chr(10), '')) AS ends, false AS leaks FROM documents""")
+@query("p23_redact", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b[0-9a-f]{40}\b', repeat('X', 40), 'g'), '(?i)tion', 'XXXX', 'g'), '(?i)the', 'XXX', 'g') AS masked FROM documents""")
 def p23(t):
-    masked = t.documents.select("doc_id", X.redact(F.col("text"), ["the", "tion"]).alias("m"))
-    return masked.select("doc_id", F.octet_length("m").alias("bytes"), (F.length("m") - F.length(F.replace("m", F.lit("\n"), F.lit("")))).alias("ends"), F.lower("m").contains("tion").alias("leaks"))
+    return t.documents.select("doc_id", X.redact(F.col("text"), ["the", "tion"]).alias("masked"))
 
 
 @query("p24_source_safe", """SELECT doc_id, concat('id [identifier removed] ', text) AS text FROM documents""")

@@ -281,6 +281,18 @@ def c37_views(t):
     return Y.resolve_references(refs, targets.unionByName(twice))
 
 
+@query("c37_page_scripts", """SELECT p_partkey AS ref_id, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_size % 4 = 1 THEN concat('base/web/a', p_partkey, '.js') WHEN p_type = 'PROMO' THEN NULL ELSE concat('base/static/js/a', p_partkey, '.js') END AS target,
+    CASE WHEN p_size % 4 = 3 THEN 'absent' WHEN p_size % 4 <> 1 AND p_type = 'PROMO' THEN 'ambiguous' ELSE 'resolved' END AS status FROM part""")
+def c37_scripts(t):
+    k, case = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+    file = F.concat(F.lit("a"), k, F.lit(".js"))
+    src = F.when(case == 0, F.concat(F.lit("/js/"), file)).when(case == 1, file).when(case == 2, F.concat(F.lit("${request.contextPath}/js/"), file)).otherwise(F.concat(F.lit("../"), file))
+    refs = t.part.select(F.col("p_partkey").alias("ref_id"), Y.script_names(F.lit("base"), F.lit("base/web/page.html"), src).alias("names"))
+    held = lambda folder, rows: rows.select(F.concat(F.lit(folder), file).alias("name")).select("name", F.col("name").alias("target"))
+    targets = held("base/static/js/", t.part).unionByName(held("base/web/", t.part)).unionByName(held("base/public/js/", t.part.filter("p_type = 'PROMO'")))
+    return Y.resolve_references(refs, targets)
+
+
 @query("c38_web_surfaces", """WITH m AS (SELECT o_orderkey AS id, o_custkey AS ty FROM orders WHERE o_orderstatus = 'F'), pe AS (SELECT l_orderkey AS id, array_to_string(list_sort(list(DISTINCT concat('Repo', l_suppkey, '.save'))), ',') AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN
         (SELECT DISTINCT o_custkey AS ty, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R') f ON f.ty = o_custkey AND f.s = l_suppkey GROUP BY 1),
     mp AS (SELECT o_custkey AS ty, array_to_string(list_sort(list(DISTINCT concat('map/', l_suppkey, '.xml'))), ',') AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 5000 WHERE l_returnflag = 'R' GROUP BY 1)
