@@ -278,7 +278,7 @@ def _one_of_each(sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, depth: int = 2, cells_per_window: int = 8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, depth: int = 1, cells_per_window: int = 8,
     chunk_bytes: int = sketch.CHUNK_BYTES, node_tokens: int = NODE_TOKENS,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``.
@@ -286,7 +286,8 @@ def jaccard_components(
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a document's set are its distinct runs of ``shingle``
     words, or its whole sequence if it has fewer. Two documents link when 100 * intersection >= ``percent`` * union;
     ``component_id`` is the smallest id that links lead to, a document's own included. ``node_tokens`` bounds the tokens
-    of a node of a block, that is of one side of a task.
+    of a node of a block, that is of one side of a task. One row of the sketch is enough here: a lone set passes only if
+    three quarters of its shingles are overestimated.
 
     Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing, so they keep
     their id; a null id is never a smallest id: its row gets the smallest other id of its component, or null; every row is a
