@@ -46,10 +46,11 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<string>")
 
+    # Letters that a pattern cannot do without are looked for first, as that costs far less.
+    needs = {ASSIGN: text.contains("=") | text.contains(":"), ACCESS: text.contains("AKIA"), HEX: F.lit(True), OPAQUE: F.rlike(text, F.lit("[0-9]"))}
+
     def where(pattern: str, value: Column) -> Column:
-        """Only where the pattern is found; a letter it cannot do without is looked for first."""
-        sure = text.contains("=") | text.contains(":") if pattern == ASSIGN else text.contains("AKIA") if pattern == ACCESS else F.rlike(text, F.lit("[0-9]")) if pattern == OPAQUE else F.lit(True)
-        return F.when(sure & F.rlike(text, F.lit(pattern)), value).otherwise(none)
+        return F.when(needs[pattern] & F.rlike(text, F.lit(pattern)), value).otherwise(none)
 
     kinds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "opaque": OPAQUE}
     raw = {f"m_{k}": where(p, matches(text, p)) for k, p in kinds.items()} | {f"s_{k}": where(p, F.split(text, p, -1)) for k, p in kinds.items()}
