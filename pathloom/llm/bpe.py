@@ -14,6 +14,7 @@ import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.llm.common import store
 from pathloom.llm.decontaminate import ragged
 
 #: Fixed value: how byte-level BPE cuts a text into words.
@@ -61,37 +63,93 @@ class Vocabulary:
                 self.byte_ids[b] = vocab[letter]
 
 
+NO_RANK = np.int32(np.iinfo(np.int32).max)
+SHORT_BYTES = 64
+
+
 class Merger:
-    """Exact BPE of one word: the lowest-ranked neighbouring pair merges first, the leftmost of equals."""
-
-    def __init__(self, byte_ids: Sequence[int], merges: np.ndarray):
-        self.byte_ids = [int(b) for b in byte_ids]
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges.tolist())}
-
-    def __call__(self, word: bytes) -> list[int]:
-        ids = [i for i in map(self.byte_ids.__getitem__, word) if i >= 0]
-        if len(ids) > 64:
-            return self._long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best = min((rank[p] + (i,) for i, p in enumerate(zip(ids, ids[1:])) if p in rank), default=None)
-            if best is None:
+    """Exact BPE: the lowest-ranked neighbouring pair of a word merges first, the leftmost of equals.
+
+    Short words take their merges together, one a step, as rows of a matrix; long ones go one by one with a heap.
+    """
+
+    def __init__(self, byte_ids: np.ndarray, merges: np.ndarray):
+        self.byte_ids = np.asarray(byte_ids, np.int64)
+        keys = (merges[:, 0] << 32) | merges[:, 1]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks, self.made = np.append(keys[order], -1), np.append(order.astype(np.int32), NO_RANK), np.append(merges[order, 2], -1)
+        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges = merges
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place of each pair of ids among the merges, the last one (which is none) if they do not merge."""
+        wanted = (a << 32) | b
+        at = np.searchsorted(self.keys[:-1], wanted)
+        return np.where(self.keys[at] == wanted, at, len(self.keys) - 1)
+
+    def __call__(self, words: Sequence[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((0, 8), (8, 16), (16, SHORT_BYTES)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for part in np.array_split(rows, len(rows) // 20000 + 1):
+                for i, ids in zip(part.tolist(), self._together([words[i] for i in part.tolist()])):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes > SHORT_BYTES).tolist():
+            out[i] = self._long([x for x in self.byte_ids[np.frombuffer(words[i], np.uint8)].tolist() if x >= 0])
+        return out
+
+    def _together(self, words: list[bytes]) -> list[list[int]]:
+        if not words:
+            return []
+        width = max(map(len, words)) + 1
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.where(np.arange(width) < sizes[:, None], self.byte_ids[raw], -1)
+        for i in np.flatnonzero((ids < 0).sum(axis=1) > width - sizes).tolist():  # bytes the vocabulary lacks fall out
+            kept = ids[i][ids[i] >= 0]
+            ids[i] = -1
+            ids[i, : len(kept)] = kept
+            sizes[i] = len(kept)
+        done, live = ids.copy(), np.arange(len(words))
+        pair = self._pairs(ids[:, :-1], ids[:, 1:])
+        column = np.arange(width)
+        while len(live):
+            rank = self.ranks[pair]
+            best = rank.argmin(axis=1)
+            row = np.arange(len(live))
+            merges = rank[row, best] != NO_RANK
+            done[live[~merges]] = ids[~merges]
+            live, ids, pair, best = live[merges], ids[merges], pair[merges], best[merges]
+            if not len(live):
                 break
-            ids[best[2] : best[2] + 2] = [best[1]]
-        return ids
+            row = np.arange(len(live))
+            ids[row, best] = self.made[pair[row, best]]
+            # Everything after the merged pair moves up by one.
+            later = np.minimum(column + (column > best[:, None]), width - 1)
+            ids = np.take_along_axis(ids, later, 1)
+            ids[:, -1] = -1
+            pair = np.take_along_axis(pair, np.minimum(later[:, : width - 1], width - 2), 1)
+            pair[:, -1] = len(self.keys) - 1
+            pair[row, best] = self._pairs(ids[row, best], ids[row, np.minimum(best + 1, width - 1)])
+            before = np.maximum(best - 1, 0)
+            joined = self._pairs(ids[row, before], ids[row, before + 1])
+            pair[row, before] = np.where(best > 0, joined, pair[row, before])
+        counts = (done >= 0).sum(axis=1)
+        return [r[:n] for r, n in zip(done.tolist(), counts.tolist())]
 
     def _long(self, ids: list[int]) -> list[int]:
-        """The same with a heap and a linked list, for words of any length."""
-        import heapq
-
+        """A heap of pairs and a linked list, for words of any length."""
+        if not self.rank:
+            self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(self.merges.tolist())}
         after = [*range(1, len(ids)), -1]
         before = list(range(-1, len(ids) - 1))
         heap = [(*self.rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
         heap = [(r, i, c, p) for r, c, i, p in heap]
-        heapq.heapify(heap)
+        heapify(heap)
         live = [True] * len(ids)
         while heap:
-            _, i, made, pair = heapq.heappop(heap)
+            _, i, made, pair = heappop(heap)
             j = after[i] if live[i] else -1
             if j < 0 or (ids[i], ids[j]) != pair:
                 continue
@@ -102,7 +160,7 @@ class Merger:
             for left in (before[i], i):
                 if left >= 0 and after[left] >= 0 and (pair := (ids[left], ids[after[left]])) in self.rank:
                     rank, made = self.rank[pair]
-                    heapq.heappush(heap, (rank, left, made, pair))
+                    heappush(heap, (rank, left, made, pair))
         return [x for x, keep in zip(ids, live) if keep]
 
 
@@ -234,11 +292,26 @@ def count_words(docs: DataFrame, special: Sequence[str]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def frequent_words(counted: DataFrame, most: int, steps: int = 64) -> list[str]:
+    """At most ``most`` words, from the greatest counts down, cut between two steps of the counts' logarithm.
+
+    A histogram of that logarithm (``steps`` to a factor e) finds the cut, so only the words above it are collected.
+    """
+    again = store(counted.where("count > 1").withColumn("step", F.floor(F.log("count") * steps).cast("int")))
+    cut, held = None, 0
+    for r in sorted(again.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > most:
+            break
+        cut = r["step"]
+    return [] if cut is None else [r["word"] for r in again.where(F.col("step") >= cut).select("word").collect()]
+
+
 def build_lexicon(vocabulary: Vocabulary, words: Sequence[str]) -> dict[str, np.ndarray]:
     """The arrays of the lexicon file: automaton, ids by word, tokens' bytes, merges."""
     merge = Merger(vocabulary.byte_ids, vocabulary.merges)
     raw = sorted({w.encode() for w in words if w})
-    ids = [merge(w) for w in raw]
+    ids = merge(raw)
     text = vocabulary.token_bytes
     return compile_words(raw) | {
         "word_first": np.cumsum([0, *map(len, ids)], dtype=np.int64), "word_ids": np.array(list(chain.from_iterable(ids)), np.int32),
@@ -279,16 +352,19 @@ class Coder:
         own: dict[int, list[int]] = {}
         if len(self.merged) > self.remember:
             self.merged.clear()
+        new = []
         for i in np.flatnonzero(~known).tolist():
             if words[i] in self.special:
                 own[i] = [self.special[words[i]]]
-                continue
-            ids = self.merged.get(raw[i])
-            if ids is None:
-                ids = self.merge(raw[i])
-                if len(raw[i]) <= 64:
-                    self.merged[raw[i]] = ids
+            elif (ids := self.merged.get(raw[i])) is not None:
+                own[i] = ids
+            else:
+                own[i] = []
+                new.append(i)
+        for i, ids in zip(new, self.merge([raw[i] for i in new])):
             own[i] = ids
+            if len(raw[i]) <= SHORT_BYTES:
+                self.merged[raw[i]] = ids
         rest = np.fromiter(own, np.int64, len(own))
         size[rest] = np.fromiter(map(len, own.values()), np.int64, len(own))
         begin = np.cumsum(size) - size
@@ -301,10 +377,7 @@ class Coder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
         split = [_pieces(t, self.cut) for t in texts]
-        index: dict[str, int] = {}
-        for words in split:
-            for w in words:
-                index.setdefault(w, len(index))
+        index = dict(zip(dict.fromkeys(chain.from_iterable(split)), range(1 << 62)))
         if not index:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         ids, first = self._ids_of(list(index))
@@ -340,22 +413,22 @@ def _coder(name: str, special: dict[str, int]):
 
 
 def encode_and_decode(
-    docs: DataFrame, tokenizer_path: str, text_col: str = "text", carry: Sequence[str] = ("*",), frequent: int = 1 << 16,
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", carry: Sequence[str] = ("*",), frequent: int = 1 << 18,
 ) -> DataFrame:
     """Per row of ``docs``: ``row`` (its columns named in ``carry`` as one struct), ``n_tokens, ids, decoded``.
 
     ``ids`` are those of the byte-level BPE file at ``tokenizer_path`` without added tokens; a special token's text is that
     token. ``decoded`` are the tokens' bytes as text. Words are counted over the whole corpus and the ``frequent`` most
-    frequent ones form the lexicon: its size changes the time, never the ids, as all other words are merged exactly.
+    frequent ones, as far as they occur twice, form the lexicon: its size changes the time, never the ids, as all other
+    words are merged exactly.
 
     Defined cases: a null text is empty; an empty one has no ids and decodes to itself; words of any length merge
-    exactly; among words of equal counts the lexicon takes the smaller; repeated rows get equal results; columns of any
+    exactly; words of about equal counts enter the lexicon together or not at all; repeated rows get equal results; columns of any
     name may be present, as they stay inside ``row``; no rows give no rows.
     """
     vocabulary = Vocabulary(tokenizer_path)
     work = docs.select(F.struct(*carry).alias("row"), F.col(text_col).cast("string").alias("text"))
-    counted = count_words(work, list(vocabulary.special)).orderBy(F.desc("count"), "word").limit(frequent)
-    lexicon = build_lexicon(vocabulary, [r["word"] for r in counted.select("word").collect()])
+    lexicon = build_lexicon(vocabulary, frequent_words(count_words(work, list(vocabulary.special)), frequent))
     name = ship(docs.sparkSession, lexicon)
     schema = T.StructType([
         work.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()),

@@ -267,12 +267,13 @@ def test_automaton_is_minimal_and_finds_places():
     assert len(made["final"]) == len(suffixes)
 
 
-def test_merges_of_long_words_equal_those_of_short_ones():
-    vocabulary = bpe.Vocabulary(TOKENIZER)
-    merge, rng = bpe.Merger(vocabulary.byte_ids, vocabulary.merges), random.Random(1)
-    for _ in range(200):
-        word = bytes(rng.choice(b"theingaou") for _ in range(rng.randrange(2, 60)))
-        assert merge(word) == merge._long([int(vocabulary.byte_ids[b]) for b in word])
+def test_merges_together_and_one_by_one():
+    vocabulary, rng = bpe.Vocabulary(TOKENIZER), random.Random(1)
+    merge, t = bpe.Merger(vocabulary.byte_ids, vocabulary.merges), Tokenizer.from_file(TOKENIZER)
+    words = ["".join(rng.choice("theingaouxé") for _ in range(rng.randrange(1, 90))) for _ in range(500)] + ["a", "", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    ids = [t.encode(w, add_special_tokens=False).ids for w in words]
+    assert merge([w.encode() for w in words]) == ids
+    assert [merge._long([int(vocabulary.byte_ids[b]) for b in w.encode()]) for w in words] == ids
 
 
 def test_top_k(spark):
