@@ -65,10 +65,32 @@ def connected(inputs: DataFrame, effects: DataFrame, edges: DataFrame, max_depth
     )
 
 
+def connected_among(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of the given (input, effect) node pairs those that flow joins.
+
+    Each input walks only inside nodes from which some wanted effect can be reached, and stops when all its effects are
+    found: the work follows the pairs asked for, not all inputs times all effects.
+    """
+    edges, open_ = stored_edges(edges), cut_lineage(pairs.select("input", "effect").distinct())
+    useful = hop_distance(reverse(edges), open_.select(F.col("effect").alias("node")).distinct(), stored=True).select(F.col("node").alias("dst"))
+    kept = cut_lineage(edges.join(useful, "dst", "left_semi").select("src", "dst").repartition("src"))
+    frontier = cut_lineage(open_.select(F.col("input").alias("seed"), F.col("input").alias("node")).distinct())
+    known, found = [frontier], []
+    while True:
+        found.append(cut_lineage(open_.join(frontier.select(F.col("seed").alias("input"), F.col("node").alias("effect")), ["input", "effect"], "left_semi")))
+        open_ = cut_lineage(open_.join(found[-1], ["input", "effect"], "left_anti"))
+        live = open_.select(F.col("input").alias("seed")).distinct()
+        step = frontier.join(live, "seed", "left_semi").join(kept, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = cut_lineage(step.join(_union(known), ["seed", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return _union(found)
+        known.append(frontier)
+
+
 def cheapest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Least summed ``cost`` from any seed to each node, with the parent on the best path (least parent on ties)."""
     edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")).repartition("src"))
-    known = cut_lineage(seeds.select("node").distinct().select("node", F.lit(0).cast("long").alias("cost"), F.lit(None).cast("long").alias("parent")))
+    known = cut_lineage(seeds.select("node").distinct().select("node", F.lit(0).cast("long").alias("cost"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent")))
     changed = known
     while True:
         offers = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import rate
 from pathloom.operators.skew import first_by, prefix_sum, top_k
+from pathloom.session import cut_lineage
 
 
 def settle(starts: DataFrame, responses: DataFrame, outcomes: DataFrame, key: str = "request_key") -> DataFrame:
@@ -67,28 +68,32 @@ def accounting(settled: DataFrame, by: Sequence[str], historical: DataFrame | No
     return joined.fillna(0, [c for c in joined.columns if c not in by])
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], buckets: int = 1024) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], parts: int = 100, most: int = 100_000) -> DataFrame:
     """Exact nearest-rank percentiles per key, without ordering a whole key in one task.
 
-    A bounded histogram finds the bucket that holds each rank; only that bucket's distinct values are ordered.
+    Equal values are counted first. While the bracket of a wanted rank holds more than ``most`` distinct values, a quantile
+    sketch cuts it into ``parts`` pieces of about as many values, whatever their spread; exact counts tell the piece that
+    holds the rank. Only the values of the last bracket are ordered.
     """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n"))
-    width = F.greatest((F.col("__hi") - F.col("__lo")) / buckets, F.lit(1e-300))
-    placed = df.select(*keys, value).filter(F.col(value).isNotNull()).join(stats, keys).withColumn(
-        "__b", F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(buckets - 1)))
+    by = [*keys, "name"]
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__m"))
+    sizes = counted.groupBy(*keys).agg(F.sum("__m").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
     ranks = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("__n") * F.lit(frac)), F.lit(1)).alias("rank")) for name, frac in fractions.items()
-    ])).alias("__r")
-    wanted = stats.select(*keys, ranks).select(*keys, "__r.name", "__r.rank")
-    counts = placed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    upto = W.partitionBy(*keys).orderBy("__b")
-    cumulative = counts.withColumn("__upto", F.sum("__c").over(upto)).withColumn("__before", F.col("__upto") - F.col("__c"))
-    target = wanted.join(cumulative, keys).filter((F.col("__before") < F.col("rank")) & (F.col("rank") <= F.col("__upto")))
-    inside = placed.join(target.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi").groupBy(*keys, "__b", value).agg(F.count(F.lit(1)).alias("__m"))
-    within = inside.withColumn("__in", F.sum("__m").over(W.partitionBy(*keys, "__b").orderBy(value)))
-    hits = target.join(within, [*keys, "__b"]).filter(F.col("__before") + F.col("__in") >= F.col("rank"))
-    best = hits.groupBy(*keys, "name").agg(F.min(value).alias("__v"))
+        F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("__n") * F.lit(frac)), F.lit(1)).alias("rank")) for name, frac in fractions.items()])).alias("__r")
+    wanted = sizes.select(*keys, "__low", "__high", ranks).select(*keys, "__r.name", "__r.rank", "__low", "__high", F.lit(0).cast("long").alias("__below"))
+    bracket = lambda w: counted.join(w, keys).filter(F.col("__v").between(F.col("__low"), F.col("__high")))
+    held = bracket(wanted)
+    while not held.groupBy(*by).count().filter(F.col("count") > most).isEmpty():
+        cuts = F.percentile_approx("__v", [i / parts for i in range(1, parts)], 10 * parts).alias("__cuts")
+        piece = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
+        placed = held.join(held.groupBy(*by).agg(cuts), by).groupBy(*by, "rank", "__below", piece.alias("__p")).agg(
+            F.sum("__m").alias("__s"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        upto = placed.withColumn("__upto", F.col("__below") + F.sum("__s").over(W.partitionBy(*by).orderBy("__p"))).withColumn("__before", F.col("__upto") - F.col("__s"))
+        wanted = cut_lineage(upto.filter((F.col("__before") < F.col("rank")) & (F.col("rank") <= F.col("__upto"))).select(*by, "rank", "__low", "__high", F.col("__before").alias("__below")))
+        held = bracket(wanted)
+    within = held.withColumn("__upto", F.col("__below") + F.sum("__m").over(W.partitionBy(*by).orderBy("__v")))
+    best = within.filter(F.col("__upto") >= F.col("rank")).groupBy(*by).agg(F.min("__v").alias("__v"))
     return best.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.round("__v", 6))).alias(name) for name in fractions])
 
 
@@ -99,15 +104,16 @@ def latency(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def tool_report(calls: DataFrame) -> DataFrame:
-    """Per tool and over all (tool ``*``): status counts, success and truncation rates, latency."""
-    both = calls.withColumn("tool", F.explode(F.array(F.col("tool"), F.lit("*"))))
-    n = F.count(F.lit(1))
-    base = both.groupBy("tool").agg(
-        F.count_if(F.col("status") == "OK").alias("ok"), F.count_if(F.col("status") == "EMPTY").alias("empty"),
-        F.count_if(F.col("status") == "ERROR").alias("error"),
-        F.round(F.count_if(F.col("status").isin("OK", "EMPTY")) / n, 6).alias("success_rate"),
-        F.round(F.count_if("truncated") / n, 6).alias("truncation_rate"))
-    return base.join(latency(both, ["tool"], "seconds"), "tool")
+    """Per tool and over all (tool ``*``): status counts, success and truncation rates, latency. The totals add up the tools'."""
+    by_tool = calls.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "OK").alias("ok"), F.count_if(F.col("status") == "EMPTY").alias("empty"),
+        F.count_if(F.col("status") == "ERROR").alias("error"), F.count_if("truncated").alias("cut"))
+    sums = ("n", "ok", "empty", "error", "cut")
+    total = by_tool.groupBy(F.lit("*").alias("tool")).agg(*[F.sum(c).alias(c) for c in sums])
+    base = by_tool.unionByName(total).select(
+        "tool", "ok", "empty", "error", F.round((F.col("ok") + F.col("empty")) / F.col("n"), 6).alias("success_rate"), F.round(F.col("cut") / F.col("n"), 6).alias("truncation_rate"))
+    times = calls.select("tool", "seconds")
+    return base.join(latency(times, ["tool"], "seconds").unionByName(latency(times.withColumn("tool", F.lit("*")), ["tool"], "seconds")), "tool")
 
 
 def failure_reasons(calls: DataFrame) -> DataFrame:

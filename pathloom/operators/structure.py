@@ -40,6 +40,21 @@ def gate_pairs(inputs: DataFrame, effects: DataFrame, calls: DataFrame, packages
     return same.unionByName(by_calls).unionByName(package)
 
 
+def gate_methods(inputs: DataFrame, effects: DataFrame, calls: DataFrame, packages: DataFrame) -> DataFrame:
+    """Distinct (input, effect) method pairs inside the structural gate: the rules of :func:`gate_pairs` on methods alone."""
+    i, e = inputs.select(F.col("method").alias("input")).distinct(), effects.select(F.col("method").alias("effect")).distinct()
+    edges = calls.select("src", "dst").distinct()
+    ahead = edges.select(F.col("src").alias("input"), F.col("dst").alias("effect"))
+    back = edges.select(F.col("dst").alias("input"), F.col("src").alias("effect"))
+    out = ahead.join(i, "input", "left_semi").select("input", F.col("effect").alias("mid"))
+    into = ahead.join(e, "effect", "left_semi").select(F.col("input").alias("mid"), "effect")
+    both = lambda df: df.select("input", "effect").join(i, "input", "left_semi").join(e, "effect", "left_semi")
+    side = lambda df, name: df.join(packages.select(F.col("method").alias(name), "package"), name)
+    return (
+        i.join(e, F.col("input") == F.col("effect")).unionByName(both(ahead)).unionByName(both(back)).unionByName(out.join(into, "mid").select("input", "effect"))
+        .unionByName(side(i, "input").join(side(e, "effect"), "package").select("input", "effect")).distinct())
+
+
 def gate_connected(connected: DataFrame, calls: DataFrame, packages: DataFrame) -> DataFrame:
     """Structural gate of method pairs that flow already connects: ``input, effect, distance, reason``.
 

@@ -101,7 +101,8 @@ def native_paths(t):
 
 def static_paths(t):
     """Gated pairs that flow connects, as located path rows with their confidence."""
-    linked = cut_lineage(connected_methods(t).select("input", "effect"))
+    gated = X.gate_methods(t.inputs, t.effects, t.call_edges, t.methods.select("method", "package"))
+    linked = cut_lineage(G.connected_among(gated, t.flow_edges))
     pairs = X.gate_connected(linked, t.call_edges, t.methods.select("method", "package")).groupBy("input", "effect").agg(F.min("distance").alias("gate_distance"))
     i = t.inputs.select("input_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("input_file"), F.col("line").alias("input_line"), F.col("method").alias("input"))
     e = t.effects.select("effect_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("effect_file"), F.col("line").alias("effect_line"), F.col("method").alias("effect"))

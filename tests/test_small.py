@@ -54,7 +54,7 @@ def test_prefix_sum_crosses_blocks(spark):
 
 def test_nearest_rank_matches_sorted_list(spark):
     rows = [(k, float(v * v % 37) + (v % 3) / 7) for k, v, _ in hot_rows()] + [(99, 4.0)]
-    got = {r.k: (r.p50, r.p95) for r in journal.nearest_rank(spark.createDataFrame(rows, "k int, x double"), ["k"], "x", {"p50": 0.5, "p95": 0.95}, buckets=8).collect()}
+    got = {r.k: (r.p50, r.p95) for r in journal.nearest_rank(spark.createDataFrame(rows, "k int, x double"), ["k"], "x", {"p50": 0.5, "p95": 0.95}, parts=4, most=20).collect()}
     by = defaultdict(list)
     for k, x in rows:
         by[k].append(x)
@@ -577,3 +577,14 @@ def test_faults_and_late_rows_of_a_journal(spark):
     aside = spark.createDataFrame([("h", 1), ("h", 1), ("i", 1)], "request_key string, run int")
     row = journal.accounting(journal.settle(start, answer, outcome).withColumn("run", F.lit(1)), ["run"], aside).first()
     assert (row.physical_requests, row.reported_tokens, row.quarantined_requests, row.historical_quarantined_requests) == (2, 4, 1, 2)
+
+
+def test_nearest_rank_narrows_skewed_values(spark):
+    """Values over many magnitudes with repeats and an outlier, narrowed several times."""
+    rng = random.Random(6)
+    rows = [("a", float(rng.choice([rng.randrange(5), 10 ** rng.randrange(6) + rng.random(), 1e12]))) for _ in range(3000)] + [("b", 7.0)] * 40 + [("c", None)]
+    got = {r.k: (r.lo, r.mid, r.hi) for r in journal.nearest_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.95}, parts=4, most=30).collect()}
+    for k in "ab":
+        vs = sorted(v for x, v in rows if x == k)
+        assert got[k] == tuple(round(vs[max(math.ceil(len(vs) * f), 1) - 1], 6) for f in (0.01, 0.5, 0.95))
+    assert set(got) == {"a", "b"}
