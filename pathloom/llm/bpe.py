@@ -30,7 +30,7 @@ from pathloom.llm.decontaminate import ragged
 
 #: Fixed value: how byte-level BPE cuts a text into words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -321,20 +321,27 @@ def build_lexicon(vocabulary: Vocabulary, words: Sequence[str]) -> dict[str, np.
 
 
 def ship(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
-    """Hand the lexicon file to Spark, which copies it to every executor, also to ones that join later; its name there."""
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    write_arrays(f"{folder}/draft", arrays)
-    with open(f"{folder}/draft", "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:32]}.bin"
-    os.link(f"{folder}/draft", f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
+    """Hand the lexicon file to Spark, which copies it to every executor, also to ones that join later; its name there.
+
+    The name is the digest of the contents, and equal contents keep one place on the driver, as Spark takes a name from
+    one place only.
+    """
+    folder = os.path.join(tempfile.gettempdir(), f"pathloom-lexicons-{os.getpid()}")
+    os.makedirs(folder, exist_ok=True)
+    handle, draft = tempfile.mkstemp(dir=folder)
+    os.close(handle)
+    write_arrays(draft, arrays)
+    with open(draft, "rb") as f:
+        path = os.path.join(folder, f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:32]}.bin")
+    os.replace(draft, path)
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
 class Coder:
     """Encodes and decodes batches of texts with a mapped lexicon; remembers merged words up to a bound."""
 
-    def __init__(self, lexicon: dict[str, np.ndarray], special: dict[str, int], remember: int = 1 << 18):
+    def __init__(self, lexicon: dict[str, np.ndarray], special: dict[str, int], remember: int = 1 << 16):
         self.lexicon, self.special, self.cut, self.remember = lexicon, special, _special(list(special)), remember
         self.merge = Merger(lexicon["byte_ids"], lexicon["merges"].reshape(-1, 3))
         self.merged: dict[bytes, list[int]] = {}
@@ -413,7 +420,7 @@ def _coder(name: str, special: dict[str, int]):
 
 
 def encode_and_decode(
-    docs: DataFrame, tokenizer_path: str, text_col: str = "text", carry: Sequence[str] = ("*",), frequent: int = 1 << 18,
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", carry: Sequence[str] = ("*",), frequent: int = 1 << 17,
 ) -> DataFrame:
     """Per row of ``docs``: ``row`` (its columns named in ``carry`` as one struct), ``n_tokens, ids, decoded``.
 

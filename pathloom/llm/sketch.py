@@ -22,7 +22,7 @@ from pathloom.llm.common import text_bytes
 from pathloom.llm.words import U64, mix
 
 PACKED = "chunk long, block long, cells binary"
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 
 
 @dataclass(frozen=True)
