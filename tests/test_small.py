@@ -588,3 +588,23 @@ def test_nearest_rank_narrows_skewed_values(spark):
         vs = sorted(v for x, v in rows if x == k)
         assert got[k] == tuple(round(vs[max(math.ceil(len(vs) * f), 1) - 1], 6) for f in (0.01, 0.5, 0.95))
     assert set(got) == {"a", "b"}
+
+
+def test_connected_among_asks_only_the_given_pairs(spark):
+    rng = random.Random(11)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
+    pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(80)} | {(3, 3), (99, 1), (1, 99)}
+    reach = {n: {n} for n in range(100)}
+    for _ in range(30):
+        for a, b in edges:
+            for n in reach:
+                if a in reach[n]:
+                    reach[n].add(b)
+    got = graph.connected_among(spark.createDataFrame(list(pairs), "input int, effect int"), spark.createDataFrame(list(edges), "src int, dst int"))
+    assert {(r.input, r.effect) for r in got.collect()} == {(a, b) for a, b in pairs if b in reach[a]}
+
+
+def test_cheapest_walks_over_text_nodes(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 3), ("a", "c", 5), ("c", "d", 1)], "src string, dst string, cost int")
+    got = {(r.node, r.cost, r.parent) for r in graph.cheapest(edges, spark.createDataFrame([("a",)], "node string")).collect()}
+    assert got == {("a", 0, None), ("b", 1, "a"), ("c", 4, "b"), ("d", 5, "c")}
