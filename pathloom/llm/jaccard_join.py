@@ -163,48 +163,66 @@ class Groups:
         return a != b
 
 
+AT_ONCE = 1 << 11
+
+
 def dual_traversal(left: Tree, right: Tree | None, groups: Groups, offset: int, percent: int) -> list[tuple[int, int]]:
     """Links that join groups not joined before, between two trees or (without ``right``) within one.
 
-    Node pairs descend level by level, both sides at once, while their sets could link; single sets are verified one by
-    one, and pairs already in one group are skipped, so a group of near copies costs about one check a member.
+    Node pairs descend level by level, both sides at once, while their sets could link and are not all in one group yet, a
+    bounded number of pairs at a time. Single sets are verified one by one, so a group of near copies costs about one check
+    a member, and memory does not follow the number of pairs.
     """
     same, other = right is None, right or left
-    depth = max(len(left.levels), len(other.levels))
-    level = lambda t, d: t.levels[min(d, len(t.levels) - 1)]
-    i = j = np.zeros(1, np.int64)
-    for d in range(depth - 1, -1, -1):
-        a, b = level(left, d), level(other, d)
-        if d + 1 < depth:
-            i, j = _children(i, len(a[0]), d + 1 < len(left.levels)), _children(j, len(b[0]), d + 1 < len(other.levels))
-            pairs = [(np.repeat(x, len(y)), np.tile(y, len(x))) for x, y in zip(i, j)]
-            i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-            if same:
-                i, j = i[i <= j], j[i <= j]
+    links: list[tuple[int, int]] = []
+
+    def leaves(tree: Tree, level: int, node: int) -> range:
+        size = FANOUT ** min(level, len(tree.levels) - 1)
+        return range(node * size, min((node + 1) * size, len(tree.tokens)))
+
+    def joined(level: int, x: int, y: int) -> bool:
+        roots = {groups.find(k) for k in leaves(left, level, x)}
+        return len(roots) == 1 and roots == {groups.find(k + offset) for k in leaves(other, level, y)}
+
+    def verify(i: np.ndarray, j: np.ndarray) -> None:
+        # Of single sets every bit that only one holds is a token the other lacks.
+        a, b, n, m = left.levels[0][0][i], other.levels[0][0][j], left.levels[0][1][i], other.levels[0][1][j]
+        most = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=1), m - np.bitwise_count(b & ~a).sum(axis=1))
+        fits = ((100 + percent) * most >= percent * (n + m)) & ((i < j) | (not same))
+        for x, y in zip(i[fits].tolist(), j[fits].tolist()):
+            if groups.find(x) == groups.find(y + offset):
+                continue
+            s, t = left.tokens[x], other.tokens[y]
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * shared >= percent * (len(s) + len(t) - shared):
+                groups.join(x, y + offset)
+                links.append((x, y))
+
+    def descend(level: int, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = (t.levels[min(level, len(t.levels) - 1)] for t in (left, other))
         keep = can_link(a, b, i, j, percent)
         i, j = i[keep], j[keep]
-    # Of single sets every bit that only one holds is a token the other lacks.
-    bits, n, m = left.levels[0][0][i] ^ other.levels[0][0][j], left.levels[0][1][i], other.levels[0][1][j]
-    most = np.minimum(n - np.bitwise_count(bits & left.levels[0][0][i]).sum(axis=1), m - np.bitwise_count(bits & other.levels[0][0][j]).sum(axis=1))
-    i, j = (x[(100 + percent) * most >= percent * (n + m)] for x in (i, j))
-    if same:
-        i, j = i[i < j], j[i < j]
-    links = []
-    for x, y in zip(i.tolist(), j.tolist()):
-        if groups.find(x) == groups.find(y + offset):
-            continue
-        s, t = left.tokens[x], other.tokens[y]
-        shared = len(np.intersect1d(s, t, assume_unique=True))
-        if 100 * shared >= percent * (len(s) + len(t) - shared):
-            groups.join(x, y + offset)
-            links.append((x, y))
+        if level == 0:
+            verify(i, j)
+            return
+        for low in range(0, len(i), AT_ONCE):
+            open_ = [(x, y) for x, y in zip(i[low : low + AT_ONCE].tolist(), j[low : low + AT_ONCE].tolist()) if not joined(level, x, y)]
+            if open_:
+                below = [(_children(left, level, x), _children(other, level, y)) for x, y in open_]
+                x = np.concatenate([np.repeat(p, len(q)) for p, q in below])
+                y = np.concatenate([np.tile(q, len(p)) for p, q in below])
+                ahead = (x <= y) if same else np.ones(len(x), bool)
+                descend(level - 1, x[ahead], y[ahead])
+
+    descend(max(len(left.levels), len(other.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
     return links
 
 
-def _children(nodes: np.ndarray, count: int, deeper: bool) -> list[np.ndarray]:
-    if not deeper:
-        return [np.array([n]) for n in nodes]
-    return [np.arange(n * FANOUT, min((n + 1) * FANOUT, count)) for n in nodes.tolist()]
+def _children(tree: Tree, level: int, node: int) -> np.ndarray:
+    """Nodes one level below; a tree that is not that high stays at its root."""
+    if level >= len(tree.levels):
+        return np.array([node])
+    return np.arange(node * FANOUT, min((node + 1) * FANOUT, len(tree.levels[level - 1][0])))
 
 
 LINKS = "src binary, dst binary"

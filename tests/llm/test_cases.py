@@ -349,3 +349,44 @@ def test_packed_cells_round_trip():
         cells, extra = unpack(pack(v, np.arange(len(v)) % 256))
         assert cells.tolist() == values and extra.tolist() == (np.arange(len(v)) % 256).tolist()
     assert pa.__version__
+
+
+def test_dual_traversal_of_dense_and_sparse_nodes():
+    """Trees of one cluster, several and none, within a node and between two, against all pairs; a dense node stays small in memory."""
+
+    from pathloom.llm.jaccard_join import Groups, Tree, dual_traversal
+
+    rng = np.random.default_rng(3)
+    token = lambda n: rng.integers(-(2**63), 2**63 - 1, n)
+
+    def sets(n, clusters, size, edits):
+        bases, out = [token(size) for _ in range(clusters)], []
+        for _ in range(n):
+            one, k = bases[rng.integers(clusters)].copy(), rng.integers(0, edits + 1)
+            one[rng.choice(size, k, replace=False)] = token(k)
+            out.append(np.unique(one))
+        return out
+
+    def joined(n, links):
+        groups = Groups(n)
+        for a, b in links:
+            groups.join(a, b)
+        return [groups.find(x) for x in range(n)]
+
+    for n, clusters, size, edits in ((1, 1, 20, 0), (9, 2, 40, 5), (70, 5, 60, 12), (120, 40, 80, 14), (1500, 2, 60, 6)):
+        rows = sets(n, clusters, size, edits)
+        whole = [set(s.tolist()) for s in rows]
+        if n < 1000:
+            expected = joined(n, [(a, b) for a in range(n) for b in range(a) if 100 * len(whole[a] & whole[b]) >= 75 * len(whole[a] | whole[b])])
+            tree = Tree(rows, np.zeros(n, int))
+            assert joined(n, [(tree.order[a], tree.order[b]) for a, b in dual_traversal(tree, None, Groups(n), 0, 75)]) == expected
+            half = n // 2
+            if half:
+                left, right = Tree(rows[:half], np.zeros(half, int)), Tree(rows[half:], np.zeros(n - half, int))
+                links = [(left.order[a], left.order[b]) for a, b in dual_traversal(left, None, Groups(half), 0, 75)]
+                links += [(half + right.order[a], half + right.order[b]) for a, b in dual_traversal(right, None, Groups(n - half), 0, 75)]
+                links += [(left.order[a], half + right.order[b]) for a, b in dual_traversal(left, right, Groups(n), half, 75)]
+                assert joined(n, links) == expected
+        else:
+            links = dual_traversal(Tree(rows, np.zeros(n, int)), None, Groups(n), 0, 75)
+            assert len(links) == n - clusters
