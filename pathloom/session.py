@@ -28,6 +28,7 @@ def local_session(name: str = "pathloom", cpus: str | int | None = None) -> Spar
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.log.level": "ERROR",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
