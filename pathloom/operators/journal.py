@@ -64,8 +64,10 @@ def accounting(settled: DataFrame, by: Sequence[str], historical: DataFrame | No
     if historical is None:
         return totals.withColumn(name, F.lit(0).cast("long"))
     aside = historical.select(*by, key).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    joined = totals.join(aside, list(by), "full") if by else totals.crossJoin(aside)
-    return joined.fillna(0, [c for c in joined.columns if c not in by])
+    keyed = list(by) or ["__all"]
+    one = (lambda df: df) if by else (lambda df: df.withColumn("__all", F.lit(0)))
+    joined = one(totals).join(one(aside), keyed, "full")
+    return joined.fillna(0, [c for c in joined.columns if c not in by]).drop("__all")
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], parts: int = 100, most: int = 100_000) -> DataFrame:
