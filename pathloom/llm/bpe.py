@@ -339,12 +339,16 @@ def ship(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
 
 
 class Coder:
-    """Encodes and decodes batches of texts with a mapped lexicon; remembers merged words up to a bound."""
+    """Encodes and decodes batches of texts with a mapped lexicon; remembers the ids of words it met, up to a bound."""
 
-    def __init__(self, lexicon: dict[str, np.ndarray], special: dict[str, int], remember: int = 1 << 16):
+    def __init__(self, lexicon: dict[str, np.ndarray], special: dict[str, int], remember: int = 1 << 18):
         self.lexicon, self.special, self.cut, self.remember = lexicon, special, _special(list(special)), remember
         self.merge = Merger(lexicon["byte_ids"], lexicon["merges"].reshape(-1, 3))
-        self.merged: dict[bytes, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first) of distinct words: the automaton's, or merged."""
@@ -356,43 +360,40 @@ class Coder:
         first, flat = self.lexicon["word_first"], self.lexicon["word_ids"]
         known = place >= 0
         size = np.where(known, first[place + 1] - first[place], 0)
-        own: dict[int, list[int]] = {}
-        if len(self.merged) > self.remember:
-            self.merged.clear()
-        new = []
-        for i in np.flatnonzero(~known).tolist():
+        rest = np.flatnonzero(~known)
+        own = self.merge([raw[i] for i in rest.tolist()])
+        for k, i in enumerate(rest.tolist()):
             if words[i] in self.special:
-                own[i] = [self.special[words[i]]]
-            elif (ids := self.merged.get(raw[i])) is not None:
-                own[i] = ids
-            else:
-                own[i] = []
-                new.append(i)
-        for i, ids in zip(new, self.merge([raw[i] for i in new])):
-            own[i] = ids
-            if len(raw[i]) <= SHORT_BYTES:
-                self.merged[raw[i]] = ids
-        rest = np.fromiter(own, np.int64, len(own))
-        size[rest] = np.fromiter(map(len, own.values()), np.int64, len(own))
+                own[k] = [self.special[words[i]]]
+        size[rest] = np.fromiter(map(len, own), np.int64, len(own))
         begin = np.cumsum(size) - size
         ids = np.empty(int(size.sum()), np.int32)
         at = np.flatnonzero(known)
         ids[ragged(begin[at], size[at])] = flat[ragged(first[place[at]], size[at])]
-        ids[ragged(begin[rest], size[rest])] = np.fromiter(chain.from_iterable(own.values()), np.int32)
+        ids[ragged(begin[rest], size[rest])] = np.fromiter(chain.from_iterable(own), np.int32)
         return ids, np.append(begin, len(ids))
 
+    def _learn(self, words: dict[str, None]) -> None:
+        """Add the ids of words not met before; beyond the bound, start again from these."""
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > self.remember:
+            self._forget()
+            new = list(words)
+        if new:
+            ids, first = self._ids_of(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.first = np.concatenate([self.first, first[1:] + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
         split = [_pieces(t, self.cut) for t in texts]
-        index = dict(zip(dict.fromkeys(chain.from_iterable(split)), range(1 << 62)))
-        if not index:
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        ids, first = self._ids_of(list(index))
+        self._learn(dict.fromkeys(chain.from_iterable(split)))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        word = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        sizes = np.diff(first)[word]
+        word = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        sizes = self.first[word + 1] - self.first[word]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ids[ragged(first[word], sizes)], ends[np.concatenate([[0], np.cumsum(counts)])]
+        return self.ids[ragged(self.first[word], sizes)], ends[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
         """Texts of runs of ids: the tokens' bytes in a row, read as UTF-8."""
