@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.skew import pin
+
 #: Words that count as equal, and the one that stands for them.
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
@@ -74,10 +76,11 @@ def plain(text: Column) -> Column:
 
 
 def spelled(text: Column) -> Column:
-    """Equivalent words replaced by the one that stands for them."""
+    """Equivalent words replaced by the one that stands for them; one test leaves texts without any as they are."""
+    out = text
     for word, standard in EQUIVALENT:
-        text = F.regexp_replace(text, rf"\b{word}\b", standard)
-    return text
+        out = F.regexp_replace(out, rf"\b{word}\b", standard)
+    return F.when(text.rlike(rf"\b(?:{'|'.join(word for word, _ in EQUIVALENT)})\b"), out).otherwise(text)
 
 
 def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,9 +104,10 @@ def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, id_
     digests = table.groupBy(F.sha2("unit", 256).alias("digest")).agg(F.min("license").alias("license"))
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
     units = rows.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), lines)).alias("u"))
-    units = units.select("doc_id", "u.whole", plain(F.col("u.unit")).alias("unit"))
+    units = pin(units.select("doc_id", "u.whole", "u.unit"), unit=plain(F.col("unit")))
     units = units.where((F.length("unit") > 0) & (F.length("unit") <= 2 * longest + 64))
-    found = units.select("doc_id", "whole", F.sha2(spelled(F.col("unit")), 256).alias("digest")).join(F.broadcast(digests), "digest")
+    units = pin(units.select("doc_id", "whole", "unit"), digest=F.sha2(spelled(F.col("unit")), 256)).select("doc_id", "whole", "digest")
+    found = units.join(F.broadcast(digests), "digest")
     held = found.groupBy("doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("line_licenses"),
