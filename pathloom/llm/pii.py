@@ -3,7 +3,7 @@
 Validated numbers and dates go through a keyed Feistel permutation of their own format: a card number becomes another
 card number with a right check digit, a date another date written alike. The permutation works on the value without its
 separators and is one-to-one, so equal values stay linked across documents and different ones stay apart. Texts are split
-at the matches and put together again, all with DataFrame functions and without a shuffle.
+where values may begin and put together again, all with DataFrame functions and without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,12 +21,23 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?<four>[ -])[0-9]{4}\k<four>[0-9]{4}\k<four>[0-9]{4}|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5}|[0-9]{13,19})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: An empty match where a value may begin, so that no match hides those inside it or across its end.
+BEGINS, HERE = f"(?={ANY})", f"(?=({ANY}))"
+#: Countries by the length of their IBANs.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: These kinds are told by a check, which a phone number has not.
+CHECKED = ("iban", "ip", "card", "ssn", "date")
 ROUNDS = 10
 #: Dates of one whole Gregorian cycle of 146,097 = 189 x 773 days.
 FIRST_DAY, DAY_ROWS, DAY_COLUMNS = "1800-01-01", 189, 773
@@ -162,7 +173,11 @@ def _mod97(text: Column) -> Column:
 
 
 def iban(value: Column, key: str) -> Column:
-    """Country and letters stay, the account's digits are permuted, the check digits are made right."""
+    """Country and letters stay, the account's digits are permuted, the check digits are made right.
+
+    ``struct(value, size)`` of the part of ``value`` that is an IBAN: a match may run into following words, so its part
+    of the country's length is tried first, then the whole match, also of other countries.
+    """
     def renewed(v: Column) -> Column:
         account = F.substr(v, F.lit(5))
         return let(F.concat(refill(account, permute_digits(_only(account), key, "iban"))), lambda a: F.concat(
@@ -172,28 +187,70 @@ def iban(value: Column, key: str) -> Column:
         size = F.length(_only(F.substr(v, F.lit(5))))
         return (_mod97(F.concat(F.substr(v, F.lit(5)), F.substring(v, 1, 4))) == 1) & size.between(2, 30)
 
-    spaced = lambda plain: F.when(value.contains(" "), F.trim(F.regexp_replace(plain, "(.{4})", "$1 "))).otherwise(plain)
-    return let(F.replace(value, F.lit(" ")), lambda v: F.when(valid(v), spaced(renewed(v))))
+    plain = lambda v: F.replace(v, F.lit(" "))
+    spaced = lambda v, new: F.when(v.contains(" "), F.trim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_COUNTRIES.items() for c in names.split() for x in (c, n)])
+    parts = F.split(value, " ")
+    fronts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), " "))
+    own = F.filter(fronts, lambda v: F.length(plain(v)) == F.element_at(lengths, F.substring(v, 1, 2)))
+    best = F.get(F.filter(F.concat(own, F.array(value)), lambda v: valid(plain(v))), F.lit(0))
+    return let(best, lambda v: F.when(v.isNotNull(), F.struct(spaced(v, renewed(plain(v))).alias("value"), F.length(v).alias("size"))))
 
 
 RENEW = {"email": email, "iban": iban, "ip": ip, "card": card, "ssn": ssn, "phone": phone, "date": date}
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """``struct(kind, value)`` for one match: the first kind whose pattern and checks it meets, else null kind and the match."""
-    tries = [F.when(value.rlike(f"^(?:{PATTERNS[k]})$"), RENEW[k](value, key)) for k in KINDS]
-    named = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("value")) for k, t in zip(KINDS, tries)])
-    return F.coalesce(
-        F.get(F.filter(named, lambda x: x["value"].isNotNull()), F.lit(0)),
-        F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
+    """``struct(kind, value, size)`` for one match: the first kind whose pattern and checks it meets and the length of that, else nulls."""
+    def tried(kind: str) -> Column:
+        new = RENEW[kind](value, key)
+        new = new if kind == "iban" else let(new, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.length(value).alias("size"))))
+        return F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), new)
+
+    named = F.array(*[let(tried(k), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["value"].alias("value"), x["size"].alias("size"))) for k in KINDS])
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("size"))
+    return F.coalesce(F.get(F.filter(named, lambda x: x["value"].isNotNull()), F.lit(0)), none)
+
+
+def chosen(found: Column, pieces: Column) -> Column:
+    """Per candidate ``struct(kind, value, start, end, cut)``: the leftmost valid ones that do not overlap have a kind.
+    A phone number inside which a checked value begins has none.
+
+    ``pieces`` are the text before the first candidate and from each to the next; ``cut`` is how much of the front of
+    a candidate's piece lies in a chosen one.
+    """
+    row = "struct<kind:string,value:string,start:int,end:int,cut:int>"
+    first = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.lit(0).alias("end"), F.array().cast(f"array<{row}>").alias("out"))
+
+    def back(acc: Column, x: Column) -> Column:
+        """From the last to the first: how far from a candidate's start the next checked value begins."""
+        far = acc["far"] + F.length(x["p"])
+        return F.struct(F.when(x["f"]["kind"].isin(*CHECKED), 0).otherwise(far).alias("far"), F.concat(acc["out"], F.array(
+            F.struct(F.when((x["f"]["kind"] != "phone") | (far >= x["f"]["size"]), x["f"]).alias("f"), x["p"].alias("p")))).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        taken = x["f"]["kind"].isNotNull() & (acc["at"] >= acc["end"])
+        return let(F.when(taken, acc["at"] + x["f"]["size"]).otherwise(acc["end"]), lambda end: F.struct(
+            (acc["at"] + F.length(x["p"])).alias("at"), end.alias("end"),
+            F.concat(acc["out"], F.array(F.struct(
+                F.when(taken, x["f"]["kind"]).alias("kind"), F.when(taken, x["f"]["value"]).alias("value"),
+                acc["at"].alias("start"), end.alias("end"), F.greatest(end - acc["at"], F.lit(0)).alias("cut")))).alias("out")))
+
+    zipped = F.arrays_zip(found.alias("f"), F.slice(pieces, 2, F.size(found)).alias("p"))
+    pair = "array<struct<f:struct<kind:string,value:string,size:int>,p:string>>"
+    held = F.aggregate(F.reverse(zipped), F.struct(F.lit(1 << 30).alias("far"), F.array().cast(pair).alias("out")), back, lambda acc: F.reverse(acc["out"]))
+    # Few texts have a phone number; the others need no second fold.
+    return F.aggregate(F.when(F.exists(found, lambda f: f["kind"] == "phone"), held).otherwise(zipped), first, step, lambda acc: acc["out"])
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced, and ``pii``: array of (kind, start, end, pseudonym).
 
     Kinds: e-mail addresses (a keyed address), and by Feistel permutation IBANs (mod 97), IPv4 addresses (octets up to
-    255), card numbers (Luhn), US social security numbers, ten-digit phone numbers and dates. Numbers that fail their
-    check stay. ``start`` and ``end`` are code points of the text as it was, end exclusive. ``key`` decides the permutations.
+    255), card numbers (Luhn), US social security numbers, ten-digit phone numbers and dates. At each place the first kind
+    whose pattern and check fit counts, and of finds that overlap the leftmost, but a phone number, which has no
+    check, yields to a checked value that begins inside it. Numbers that fail their check stay, but
+    values that begin inside them do not; an IBAN ends at its country's length if it is valid so. ``start`` and ``end`` are code points of the text as it was, end exclusive. ``key`` decides the permutations.
 
     Defined cases: a null text stays null and an empty one empty, with no finds; equal values get equal pseudonyms in
     every row; repeated rows each get theirs; other columns stay, but a column named ``pii`` is replaced; no rows give
@@ -205,13 +262,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     plain = docs.select(row.alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     # No kind goes without a digit or an at sign, and that test is far cheaper than the patterns.
     any_ = F.rlike(text, F.lit("[0-9@]")) & F.rlike(text, F.lit(ANY))
-    cut = pin(plain, __m=F.when(any_, matches(text, ANY)).otherwise(none), __s=F.when(any_, F.split(text, ANY, -1)).otherwise(F.array(text)))
-    new = F.transform("__m", lambda m: pseudonym(m, key))
-    done = pin(cut.drop("__text"), __p=new, __at=F.when(F.size("__m") > 0, starts(F.col("__m"), F.col("__s"))).otherwise(F.array().cast("array<int>")))
-    pieces = F.transform("__s", lambda s, i: F.concat(s, F.coalesce(F.get(F.col("__p"), i)["value"], F.lit(""))))
+    cut = pin(plain, __m=F.when(any_, matches(text, HERE, 1)).otherwise(none), __s=F.when(any_, F.split(text, BEGINS, -1)).otherwise(F.array(text)))
+    # An empty match at the very start splits nothing off.
+    pieces = F.when(F.size("__s") == F.size("__m"), F.concat(F.array(F.lit("")), F.col("__s"))).otherwise(F.col("__s"))
+    done = pin(cut.drop("__text"), __p=F.transform("__m", lambda m: pseudonym(m, key)), __s=pieces)
+    done = pin(done.drop("__m"), __p=F.when(F.size("__p") > 0, chosen(F.col("__p"), F.col("__s"))).otherwise(F.array()))
+    at = lambda i: F.get(F.col("__p"), i - 1)
+    pieces = F.transform("__s", lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.coalesce(at(i)["value"], F.lit("")), F.substr(s, at(i)["cut"] + 1))))
     finds = F.filter(
-        F.transform("__p", lambda p, i: F.struct(
-            p["kind"].alias("kind"), F.get(F.col("__at"), i).alias("start"), (F.get(F.col("__at"), i) + F.length(F.get(F.col("__m"), i))).alias("end"), p["value"].alias("pseudonym"))),
+        F.transform("__p", lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("pseudonym"))),
         lambda x: x["kind"].isNotNull())
     whole = F.when(F.get(F.col("__s"), F.lit(0)).isNotNull(), F.array_join(pieces, ""))
     out = done.select(F.struct(F.col("__row").alias("row"), whole.alias("text"), finds.alias("pii")).alias("__pseudonymised"))

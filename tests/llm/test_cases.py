@@ -390,3 +390,27 @@ def test_dual_traversal_of_dense_and_sparse_nodes():
         else:
             links = dual_traversal(Tree(rows, np.zeros(n, int)), None, Groups(n), 0, 75)
             assert len(links) == n - clusters
+
+
+def test_personal_data_beside_and_inside_failed_matches(spark):
+    ibans = ["BE68539007547034", "BE68 5390 0754 7034", "AT611904300234573201", "ES9121000418450200051332", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005"]
+    cases = [(f"pay {i}{tail}", [("iban", i)]) for i in ibans for tail in ("", " EUR 50", " EUR", " BIC", " IBAN OK", " AB CD", " 7", " 1234 5678", ", and")]
+    cases += [(f"{head}{c} end", [("card", c)]) for c in cards for head in ("AB12 ", "1234 ", "1234 5678 ", "AB12 3456 7890 ", "999.999.999.999 ")]
+    cases += [
+        ("AB12 BE68 5390 0754 7034 EUR AT611904300234573201 BIC 4111 1111 1111 1111", [("iban", ibans[1]), ("iban", ibans[2]), ("card", cards[0])]),
+        ("GB12 3456 7890 123 469 555 8958", [("phone", "469 555 8958")]), ("AB12 1111 2222 3333 4445 5555 4111 1111 1111 1111", [("card", cards[0])]),
+        ("é𝄞 AB12 1234 4111 1111 1111 1111 10.0.0.1", [("card", cards[0]), ("ip", "10.0.0.1")]), ("BE68 5390 0754 7035 EUR", []), ("4111 1111 1111 1112", []),
+        ("469 555 4111 1111 1111 1111", [("card", cards[0])]), ("999.999.999.999 10.0.0.1 469 555 8958", [("ip", "10.0.0.1"), ("phone", "469 555 8958")]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    alone = {r.text: r for r in pii.pseudonymise(spark.createDataFrame([(v,) for v in ibans + cards + ["469 555 8958", "10.0.0.1"]], "text string").withColumn(
+        "was", F.col("text")).withColumnRenamed("text", "t").withColumnRenamed("was", "text"), "key").select(F.col("t").alias("text"), "pii").collect()}
+    for r in pii.pseudonymise(docs, "key").collect():
+        text, expected = cases[r.doc_id]
+        assert [(p.kind, text[p.start : p.end]) for p in r.pii] == expected, text
+        assert [p.pseudonym for p in r.pii] == [alone[v].pii[0].pseudonym for _, v in expected], text
+        rest, at = "", 0
+        for p in r.pii:
+            rest, at = rest + text[at : p.start] + p.pseudonym, p.end
+        assert r.text == rest + text[at:], text
