@@ -20,13 +20,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id.
+    """Of each group of linked documents the one with the smallest id, nulls last, and of rows that share it the first.
 
-    Rows that share an id stay or go together, and stay if one of their texts is first of its group; rows with a null id,
-    which cannot be told apart by id, stay.
+    Every row is a document of its own, so repeated rows, rows with a null id and rows that share an id go unless first of
+    their group; texts without words link with nothing and stay.
     """
-    own = jaccard_components(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    return docs.join(own.where("NOT first").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # Row numbers hold only in a written table.
+    rows = store(docs.withColumn("__row", F.monotonically_increasing_id()))
+    own = jaccard_components(rows, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    kept = rows.select("__row", "doc_id").join(own, "__row").groupBy("__group").agg(F.min(order)["__row"].alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

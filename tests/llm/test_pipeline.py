@@ -64,3 +64,21 @@ def test_stages_on_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    rng = random.Random(6)
+    one, two, three, four = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [
+        (1, one, "a"), (1, one, "a"), (1, one, "b"), (2, one + " tail", "c"),  # repeated rows and a near copy
+        (None, two, "d"), (None, two, "d"), (None, two + " tail", "e"),  # only null ids
+        (None, three, "f"), (7, three, "g"), (9, three, "h"),  # a null id comes last
+        (1, four, "i"), (8, four, "j"), (1, three + " end", "k"),  # an id in several groups
+        (5, None, "l"), (5, "", "m"), (None, " ", "n"), (None, None, "o"),
+    ]
+    docs = spark.createDataFrame([(i, t, None, s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    out = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    words = sorted(((i, t) for i, t, _ in out if t and t.strip()), key=str)
+    assert [(i, t) for i, t in words if t == one] == [(1, one)] and len([r for r in words if r[1].startswith(two)]) == 1
+    assert [(i, t) for i, t in words if t.startswith(three)] == [(1, three + " end")] and [(i, t) for i, t in words if t == four] == [(1, four)]
+    assert len(words) == 4 and {s for *_, s in out} >= {"l", "m", "n", "o"} and len(out) == 8
