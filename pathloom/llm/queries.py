@@ -15,6 +15,7 @@ from pathloom.llm.language_id import held_out, identify, train
 from pathloom.llm.license_scan import COPYRIGHT, EQUIVALENT, KNOWN, scan_licenses
 from pathloom.llm.pii import pseudonymise
 from pathloom.llm.secret_scan import ACCESS, ASSIGN, HEX, OPAQUE, secret_scan
+from pathloom.llm.simhash import simhash_components
 from pathloom.llm.substring_dedup import substring_dedup
 from pathloom.llm.topk import top_k_search
 from pathloom.llm.url_filter import judge_urls
@@ -239,3 +240,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(_table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+@_query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
