@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators import rules as R
-from pathloom.operators.skew import first_by
+from pathloom.operators.skew import first_by, prefix_sum
 
 
 def _rules(df: DataFrame, rows: list[tuple], schema: str, custom: DataFrame | None) -> DataFrame:
@@ -175,9 +175,7 @@ def mechanisms(surfaces: DataFrame, methods: DataFrame, calls: DataFrame, import
     ``surfaces(file, line, method_id)``, ``methods(method_id, file, line)``, ``calls(method_id, name, receiver)``,
     ``imports(file, class_name, watched)``.
     """
-    from pathloom.operators.skew import prefix_sum
-
-    placed = prefix_sum(surfaces.withColumn("__k", F.col("line")), ["file"], "__k", F.lit(1), "pos")
+    placed = prefix_sum(surfaces, ["file"], "line", F.lit(1), "pos")
     web = placed.withColumn("n", F.floor((F.col("pos") - 1) / batch)).select(F.lit("WEB_SURFACE").alias("kind"), "file", F.col("n").cast("string").alias("part"), "method_id")
     owned = calls.join(methods.select("method_id", "file"), "method_id")
     walks, edits = F.col("name").isin(*TRAVERSE), F.col("name").isin(*MUTATE)

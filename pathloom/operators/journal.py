@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import rate
-from pathloom.operators.skew import first_by, prefix_sum, top_k
+from pathloom.operators.skew import first_by, prefix_scan, prefix_sum, top_k
 from pathloom.session import cut_lineage
 
 
@@ -175,7 +175,7 @@ def admit_budget(requests: DataFrame, keys: Sequence[str], seq: str, reserve: st
 
     Reserves are not negative, so both running values only grow: the first refusal refuses the rest.
     """
-    running = prefix_sum(prefix_sum(requests, keys, seq, reserve, "used"), keys, seq, F.lit(1), "position")
+    running = prefix_scan(requests, keys, [seq], {"used": F.col(reserve), "position": F.lit(1)})
     return running.withColumn("admitted", (F.col("used") <= limit) & (F.col("position") <= max_requests))
 
 
@@ -185,17 +185,21 @@ def lane_order(tasks: DataFrame, lanes: Sequence[str], seq: str) -> DataFrame:
 
 
 def fit_budget(records: DataFrame, keys: Sequence[str], priority: str, size: Column, limit: int) -> DataFrame:
-    """Keep whole records in priority order while their summed size fits; the rest are listed as dropped."""
-    return prefix_sum(records, keys, priority, size, "bytes_so_far", bucket=256).withColumn("kept", F.col("bytes_so_far") <= limit)
+    """Keep whole records in priority order while their summed size fits; the rest are listed as dropped.
+
+    Records of one priority follow their other columns from left to right.
+    """
+    return prefix_sum(records, keys, priority, size, "bytes_so_far").withColumn("kept", F.col("bytes_so_far") <= limit)
 
 
 def pack(rows: DataFrame, project: str, seq: str, entry: str, size: str, start: int, limit: int) -> DataFrame:
     """Number each ``entry`` by first appearance in its project, and include details in order up to a size.
 
-    Only distinct entries are ranked, and details are admitted by a block-wise running sum.
+    Entries that first appear at one place are numbered by their value; rows of one place follow their other columns. Both
+    the numbers and the sums are scans in slices, so one project may hold most rows.
     """
     firsts = rows.groupBy(project, entry).agg(F.min(seq).alias("__first"))
-    index = firsts.withColumn("entry_index", F.row_number().over(W.partitionBy(project).orderBy("__first")) - 1).drop("__first")
+    index = prefix_scan(firsts, [project], ["__first"], {"entry_index": F.lit(1)}).select(project, entry, (F.col("entry_index") - 1).cast("int").alias("entry_index"))
     summed = prefix_sum(rows, [project], seq, size, "__sum")
     return summed.join(index, [project, entry]).withColumn("detailed", F.col("__sum") + start <= limit).drop("__sum")
 

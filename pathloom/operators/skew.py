@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pathloom.session import stored
+
 SALTS = 32
 
 
@@ -37,29 +41,35 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: boo
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("__best")[c].alias(c) for c in [*order, *rest]])
 
 
-def prefix_sum(
-    df: DataFrame, keys: Sequence[str], seq: str, value: Column | str, name: str,
-    bucket: int = 4096, before: Column | None = None,
-) -> DataFrame:
-    """Running sum of ``value`` by integer ``seq`` within ``keys``.
+def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], slices: int | None = None) -> DataFrame:
+    """``df`` with running sums within ``keys``, in ascending ``order``; a running sum of ones numbers the rows.
 
-    Two levels: sums per block of ``bucket`` sequence numbers, a running sum over the blocks, then a
-    window inside each block. No task sees more than one block of rows or one key's block list.
+    Rows equal in ``order`` follow their other columns from left to right, so only rows equal in everything are in no stated
+    order. Rows are cut at ranges of (keys, order, other columns, row), so a key with most of the rows, or most of
+    them under one order value, spans many slices. A slice's totals are summed over the slices before it, and one window runs
+    inside each slice. Rows with null keys belong together.
     """
-    keys = list(keys)
-    value = F.col(value) if isinstance(value, str) else value
-    work = df.withColumn("__v", value).withColumn("__block", F.floor(F.col(seq) / bucket))
-    blocks = work.groupBy(*keys, "__block").agg(F.sum("__v").alias("__s"))
-    order = W.partitionBy(*keys).orderBy("__block") if keys else W.orderBy("__block")
-    offsets = blocks.withColumn(
-        "__offset", F.coalesce(F.sum("__s").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).drop("__s")
-    inner = W.partitionBy(*keys, "__block").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        work.join(offsets, [*keys, "__block"])
-        .withColumn(name, F.col("__offset") + F.sum("__v").over(inner))
-        .drop("__v", "__block", "__offset")
-    )
+    keys, order = list(keys), list(order)
+    rest = [c for c, t in df.dtypes if c not in [*keys, *order] and not t.startswith(("map", "variant"))]
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = {f"__v{i}": v for i, v in enumerate(sums.values())}
+    work = df.select("*", *[v.alias(c) for c, v in values.items()], F.monotonically_increasing_id().alias("__row"))
+    # The slice a row got holds only in a written table.
+    cut = stored(work.repartitionByRange(slices, *keys, *order, *rest, "__row").withColumn("__slice", F.spark_partition_id()))
+    totals = cut.groupBy(*keys, "__slice").agg(*[F.sum(v).alias(v) for v in values])
+    earlier = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, "__slice"])], *[F.sum(v).over(earlier).alias(f"__b{v}") for v in values])
+    inside = W.partitionBy(*keys, "__slice").orderBy(*order, *rest, "__row").rowsBetween(W.unboundedPreceding, 0)
+    run = cut.select("*", *[F.sum(v).over(inside).alias(f"__r{v}") for v in values])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*keys, "__slice"])])
+    kept = [c for c in df.columns if c not in sums]
+    return run.join(before, same, "left").select(
+        *kept, *[(F.coalesce(f"__b{v}", F.lit(0)) + F.coalesce(f"__r{v}", F.lit(0))).alias(n) for v, n in zip(values, sums)])
+
+
+def prefix_sum(df: DataFrame, keys: Sequence[str], seq: str, value: Column | str, name: str, slices: int | None = None) -> DataFrame:
+    """Running sum of ``value`` by ``seq`` within ``keys``, see ``prefix_scan``."""
+    return prefix_scan(df, keys, [seq], {name: F.col(value) if isinstance(value, str) else value}, slices)
 
 
 def count_distinct(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str) -> DataFrame:

@@ -41,10 +41,10 @@ def test_top_k_and_first_by_hold_on_a_hot_key(spark):
     assert first == {(k, *min((v, s) for kk, s, v in rows if kk == k)) for k in by}
 
 
-def test_prefix_sum_crosses_blocks(spark):
+def test_prefix_sum_crosses_slices(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k int, seq int, v int")
-    got = {(r.k, r.seq): r.run for r in skew.prefix_sum(df, ["k"], "seq", "v", "run", bucket=64).collect()}
+    got = {(r.k, r.seq): r.run for r in skew.prefix_sum(df, ["k"], "seq", "v", "run", slices=13).collect()}
     run, want = defaultdict(int), {}
     for k, seq, v in sorted(rows, key=lambda r: r[1]):
         run[k] += v
@@ -52,6 +52,34 @@ def test_prefix_sum_crosses_blocks(spark):
     assert got == want
 
 
+def test_scan_of_ties_and_one_key(spark):
+    # Nearly all rows in one key, most of them under one order value, some equal in everything, a null key.
+    rows = [("p", 1, i % 50, i % 7) for i in range(2000)] + [("p", i, 0, 1) for i in range(2, 100)] + [(None, 1, i, 2) for i in range(20)] + [("q", None, 3, 5), ("q", 0, 3, 5)]
+    df = spark.createDataFrame(rows, "k string, seq int, name int, v int").repartition(5)
+    out = skew.prefix_scan(df, ["k"], ["seq"], {"n": F.lit(1), "run": F.col("v")}, slices=16)
+    assert out.columns == ["k", "seq", "name", "v", "n", "run"]
+    want, sums = [], defaultdict(int)
+    place = defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2], r[3])):
+        place[r[0]] += 1
+        sums[r[0]] += r[3]
+        want.append((*r, place[r[0]], sums[r[0]]))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    # No slice holds much more than its share of the hot key.
+    cut = df.repartitionByRange(16, "k", "seq", "name", "v").withColumn("s", F.spark_partition_id()).groupBy("s").count()
+    assert cut.agg(F.max("count")).first()[0] < len(rows) / 4
+
+
+def test_equal_places_have_one_order(spark):
+    records = spark.createDataFrame([("r", 1, f"x{i}", 10) for i in range(6)] + [("r", 0, "y", 25)], "run string, priority int, name string, size int").repartition(4)
+    kept = journal.fit_budget(records, ["run"], "priority", F.col("size"), 50).where("kept")
+    assert sorted(r.name for r in kept.collect()) == ["x0", "x1", "y"]
+    rows = spark.createDataFrame([("p", 1, e, 5) for e in "dbca"] + [("p", 0, "z", 5), ("p", 2, "b", 5)], "project string, seq int, entry string, size int").repartition(3)
+    packed = journal.pack(rows, "project", "seq", "entry", "size", 10, 30)
+    assert sorted((r.entry_index, r.entry, r.seq, r.detailed) for r in packed.collect()) == [
+        (0, "z", 0, True), (1, "a", 1, True), (2, "b", 1, True), (2, "b", 2, False), (3, "c", 1, True), (4, "d", 1, False)]
+
+
 def test_nearest_rank_matches_sorted_list(spark):
     rows = [(k, float(v * v % 37) + (v % 3) / 7) for k, v, _ in hot_rows()] + [(99, 4.0)]
     got = {r.k: (r.p50, r.p95) for r in journal.nearest_rank(spark.createDataFrame(rows, "k int, x double"), ["k"], "x", {"p50": 0.5, "p95": 0.95}, parts=4, most=20).collect()}
