@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.llm.alignment import align_tokenizers
 from pathloom.llm.bpe import encode_and_decode
+from pathloom.llm.conversation_trie import ordered_turns, prefix_trie, rebuilt
 from pathloom.llm.decontaminate import benchmark_matches
 from pathloom.llm.jaccard_join import jaccard_components
 from pathloom.llm.language_id import held_out, identify, train
@@ -23,6 +25,7 @@ from pathloom.llm.url_filter import judge_urls
 #: Stands for a secret that a deployment supplies; it decides the pseudonyms.
 PII_KEY = "pathloom-test-key"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -246,3 +249,44 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_TRIE_SQL = """
+    WITH t AS (
+        SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+            ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS w
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ), h AS (
+        SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
+                lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)) % 9 AS h
+        FROM t
+    ), r AS (
+        SELECT h.conv_id, list_concat(coalesce(b.w, [])[1 : h.h], h.w[h.h + 1 :]) AS w FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5
+    ), member AS (SELECT conv_id, d, w[1 : d] AS p, len(w) AS n FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM r)),
+    node AS (
+        SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends
+        FROM member GROUP BY p, d
+    ), children AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+    sized AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(strlen(node.p[d].text), 0) AS own FROM node LEFT JOIN children USING (p)),
+    below AS (
+        SELECT a AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved
+        FROM (SELECT n_children, own, p[1 : k] AS a FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM sized)) GROUP BY a
+    )
+    SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+        sha256(coalesce(s.ends, '')) AS ends_sha256
+    FROM sized s JOIN below USING (p) LEFT JOIN node u ON s.d > 0 AND u.d = s.d - 1 AND u.p = s.p[1 : s.d - 1]
+"""
+
+
+@_query("op12_prefix_trie", _TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(ordered_turns(_table(spark, sf_dir, "conversations"))))
+
+
+@_query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256))
+    done = align_tokenizers(_table(spark, sf_dir, "documents"), TOKENIZER, PIECES, carry=["doc_id"], groups=digest)
+    return done.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))

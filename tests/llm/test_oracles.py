@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_twin(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings", "pages"):
+    for table in ("documents", "benchmark", "embeddings", "pages", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = con.execute(ORACLES[name])
