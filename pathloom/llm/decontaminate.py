@@ -153,7 +153,7 @@ def _matcher(rows: Sequence[tuple[int, str | None]], window: int, shard_bytes: i
             for low, high, data, offsets in text_slices(batch["text"], shard_bytes):
                 part = batch.slice(low, high - low)
                 words = _words(data, offsets)
-                mask = np.zeros(len(words.hashes), bool)
+                mask = np.zeros(len(words.starts), bool)
                 before = part["mask"].to_pylist()
                 for i in (i for i, bits in enumerate(before) if bits):
                     a, b = words.first[i], words.first[i + 1]

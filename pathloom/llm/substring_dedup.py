@@ -33,7 +33,7 @@ def _keys(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         words = find_words(data, offsets, NOT_SPACE)
         at, text, length = windows(words, size)
         ones.append(window_hash(words.hashes, at, length, size))
-        twos.append(window_hash(words.hashes, at, length, size, seed=1))
+        twos.append(window_hash(words.second, at, length, size, seed=1))
         rows.append(text + low)
     return np.concatenate(ones), np.concatenate(twos), np.concatenate(rows)
 

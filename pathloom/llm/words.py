@@ -7,14 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C15 | 5)
 SLICE_BYTES = 2 << 20
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -40,33 +43,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_FOLDED = _VALUES.copy()
-_FOLDED[65:91] = _VALUES[97:123]
-_POWERS: dict[str, np.ndarray] = {}
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: The first n bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
+_SALTS = ((U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)), (U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407)))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES)
-        for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
-            steps = np.full(size, U64(base))
-            steps[0] = U64(1)
-            _POWERS[name] = np.cumprod(steps, dtype=U64)
-    return _POWERS["up"], _POWERS["down"]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ``data[starts:ends]``, eight bytes a step, each step a one-to-one mixing of what came before.
+
+    Words of one length up to eight bytes never share a hash; other words do so by chance only, about once in 2**64 pairs,
+    and independently under the two seeds.
+    """
+    salt, factor = _SALTS[seed]
+    lengths = ends - starts
+    out = mix(lengths.astype(U64) + salt)
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))
+    live, step = np.arange(len(starts)) if lengths.max(initial=0) <= LONG_WORD else np.flatnonzero(lengths <= LONG_WORD), 0
+    while len(live):
+        left = lengths[live] - step
+        out[live] = mix((out[live] ^ (eight[starts[live] + step] & _FIRST[np.minimum(left, 8)])) * factor)
+        live, step = live[left > 8], step + 8
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(salt))
+    return out
 
 
 @dataclass
 class Words:
-    """Words of consecutive texts: byte ``starts`` and ``ends`` in ``data``, and ``first[i]:first[i+1]`` for text i."""
+    """Words of consecutive texts: byte ``starts`` and ``ends`` in ``data``, and ``first[i]:first[i+1]`` for text i.
+
+    ``hashes`` and ``second`` are two independent hashes of each word, of its letters in lower case if ``fold``.
+    """
 
     data: np.ndarray
     offsets: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
-    hashes: np.ndarray
+    fold: bool = False
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.hashed, self.starts, self.ends)
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        return word_hashes(self.hashed, self.starts, self.ends, seed=1)
+
+    @cached_property
+    def hashed(self) -> np.ndarray:
+        return _FOLD[self.data] if self.fold else self.data
 
     @property
     def counts(self) -> np.ndarray:
@@ -104,12 +133,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, wordish: np.ndarray, fold:
     after[-1:], after[:-1] = False, inside[1:]
     after[cuts[cuts > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(len(data))
-    values = np.where(wordish, _FOLDED if fold else _VALUES, U64(0))[data]
-    values *= up[: len(data)]
-    sums = np.add.reduceat(values, starts) if len(starts) else np.zeros(0, U64)
-    hashes = mix(sums * down[starts] + (ends - starts).astype(U64))
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), fold)
 
 
 def windows(words: Words, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,14 +149,13 @@ def windows(words: Words, size: int, short: bool = False) -> tuple[np.ndarray, n
 
 
 def window_hash(hashes: np.ndarray, at: np.ndarray, length: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """64-bit hash of the word sequence from ``at``; two seeds give an independent 128 bits."""
+    """64-bit hash of the word sequence from ``at``. Two seeds over a word's two hashes give an independent 128 bits."""
     factor = U64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[seed])
-    salted = hashes if seed == 0 else mix(hashes ^ U64(0x8EBC6AF09C88C6E3))
     full = len(hashes) - size + 1
     whole = np.zeros(max(full, 0), U64)
     for i in range(size if full > 0 else 0):
         whole *= factor
-        whole += salted[i : i + full]
+        whole += hashes[i : i + full]
     if full > 0 and (length == size).all():
         out = whole[at]
     else:
@@ -142,5 +165,5 @@ def window_hash(hashes: np.ndarray, at: np.ndarray, length: np.ndarray, size: in
         rest = np.flatnonzero(~long)
         for i in range(size - 1):
             live = rest[length[rest] > i]
-            out[live] = out[live] * factor + salted[at[live] + i]
+            out[live] = out[live] * factor + hashes[at[live] + i]
     return mix(out + length.astype(U64) * U64(0xE7037ED1A0B428DB))
