@@ -1,5 +1,6 @@
 """Small cases: nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
 
+import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -276,34 +277,61 @@ def test_merges_together_and_one_by_one():
     assert [merge._long([int(vocabulary.byte_ids[b]) for b in w.encode()]) for w in words] == ids
 
 
+def slow_top_k(rows, k):
+    """Every row is a candidate of every other; a null id comes last on ties; scores in Python's integers, reported within a long."""
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, v) in enumerate(whole):
+        if q is not None and q % 20 == 0:
+            found = sorted(((-sum(a * b for a, b in zip(v, w)), d is None, d or 0) for m, (d, w) in enumerate(whole) if m != n))[:k]
+            out += [(q, rank + 1, None if none else d, max(min(-s, 2**63 - 1), -(2**63))) for rank, (s, none, d) in enumerate(found)]
+    return out
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), rng.normal(size=8).round(2).tolist()) for i in rng.permutation(300) - 20]
     rows += [(400, None), (420, [1.0, None] + [0.0] * 6), (440, [float("nan")] * 8), (460, [float("inf")] * 8), (None, [1.0] * 8), (500, [0.5, 0.5]), (520, []), (80, [0.0] * 8)]
     rows += [(1000 + i, rows[0][1]) for i in range(30)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, shard int, block int").repartition(4)
-    whole = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64 * x)) for x in v]
-            whole[i] = min(whole.get(i, q), q)
-    wide = {i: np.array(v + [0] * (8 - len(v))) for i, v in whole.items()}
-    expected = []
-    for q in (i for i in wide if i % 20 == 0):
-        best = sorted((-int(wide[q] @ wide[d]), d) for d in wide if d != q)[:7]
-        expected += [(q, n + 1, d, -s) for n, (s, d) in enumerate(best)]
+    expected = slow_top_k(rows, 7)
     for limits in ({}, {"shard_rows": 50, "query_rows": 5}):
         got = top_k_search(df, k=7, **limits).collect()
         same([(r.query_id, r["rank"], r.vec_id, r.score) for r in got], expected)
         assert all(r.blocks_scored <= r.blocks for r in got)
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (None, [5.0, 0.0]), (None, [1.0, 0.0]), (20, [2.0, 0.0]), (7, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (2, 20):
+        same([(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k_search(df, k=k).collect()], slow_top_k(rows, k))
+
+
+def test_top_k_of_large_numbers(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([1.0, -1.0]) * 2.0 ** rng.randrange(20, 50) for _ in range(3)]) for i in range(60)]
+    rows += [(100 + i, [float(2**26 + i), 1.0, float(2**26)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for limits in ({}, {"shard_rows": 30}):
+        same([(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k_search(df, k=9, **limits).collect()], slow_top_k(rows, 9))
+
+
+def test_top_k_spares_blocks_of_other_groups(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] * 3 + rng.normal(size=16) * 0.05).tolist()) for i in range(4000)]
+    got = top_k_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    same([(r.query_id, r["rank"], r.vec_id, r.score) for r in got], slow_top_k(rows, 5))
+    assert sum(r.blocks_scored for r in got) < 0.5 * sum(r.blocks for r in got)
+
+
 def test_top_k_blocks_are_pruned():
     from pathloom.llm.topk import search_shard
 
     ids, v = np.arange(4096), np.zeros((4096, 4))
     v[:300] = 50
-    _, _, scored, blocks = search_shard(np.array([9999]), np.full((1, 4), 1.0), ids, v, 20)
+    _, _, scored, blocks = search_shard(np.array([9999]), np.full((1, 4), 1.0), ids, ids, v, 20)
     assert blocks == 16 and scored[0] <= 2
 
 
