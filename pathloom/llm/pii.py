@@ -41,6 +41,9 @@ CHECKED = ("iban", "ip", "card", "ssn", "date")
 ROUNDS = 10
 #: Dates of one whole Gregorian cycle of 146,097 = 189 x 773 days.
 FIRST_DAY, DAY_ROWS, DAY_COLUMNS = "1800-01-01", 189, 773
+#: Its 4,800 months have 88,497 = 9 x 9,833 days after the twelfth.
+MONTHS, LATE_ROWS, LATE_COLUMNS = 4800, 9, 9833
+MONTH_FIRST = "MM/dd/yyyy"
 
 
 def feistel(left: Column, right: Column, lefts: Column, rights: Column, key: str, tweak: Column | str) -> Column:
@@ -153,18 +156,42 @@ def phone(value: Column, key: str) -> Column:
     return let(_only(value), lambda d: refill(value, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), ten(F.right(d, F.lit(10))))))
 
 
+def _late_day(place: Column) -> Column:
+    """The date at ``place`` among all days after the twelfth of their month, from the first month on."""
+    first = F.lit(FIRST_DAY).cast("date")
+    start = lambda month: F.add_months(first, month.cast("int"))
+    before = lambda month: F.datediff(start(month), first) - 12 * month
+    # Months have 16 to 19 such days, so an even share tells the month but for its neighbours.
+    guess = F.floor(place * MONTHS / (LATE_ROWS * LATE_COLUMNS))
+    months = F.sequence(F.greatest(guess - 2, F.lit(0)), F.least(guess + 2, F.lit(MONTHS - 1)))
+    month = F.get(F.filter(months, lambda m: (before(m) <= place) & (place < before(m + 1))), F.lit(0))
+    return let(month, lambda m: F.date_add(start(m), (12 + place - before(m)).cast("int")))
+
+
 def date(value: Column, key: str) -> Column:
-    """Dates of 1800 to 2199, as year-month-day, day/month/year (or month/day/year where only that is valid), day.month.year."""
+    """Dates of 1800 to 2199, as year-month-day, day/month/year (or month/day/year where only that is valid), day.month.year.
+
+    A month-first date has a day after the twelfth, and so has its pseudonym: it reads as month-first again, and days that
+    read as day-first belong to the others. Each form is a permutation of its own values.
+    """
+    first = F.lit(FIRST_DAY).cast("date")
+
     def moved(day: Column) -> Column:
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+        number = F.datediff(day, first)
         return let(feistel(F.floor(number / DAY_COLUMNS), number % DAY_COLUMNS, F.lit(DAY_ROWS), F.lit(DAY_COLUMNS), key, "date"),
-                   lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAY_COLUMNS + p["r"]).cast("int")))
+                   lambda p: F.date_add(first, (p["l"] * DAY_COLUMNS + p["r"]).cast("int")))
+
+    def moved_late(day: Column) -> Column:
+        month = (F.year(day) - F.year(first)) * 12 + F.month(day) - 1
+        number = F.datediff(day, first) - 12 * (month + 1)
+        return let(feistel(F.floor(number / LATE_COLUMNS), number % LATE_COLUMNS, F.lit(LATE_ROWS), F.lit(LATE_COLUMNS), key, "late-date"),
+                   lambda p: let(p["l"] * LATE_COLUMNS + p["r"], _late_day))
 
-    tries = [F.struct(F.try_to_timestamp(value, F.lit(f)).cast("date").alias("day"), F.lit(f).alias("form")) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")]
+    tries = [F.struct(F.try_to_timestamp(value, F.lit(f)).cast("date").alias("day"), F.lit(f).alias("form")) for f in ("yyyy-MM-dd", "dd/MM/yyyy", MONTH_FIRST, "dd.MM.yyyy")]
     year = lambda x: F.year(x["day"]).between(1800, 2199)
     told = F.get(F.filter(F.array(*tries), lambda x: x["day"].isNotNull() & year(x)), F.lit(0))
-    return let(told, lambda x: let(moved(x["day"]), lambda d: F.coalesce(*[
-        F.when(x["form"] == f, F.date_format(d, f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")])))
+    return let(told, lambda x: F.when(x["form"] == MONTH_FIRST, let(moved_late(x["day"]), lambda d: F.date_format(d, MONTH_FIRST))).otherwise(
+        let(moved(x["day"]), lambda d: F.coalesce(*[F.when(x["form"] == f, F.date_format(d, f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy")]))))
 
 
 def _mod97(text: Column) -> Column:

@@ -277,6 +277,20 @@ def test_merges_together_and_one_by_one():
     assert [merge._long([int(vocabulary.byte_ids[b]) for b in w.encode()]) for w in words] == ids
 
 
+def test_dates_are_permuted_within_their_form(spark):
+    day = F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int"))
+    every = spark.range(146_097).select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("form"), F.date_format(day, f).alias("value")) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")])).alias("x"))
+    values = every.select("x.*").where("form <> 'MM/dd/yyyy' OR int(substr(value, 4, 2)) > 12")
+    found = values.withColumn("new", pii.date(F.col("value"), "k")).select("form", "value", "new").collect()
+    assert len(found) == 3 * 146_097 + 88_497
+    # One value, one pseudonym, of the same form; together they are the same values again.
+    assert {r.value for r in found} == {r.new for r in found} and len({r.new for r in found}) == len(found)
+    assert all(("-" in r.new, r.new.count("/"), r.new.count(".")) == ("-" in r.value, r.value.count("/"), r.value.count(".")) for r in found)
+    assert all((int(r.new[3:5]) > 12) for r in found if r.form == "MM/dd/yyyy")
+    assert sum(r.value == r.new for r in found) < 30
+
+
 def slow_top_k(rows, k):
     """Every row is a candidate of every other; a null id comes last on ties; scores in Python's integers, reported within a long."""
     whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
