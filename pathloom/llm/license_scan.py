@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +17,22 @@ EQUIVALENT = (
     ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"),
     ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"),
     ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"),
-    ("labour", "labor"), ("licence", "license"), ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"),
+    ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"),
     ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"),
     ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"),
     ("recognise", "recognize"), ("signalling", "signaling"), ("sublicence", "sublicense"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("percent", "per cent"),
+    ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
+    ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("https", "http"),
 )
 #: A line of the canonical text that begins with one of these is a copyright line.
 COPYRIGHT = r"(?m)^[\s*#/;%-]*(?:copyright|\(c\)|©|copr\.)[^\n]*$"
 
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(id, text) of the texts in ``licenses``, each named by its license."""
+    return tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+
+
 _PERMISSION = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
@@ -42,6 +50,8 @@ _ISC = (
     "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
     "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+#: Titles that may lead a text whose file has none.
+TITLES = {"BSD 2-Clause License": "BSD-2-Clause", "BSD 3-Clause License": "BSD-3-Clause", "The Unlicense": "Unlicense", "zlib License": "Zlib"}
 #: Fixed values: (id, text) of known license texts and notices; a caller may pass more.
 KNOWN = (
     ("MIT", _PERMISSION),
@@ -67,6 +77,8 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
+    *whole_texts(),
+    *((i, f"{title} {t}") for title, own in TITLES.items() for i, t in whole_texts() if i == own),
 )
 
 
