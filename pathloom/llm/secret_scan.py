@@ -25,6 +25,7 @@ OPAQUE = r"[A-Za-z0-9+/_-]{32,}"
 
 SPAN = "struct<start:int,kind_no:int,kind:string,end:int>"
 CANDIDATE = "struct<start:int,end:int,hash:string>"
+HELD = "struct<start:int,end:int,repositories:bigint,owners:bigint>"
 
 
 def _span(kind_no: int, kind: str, start: Column, end: Column) -> Column:
@@ -84,12 +85,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def secret_scan(
     docs: DataFrame, repository: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text", most_owners: int = 1,
+    most_repositories: int = 2,
 ) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base, spans, n_live, n_copied``.
+    """Per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base, spans, n_live, n_copied, held``.
 
     ``base``: spans of the three fixed kinds, start and end in code points, end exclusive, leftmost and non-overlapping
-    within a kind. Candidates are the base values and long mixed runs; one held by at most ``most_owners`` owners is
-    live, and its place joins ``spans`` as kind ``live``. ``repository`` and ``owner`` are columns over ``docs``.
+    within a kind. Candidates are the base values and long mixed runs; one held by at most ``most_owners`` owners
+    in at most ``most_repositories`` repositories is live, and its place joins ``spans`` as kind ``live``; others are copied.
+    ``held`` lists the candidates as ``start, end, repositories, owners``, the distinct holders of the value in the whole
+    corpus. ``repository`` and ``owner`` are columns over ``docs``.
 
     Defined cases: a null text is empty and has no spans; null repositories and owners count as one nameless holder;
     null ids stay; repeated rows each get their result and count as one holder; no rows give no rows.
@@ -100,14 +104,16 @@ def secret_scan(
     )
     scanned = store(find_candidates(rows).withColumn("row_no", F.monotonically_increasing_id()))
     each = scanned.where(F.size("candidates") > 0).select("row_no", "repository", "owner", F.inline("candidates"))
-    live = ownership(each).select("hash", (F.col("owners") <= most_owners).alias("live"))
-    judged = each.join(live, "hash").groupBy("row_no").agg(
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    judged = each.join(ownership(each), "hash").withColumn("live", live).groupBy("row_no").agg(
         F.collect_set(F.when(F.col("live"), _span(3, "live", F.col("start"), F.col("end")))).alias("added"),
         F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_copied"),
+        F.sort_array(F.collect_set(F.struct("start", "end", "repositories", "owners"))).alias("held"),
     )
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scanned.join(judged, "row_no", "left").select(
         "doc_id", count("assign"), count("access"), count("hex"), spans_text(F.col("base")).alias("base"),
         spans_text(F.concat("base", F.coalesce(F.col("added").cast(f"array<{SPAN}>"), F.array().cast(f"array<{SPAN}>")))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce(F.col("held").cast(f"array<{HELD}>"), F.array().cast(f"array<{HELD}>")).alias("held"),
     )
