@@ -44,7 +44,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", tokens).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """``rule_id, verdict, tokens, n_tokens, confidence, support`` from ``labelled(tokens, verdict)``.
 
     A rule says: a url with all ``tokens`` has ``verdict``. Rules below either bound are pruned, and so are rules that
@@ -53,12 +53,15 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith("verdict:"))
-    found = found.where(~F.exists("antecedent", lambda x: x.startswith("verdict:")) & (F.size("antecedent") <= max_tokens))
+    found = found.where(~F.exists("antecedent", lambda x: x.startswith("verdict:")))
     found = store(found.select(
         F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 9, 1000).alias("verdict"),
         F.size("antecedent").alias("n_tokens"), "confidence", "support",
     ))
-    short = found.select(F.explode("tokens").alias("token"), F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("as_sure"))
+    # Every part of a rule's tokens that is a rule itself stands under the part's rarest token, so a rule looks there only.
+    rarity = found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    short = _by_rarest(found, rarity, "tokens", "verdict", "confidence").select(
+        "token", F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("as_sure"))
     idle = (
         found.select("tokens", "verdict", "n_tokens", "confidence", F.explode("tokens").alias("token")).join(short, ["token", "verdict"])
         .where((F.size("part") < F.col("n_tokens")) & (F.col("as_sure") >= F.col("confidence")))
@@ -68,20 +71,28 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     return kept.withColumn("rule_id", F.concat_ws(" ", F.concat_ws(" ", "tokens"), F.lit("=>"), "verdict"))
 
 
+def _by_rarest(rules: DataFrame, rarity: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``rules(tokens, verdict, ...)`` with the ``token`` that ``rarity(token, n)`` counts least often, the smaller of equals."""
+    each = rules.select(*dict.fromkeys(["tokens", "verdict", *columns]), F.explode("tokens").alias("token")).join(rarity, "token")
+    least = each.groupBy("tokens", "verdict").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    return least.join(rules.select(*dict.fromkeys(["tokens", "verdict", *columns])), ["tokens", "verdict"])
+
+
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``url, rule_id, verdict, confidence, support, n_tokens`` for every rule all of whose tokens are in ``urls(url, tokens)``.
 
-    The inverted index holds each rule under each of its tokens; a rule matches where as many tokens meet as it has.
+    The inverted index holds each rule under the one of its tokens that fewest urls have; only urls with that token meet the
+    rule and compare the other tokens, so a token that all urls share costs nothing but for rules that have no other.
     """
-    index = rules.select("rule_id", "n_tokens", F.explode("tokens").alias("token"))
-    met = urls.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    whole = met.groupBy("url", "rule_id", "n_tokens").agg(F.count(F.lit(1)).alias("hits")).where("hits = n_tokens")
-    return whole.select("url", "rule_id").join(rules.select("rule_id", "verdict", "confidence", "support", "n_tokens"), "rule_id")
+    rarity = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    index = _by_rarest(rules, rarity, "rule_id", "confidence", "support", "n_tokens").withColumnRenamed("tokens", "needed")
+    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return met.where(F.size(F.array_except("needed", "tokens")) == 0).select("url", "rule_id", "verdict", "confidence", "support", "n_tokens")
 
 
 def judge_urls(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow",
-    min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3,
+    min_support: float = 0.01, min_confidence: float = 0.8,
 ) -> DataFrame:
     """Per row of ``pages``: ``page_id, host, path, rule, verdict, mined_rule, confidence``.
 
@@ -98,7 +109,7 @@ def judge_urls(
     base = base.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     tokens = url_tokens(url, F.col("host"), F.col("path")).alias("tokens")
     labelled = base.where("fit IS NOT NULL").select(tokens, F.col("fit.verdict").alias("verdict"))
-    mined = store(mine_rules(labelled, min_support, min_confidence, max_tokens))
+    mined = store(mine_rules(labelled, min_support, min_confidence))
     urls = base.where("fit IS NULL AND url IS NOT NULL").select("url", tokens).distinct()
     best = matched_rules(urls, mined).groupBy("url").agg(
         F.max(F.struct("confidence", "support", "n_tokens")).alias("top"),
