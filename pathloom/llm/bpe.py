@@ -31,6 +31,8 @@ from pathloom.llm.decontaminate import ragged
 #: Fixed value: how byte-level BPE cuts a text into words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BATCH_CHARS = 1 << 20
+#: Longer words stay out of the lexicon, so the driver holds at most ``frequent`` times this many bytes of words.
+LISTED_BYTES = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -292,12 +294,12 @@ def count_words(docs: DataFrame, special: Sequence[str]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def frequent_words(counted: DataFrame, most: int, steps: int = 64) -> list[str]:
-    """At most ``most`` words, from the greatest counts down, cut between two steps of the counts' logarithm.
+def frequent_words(counted: DataFrame, most: int, steps: int = 64, longest: int = LISTED_BYTES) -> list[str]:
+    """At most ``most`` words of up to ``longest`` bytes, from the greatest counts down, cut between two steps of the counts' logarithm.
 
     A histogram of that logarithm (``steps`` to a factor e) finds the cut, so only the words above it are collected.
     """
-    again = store(counted.where("count > 1").withColumn("step", F.floor(F.log("count") * steps).cast("int")))
+    again = store(counted.where((F.col("count") > 1) & (F.octet_length("word") <= longest)).withColumn("step", F.floor(F.log("count") * steps).cast("int")))
     cut, held = None, 0
     for r in sorted(again.groupBy("step").count().collect(), key=lambda r: -r["step"]):
         held += r["count"]
@@ -427,7 +429,7 @@ def encode_and_decode(
 
     ``ids`` are those of the byte-level BPE file at ``tokenizer_path`` without added tokens; a special token's text is that
     token. ``decoded`` are the tokens' bytes as text. Words are counted over the whole corpus and the ``frequent`` most
-    frequent ones, as far as they occur twice, form the lexicon: its size changes the time, never the ids, as all other
+    frequent ones, as far as they occur twice and have at most ``LISTED_BYTES`` bytes, form the lexicon: its size changes the time, never the ids, as all other
     words are merged exactly.
 
     Defined cases: a null text is empty; an empty one has no ids and decodes to itself; words of any length merge
