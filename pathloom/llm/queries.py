@@ -91,12 +91,15 @@ _SECRETS_SQL = f"""
             UNION ALL {_places("hex", 2, HEX, "0")} UNION ALL {_places("opaque", 3, OPAQUE, "0")})
         WHERE kind IN ('access', 'hex') OR (kind = 'assign' AND length(v) >= 6) OR (kind = 'opaque' AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]'))
     ), held AS (SELECT DISTINCT doc_id, source, lang, b - length(v) AS a, b, v FROM found),
-    owned AS (SELECT v, count(DISTINCT source) AS owners FROM held GROUP BY v),
+    owned AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT lang) AS repositories FROM held GROUP BY v),
+    told AS (SELECT *, owners <= 1 AND repositories <= 2 AS live FROM held JOIN owned USING (v)),
     judged AS (
-        SELECT doc_id, count(*) FILTER (owners <= 1) AS n_live, count(*) FILTER (owners > 1) AS n_copied FROM held JOIN owned USING (v) GROUP BY doc_id
+        SELECT doc_id, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+            string_agg(a || ':' || b || ':' || repositories || ':' || owners, ',' ORDER BY a, b) AS holders
+        FROM told GROUP BY doc_id
     ), spans AS (
         SELECT doc_id, kind, kind_no, a, b FROM found WHERE kind <> 'opaque'
-        UNION ALL SELECT DISTINCT doc_id, 'live', 3, a, b FROM held JOIN owned USING (v) WHERE owners <= 1
+        UNION ALL SELECT DISTINCT doc_id, 'live', 3, a, b FROM told WHERE live
     ), joined AS (
         SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
             coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, kind_no) FILTER (kind <> 'live'), '') AS base,
@@ -104,16 +107,18 @@ _SECRETS_SQL = f"""
         FROM spans GROUP BY doc_id
     )
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+        coalesce(holders, '') AS holders
     FROM d LEFT JOIN joined USING (doc_id) LEFT JOIN judged USING (doc_id)
 """
 
 
 @_query("op2_secret_scan", _SECRETS_SQL)
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repository is the source, its owner the source and language a document comes under."""
+    """The owner is a document's source, its repository the source with the language. ``holders``: start:end:repositories:owners."""
     found = secret_scan(_table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang"), F.col("source"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied")
+    holders = F.array_join(F.transform("held", lambda h: F.concat_ws(":", h["start"], h["end"], h["repositories"], h["owners"])), ",")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied", holders.alias("holders"))
 
 
 @_query(

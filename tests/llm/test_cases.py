@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -153,6 +154,12 @@ def test_secret_scan(spark):
     assert by[1].spans == f"{by[1].base.split(',')[0]},hex:9:41,live:9:41,access:43:63" and (by[1].n_live, by[1].n_copied) == (1, 1)
     assert by[2].n_live == 1 and by[3].n_copied == 2 and by[7].spans == "live:0:60" and by[4].spans == "" and by[6].n_live == 1
     assert all(set(r.base.split(",")) <= set(r.spans.split(",")) for r in rows if r.base)
+    assert [tuple(h) for h in by[1].held] == [(9, 41, 1, 1), (43, 63, 2, 2)] and by[4].held == []
+    # One owner, but many repositories: copied.
+    many = spark.createDataFrame([(i, "o", f"r{i % n}", f"password={name}") for name, n in (("within2repos", 2), ("spreadwidely", 3)) for i in range(6)],
+                                 "doc_id long, owner string, repo string, text string")
+    told = secret_scan(many, F.col("repo"), F.col("owner")).collect()
+    assert sorted({(r.held[0].repositories, r.held[0].owners, r.n_live, r.n_copied) for r in told}) == [(2, 1, 1, 0), (3, 1, 0, 1)]
 
 
 def _luhn(digits):
@@ -193,6 +200,16 @@ def test_feistel_is_a_permutation(spark):
     assert len({r.d for r in digits}) == 1000 and all(len(r.d) == 3 for r in digits)
 
 
+def test_whole_license_texts(spark):
+    texts = dict(license_scan.whole_texts())
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "CC0-1.0"} <= set(texts)
+    changed = {i: "Copyright (c) 2020 Someone\n\n" + re.sub(r"\blicense(s?)\b", r"licence\1", t).replace("copyright holder", "copyright  owner").replace(", ", " ,").upper() for i, t in texts.items()}
+    rows = [(n, t) for n, t in enumerate([*texts.values(), *changed.values(), texts["MPL-2.0"] + " more", texts["GPL-2.0-only"][:9000]])]
+    got = {r.doc_id: r.text_license for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    names = [*texts, *texts, None, None]
+    assert got == dict(enumerate(names))
+
+
 def test_licenses_in_other_spellings(spark):
     mit = next(t for i, t in license_scan.KNOWN if i == "MIT")
     rows = [
@@ -366,23 +383,57 @@ def test_url_parts_and_rules(spark):
 
 def test_mined_rules_equal_brute_force(spark):
     rng = random.Random(8)
+    # Of the last kind only all four tokens together tell the verdict.
     baskets = [(sorted(rng.sample("abcdef", rng.randrange(1, 5))), rng.choice(["allow", "block", "block"])) for _ in range(120)]
-    mined = url_filter.mine_rules(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.03, 0.6, 3).collect()
+    baskets += [(sorted(set("mnop") - {x}), "block") for x in "mnop" for _ in range(5)] + [(list("mnop"), "allow")] * 40
+    mined = url_filter.mine_rules(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.03, 0.6).collect()
+    assert any(len(r.tokens) == 4 for r in mined)
     held, said = Counter(), Counter()
     for tokens, verdict in baskets:
-        for n in (1, 2, 3):
+        for n in (1, 2, 3, 4):
             for c in combinations(tokens, n):
                 held[c] += 1
                 said[c, verdict] += 1
     rules = {(c, v): k / held[c] for (c, v), k in said.items() if k / len(baskets) >= 0.03 and k / held[c] >= 0.6}
     kept = {(c, v): x for (c, v), x in rules.items() if not any(w == v and set(d) < set(c) and y >= x for (d, w), y in rules.items())}
     assert {(tuple(r.tokens), r.verdict): round(r.confidence, 9) for r in mined} == {k: round(x, 9) for k, x in kept.items()}
-    urls = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate([["a"], ["a", "b", "c"], ["f", "z"], []])], "url string, tokens array<string>")
+    urls = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate([["a"], ["a", "b", "c"], ["f", "z"], [], list("mnop")])], "url string, tokens array<string>")
     met = url_filter.matched_rules(urls, spark.createDataFrame(mined))
-    expected = {(f"u{i}", r.rule_id) for i, t in enumerate([["a"], ["a", "b", "c"], ["f", "z"], []]) for r in mined if set(r.tokens) <= set(t)}
+    expected = {(f"u{i}", r.rule_id) for i, t in enumerate([["a"], ["a", "b", "c"], ["f", "z"], [], list("mnop")]) for r in mined if set(r.tokens) <= set(t)}
     assert {(r.url, r.rule_id) for r in met.collect()} == expected
 
 
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(2)
+    urls = [f"{rng.choice(['http', 'https'])}://{rng.choice('abc')}.{rng.choice(['net', 'org', 'com', 'example.com', 'example.net'])}/{rng.choice(['de', 'en', 'fr'])}/{rng.choice('xyz')}" for _ in range(150)]
+    rows = [(i, u) for i, u in enumerate([*urls, *urls[:20], None, "no url", "http://lonely.museum/q"])]
+    frame_ = spark.createDataFrame(rows, "page_id long, url string")
+    parts = {r.page_id: r for r in frame_.select(
+        "page_id", url_filter.url_host(F.col("url")).alias("host"), url_filter.url_path(F.col("url")).alias("path")).withColumn(
+        "fit", url_filter.fitting_rule(F.col("host"), F.col("path"))).select(
+        "*", url_filter.url_tokens(F.lit("http://"), F.lit(""), F.lit("")).alias("none")).collect()}
+    tokens = {r.page_id: r.t for r in frame_.select("page_id", url_filter.url_tokens(
+        F.col("url"), url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url"))).alias("t")).collect()}
+    baskets = [(tokens[i], r.fit.verdict) for i, r in parts.items() if r.fit]
+    held, said = Counter(), Counter()
+    for t, verdict in baskets:
+        for n in range(1, len(t) + 1):
+            for c in combinations(sorted(t), n):
+                held[c] += 1
+                said[c, verdict] += 1
+    least = 0.05
+    rules = {(c, v): (k / held[c], k / len(baskets)) for (c, v), k in said.items() if k / len(baskets) >= least and k / held[c] >= 0.8}
+    rules = {k: x for k, x in rules.items() if not any(w == k[1] and set(d) < set(k[0]) and y[0] >= x[0] for (d, w), y in rules.items())}
+    expected = []
+    for i, r in parts.items():
+        fits = [(round(x, 9), round(s, 9), len(c), " ".join(c) + " => " + v, v) for (c, v), (x, s) in rules.items() if set(c) <= set(tokens[i] or ())]
+        best = sorted(fits, key=lambda f: (-f[0], -f[1], -f[2], f[3]))
+        expected.append((i, r.fit.rule if r.fit else None, r.fit.verdict if r.fit else best[0][4] if best else "allow"))
+    got = url_filter.judge_urls(frame_, min_support=least).collect()
+    same([(r.page_id, r.rule, r.verdict) for r in got], expected)
+    assert {v for _, _, v in expected} == {"allow", "block"}
+
+
 def test_packed_cells_round_trip():
     from pathloom.llm.sketch import pack, unpack
 
