@@ -63,6 +63,22 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), raw[count * width :]
 
 
+def squeeze(first: np.ndarray, *others: np.ndarray) -> bytes:
+    """Arrays of 64-bit words of one length, the first ascending: its differences and the others, byte by byte, compressed."""
+    rows = [np.diff(first, prepend=U64(0)), *others]
+    planes = np.stack([r.view(np.uint8).reshape(-1, 8).T for r in rows])
+    return struct.pack("<Q", len(first)) + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, arrays: int) -> np.ndarray:
+    """The arrays of ``squeeze`` as rows of unsigned words."""
+    (count,) = struct.unpack_from("<Q", data)
+    raw = np.frombuffer(pa.decompress(data[8:], count * 8 * arrays, codec="zstd", asbytes=True), np.uint8)
+    out = raw.reshape(arrays, 8, count).transpose(0, 2, 1).copy().view(U64).reshape(arrays, count)
+    out[0] = np.cumsum(out[0], dtype=U64)
+    return out
+
+
 def cells(keys: np.ndarray, shape: Shape, row: int) -> np.ndarray:
     salted = keys if row == 0 else mix(keys + U64((row * 0x9FB21C651E98DF25) & 0xFFFFFFFFFFFFFFFF))
     return salted >> U64(64 - shape.bits)

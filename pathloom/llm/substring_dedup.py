@@ -82,7 +82,7 @@ def _pass_two(size: int, shape: sketch.Shape):
         rows = [
             {
                 "chunk": key[0].as_py(), "block": part,
-                "cells": np.concatenate([found.one[s], found.two[s], found.least[s].view(U64)]).tobytes(),
+                "cells": sketch.squeeze(found.one[s], found.two[s], found.least[s].view(U64)),
             }
             for part in np.flatnonzero(np.diff(edges)).tolist()
             for s in [sent[edges[part] : edges[part + 1]]]
@@ -99,7 +99,7 @@ def _range_of(one: np.ndarray, shape: sketch.Shape) -> np.ndarray:
 def _earlier(table: pa.Table) -> pa.Table:
     """Of each chunk's keys of one range, those that another chunk holds in a document with a smaller id."""
     rows = table.to_pylist()
-    parts = [np.frombuffer(r["cells"], U64).reshape(3, -1) for r in rows]
+    parts = [sketch.unsqueeze(r["cells"], 3) for r in rows]
     one, two, least = np.concatenate(parts, axis=1)
     least = least.view(np.int64)
     order = np.lexsort((two, one))
@@ -113,14 +113,14 @@ def _earlier(table: pa.Table) -> pa.Table:
     for row, x, y in zip(rows, at, at[1:]):
         told = later[x:y]
         if told.any():
-            out.append(row | {"cells": np.concatenate([one[x:y][told], two[x:y][told]]).tobytes()})
+            out.append(row | {"cells": sketch.squeeze(one[x:y][told], two[x:y][told])})
     return sketch.packed_table(out)
 
 
 def _pass_three(size: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         found = _Distinct(table, size)
-        told = [np.frombuffer(x, U64).reshape(2, -1) for _, x in sorted(zip(back["block"].to_pylist(), back["cells"].to_pylist()))]
+        told = [sketch.unsqueeze(x, 2) for _, x in sorted(zip(back["block"].to_pylist(), back["cells"].to_pylist()))]
         earlier = np.zeros(len(found.one), bool)
         if told:
             a, b = np.concatenate(told, axis=1)

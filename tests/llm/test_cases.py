@@ -435,13 +435,14 @@ def test_verdicts_equal_brute_force(spark):
 
 
 def test_packed_cells_round_trip():
-    from pathloom.llm.sketch import pack, unpack
+    from pathloom.llm.sketch import pack, squeeze, unpack, unsqueeze
 
     for values in ([], [0], [3, 900, 70000, 2**40], list(range(0, 5000, 7))):
         v = np.array(values, np.uint64)
         cells, extra = unpack(pack(v, np.arange(len(v)) % 256))
         assert cells.tolist() == values and extra.tolist() == (np.arange(len(v)) % 256).tolist()
-    assert pa.__version__
+        low = v if len(v) else np.zeros(0, np.uint64)
+        assert unsqueeze(squeeze(low, low[::-1].copy(), low), 3).tolist() == [values, values[::-1], values]
 
 
 def test_dual_traversal_of_dense_and_sparse_nodes():
