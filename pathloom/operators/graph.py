@@ -50,43 +50,6 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, max_depth: int | None = Non
     return reach(edges, one, max_depth, stored).drop("seed")
 
 
-def connected(inputs: DataFrame, effects: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(input, effect) node pairs joined by flow.
-
-    Only nodes from which some effect is reachable can be on such a path, so the closure from the inputs
-    runs over that part of the graph alone.
-    """
-    edges, goals = stored_edges(edges), cut_lineage(effects.select("node").distinct())
-    useful = hop_distance(reverse(edges), goals, max_depth, stored=True).select("node")
-    kept = edges.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    closure = reach(kept, inputs.select(F.col("node").alias("seed"), "node"), max_depth)
-    return closure.join(goals, "node", "left_semi").select(
-        F.col("seed").alias("input"), F.col("node").alias("effect"), "depth"
-    )
-
-
-def connected_among(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of the given (input, effect) node pairs those that flow joins.
-
-    Each input walks only inside nodes from which some wanted effect can be reached, and stops when all its effects are
-    found: the work follows the pairs asked for, not all inputs times all effects.
-    """
-    edges, open_ = stored_edges(edges), cut_lineage(pairs.select("input", "effect").distinct())
-    useful = hop_distance(reverse(edges), open_.select(F.col("effect").alias("node")).distinct(), stored=True).select(F.col("node").alias("dst"))
-    kept = cut_lineage(edges.join(useful, "dst", "left_semi").select("src", "dst").repartition("src"))
-    frontier = cut_lineage(open_.select(F.col("input").alias("seed"), F.col("input").alias("node")).distinct())
-    known, found = [frontier], []
-    while True:
-        found.append(cut_lineage(open_.join(frontier.select(F.col("seed").alias("input"), F.col("node").alias("effect")), ["input", "effect"], "left_semi")))
-        open_ = cut_lineage(open_.join(found[-1], ["input", "effect"], "left_anti"))
-        live = open_.select(F.col("input").alias("seed")).distinct()
-        step = frontier.join(live, "seed", "left_semi").join(kept, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(_union(known), ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return _union(found)
-        known.append(frontier)
-
-
 def cheapest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Least summed ``cost`` from any seed to each node, with the parent on the best path (least parent on ties)."""
     edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")).repartition("src"))
@@ -199,43 +162,3 @@ def nearest(edges: DataFrame, seeds: DataFrame, flagged: DataFrame, max_depth: i
     """Per seed the least-depth flagged node on a walk of at most ``max_depth`` edges (least id on ties)."""
     hits = reach(edges, seeds, max_depth).join(flagged.select("node").distinct(), "node", "left_semi")
     return first_by(hits, ["seed"], ["depth", "node"])
-
-
-def bottleneck(edges: DataFrame, seq: str = "seq") -> DataFrame:
-    """For every reachable (start, node): the least possible greatest ``seq`` on a walk between them."""
-    steps = cut_lineage(edges.groupBy("src", "dst").agg(F.min(seq).alias("__seq")).repartition("src"))
-    known = cut_lineage(steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.col("__seq").alias("width")))
-    changed = known
-    while True:
-        offers = changed.join(steps, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(
-            F.min(F.greatest("width", "__seq")).alias("width"))
-        old = known.select("start", "node", F.col("width").alias("__old"))
-        changed = cut_lineage(offers.join(old, ["start", "node"], "left").filter(
-            F.col("__old").isNull() | (F.col("width") < F.col("__old"))).select("start", "node", "width"))
-        if changed.isEmpty():
-            return known
-        known = cut_lineage(known.join(changed, ["start", "node"], "left_anti").unionByName(changed))
-
-
-def acyclic_edges(edges: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """Admit edges in ``seq`` order, refusing each that closes a cycle with those admitted before it.
-
-    Each round settles every edge that can be settled: kept when even all earlier undecided edges close no
-    cycle with it, refused when the kept ones already do. The earliest open edge is always settled.
-    """
-    edges = cut_lineage(edges.select("src", "dst", seq))
-    loops = edges.filter("src = dst")
-    kept, refused, open_ = [], [loops], edges.filter("src <> dst")
-    while True:
-        wide = bottleneck(_union([*kept, open_]), seq).select(F.col("start").alias("dst"), F.col("node").alias("src"), "width")
-        sure = open_.join(wide, ["src", "dst"], "left").filter(F.col("width").isNull() | (F.col("width") > F.col(seq))).select("src", "dst", seq)
-        kept.append(cut_lineage(sure))
-        open_ = cut_lineage(open_.join(kept[-1].select(seq), seq, "left_anti").select("src", "dst", seq))
-        if open_.isEmpty():
-            return _union(kept), _union(refused)
-        narrow = bottleneck(_union(kept), seq).select(F.col("start").alias("dst"), F.col("node").alias("src"), "width")
-        bad = open_.join(narrow, ["src", "dst"]).filter(F.col("width") < F.col(seq)).select("src", "dst", seq)
-        refused.append(cut_lineage(bad))
-        open_ = cut_lineage(open_.join(refused[-1].select(seq), seq, "left_anti").select("src", "dst", seq))
-        if open_.isEmpty():
-            return _union(kept), _union(refused)

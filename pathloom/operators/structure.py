@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.graph import reverse
 from pathloom.operators.intervals import overlapping_spans
+from pathloom.operators.reach import reach_labels
 from pathloom.operators.skew import count_distinct, first_by, top_k
+from pathloom.session import cut_lineage, stored
 
 BACKGROUND_FANOUT = 8
 
@@ -40,19 +43,33 @@ def gate_pairs(inputs: DataFrame, effects: DataFrame, calls: DataFrame, packages
     return same.unionByName(by_calls).unionByName(package)
 
 
-def gate_methods(inputs: DataFrame, effects: DataFrame, calls: DataFrame, packages: DataFrame) -> DataFrame:
-    """Distinct (input, effect) method pairs inside the structural gate: the rules of :func:`gate_pairs` on methods alone."""
+def gate_flow(inputs: DataFrame, effects: DataFrame, calls: DataFrame, packages: DataFrame, flow: DataFrame) -> DataFrame:
+    """Method pairs that flow connects inside the structural gate: ``input, effect, distance, reason``, the rules of :func:`gate_pairs`.
+
+    Effects are numbered by package, a method's one, so a package is a range of numbers and its pairs are never written: what a
+    method's label and its package's range have in common are the connected ones. Pairs that calls make are tested by label.
+    """
     i, e = inputs.select(F.col("method").alias("input")).distinct(), effects.select(F.col("method").alias("effect")).distinct()
-    edges = calls.select("src", "dst").distinct()
+    package = cut_lineage(packages.select("method", "package").distinct())
+    goals = e.join(package.withColumnRenamed("method", "effect"), "effect", "left").select(F.col("effect").alias("node"), "package")
+    labels = reach_labels(flow, goals, ["package"])
+    ranges = labels.numbers.join(package.withColumnRenamed("method", "node"), "node").groupBy("package").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    own = i.join(package.withColumnRenamed("method", "input"), "input").join(ranges, "package").select("input", "first", "last")
+    runs = labels.runs_of(own, "input").join(own, "input").filter("low <= last AND high >= first")
+    near = labels.goals_of(runs.select("input", F.greatest("low", "first").alias("low"), F.least("high", "last").alias("high")), "effect")
+
+    edges = cut_lineage(calls.select("src", "dst").distinct())
+    both = lambda df, distance, reason: df.join(i, "input", "left_semi").join(e, "effect", "left_semi").select(
+        "input", "effect", F.lit(distance).alias("distance"), F.lit(reason).alias("reason"))
     ahead = edges.select(F.col("src").alias("input"), F.col("dst").alias("effect"))
     back = edges.select(F.col("dst").alias("input"), F.col("src").alias("effect"))
     out = ahead.join(i, "input", "left_semi").select("input", F.col("effect").alias("mid"))
     into = ahead.join(e, "effect", "left_semi").select(F.col("input").alias("mid"), "effect")
-    both = lambda df: df.select("input", "effect").join(i, "input", "left_semi").join(e, "effect", "left_semi")
-    side = lambda df, name: df.join(packages.select(F.col("method").alias(name), "package"), name)
-    return (
-        i.join(e, F.col("input") == F.col("effect")).unionByName(both(ahead)).unionByName(both(back)).unionByName(out.join(into, "mid").select("input", "effect"))
-        .unionByName(side(i, "input").join(side(e, "effect"), "package").select("input", "effect")).distinct())
+    two = out.join(into, "mid").select("input", "effect").distinct()
+    asked = cut_lineage(
+        both(i.join(e, F.col("input") == F.col("effect")), 0, "SAME_METHOD").unionByName(both(ahead.filter("input <> effect"), 1, "INPUT_CALLS_EFFECT_REGION"))
+        .unionByName(both(back.filter("input <> effect"), 1, "EFFECT_CALLS_INPUT_REGION")).unionByName(both(two, 2, "TWO_HOP_CALL_REGION")))
+    return labels.test(asked, "input", "effect").unionByName(near.select("input", "effect", F.lit(3).alias("distance"), F.lit("SAME_PACKAGE").alias("reason")))
 
 
 def gate_connected(connected: DataFrame, calls: DataFrame, packages: DataFrame) -> DataFrame:
@@ -122,19 +139,19 @@ def structural_relation(left: DataFrame, right: DataFrame, calls: DataFrame) ->
     return result
 
 
-def frontiers(forward: DataFrame, backward: DataFrame, relation: DataFrame, connected: DataFrame) -> DataFrame:
+def frontiers(inputs: DataFrame, effects: DataFrame, relation: DataFrame, flow: DataFrame) -> DataFrame:
     """Near misses: a node reached from an input beside a node that reaches an effect, the two ends not connected.
 
-    ``forward(input, node)``, ``backward(effect, node)``, ``relation(left, right, distance, reason)``.
+    ``inputs(node)``, ``effects(node)``, ``relation(left, right, distance, reason)``. Both sides are labelled for the nodes of the
+    relation only, and the two ends are tested by label.
     """
-    f = forward.filter("input <> node").select("input", F.col("node").alias("left"))
-    b = backward.filter("effect <> node").select("effect", F.col("node").alias("right"))
-    near = relation.filter("left <> right")
-    # The two semi joins drop relation rows no reach set touches before the row-multiplying joins.
-    near = near.join(f.select("left").distinct(), "left", "left_semi").join(b.select("right").distinct(), "right", "left_semi")
-    pairs = near.join(f, "left").join(b, "right")
-    return pairs.join(connected.select("input", "effect"), ["input", "effect"], "left_anti").select(
-        "input", "effect", F.col("left").alias("fw_node"), F.col("right").alias("bw_node"), "distance", "reason")
+    near = cut_lineage(relation.filter("left <> right").select("left", "right", "distance", "reason"))
+    ahead = reach_labels(flow, near.select(F.col("left").alias("node"))).reached(inputs.select(F.col("node").alias("input")), "input", "left")
+    behind = reach_labels(reverse(flow), near.select(F.col("right").alias("node"))).reached(effects.select(F.col("node").alias("effect")), "effect", "right")
+    pairs = near.join(ahead.filter("input <> left"), "left").join(behind.filter("effect <> right"), "right")
+    pairs = stored(pairs.select("input", "effect", F.col("left").alias("fw_node"), F.col("right").alias("bw_node"), "distance", "reason"))
+    linked = reach_labels(flow, effects.select("node")).test(pairs.select("input", "effect").distinct(), "input", "effect")
+    return pairs.join(linked, ["input", "effect"], "left_anti")
 
 
 def call_edges(targets: DataFrame, calls: DataFrame) -> DataFrame:

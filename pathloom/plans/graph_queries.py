@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pathloom.bindings import oracle
 from pathloom.operators import graph as G
 from pathloom.operators import pools as P
+from pathloom.operators import reach as R
 from pathloom.operators import structure as X
 from pathloom.operators.attribution import share
 from pathloom.registry import query
@@ -46,7 +47,7 @@ CLOSURE = """, closure AS (SELECT method AS seed, method AS node FROM input_meth
 
 
 def connected_methods(t):
-    return G.connected(_nodes(t.input_methods), _nodes(t.effect_methods), t.flow_edges)
+    return R.connected(_nodes(t.input_methods), _nodes(t.effect_methods), t.flow_edges)
 
 
 def connected_sites(t):
@@ -101,9 +102,8 @@ def native_paths(t):
 
 def static_paths(t):
     """Gated pairs that flow connects, as located path rows with their confidence."""
-    gated = X.gate_methods(t.inputs, t.effects, t.call_edges, t.methods.select("method", "package"))
-    linked = cut_lineage(G.connected_among(gated, t.flow_edges))
-    pairs = X.gate_connected(linked, t.call_edges, t.methods.select("method", "package")).groupBy("input", "effect").agg(F.min("distance").alias("gate_distance"))
+    gated = X.gate_flow(t.inputs, t.effects, t.call_edges, t.methods.select("method", "package"), t.flow_edges)
+    pairs = gated.groupBy("input", "effect").agg(F.min("distance").alias("gate_distance"))
     i = t.inputs.select("input_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("input_file"), F.col("line").alias("input_line"), F.col("method").alias("input"))
     e = t.effects.select("effect_id", F.concat(F.lit("M"), F.col("method").cast("string")).alias("effect_file"), F.col("line").alias("effect_line"), F.col("method").alias("effect"))
     gated = pairs.join(i, "input").join(e, "effect").withColumnRenamed("input", "method")
@@ -153,17 +153,22 @@ def g02(t):
 
 # -- reachability and paths -----------------------------------------------------------------------
 
+def reached(edges, methods):
+    """All (seed, node) that flow joins, spelled out from labels."""
+    goals = _nodes(edges, "src").unionByName(_nodes(edges, "dst")).unionByName(_nodes(methods))
+    return R.reach_labels(edges, goals).reached(methods.select(F.col("method").alias("seed")))
+
+
 @query("i01_reach", oracle("""WITH RECURSIVE r AS (SELECT method AS seed, method AS node FROM input_methods
     UNION SELECT seed, dst FROM r JOIN flow_edges ON src = node) SELECT * FROM r""", "input_methods", "flow_edges"))
 def i01(t):
-    return G.reach(t.flow_edges, t.input_methods.select(F.col("method").alias("seed"), F.col("method").alias("node"))).select("seed", "node")
+    return reached(t.flow_edges, t.input_methods)
 
 
 @query("i01_reach_backward", oracle("""WITH RECURSIVE r AS (SELECT method AS seed, method AS node FROM effect_methods
     UNION SELECT seed, src FROM r JOIN flow_edges ON dst = node) SELECT * FROM r""", "effect_methods", "flow_edges"))
 def i01_backward(t):
-    seeds = t.effect_methods.select(F.col("method").alias("seed"), F.col("method").alias("node"))
-    return G.reach(G.reverse(t.flow_edges), seeds).select("seed", "node")
+    return reached(G.reverse(t.flow_edges), t.effect_methods)
 
 
 @query("c07_connected", oracle("WITH x AS (SELECT 1)" + CLOSURE + "SELECT input, effect FROM conn", "input_methods", "effect_methods", "flow_edges"))
@@ -276,12 +281,8 @@ def c05(t):
     WHERE (input, effect) NOT IN (SELECT (input, node) FROM f JOIN effect_methods ON method = node)""",
     "input_methods", "effect_methods", "flow_edges", "call_edges"))
 def c06(t):
-    seeds = lambda df: df.select(F.col("method").alias("seed"), F.col("method").alias("node"))
-    forward = G.reach(t.flow_edges, seeds(t.input_methods)).select(F.col("seed").alias("input"), "node")
-    backward = G.reach(G.reverse(t.flow_edges), seeds(t.effect_methods)).select(F.col("seed").alias("effect"), "node")
     ahead = t.call_edges.filter("dst > src").select(F.col("src").alias("left"), F.col("dst").alias("right"), F.lit(1).alias("distance"), F.lit("CALL_ADJACENT").alias("reason"))
-    linked = forward.join(t.effect_methods.withColumnRenamed("method", "node"), "node", "left_semi").select("input", F.col("node").alias("effect"))
-    return X.frontiers(forward, backward, ahead, linked)
+    return X.frontiers(_nodes(t.input_methods), _nodes(t.effect_methods), ahead, t.flow_edges)
 
 
 @query("c13_call_edges", oracle("""SELECT m.method AS target, caller, callee, 'CALLER' AS edge_kind, site_id FROM methods m JOIN calls ON callee = m.method WHERE status = 'P'

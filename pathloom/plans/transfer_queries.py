@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pathloom.bindings import oracle
 from pathloom.operators import graph as G
+from pathloom.operators import reach as R
 from pathloom.operators import symbols as Y
 from pathloom.operators import transfers as X
 from pathloom.registry import query
@@ -141,10 +142,11 @@ def i11(t):
             SELECT w.c, e.n, reach, e.a, e.b, e.seq, e.a <> e.b AND NOT list_contains(reach, e.b || e.a) AS fine FROM w JOIN e ON e.c = w.c AND e.n = w.n + 1))
     SELECT concat(c, ':', a) AS src, concat(c, ':', b) AS dst, seq, kept FROM w WHERE n > 0""")
 def i11_acyclic(t):
-    o = t.orders.select(F.concat_ws(":", F.col("o_custkey").cast("string"), F.substring("o_orderpriority", 1, 1)).alias("src"),
-                        F.concat_ws(":", F.col("o_custkey").cast("string"), ((F.col("o_orderkey") % 5) + 1).cast("string")).alias("dst"), F.col("o_orderkey").alias("seq"))
-    kept, refused = G.acyclic_edges(o)
-    return kept.withColumn("kept", F.lit(True)).unionByName(refused.withColumn("kept", F.lit(False)))
+    o = t.orders.select(F.col("o_custkey").alias("case_id"), F.substring("o_orderpriority", 1, 1).alias("src"), ((F.col("o_orderkey") % 5) + 1).cast("string").alias("dst"), F.col("o_orderkey").alias("seq"))
+    kept, refused = R.acyclic_edges(o, case=["case_id"])
+    both = kept.withColumn("kept", F.lit(True)).unionByName(refused.withColumn("kept", F.lit(False)))
+    named = lambda c: F.concat_ws(":", F.col("case_id").cast("string"), c).alias(c)
+    return both.select(named("src"), named("dst"), "seq", "kept")
 
 
 @query("i12_backward_slices", oracle("""WITH s AS (SELECT package AS case_id, method, row_number() OVER (PARTITION BY package ORDER BY method) AS place FROM methods m JOIN effect_methods USING (method) QUALIFY place <= 3), l AS (SELECT src AS caller, dst AS callee FROM call_edges),

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import scalars as S
-from pathloom.operators import coverage, endpoints, entities, graph, intervals, journal, pools, ranking, skew, structure, text, transfers
+from pathloom.operators import coverage, endpoints, entities, graph, intervals, journal, pools, ranking, reach, skew, structure, text, transfers
 from pathloom.session import checkpoint_dir
 from pathloom.sources import files as FS
 from pathloom.sources import findings as FN
@@ -200,7 +200,7 @@ def test_acyclic_edges_equal_sequential_admission(spark, seed):
     edges = random_edges(seed, 9, 30)
     rng.shuffle(edges)
     rows = [(a, b, i) for i, (a, b) in enumerate(edges)]
-    kept, refused = graph.acyclic_edges(spark.createDataFrame(rows, "src long, dst long, seq int"))
+    kept, refused = reach.acyclic_edges(spark.createDataFrame(rows, "src long, dst long, seq int"))
     out, want = defaultdict(set), []
     for a, b, i in rows:
         todo, seen = [b], set()
@@ -498,13 +498,10 @@ def test_three_outcomes_of_a_toy_graph(spark):
     """One connected, one disconnected and one structural-only pair."""
     flow = spark.createDataFrame([("i1", "n1"), ("n1", "e1"), ("i3", "n3"), ("m3", "e3")], "src string, dst string")
     nodes = lambda *xs: spark.createDataFrame([(x,) for x in xs], "node string")
-    linked = graph.connected(nodes("i1", "i2", "i3"), nodes("e1", "e2", "e3"), flow)
+    linked = reach.connected(nodes("i1", "i2", "i3"), nodes("e1", "e2", "e3"), flow)
     assert {(r.input, r.effect) for r in linked.collect()} == {("i1", "e1")}
-    seeds = lambda *xs: spark.createDataFrame([(x, x) for x in xs], "seed string, node string")
-    fw = graph.reach(flow, seeds("i1", "i2", "i3")).select(F.col("seed").alias("input"), "node")
-    bw = graph.reach(graph.reverse(flow), seeds("e1", "e2", "e3")).select(F.col("seed").alias("effect"), "node")
     near = spark.createDataFrame([("n3", "m3", 1, "CALL_ADJACENT"), ("n1", "e1", 1, "CALL_ADJACENT")], "left string, right string, distance int, reason string")
-    got = structure.frontiers(fw, bw, near, linked.select("input", "effect"))
+    got = structure.frontiers(nodes("i1", "i2", "i3"), nodes("e1", "e2", "e3"), near, flow)
     assert [(r.input, r.effect, r.reason) for r in got.collect()] == [("i3", "e3", "CALL_ADJACENT")]
 
 
@@ -517,7 +514,7 @@ def test_coverage_stays_three_valued(spark):
 
 
 def test_detectors_take_no_labels():
-    for module in (structure, graph, transfers, endpoints, pools):
+    for module in (structure, graph, reach, transfers, endpoints, pools):
         for name, fn in inspect.getmembers(module, inspect.isfunction):
             assert not {"fixes", "labels", "targets_truth"} & set(inspect.signature(fn).parameters), name
 
@@ -619,18 +616,80 @@ def test_nearest_rank_narrows_skewed_values(spark):
     assert set(got) == {"a", "b"}
 
 
+def closure(edges, nodes):
+    after, out = defaultdict(set), {}
+    for a, b in edges:
+        after[a].add(b)
+    for n in nodes:
+        seen, todo = {n}, [n]
+        while todo:
+            for x in after[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        out[n] = seen
+    return out
+
+
+@pytest.mark.parametrize("cyclic", [True, False])
+def test_labels_tell_what_reaches_what(spark, cyclic):
+    rng = random.Random(3)
+    edges = {(rng.randrange(24), rng.randrange(24)) for _ in range(36)} | {(1, 1)}
+    if not cyclic:
+        edges = {(a, b) for a, b in edges if a < b}
+    below = closure(edges, range(30))
+    df = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "src string, dst string")
+    goals = set(range(0, 30, 2))
+    seeds = spark.createDataFrame([(f"n{a}",) for a in range(30)], "seed string")
+    nodes = spark.createDataFrame([(f"n{g}", g % 4) for g in goals], "node string, class int")
+    got = reach.reach_labels(df, nodes, [] if cyclic else ["class"]).reached(seeds).collect()
+    held = {n for e in edges for n in e} | goals
+    known = {(f"n{a}", f"n{b}") for a in held for b in below[a] if b in goals}
+    assert {tuple(r) for r in got} == known and len(got) == len(known)
+    if cyclic:
+        parts = {r.node: r.component for r in reach.strong_components(df).collect()}
+        same = lambda a, b: b in below[a] and a in below[b]
+        assert len(parts) > 3 and set(parts) == {f"n{a}" for a in range(24) if any(same(a, b) for b in range(24) if b != a)}
+        assert all((parts[f"n{a}"] == parts[f"n{b}"]) == same(a, b) for a in range(24) for b in range(24) if f"n{a}" in parts and f"n{b}" in parts)
+
+
+def test_a_hub_costs_one_run_a_node(spark):
+    """320 inputs over one hub to 320 effects are 102,400 pairs, but one run a node."""
+    edges = [(i, 1000) for i in range(320)] + [(1000, 2000 + i) for i in range(320)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    labels = reach.reach_labels(df, spark.range(2000, 2320).withColumnRenamed("id", "node"))
+    assert labels.runs.count() == 320 + 1 + 320
+    got = labels.reached(spark.range(320).withColumnRenamed("id", "seed"))
+    assert got.count() == got.distinct().count() == 102_400
+    asked = spark.createDataFrame([(1, 2001), (1, 2319), (2000, 2001), (2000, 2000), (1000, 2100), (5, 1000)], "a long, b long")
+    assert {tuple(r) for r in labels.test(asked, "a", "b").collect()} == {(1, 2001), (1, 2319), (2000, 2000), (1000, 2100)}
+
+
+def test_admission_by_case_with_equal_places(spark):
+    rng = random.Random(7)
+    rows = [(case, rng.choice("abcd"), rng.choice("abcd"), rng.randrange(4)) for case in ("x", "y", None) for _ in range(9)]
+    rows += [("x", "a", "b", 9), ("y", "b", "a", 9)] + [("z", str(i), str(i + 1), i) for i in range(9)] + [("z", "9", "0", 9), ("z", "1", "0", 10), ("z", "0", "9", 11)]
+    want = []
+    for case in ("x", "y", "z", None):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == case), key=lambda r: (r[3], r[1], r[2])):
+            if r[1] not in closure(kept, [r[2]])[r[2]]:
+                kept.append(r[1:3])
+                want.append(r)
+    df = spark.createDataFrame(rows, "case string, src string, dst string, seq int").repartition(4)
+    for small in (4096, 11):  # beyond the bound, component z is settled by rounds
+        kept, refused = reach.acyclic_edges(df, case=["case"], small=small)
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+        assert sorted(map(tuple, kept.unionByName(refused).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_connected_among_asks_only_the_given_pairs(spark):
     rng = random.Random(11)
     edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
     pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(80)} | {(3, 3), (99, 1), (1, 99)}
-    reach = {n: {n} for n in range(100)}
-    for _ in range(30):
-        for a, b in edges:
-            for n in reach:
-                if a in reach[n]:
-                    reach[n].add(b)
-    got = graph.connected_among(spark.createDataFrame(list(pairs), "input int, effect int"), spark.createDataFrame(list(edges), "src int, dst int"))
-    assert {(r.input, r.effect) for r in got.collect()} == {(a, b) for a, b in pairs if b in reach[a]}
+    below = closure(edges, range(100))
+    got = reach.connected_among(spark.createDataFrame(list(pairs), "input int, effect int"), spark.createDataFrame(list(edges), "src int, dst int"))
+    assert {(r.input, r.effect) for r in got.collect()} == {(a, b) for a, b in pairs if b in below[a]}
 
 
 def test_cheapest_walks_over_text_nodes(spark):
