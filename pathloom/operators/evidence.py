@@ -158,10 +158,11 @@ def admit_edges(edges: DataFrame, refs: DataFrame, tools_used: DataFrame, nodes:
     proven, structural, proposed = F.col("relation").isin(*PROVEN), F.col("relation").isin(*STRUCTURAL), F.col("relation").isin(*PROPOSED)
     e = edges.join(nodes.select(F.col("node").alias("src"), F.col("project").alias("p1")), "src", "left").join(nodes.select(F.col("node").alias("dst"), F.col("project").alias("p2")), "dst", "left")
 
-    cited = edges.select("edge_id", "src", "dst", "relation").join(refs.distinct(), "edge_id").join(evidence, "evidence_id", "left")
-    known = covers.join(nodes.select("node"), "node", "left_semi")
-    lost = covers.join(nodes.select("node"), "node", "left_anti").select("evidence_id").distinct().withColumn("__lost", true)
-    touch = lambda end: known.select("evidence_id", F.col("node").alias(end)).distinct().withColumn(f"has_{end}", true)
+    cites, asks = cut_lineage(refs.distinct()), cut_lineage(proposal_refs.distinct())
+    held = cut_lineage(covers.select("evidence_id", "node").distinct().join(nodes.select("node").distinct().withColumn("__known", true), "node", "left"))
+    cited = edges.select("edge_id", "src", "dst", "relation").join(cites, "edge_id").join(evidence, "evidence_id", "left")
+    lost = held.filter("__known IS NULL").select("evidence_id").distinct().withColumn("__lost", true)
+    touch = lambda end: held.filter("__known").select("evidence_id", F.col("node").alias(end), true.alias(f"has_{end}"))
     cited = cited.join(lost, "evidence_id", "left").join(touch("src"), ["evidence_id", "src"], "left").join(touch("dst"), ["evidence_id", "dst"], "left")
     both_ends = F.coalesce("has_src", false) & F.coalesce("has_dst", false)
     expected = F.coalesce(F.col("source_kind") == F.col("relation"), false)
@@ -173,8 +174,8 @@ def admit_edges(edges: DataFrame, refs: DataFrame, tools_used: DataFrame, nodes:
     used = tools_used.distinct().join(tools, "tool_id", "left").join(bound, ["edge_id", "tool_id"], "left").groupBy("edge_id").agg(
         F.bool_or(F.col("status").isNull()).alias("tool_missing"), F.bool_or(F.coalesce(F.col("status") != "OK", false)).alias("tool_failed"),
         F.bool_or(F.col("__bound").isNull()).alias("tool_unbound"), true.alias("any_tool"))
-    wanted = proposal_refs.distinct().groupBy("proposal_id").agg(F.count(F.lit(1)).alias("n_wanted"))
-    shared = edges.select("edge_id", "proposal_id").join(refs.distinct(), "edge_id").join(proposal_refs.distinct(), ["proposal_id", "evidence_id"]).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    wanted = asks.groupBy("proposal_id").agg(F.count(F.lit(1)).alias("n_wanted"))
+    shared = edges.filter("proposal_id IS NOT NULL").select("edge_id", "proposal_id").join(cites, "edge_id").join(asks, ["proposal_id", "evidence_id"]).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n_shared"))
     j = e.join(per, "edge_id", "left").join(used, "edge_id", "left").join(proposals.select("proposal_id", F.col("status").alias("gate_status")), "proposal_id", "left").join(wanted, "proposal_id", "left").join(shared, "edge_id", "left")
     n = F.coalesce("n_refs", F.lit(0))
     same_refs = (n == F.coalesce("n_wanted", F.lit(0))) & (n == F.coalesce("n_shared", F.lit(0)))

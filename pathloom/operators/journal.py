@@ -142,7 +142,9 @@ def run_report(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merge_report(detector: DataFrame, coverage: DataFrame, baseline: DataFrame) -> DataFrame:
     """One row: detector and coverage totals with the candidate expansion factor, NULL without baseline paths."""
     paths = baseline.agg(F.coalesce(F.sum(F.when(F.col("status") == "SUCCESS", F.col("path_count"))), F.lit(0)).alias("baseline_paths"))
-    joined = detector.join(F.broadcast(coverage)).join(F.broadcast(paths))
+    # Totals are one row each, also if a caller's table has more; they meet on one key.
+    row = lambda df: df.agg(*[F.max(c).alias(c) for c in df.columns]).withColumn("__one", F.lit(1))
+    joined = row(detector).join(row(coverage), "__one").join(row(paths), "__one").drop("__one")
     return joined.withColumn("expansion_factor", rate(F.col("candidate_paths"), F.nullif(F.col("baseline_paths"), F.lit(0))))
 
 

@@ -165,14 +165,22 @@ def j07(t):
 CONTEXT = "(?is)and.{0,30}the| des "
 
 
-@query("j08_doc_contracts", LINES + r""", m AS (SELECT documents.doc_id, documents.text, total, regexp_extract(documents.text, '(?is)^(.*?)(?:and.{0,30}the| des )', 1) AS pre
-        FROM documents JOIN (SELECT DISTINCT doc_id, total FROM ls) z ON z.doc_id = documents.doc_id WHERE lang <> 'fr' AND regexp_matches(documents.text, '(?is)and.{0,30}the| des '))
-    SELECT doc_id AS entity_id, 'method' AS scope, 10 + greatest(length(pre) - length(replace(pre, chr(10), '')) - 2, 0) AS start_line, 10 + least(total - 1, length(pre) - length(replace(pre, chr(10), '')) + 2) AS end_line FROM m""")
+RESULT = r"(?i)en"
+
+
+@query("j08_doc_contracts", LINES + r""", d AS (SELECT documents.*, total FROM documents JOIN (SELECT DISTINCT doc_id, total FROM ls) z ON z.doc_id = documents.doc_id),
+    c AS (SELECT m.doc_id, m.text AS own, m.total AS own_total, t.text AS outer_text, t.total AS outer_total FROM d m LEFT JOIN d t ON t.doc_id = m.doc_id - m.doc_id % 5 WHERE m.lang <> 'fr'),
+    s AS (SELECT doc_id, 'method' AS scope, 10 AS base, own AS doc, own_total AS total FROM c WHERE regexp_matches(own, '(?is)and.{0,30}the| des ')
+        UNION ALL SELECT doc_id, 'enclosing_type', 500, outer_text, outer_total FROM c WHERE NOT regexp_matches(own, '(?is)and.{0,30}the| des ') AND regexp_matches(own, '(?i)en')
+            AND regexp_matches(outer_text, '(?is)and.{0,30}the| des ')),
+    m AS (SELECT *, regexp_extract(doc, '(?is)^(.*?)(?:and.{0,30}the| des )', 1) AS pre FROM s)
+    SELECT doc_id AS entity_id, scope, base + greatest(length(pre) - length(replace(pre, chr(10), '')) - 2, 0) AS start_line, base + least(total - 1, length(pre) - length(replace(pre, chr(10), '')) + 2) AS end_line FROM m""")
 def j08(t):
-    none = F.lit(None).cast("string")
+    """The type of a method is the document its id leads to, so both branches speak."""
+    types = t.documents.select(F.col("doc_id").alias("type_id"), F.col("text").alias("type_doc"), F.lit(500).alias("type_doc_start"))
     methods = t.documents.select(F.col("doc_id").alias("entity_id"), (F.col("lang") != "fr").alias("public"), F.lit(True).alias("has_return"), F.col("text").alias("doc"), F.lit(10).alias("doc_start"),
-                                 none.alias("type_doc"), F.lit(None).cast("int").alias("type_doc_start"))
-    return X.doc_contracts(methods, CONTEXT)
+                                 (F.col("doc_id") - F.col("doc_id") % 5).alias("type_id")).join(types, "type_id", "left").drop("type_id")
+    return X.doc_contracts(methods, CONTEXT, RESULT)
 
 
 @query("j09_evidence_windows", LINES + """, r AS (SELECT doc_id AS range_id, 1 + doc_id % 4 AS f FROM labels), g AS (SELECT range_id, path, f, line, total, sum(strlen(text) + 12) OVER (PARTITION BY range_id ORDER BY line) AS s FROM r JOIN ls ON ls.doc_id = range_id AND line >= f AND line < f + 6)

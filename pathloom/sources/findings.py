@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import cwe_ids, relativise, url_join
 from pathloom.operators.skew import first_by, pin
-from pathloom.session import cut_lineage
+from pathloom.session import cut_lineage, stored
 
 LOCATION = """physicalLocation struct<artifactLocation: struct<uri: string, uriBaseId: string, index: int>,
     region: struct<startLine: int, startColumn: int, endLine: int, endColumn: int>>, message: struct<text: string>"""
@@ -114,7 +114,8 @@ def canonical_sarif(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     location that is remote, outside ``root``, cyclic in its base names, or has no valid line. Locations are resolved as
     flat rows and joined to the run's artifact, base and shared-location tables, then folded per path and per result.
     """
-    runs = docs.select("project_id", F.coalesce(F.col("doc.version") == "2.1.0", F.lit(False)).alias("current"), F.posexplode("doc.runs").alias("run_index", "run"))
+    # Eight tables are read out of the runs, so reports are parsed once.
+    runs = stored(docs.select("project_id", F.coalesce(F.col("doc.version") == "2.1.0", F.lit(False)).alias("current"), F.posexplode("doc.runs").alias("run_index", "run")))
     results = runs.select(*RUN, F.posexplode("run.results").alias("result_index", "result"))
     shared = runs.select(*RUN, F.posexplode("run.threadFlowLocations").alias("step_index", "s")).select(*RUN, "step_index", F.col("s.location").alias("shared"))
     artifacts = runs.select(*RUN, F.posexplode("run.artifacts").alias("artifact", "a")).select(
