@@ -33,6 +33,11 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     )
 
 
+def left_out(df: DataFrame, keys: Sequence[str], k: int, name: str = "omitted") -> DataFrame:
+    """Keys with more than ``k`` rows, and how many a limit of ``k`` leaves out."""
+    return df.groupBy(*keys).agg((F.count(F.lit(1)) - k).alias(name)).filter(F.col(name) > 0)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
     """One row per key, the least (or greatest) by ``order``; a partial aggregate, so no hot task."""
     rest = [c for c in df.columns if c not in keys and c not in order]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.operators.graph import reverse
 from pathloom.operators.intervals import overlapping_spans
 from pathloom.operators.reach import reach_labels
-from pathloom.operators.skew import count_distinct, first_by, top_k
+from pathloom.operators.skew import count_distinct, first_by, left_out, top_k
 from pathloom.session import cut_lineage, stored
 
 BACKGROUND_FANOUT = 8
@@ -210,6 +210,11 @@ def field_links(writes: DataFrame, reads: DataFrame, per_field: int = 4) -> Data
     return field_state(first, reads)
 
 
+def field_links_omitted(writes: DataFrame, per_field: int = 4) -> DataFrame:
+    """``field, omitted``: writes that :func:`field_links` leaves out."""
+    return left_out(writes, ["field"], per_field)
+
+
 # Container calls that store, and the argument that holds the stored value (-1: the last one).
 CONTAINER_STORES = {("Map", "put"): 1, ("List", "set"): 1, ("List", "add"): -1}
 

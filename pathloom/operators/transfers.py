@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.graph import _union, components
-from pathloom.operators.skew import top_k
+from pathloom.operators.skew import left_out, top_k
 from pathloom.session import cut_lineage
 
 PORTS = ("source", "from_role", "from_index", "sink", "to_role", "to_index")
@@ -158,6 +158,11 @@ def structural_meetings(prefixes: DataFrame, suffixes: DataFrame, edges: DataFra
         "left", "right", F.when(F.col("left_owner") == F.col("right_owner"), "intra_method_hop").otherwise("shared_class_hop").alias("kind"))
 
 
+def meetings_omitted(suffixes: DataFrame, per_type: int = 20) -> DataFrame:
+    """``type, omitted``: suffixes that :func:`structural_meetings` leaves out."""
+    return left_out(suffixes.select("tip", "owner", "type").distinct(), ["type"], per_type)
+
+
 def backward_slices(sinks: DataFrame, callers: DataFrame, n_sinks: int = 3, n_callers: int = 3, n_parents: int = 1) -> DataFrame:
     """Short call chains into the first sinks of each case: ``sinks(case_id, rank, method)``, ``callers(caller, callee)``."""
     s = top_k(sinks, ["case_id"], [F.col("rank"), F.col("method")], n_sinks, rank="place").select("case_id", F.col("method").alias("owner"), "place")
@@ -170,6 +175,15 @@ def backward_slices(sinks: DataFrame, callers: DataFrame, n_sinks: int = 3, n_ca
     return short.unionByName(two.select("case_id", F.array("parent", "caller", "owner").alias("methods")))
 
 
+def slices_omitted(sinks: DataFrame, callers: DataFrame, n_sinks: int = 3, n_callers: int = 3) -> DataFrame:
+    """``kind, key, omitted``: sinks of a case, and callers of a chosen sink, that :func:`backward_slices` leaves out."""
+    text = lambda c: F.col(c).cast("string").alias("key")
+    chosen = top_k(sinks, ["case_id"], [F.col("rank"), F.col("method")], n_sinks).select(F.col("method").alias("callee")).distinct()
+    near = callers.select("caller", "callee").distinct().join(chosen, "callee", "left_semi")
+    return left_out(sinks, ["case_id"], n_sinks).select(F.lit("sinks").alias("kind"), text("case_id"), "omitted").unionByName(
+        left_out(near, ["callee"], n_callers).select(F.lit("callers").alias("kind"), text("callee"), "omitted"))
+
+
 def link_steps(steps: DataFrame, transfers: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
     """The first relation kind that links each step of a chain to the next; NULL when none does.
 
@@ -209,3 +223,9 @@ def fact_chains(facts: DataFrame, max_edges: int = 24, max_chains: int | None =
             break
     out = _union(done).select("chain", F.size("chain").alias("length"))
     return out if max_chains is None else out.orderBy("length", "chain").limit(max_chains)
+
+
+def chains_omitted(chains: DataFrame, max_chains: int = 16) -> DataFrame:
+    """One row: chains in all, and how many a limit leaves out; ``chains`` are those of :func:`fact_chains` without one."""
+    n = F.count(F.lit(1))
+    return chains.agg(n.alias("chains"), F.greatest(n - max_chains, F.lit(0)).alias("omitted"))

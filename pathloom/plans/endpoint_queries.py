@@ -210,6 +210,13 @@ def e04(t):
     return K.capped_inventory(best, "file", [F.col("score").desc(), F.col("file"), F.col("method_id")]).select("method_id", "position")
 
 
+@query("e04_inventory_omitted", oracle(BEST + """, c AS (SELECT file, count(*) AS n FROM best GROUP BY 1)
+    SELECT CAST(sum(n) - sum(least(n, 12)) AS BIGINT) AS omitted_by_group, CAST(greatest(sum(least(n, 12)) - 36, 0) AS BIGINT) AS omitted_by_total FROM c""", *SB))
+def e04_omitted(t):
+    best = E.first_signal(signals(t)).join(t.scored_methods.select("method_id", "file"), "method_id")
+    return K.inventory_omitted(best, "file")
+
+
 def leads(t):
     best = E.first_signal(signals(t)).join(t.scored_methods.select("method_id", "file", "type_name"), "method_id")
     return best.select(F.col("type_name").alias("project"), "method_id", "category", "file", "score")

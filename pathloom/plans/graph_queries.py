@@ -367,6 +367,11 @@ def c44(t):
     return X.field_links(_field(t.inputs, "input_id"), _field(t.effects, "effect_id"))
 
 
+@query("c44_field_links_omitted", oracle(f"""WITH {FIELDS} SELECT field, count(*) - 4 AS omitted FROM w GROUP BY 1 HAVING count(*) > 4""", "inputs", "effects"))
+def c44_omitted(t):
+    return X.field_links_omitted(_field(t.inputs, "input_id"))
+
+
 @query("c20_container_state", oracle("""WITH c AS (SELECT concat(part, ':', supp) AS variable, CASE WHEN supp % 2 = 0 THEN 'Map' ELSE 'List' END AS container,
         CASE WHEN line <= 2 THEN 'get' WHEN line <= 4 THEN 'put' WHEN line = 5 THEN 'set' ELSE 'add' END AS name, 1 + line % 3 AS n_args, site_id FROM sites)
     SELECT s.variable, s.container, s.site_id AS store_site, CASE WHEN s.name = 'add' THEN s.n_args - 1 ELSE 1 END AS value_index, l.site_id AS load_site

@@ -120,6 +120,13 @@ def i06(t):
     return X.structural_meetings(left, right, linked)
 
 
+@query("i06_meetings_omitted", oracle("""WITH r AS (SELECT DISTINCT effect_id AS tip, e.method AS owner, package AS ty FROM effects e JOIN methods m ON m.method = e.method)
+    SELECT ty AS type, count(*) - 20 AS omitted FROM r GROUP BY 1 HAVING count(*) > 20""", "effects", "methods"))
+def i06_omitted(t):
+    right = t.effects.join(t.methods.select("method", F.col("package").alias("type")), "method").select(F.col("effect_id").alias("tip"), F.col("method").alias("owner"), "type")
+    return X.meetings_omitted(right)
+
+
 @query("i09_hierarchy_closure", oracle("""WITH RECURSIVE r AS (SELECT method AS seed, method AS node, 0 AS d FROM methods WHERE status = 'P' UNION SELECT seed, dst, d + 1 FROM r JOIN flow_edges ON src = node) SELECT seed, node, min(d) AS depth FROM r GROUP BY 1, 2""", "methods", "flow_edges"))
 def i09(t):
     return G.reach(t.flow_edges, t.methods.filter("status = 'P'").select(F.col("method").alias("seed"), F.col("method").alias("node")))
@@ -158,6 +165,23 @@ def i12(t):
     return rows.select("case_id", F.array_join(F.col("methods").cast("array<string>"), ">").alias("methods"))
 
 
+@query("i12_slices_omitted", oracle("""WITH a AS (SELECT package AS case_id, method, row_number() OVER (PARTITION BY package ORDER BY method) AS place FROM methods m JOIN effect_methods USING (method))
+    SELECT 'sinks' AS kind, CAST(case_id AS VARCHAR) AS key, count(*) - 3 AS omitted FROM a GROUP BY case_id HAVING count(*) > 3
+    UNION ALL SELECT 'callers', CAST(dst AS VARCHAR), count(*) - 3 FROM call_edges WHERE dst IN (SELECT method FROM a WHERE place <= 3) GROUP BY dst HAVING count(*) > 3""", "methods", "effect_methods", "call_edges"))
+def i12_omitted(t):
+    sinks = t.methods.join(t.effect_methods, "method").select(F.col("package").alias("case_id"), F.col("method").alias("rank"), "method")
+    return X.slices_omitted(sinks, t.call_edges.select(F.col("src").alias("caller"), F.col("dst").alias("callee")))
+
+
+@query("i11_chains_omitted", oracle("""WITH RECURSIVE f AS (SELECT site_id AS id, caller AS src, callee AS dst FROM calls WHERE callee < caller AND line <= 2),
+    p AS (SELECT dst AS tip, [id] AS chain FROM f WHERE src NOT IN (SELECT dst FROM f) UNION ALL SELECT dst, list_append(chain, id) FROM p JOIN f ON src = tip WHERE len(chain) < 24)
+    SELECT count(*) AS chains, greatest(count(*) - 16, 0) AS omitted FROM p WHERE tip NOT IN (SELECT src FROM f)""", "calls"))
+def i11_omitted(t):
+    status = F.when(F.col("line") <= 2, "PENDING").otherwise("VERIFIER_REFUTED")
+    facts = t.calls.filter("callee < caller").select(F.col("site_id").alias("edge_id"), F.col("caller").alias("src"), F.col("callee").alias("dst"), status.alias("status"))
+    return X.chains_omitted(X.fact_chains(facts, 24, None))
+
+
 @query("i14_link_steps", oracle("""WITH s AS (SELECT package AS chain, method, row_number() OVER (PARTITION BY package ORDER BY method) AS pos, method % 4 + 1 AS f, method % 4 + 4 AS l FROM methods), p AS (SELECT a.chain, a.pos, a.method AS le, b.method AS ri, a.f, a.l, b.f AS rf, b.l AS rl FROM s a JOIN s b ON b.chain = a.chain AND b.pos = a.pos + 1),
     tr AS (SELECT DISTINCT i.method AS le, e.method AS ri, CASE WHEN i.part % 2 = 0 THEN 'static' ELSE 'cha_poly_bridge' END AS k, i.line AS ll, e.line AS rr FROM inputs i JOIN effects e ON i.part = e.part JOIN methods a ON a.method = i.method JOIN methods b ON b.method = e.method AND a.package = b.package),
     mv AS (SELECT p.chain, p.pos, min(CASE WHEN k = 'static' THEN 'static_value_hop' ELSE k END) AS v FROM p JOIN tr USING (le, ri) WHERE ll BETWEEN f AND l AND rr BETWEEN rf AND rl GROUP BY 1, 2),
