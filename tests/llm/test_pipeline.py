@@ -5,9 +5,11 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 from brute import components, contamination, sha
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from corpus_pipeline import decontamination, near_duplicates, personal_data
 from pathloom.llm.pii import pseudonymise
 from pathloom.llm.queries import PII_KEY, TOKENIZER
 
@@ -82,3 +84,22 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert [(i, t) for i, t in words if t == one] == [(1, one)] and len([r for r in words if r[1].startswith(two)]) == 1
     assert [(i, t) for i, t in words if t.startswith(three)] == [(1, three + " end")] and [(i, t) for i, t in words if t == four] == [(1, four)]
     assert len(words) == 4 and {s for *_, s in out} >= {"l", "m", "n", "o"} and len(out) == 8
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    texts = ["one two three four five six seven", "one two three four five six seven", "call 469-555-8958 on 2021-02-28 says the note", None, ""]
+    names = "doc_id long, text string, row string, no int, pii string, component_id long, `a.b` int, __row int, class string"
+    docs = spark.createDataFrame([(i if i < 4 else None, t, f"r{i}", i, "kept", 7, i, i, "c") for i, t in enumerate(texts)], names)
+    kept = near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["a.b"] for r in kept.collect()) == [0, 2, 3, 4]
+    out = personal_data(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = {r["a.b"]: r for r in out.collect()}
+    assert rows[0].text == texts[0] and rows[3].text is None and rows[4].text == "" and rows[2].text != texts[2] and rows[2].pii == "kept" and rows[2].row == "r2"
+    with_size = personal_data(spark, docs.select("doc_id", "text").withColumn("n_chars", F.lit(5)), "").collect()
+    assert {r.doc_id: r.n_chars for r in with_size} == {0: len(texts[0]), 1: len(texts[0]), 2: len(rows[2].text), 3: None, None: 0}
+    bench = spark.createDataFrame([(1, "nothing of this is there")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and clean.count() == 5
