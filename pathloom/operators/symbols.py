@@ -9,6 +9,7 @@ from pathloom.functions.scalars import compact_type, erase_type
 from pathloom.operators.graph import components, reach
 from pathloom.operators.intervals import overlapping_spans
 from pathloom.operators.skew import top_k
+from pathloom.session import cut_lineage, stored
 
 
 def map_entities(entities: DataFrame, facts: DataFrame) -> DataFrame:
@@ -100,16 +101,21 @@ def state_query(queries: DataFrame, accesses: DataFrame, methods: DataFrame, fam
     ``methods(method_id, name, type_name, file, line)``, ``families(node, label)``.
     """
     of = families.select(F.col("node").alias("type_name"), "label")
-    q = queries.join(of, "type_name").select("query_id", "symbol", "direction", "label")
+    q = cut_lineage(queries.join(of, "type_name").select("query_id", "symbol", "direction", "label"))
+    # The answer depends on symbol, family and direction alone: it is found once for each such class, whose rows a
+    # salted top-k and partial counts spread, and a query takes over at most ``limit`` rows.
+    by = ["symbol", "label", "direction"]
+    classes = q.select(*by).distinct()
     a = accesses.join(of, "type_name").select(F.col("field").alias("symbol"), "label", "method_id", "file", "line", "access")
     wanted = F.when(F.col("direction") == "forward", F.col("access") == "READ").when(F.col("direction") == "backward", F.col("access") == "WRITE").otherwise(F.lit(True))
-    states = q.join(a, ["symbol", "label"]).filter(wanted).select("query_id", F.lit("FIELD_STATE").alias("kind"), "method_id", "file", "line")
+    states = a.join(classes, ["symbol", "label"]).filter(wanted).select(*by, F.lit("FIELD_STATE").alias("kind"), "method_id", "file", "line")
     m = methods.join(of, "type_name").select(F.col("name").alias("symbol"), "label", "method_id", "file", "line")
-    calls = q.join(m, ["symbol", "label"]).select("query_id", F.lit("SCOPED_DISPATCH").alias("kind"), "method_id", "file", "line")
-    hits = states.unionByName(calls).distinct()
-    totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    top = top_k(hits, ["query_id"], [F.col("kind"), F.col("file"), F.col("line"), F.col("method_id")], limit)
-    return top.join(totals, "query_id").withColumn("omitted", F.greatest(F.col("total") - limit, F.lit(0)))
+    calls = m.join(classes, ["symbol", "label"]).select(*by, F.lit("SCOPED_DISPATCH").alias("kind"), "method_id", "file", "line")
+    hits = stored(states.unionByName(calls).distinct())
+    totals = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    top = top_k(hits, by, [F.col("kind"), F.col("file"), F.col("line"), F.col("method_id")], limit).join(totals, by)
+    rows = q.join(top, by).drop(*by)
+    return rows.withColumn("omitted", F.greatest(F.col("total") - limit, F.lit(0)))
 
 
 def resolve_references(references: DataFrame, targets: DataFrame) -> DataFrame:
