@@ -3,8 +3,9 @@
 Texts are dealt into chunks by hash. A chunk's local sketch is sparse: for each of ``depth`` rows the sorted cells it
 touches with their counts, cut into blocks of the cell space and packed. One task per block adds up the local sketches and
 gives each chunk the logarithm of the merged count for the cells it sent, in the order sent. A window's estimate is the
-least over its rows: never below its true count. Sizes follow the corpus: cells in proportion to its bytes, chunks and
-blocks of bounded bytes, so no step broadcasts or gathers anything that grows.
+least over its rows. A chunk's counts are sent up to 255, so an estimate can be below a large true count, but it is at
+least two wherever two documents hold the window, and that is what the operators' results rest on. Sizes follow the
+corpus: cells in proportion to its bytes, chunks and blocks of bounded bytes, so no step broadcasts or gathers anything that grows.
 """
 
 from __future__ import annotations
