@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import rate
 from pathloom.operators.intervals import overlapping_spans, points_in_spans, spans_within
-from pathloom.session import stored
+from pathloom.session import cut_lineage, stored
 
 
 def alert_mapping(points: DataFrame) -> DataFrame:
@@ -236,31 +236,53 @@ def path_matches(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
 def choose_target(hints: DataFrame, callables: DataFrame, calls: DataFrame) -> DataFrame:
     """Per hint the best callable with parameters and an argument-bearing call, and its first such call.
 
-    Score: equal name 100, equal file or base name 50, hint line inside 30, parameters up to 9. Callables that
-    match a hint in some way come from three equi or interval joins; a hint none of them serves falls back to
-    the callables with most parameters, so hints never meet every callable.
+    Score: equal name 100, equal file or base name 50, hint line inside 30, parameters up to 9. Hints that say the same are one
+    class. By name and by file a class meets the callables that share them; by line each distinct line of a project keeps
+    only its best callable, and a class that nothing serves meets the two callables with most parameters that start
+    nearest to its line, so neither hints nor lines ever meet every callable.
     ``hints(case_id, project, name, file, line)``, ``callables(project, entity_id, name, file, start, end, params)``,
     ``calls(entity_id, call_id, line, args)``.
     """
     first_call = calls.filter("args > 0").groupBy("entity_id").agg(F.min(F.struct(F.col("line"), F.col("call_id"))).alias("call"))
     usable = callables.filter("params > 0").join(first_call, "entity_id")
     base = lambda c: F.substring_index(F.col(c), "/", -1)
-    h = hints.select("case_id", "project", F.col("name").alias("h_name"), base("file").alias("h_base"), F.col("line").alias("h_line"))
-    c = usable.withColumn("base", base("file"))
-    by_name = h.join(c, (h["project"] == c["project"]) & (F.col("h_name") == F.col("name"))).drop(c["project"])
-    by_file = h.join(c, (h["project"] == c["project"]) & (F.col("h_base") == F.col("base"))).drop(c["project"])
-    spans = c.withColumnRenamed("project", "file_key").withColumn("file", F.col("file_key"))
-    by_line = points_in_spans(h.withColumn("file", F.col("project")), spans, ["file"], "h_line").drop("file_key").withColumn("file", F.lit(None).cast("string"))
-    cols = ["case_id", "project", "h_name", "h_base", "h_line", "entity_id", "name", "base", "start", "end", "params", "call"]
-    matched = by_name.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_line.select(*cols))
-    unserved = h.join(matched.select("case_id").distinct(), "case_id", "left_anti")
-    most = c.groupBy("project").agg(F.max(F.least("params", F.lit(9))).alias("__most"))
-    richest = c.join(most, "project").filter(F.least("params", F.lit(9)) == F.col("__most")).drop("__most")
-    fallback = unserved.join(richest, "project").select(*cols)
+    said = ["project", "h_name", "h_base", "h_line"]
+    h = hints.select("case_id", "project", F.col("name").alias("h_name"), base("file").alias("h_base"), F.coalesce("line", F.lit(0)).alias("h_line"))
+    k = stored(h.select(*said).distinct().withColumn("class", F.monotonically_increasing_id()))
+    attributes = ["entity_id", "name", "base", "start", "end", "params", "call"]
+    c = cut_lineage(usable.withColumn("base", base("file")).select("project", *attributes))
+    cols = [*said, "class", *attributes]
+    by_name = k.join(c, (k["project"] == c["project"]) & (F.col("h_name") == F.col("name"))).drop(c["project"])
+    by_file = k.join(c, (k["project"] == c["project"]) & (F.col("h_base") == F.col("base"))).drop(c["project"])
+    few = F.least("params", F.lit(9))
+    # Of callables that hold a line, more parameters win, then the nearest start.
+    spans = c.withColumnRenamed("project", "file")
+    lines = k.filter("h_line > 0").select(F.col("project").alias("file"), "h_line").distinct()
+    held = points_in_spans(lines, spans, ["file"], "h_line").groupBy("file", "h_line").agg(
+        F.max(F.struct(few.alias("few"), "start", "entity_id", "call", "name", "base", "end", "params")).alias("x"))
+    by_line = k.join(held.select(F.col("file").alias("project"), "h_line", "x"), ["project", "h_line"])
+    by_line = by_line.select(*said, "class", *[F.col("x")[a].alias(a) for a in attributes])
+    matched = cut_lineage(by_name.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_line))
+    unserved = cut_lineage(k.join(matched.select("class").distinct(), "class", "left_anti").select(*k.columns))
+    most = c.groupBy("project").agg(F.max(few).alias("__most"))
+    richest = c.join(most, "project").filter(few == F.col("__most")).groupBy("project", "start").agg(
+        F.max(F.struct("entity_id", "call", "name", "base", "start", "end", "params")).alias("x"))
+    # A line of nought has no nearest start: the first one of the project counts.
+    place = F.when(F.col("h_line") > 0, F.col("h_line")).otherwise(F.lit(-(1 << 31))).cast("long")
+    points = richest.select("project", F.col("start").cast("long").alias("at"), "x", F.lit(None).cast(dict(k.dtypes)["h_line"]).alias("h_line"), F.lit(0).alias("asks")).unionByName(
+        unserved.select("project", "h_line").distinct().select("project", place.alias("at"), F.lit(None).cast(dict(richest.dtypes)["x"]).alias("x"), "h_line", F.lit(1).alias("asks")))
+    order = W.partitionBy("project").orderBy("at", "asks")
+    near = points.select("project", "h_line", "asks", F.array(
+        F.last("x", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.first("x", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))).alias("two"))
+    near = near.filter("asks = 1").select("project", "h_line", F.explode("two").alias("x")).filter("x IS NOT NULL")
+    fallback = unserved.join(near, ["project", "h_line"]).select(*said, "class", *[F.col("x")[a].alias(a) for a in attributes])
     scored = matched.unionByName(fallback).withColumn(
         "score",
         F.when(F.col("h_name") == F.col("name"), 100).otherwise(0) + F.when(F.col("h_base") == F.col("base"), 50).otherwise(0)
-        + F.when((F.col("h_line") > 0) & F.col("h_line").between(F.col("start"), F.col("end")), 30).otherwise(0) + F.least("params", F.lit(9)))
+        + F.when((F.col("h_line") > 0) & F.col("h_line").between(F.col("start"), F.col("end")), 30).otherwise(0) + few)
     away = F.when(F.col("h_line") > 0, -F.abs(F.col("start") - F.col("h_line"))).otherwise(0)
     best = F.max(F.struct("score", away.alias("away"), (-F.col("start")).alias("early"), "entity_id", "call")).alias("best")
-    return scored.groupBy("case_id").agg(best).select("case_id", "best.entity_id", "best.score", F.col("best.call.call_id").alias("call_id"))
+    told = scored.groupBy("class").agg(best).join(k, "class").select(*[F.col(x).alias(f"k_{x}") for x in said], "best")
+    same = [F.col(x).eqNullSafe(F.col(f"k_{x}")) for x in said]
+    return h.distinct().join(told, same[0] & same[1] & same[2] & same[3]).groupBy("case_id").agg(F.max("best").alias("best")).select(
+        "case_id", "best.entity_id", "best.score", F.col("best.call.call_id").alias("call_id"))

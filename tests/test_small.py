@@ -636,6 +636,33 @@ def test_longest_common_runs(spark):
     assert {r.chain_id: r.max_connected_hops for r in got.collect()} == {c: longest(v) for c, v in chains.items()}
 
 
+def test_chosen_targets_equal_all_against_all(spark):
+    rng = random.Random(12)
+    callables = []
+    for i in range(80):
+        start = rng.randrange(1, 60)
+        callables.append((rng.choice("pq"), i, f"m{rng.randrange(12)}", f"src/F{rng.randrange(6)}.java", start, start + rng.randrange(6), rng.randrange(0, 12)))
+    calls = [(i, f"c{i}-{n}", rng.randrange(99), rng.choice([0, 1])) for i in range(80) for n in range(2)]
+    hints = [(f"h{n}", rng.choice("pqr"), rng.choice([f"m{rng.randrange(30)}", None]), f"lib/F{rng.randrange(20)}.java", rng.choice([0, None, rng.randrange(1, 200), rng.randrange(1, 70)])) for n in range(120)]
+    first = {}
+    for i, call, line, args in calls:
+        if args:
+            first[i] = min(first.get(i, (line, call)), (line, call))
+    want = {}
+    for case, project, name, file, line in hints:
+        line = line or 0
+        ranked = [
+            (100 * (name == n) + 50 * (file.split("/")[-1] == f.split("/")[-1]) + 30 * (line > 0 and s <= line <= e) + min(k, 9), -abs(s - line) if line > 0 else 0, -s, i)
+            for p, i, n, f, s, e, k in callables if p == project and k > 0 and i in first]
+        if ranked:
+            want[case] = (max(ranked)[3], max(ranked)[0], first[max(ranked)[3]][1])
+    got = scoring.choose_target(
+        spark.createDataFrame(hints, "case_id string, project string, name string, file string, line int"),
+        spark.createDataFrame(callables, "project string, entity_id int, name string, file string, start int, end int, params int"),
+        spark.createDataFrame(calls, "entity_id int, call_id string, line int, args int"))
+    assert {r.case_id: (r.entity_id, r.score, r.call_id) for r in got.collect()} == want
+
+
 def closure(edges, nodes):
     after, out = defaultdict(set), {}
     for a, b in edges:
