@@ -240,13 +240,12 @@ def p25(t):
 
 def _drafts(t):
     """A draft per order: its lines are steps; the cited window is the method's first five lines, the text names the part."""
-    pos = (F.col("line") * 1000000 + F.col("part")) * 10000 + F.col("supp")
     low = t.sites.groupBy("method").agg(F.min(F.struct("line", "part", "supp")).alias("lo"), F.max(F.struct("line", "part", "supp")).alias("hi"))
     s = t.sites.join(low, "method")
     here = F.struct("line", "part", "supp")
     role = F.when(here == F.col("lo"), "SOURCE").when(here == F.col("hi"), "SINK").when(F.col("flag") == "A", "GUARD").otherwise("PROPAGATION")
     text = F.concat(F.lit("P"), F.col("part").cast("string"), F.when((F.col("flag") == "N") & (F.col("line") == 3), "?").otherwise(""))
-    return s.select(F.col("method").alias("draft_id"), F.col("method").alias("seq"), (F.col("method") % 3).cast("string").alias("category"), pos.alias("pos"), F.col("method").alias("evidence_id"),
+    return s.select(F.col("method").alias("draft_id"), F.col("method").alias("seq"), (F.col("method") % 3).cast("string").alias("category"), here.alias("pos"), F.col("method").alias("evidence_id"),
                     F.col("method").alias("method_id"), F.col("line"), text.alias("expression"), role.alias("role"))
 
 
