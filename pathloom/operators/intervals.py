@@ -80,7 +80,10 @@ def innermost(hits: DataFrame, keys: Sequence[str], start: str = "start", end: s
 def owners(points: DataFrame, decls: DataFrame, file: str, line: str, decl_id: str) -> DataFrame:
     """Innermost declaration per point: ``n_owners``, the sole ``owner`` if one, and the mapping word."""
     spots = points.select(file, line).distinct()
-    hits = innermost(points_in_spans(spots, decls.withColumnRenamed("file", file), [file], line), [file, line])
+    # Declarations of one span stand or fall together, so only distinct spans enter a point's window.
+    decls = decls.withColumnRenamed("file", file).select(file, "start", "end", decl_id)
+    spans = innermost(points_in_spans(spots, decls.select(file, "start", "end").distinct(), [file], line), [file, line])
+    hits = spans.select(file, line, "start", "end").join(decls, [file, "start", "end"])
     mapped = hits.groupBy(file, line).agg(F.countDistinct(decl_id).alias("n_owners"), F.min(decl_id).alias("__one"))
     return points.join(mapped, [file, line], "left").select(
         *points.columns,
