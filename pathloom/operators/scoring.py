@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import rate
 from pathloom.operators.intervals import overlapping_spans, points_in_spans, spans_within
-from pathloom.session import cut_lineage, stored
+from pathloom.session import stored
 
 
 def alert_mapping(points: DataFrame) -> DataFrame:
@@ -237,9 +237,10 @@ def choose_target(hints: DataFrame, callables: DataFrame, calls: DataFrame) -> D
     """Per hint the best callable with parameters and an argument-bearing call, and its first such call.
 
     Score: equal name 100, equal file or base name 50, hint line inside 30, parameters up to 9. Hints that say the same are one
-    class. By name and by file a class meets the callables that share them; by line each distinct line of a project keeps
-    only its best callable, and a class that nothing serves meets the two callables with most parameters that start
-    nearest to its line, so neither hints nor lines ever meet every callable.
+    class. A class belongs to the groups of its project, its name, its base name and both, as callables do. Whatever scores
+    best has most parameters either among a group's callables that hold the line, or in the whole group; so each distinct
+    line of a group keeps one that holds it and the two richest that start nearest to it, and neither hints nor lines of a
+    frequent name ever meet every callable of that name.
     ``hints(case_id, project, name, file, line)``, ``callables(project, entity_id, name, file, start, end, params)``,
     ``calls(entity_id, call_id, line, args)``.
     """
@@ -250,33 +251,35 @@ def choose_target(hints: DataFrame, callables: DataFrame, calls: DataFrame) -> D
     h = hints.select("case_id", "project", F.col("name").alias("h_name"), base("file").alias("h_base"), F.coalesce("line", F.lit(0)).alias("h_line"))
     k = stored(h.select(*said).distinct().withColumn("class", F.monotonically_increasing_id()))
     attributes = ["entity_id", "name", "base", "start", "end", "params", "call"]
-    c = cut_lineage(usable.withColumn("base", base("file")).select("project", *attributes))
-    cols = [*said, "class", *attributes]
-    by_name = k.join(c, (k["project"] == c["project"]) & (F.col("h_name") == F.col("name"))).drop(c["project"])
-    by_file = k.join(c, (k["project"] == c["project"]) & (F.col("h_base") == F.col("base"))).drop(c["project"])
+    c = stored(usable.withColumn("base", base("file")).select("project", *attributes))
     few = F.least("params", F.lit(9))
+    group = ["project", "by", "g_name", "g_base"]
+
+    def grouped(df: DataFrame, name: str, base_: str) -> DataFrame:
+        """A row per group; a missing name matches nothing, so it opens no group."""
+        kinds = F.array(*[F.struct(F.lit(i).alias("by"), (F.col(name) if n else F.lit("")).alias("g_name"), (F.col(base_) if b else F.lit("")).alias("g_base")) for i, (n, b) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1)))])
+        return df.select("*", F.explode(kinds).alias("g")).select("*", "g.*").drop("g").filter("g_name IS NOT NULL AND g_base IS NOT NULL")
+
+    asked = grouped(k, "h_name", "h_base")
+    lines = asked.select(*group, "h_line").distinct()
+    members = grouped(c, "name", "base")
     # Of callables that hold a line, more parameters win, then the nearest start.
-    spans = c.withColumnRenamed("project", "file")
-    lines = k.filter("h_line > 0").select(F.col("project").alias("file"), "h_line").distinct()
-    held = points_in_spans(lines, spans, ["file"], "h_line").groupBy("file", "h_line").agg(
+    held = points_in_spans(lines.filter("h_line > 0"), members, group, "h_line").groupBy(*group, "h_line").agg(
         F.max(F.struct(few.alias("few"), "start", "entity_id", "call", "name", "base", "end", "params")).alias("x"))
-    by_line = k.join(held.select(F.col("file").alias("project"), "h_line", "x"), ["project", "h_line"])
-    by_line = by_line.select(*said, "class", *[F.col("x")[a].alias(a) for a in attributes])
-    matched = cut_lineage(by_name.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_line))
-    unserved = cut_lineage(k.join(matched.select("class").distinct(), "class", "left_anti").select(*k.columns))
-    most = c.groupBy("project").agg(F.max(few).alias("__most"))
-    richest = c.join(most, "project").filter(few == F.col("__most")).groupBy("project", "start").agg(
+    held = held.select(*group, "h_line", F.struct(*[F.col("x")[a].alias(a) for a in attributes]).alias("x"))
+    most = members.groupBy(*group).agg(F.max(few).alias("__most"))
+    richest = members.join(most, group).filter(few == F.col("__most")).groupBy(*group, "start").agg(
         F.max(F.struct("entity_id", "call", "name", "base", "start", "end", "params")).alias("x"))
-    # A line of nought has no nearest start: the first one of the project counts.
+    richest = richest.select(*group, "start", F.struct(*[F.col("x")[a].alias(a) for a in attributes]).alias("x"))
+    # A line of nought has no nearest start: the first one of the group counts.
     place = F.when(F.col("h_line") > 0, F.col("h_line")).otherwise(F.lit(-(1 << 31))).cast("long")
-    points = richest.select("project", F.col("start").cast("long").alias("at"), "x", F.lit(None).cast(dict(k.dtypes)["h_line"]).alias("h_line"), F.lit(0).alias("asks")).unionByName(
-        unserved.select("project", "h_line").distinct().select("project", place.alias("at"), F.lit(None).cast(dict(richest.dtypes)["x"]).alias("x"), "h_line", F.lit(1).alias("asks")))
-    order = W.partitionBy("project").orderBy("at", "asks")
-    near = points.select("project", "h_line", "asks", F.array(
+    points = richest.select(*group, F.col("start").cast("long").alias("at"), "x", F.lit(None).cast(dict(k.dtypes)["h_line"]).alias("h_line"), F.lit(0).alias("asks")).unionByName(
+        lines.select(*group, place.alias("at"), F.lit(None).cast(dict(richest.dtypes)["x"]).alias("x"), "h_line", F.lit(1).alias("asks")))
+    order = W.partitionBy(*group).orderBy("at", "asks")
+    near = points.select(*group, "h_line", "asks", F.array(
         F.last("x", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.first("x", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))).alias("two"))
-    near = near.filter("asks = 1").select("project", "h_line", F.explode("two").alias("x")).filter("x IS NOT NULL")
-    fallback = unserved.join(near, ["project", "h_line"]).select(*said, "class", *[F.col("x")[a].alias(a) for a in attributes])
-    scored = matched.unionByName(fallback).withColumn(
+    near = near.filter("asks = 1").select(*group, "h_line", F.explode("two").alias("x")).filter("x IS NOT NULL")
+    scored = asked.join(held.unionByName(near), [*group, "h_line"]).select(*said, "class", *[F.col("x")[a].alias(a) for a in attributes]).withColumn(
         "score",
         F.when(F.col("h_name") == F.col("name"), 100).otherwise(0) + F.when(F.col("h_base") == F.col("base"), 50).otherwise(0)
         + F.when((F.col("h_line") > 0) & F.col("h_line").between(F.col("start"), F.col("end")), 30).otherwise(0) + few)

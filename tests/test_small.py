@@ -664,6 +664,38 @@ def test_chosen_targets_equal_all_against_all(spark):
     assert {r.case_id: (r.entity_id, r.score, r.call_id) for r in got.collect()} == want
 
 
+def test_a_frequent_name_does_not_meet_all_its_callables(spark, monkeypatch):
+    from pathloom.operators import scoring
+    from pathloom.session import cut_lineage, stored
+
+    written = []
+
+    def counted(keep):
+        def write(df):
+            out = keep(df)
+            written.append(out.count())
+            return out
+        return write
+
+    monkeypatch.setattr(scoring, "cut_lineage", counted(scoring.cut_lineage))
+    monkeypatch.setattr(scoring, "stored", counted(stored))
+    monkeypatch.setattr(scoring, "cut_lineage", counted(cut_lineage), raising=False)
+    n = 200
+    hints = [(f"h{i}", "p", "run", f"F{i}.java", i % 7) for i in range(n)]
+    callables = [("p", i, "run", f"G{i}.java", 1 + i % 5, 3 + i % 5, i % 12) for i in range(n)]
+    calls = [(i, f"c{i}", 1, 1) for i in range(n)]
+    got = scoring.choose_target(
+        spark.createDataFrame(hints, "case_id string, project string, name string, file string, line int"),
+        spark.createDataFrame(callables, "project string, entity_id int, name string, file string, start int, end int, params int"),
+        spark.createDataFrame(calls, "entity_id int, call_id string, line int, args int")).collect()
+    want = {}
+    for case, _, _, _, line in hints:
+        best = max((100 + 30 * (line > 0 and s <= line <= e) + min(k, 9), -abs(s - line) if line else 0, -s, i) for _, i, _, _, s, e, k in callables if k > 0)
+        want[case] = (best[3], best[0])
+    assert {r.case_id: (r.entity_id, r.score) for r in got} == want
+    assert max(written) <= 2 * n
+
+
 def closure(edges, nodes):
     after, out = defaultdict(set), {}
     for a, b in edges:
