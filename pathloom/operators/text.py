@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from pathloom.functions.scalars import let, snippet, stable_id
 from pathloom.operators.entities import mask
 from pathloom.operators.intervals import innermost, points_in_spans
-from pathloom.operators.skew import first_by, top_k
+from pathloom.operators.skew import first_by, pin, top_k
 from pathloom.session import cut_lineage
 
 # Fixed value: the characters that end a line.
-LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+LINE_END = "[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029](?:(?<=\r)\n)?"
+# One class of small letters, which a text is searched for quickly; without them and two more only the plain end counts.
+RARE_END = "[\r\u000b\u000c\u001c\u001d\u001e\u0085]"
 
 
 def line_array(text: Column) -> Column:
     """Lines of a text without their ends; a final line end opens no further line."""
-    return let(F.split(text, LINE_END), lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
+    rare = text.rlike(RARE_END) | text.contains("\u2028") | text.contains("\u2029")
+    return let(F.when(rare, F.split(text, LINE_END)).otherwise(F.split(text, "\n")), lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:
@@ -175,14 +178,14 @@ def script_references(pages: DataFrame, html: str = "html") -> DataFrame:
         "page_id", "n", "first", (F.col("first") + _count(F.col("tag"), "\n")).alias("last"), F.size("s").alias("n_src"), F.when(F.size("s") == 1, F.col("s")[0]).alias("src"))
 
 
-# Markup of an XML text: comments, character data, instructions, declarations, and tags as (closing, name, attributes, empty).
+# Markup of an XML text: comments, character data, instructions, declarations, and tags.
 MARKUP = (
-    r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z][^\[>]*(?:\[.*?\]\s*)?>"
-    r"|<(/?)([A-Za-z_:][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(/?)>")
+    r"(?s)<(?:!--.*?-->|!\[CDATA\[.*?\]\]>|\?.*?\?>|![A-Z][^\[>]*(?:\[.*?\]\s*)?>"
+    r"|/?[A-Za-z_:][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*\s*/?>)")
 
 
 def _attribute(name: str) -> Column:
-    """Value of an attribute of a tag's ``attrs`` text, NULL without it."""
+    """Value of an attribute in a tag's own text ``attrs``, NULL without it."""
     quoted = rf"(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
     value = F.concat(F.regexp_extract("attrs", quoted, 1), F.regexp_extract("attrs", quoted, 2))
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
@@ -194,37 +197,42 @@ def mapper_entries(files: DataFrame) -> DataFrame:
     """Top-level declarations of mapper XML with their line spans, one row per reference (NULL without one).
 
     Texts are cut into markup in the JVM; depths, lines and entry numbers are running sums over a file's tags. Files
-    whose tags do not nest, or that declare entities, give nothing.
+    whose tags do not nest, or that declare entities, give nothing. Texts are dealt by path once, and all that follows
+    stays within a file; the path's hash goes before it in every order, since paths mostly begin alike.
     """
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(MARKUP), F.lit(0)).alias("tag"), F.split("text", MARKUP, -1).alias("gap"))
-    cut = files.select("path", F.posexplode(zipped).alias("pos", "t")).select("path", "pos", "t.tag", "t.gap")
-    so_far = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    part = lambda i: F.regexp_extract("tag", MARKUP, i)
-    closing, empty = part(1) == "/", part(4) == "/"
-    tags = cut.withColumn("before", _count(F.col("gap"), "\n") + F.coalesce(F.lag(_count(F.col("tag"), "\n")).over(W.partitionBy("path").orderBy("pos")), F.lit(0)))
-    tags = tags.select(
-        "path", "pos", (F.sum("before").over(so_far) + 1).cast("int").alias("line"), part(2).alias("name"), part(3).alias("attrs"), closing.alias("closing"), empty.alias("empty"),
-        (F.col("gap").contains("<") | F.coalesce(F.col("tag").contains("<!ENTITY"), F.lit(False))).alias("bad"))
-    net = F.when((F.col("name") == "") | F.col("name").isNull() | F.col("empty"), 0).when(F.col("closing"), -1).otherwise(1)
-    tags = tags.withColumn("after", F.sum(net).over(so_far)).withColumn("level", F.when(F.col("closing"), F.col("after")).otherwise(F.col("after") - net))
+    file = ["hash", "path"]
+    dealt = files.select(F.xxhash64("path").alias("hash"), "path", "text").repartition(*file)
+    cut = dealt.select(*file, F.posexplode(zipped).alias("pos", "t")).select(*file, "pos", "t.tag", "t.gap")
+    whole = W.partitionBy(*file)
+    order = whole.orderBy("pos")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    tags = cut.select(
+        *file, "pos", "tag", F.regexp_extract("tag", r"^</?([A-Za-z_:][\w:.-]*)", 1).alias("name"), F.col("tag").startswith("</").alias("closing"), F.col("tag").endswith("/>").alias("empty"),
+        (F.col("gap").contains("<") | F.coalesce(F.col("tag").contains("<!ENTITY"), F.lit(False))).alias("bad"), _count(F.col("gap"), "\n").alias("above"), _count(F.col("tag"), "\n").alias("own"))
     real = F.coalesce(F.col("name") != "", F.lit(False))
-    partner = F.lag("name").over(W.partitionBy("path", "level", real & ~F.col("empty")).orderBy("pos"))
-    tags = tags.withColumn("torn", F.col("bad") | (F.col("after") < 0) | (real & F.col("closing") & ~F.col("name").eqNullSafe(partner)))
+    net = F.when(~real | F.col("empty"), 0).when(F.col("closing"), -1).otherwise(1)
+    tags = tags.withColumn("net", net).select(
+        *file, "pos", "tag", "name", "closing", "empty", "bad", "net", F.sum("net").over(so_far).alias("after"),
+        (F.sum(F.col("above") + F.coalesce("own", F.lit(0))).over(so_far) - F.coalesce("own", F.lit(0)) + 1).cast("int").alias("line"))
+    tags = tags.withColumn("level", F.when(F.col("closing"), F.col("after")).otherwise(F.col("after") - F.col("net")))
     opens = real & ~F.col("closing") & (F.col("level") == 1)
-    tags = cut_lineage(tags.withColumn("entry", F.sum(opens.cast("int")).over(so_far)))
+    tags = tags.withColumn("entry", F.sum(opens.cast("int")).over(so_far))
+    partner = F.lag("name").over(W.partitionBy(*file, "level", real & ~F.col("empty")).orderBy("pos"))
+    tags = tags.withColumn("torn", F.col("bad") | (F.col("after") < 0) | (real & F.col("closing") & ~F.col("name").eqNullSafe(partner)))
     root = real & ~F.col("closing") & (F.col("level") == 0)
-    sound = tags.groupBy("path").agg(
-        F.bool_or("torn").alias("torn"), F.max_by("after", "pos").alias("left"), F.sum(root.cast("int")).alias("roots"),
-        F.max(F.when(root & (F.col("name") == "mapper"), _attribute("namespace"))).alias("namespace"))
-    sound = sound.filter((F.col("left") == 0) & (F.col("roots") == 1) & ~F.col("torn")).select("path", "namespace")
-    inside = tags.filter((F.col("entry") > 0) & real & (F.col("level") >= 1))
-    heads = inside.filter(opens).select("path", "entry", F.col("name").alias("tag"), _attribute("id").alias("id"), F.col("line").alias("first"))
-    ends = inside.filter("level = 1").groupBy("path", "entry").agg(F.max("line").alias("last"))
+    attrs = tags.withColumnRenamed("tag", "attrs")
+    sound = attrs.withColumn("said", F.when(root & (F.col("name") == "mapper"), _attribute("namespace"))).select(
+        "*", F.bool_or("torn").over(whole).alias("any_torn"), F.max_by("after", "pos").over(whole).alias("left"), F.sum(root.cast("int")).over(whole).alias("roots"), F.max("said").over(whole).alias("namespace"))
+    sound = sound.filter((F.col("left") == 0) & (F.col("roots") == 1) & ~F.col("any_torn"))
+    inside = sound.filter((F.col("entry") > 0) & real & (F.col("level") >= 1))
     maps = F.filter(F.transform(F.split(_attribute("resultMap"), ","), lambda v: F.trim(v)), lambda v: v != "")
-    refs = inside.filter(opens).select("path", "entry", F.explode(maps).alias("ref"), F.col("line").alias("ref_line")).unionByName(
-        inside.filter((F.col("level") > 1) & (F.col("name") == "include") & ~F.col("closing")).select("path", "entry", _attribute("refid").alias("ref"), F.col("line").alias("ref_line")).filter("ref <> ''"))
-    return heads.join(ends, ["path", "entry"]).join(sound, "path").join(refs, ["path", "entry"], "left").select(
-        "path", "namespace", "tag", "id", "first", "last", "ref", "ref_line")
+    included = F.when((F.col("level") > 1) & (F.col("name") == "include") & ~F.col("closing"), F.filter(F.array(_attribute("refid")), lambda v: v != ""))
+    refs = F.transform(F.when(opens, maps).otherwise(included), lambda v: F.struct(v.alias("ref"), F.col("line").alias("ref_line")))
+    entries = inside.groupBy(*file, "entry").agg(
+        F.max("namespace").alias("namespace"), F.max(F.when(opens, F.struct(F.col("name").alias("tag"), _attribute("id").alias("id"), F.col("line").alias("first")))).alias("head"),
+        F.max(F.when(F.col("level") == 1, F.col("line"))).alias("last"), F.flatten(F.collect_list(refs)).alias("refs"))
+    return entries.select("path", "namespace", "head.*", "last", F.explode_outer("refs").alias("r")).select("path", "namespace", "tag", "id", "first", "last", "r.ref", "r.ref_line")
 
 
 # What a documented output contract says, in a doc block and in its return tag.
@@ -302,20 +310,21 @@ def term_counts(methods: DataFrame, patterns: dict[str, str], text: str = "text"
 
 def symbol_hits(files: DataFrame, name: str, offset: int = 0, page: int | None = 20) -> DataFrame:
     """Uses of a name before a parenthesis in masked code, declarations first, one page per file."""
-    use = rf"(?<![\w$]){re.escape(name)}\s*\("
-    code = lines(files.select("path", mask(F.col("text")).alias("text"))).filter(F.col("text").rlike(use))
-    parts = F.split("text", rf"(?<![\w$])(?={re.escape(name)}\s*\()", -1)
-    spots = code.select("path", "line", F.posexplode(parts).alias("n", "part"), parts.alias("parts")).filter(F.col("part").rlike(rf"^{re.escape(name)}\s*\(") )
-    before = F.trim(F.regexp_extract(F.array_join(F.slice("parts", 1, F.col("n")), ""), r"([^;{}]*)$", 1))
+    code = lines(files.select("path", mask(F.col("text")).alias("text"))).filter(F.col("text").contains(name))
+    code = pin(code, parts=F.split("text", rf"(?<![\w$])(?={re.escape(name)}\s*\()", -1))
+    spots = code.select("path", "line", F.posexplode("parts").alias("n", "part"), "parts").filter(F.col("part").rlike(rf"^{re.escape(name)}\s*\("))
+    spots = pin(spots, before=F.trim(F.regexp_replace(F.array_join(F.slice("parts", 1, F.col("n")), ""), r"(?s)^.*[;{}]", "")))
+    before = F.col("before")
     decl = (before != "") & ~before.rlike(r"[=.()]") & ~F.concat(before, F.lit(" ")).rlike("return |throw |new |if |while |case ")
-    rows = spots.select("path", "line", "n", decl.alias("declaration"))
-    total = rows.groupBy("path").agg(F.count(F.lit(1)).alias("total"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.col("declaration").desc(), "line", "n")))
+    # Ranks and totals come from one pass, so that texts are masked and cut once. The path's hash sorts faster than paths that begin alike.
+    of_file = W.partitionBy("hash", "path")
+    ranked = spots.select(F.xxhash64("path").alias("hash"), "path", "line", "n", decl.alias("declaration")).select(
+        "*", F.row_number().over(of_file.orderBy(F.col("declaration").desc(), "line", "n")).alias("rank"), F.count(F.lit(1)).over(of_file).alias("total"))
     if page is not None:
         ranked = ranked.filter((F.col("rank") > offset) & (F.col("rank") <= offset + page))
     end = F.lit(offset) + F.lit(page or 0)
     following = F.when((F.lit(page is not None)) & (end < F.col("total")), end).otherwise(-1)
-    return ranked.join(total, "path").select("path", "line", "declaration", "rank", "total", following.alias("next_offset"))
+    return ranked.select("path", "line", "declaration", "rank", "total", following.alias("next_offset"))
 
 
 def admit_steps(steps: DataFrame, windows: DataFrame, source: DataFrame, max_candidates: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -664,6 +664,31 @@ def test_chosen_targets_equal_all_against_all(spark):
     assert {r.case_id: (r.entity_id, r.score, r.call_id) for r in got.collect()} == want
 
 
+def steps(df, word):
+    """How often a word stands in the plan of a query not yet run."""
+    return df._jdf.queryExecution().executedPlan().toString().count(word)
+
+
+def test_symbol_hits_mask_texts_once(spark):
+    df = spark.createDataFrame([("a", "x other(1); /* other( */ y(other(2))\r\nint other(){}\u2028other (3);\x85 other(4)")], "path string, text string")
+    hits = text.symbol_hits(df, "other", page=2)
+    assert [(r.line, r.declaration, r["rank"], r.total, r.next_offset) for r in hits.orderBy("rank").collect()] == [(1, True, 1, 5, 2), (2, True, 2, 5, 2)]
+    assert steps(hits, "Generate posexplode(") == steps(text.symbol_hits(df, "other", page=None), "Generate posexplode(") == 2
+    rare = spark.createDataFrame([("a\r\nb\rc\x85d\u2029e\x1c\n",), ("a\n\nb\n",)], "t string").select(text.line_array(F.col("t")).alias("a")).collect()
+    assert [r.a for r in rare] == [["a", "b", "c", "d", "e", ""], ["a", "", "b"]]
+
+
+def test_mapper_files_are_dealt_once(spark):
+    xml = '<?xml version="1.0"?>\n<!-- <select id="no"/> -->\n<mapper namespace="n">\n<sql id="c"/>\n<select id="s" resultMap="r, q">\n<include refid="c"/><if test="a"><include refid=""/></if>\n</select></mapper>'
+    torn = '<mapper namespace="n"><select id="s"></sql></mapper>'
+    df = spark.createDataFrame([("a.xml", xml), ("b.xml", torn)], "path string, text string")
+    rows = text.mapper_entries(df)
+    assert sorted((r.tag, r.id, r.first, r.last, r.ref or "", r.ref_line) for r in rows.collect() if r.path == "a.xml") == [
+        ("select", "s", 5, 7, "c", 6), ("select", "s", 5, 7, "q", 5), ("select", "s", 5, 7, "r", 5), ("sql", "c", 4, 4, "", None)]
+    assert not rows.filter("path = 'b.xml'").count()
+    assert steps(text.mapper_entries(df), "Exchange hashpartitioning") == 1
+
+
 def test_a_frequent_name_does_not_meet_all_its_callables(spark, monkeypatch):
     from pathloom.operators import scoring
     from pathloom.session import cut_lineage, stored
@@ -677,7 +702,6 @@ def test_a_frequent_name_does_not_meet_all_its_callables(spark, monkeypatch):
             return out
         return write
 
-    monkeypatch.setattr(scoring, "cut_lineage", counted(scoring.cut_lineage))
     monkeypatch.setattr(scoring, "stored", counted(stored))
     monkeypatch.setattr(scoring, "cut_lineage", counted(cut_lineage), raising=False)
     n = 200
