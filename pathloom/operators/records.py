@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.session import cut_lineage
+from pathloom.session import stored
 
 # Label keys a detector input may not hold, and the fields a project row must hold.
 FORBIDDEN_KEYS = (
@@ -18,21 +19,24 @@ PROJECT_FIELDS = ("project", "revision", "source_path", "codeql_db_path")
 
 
 def json_nodes(records: DataFrame, key: str, text: str) -> DataFrame:
-    """Every node below a record: ``key, path array<string>, json, container``; one explode per level until none is left."""
+    """Every node below a record: ``key, path array<string>, named, json, container, object``; one explode per level until none is left.
+
+    A level is told once and written as a table, of which callers read the columns they use; only containers keep their
+    value for the next level. The first sign of a node's JSON tells its kind.
+    """
     spark = records.sparkSession
     level = records.select(F.col(key).alias("key"), F.array().cast("array<string>").alias("path"), F.parse_json(text).alias("v"))
     found = []
     while True:
-        nodes = cut_lineage(spark.sql("""
-            SELECT n.`key`, concat(path, array(coalesce(c.key, CAST(c.pos AS STRING)))) AS path, c.key IS NOT NULL AS named, c.value AS v, to_json(c.value) AS json,
-                schema_of_variant(c.value) RLIKE '^(OBJECT|ARRAY)' AS container, schema_of_variant(c.value) LIKE 'OBJECT%' AS object
-            FROM {nodes} AS n, LATERAL variant_explode(v) AS c""", nodes=level))
-        if nodes.isEmpty():
-            break
+        nodes = stored(spark.sql("""
+            SELECT key, path, named, json, container, object, CASE WHEN container THEN v END AS v FROM (
+                SELECT *, left(json, 1) IN ('{{', '[') AS container, left(json, 1) = '{{' AS object FROM (
+                    SELECT n.`key`, concat(path, array(coalesce(c.key, CAST(c.pos AS STRING)))) AS path, c.key IS NOT NULL AS named, c.value AS v, to_json(c.value) AS json
+                    FROM {nodes} AS n, LATERAL variant_explode(v) AS c))""", nodes=level))
         found.append(nodes.drop("v"))
         level = nodes.filter("container").select("key", "path", "v")
-    if not found:
-        return spark.createDataFrame([], "key string, path array<string>, named boolean, json string, container boolean, object boolean")
+        if level.isEmpty():
+            break
     return reduce(DataFrame.unionByName, found)
 
 
@@ -87,7 +91,8 @@ def factor_repeats(nodes: DataFrame, minimum: int = 256, protected: Sequence[str
     open_ = nodes.filter("object").filter(~F.arrays_overlap("path", F.array(*map(F.lit, protected)))).filter(F.octet_length("json") >= minimum)
     hashed = open_.withColumn("id", F.concat(F.lit("metadata-"), F.substring(F.sha2("json", 256), 1, 24)))
     shared = hashed.groupBy("key", "id").agg(F.count(F.lit(1)).alias("occurrences"), F.min("json").alias("json")).filter("occurrences > 1")
-    refs = hashed.join(shared.select("key", "id"), ["key", "id"], "left_semi").select("key", "id", "path")
+    # Read three times, so written once.
+    refs = stored(hashed.select("key", "id", "path", F.count(F.lit(1)).over(W.partitionBy("key", "id")).alias("n")).filter("n > 1").drop("n"))
     above = refs.select("key", F.col("path").alias("outer_path"))
     # A path is nested when one of its own prefixes is a reference: explode the prefixes, then an equi-join.
     prefixes = refs.filter("size(path) > 1").select("key", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("outer_path"))

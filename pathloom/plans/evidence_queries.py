@@ -304,14 +304,14 @@ def p14(t):
 
 def contexts(t):
     """A context per order: each line leaves a source note, an inventory item and a shared profile of its part."""
-    blob = F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"), F.repeat(F.lit("x"), 260).alias("text"))
     rows = t.lineitem.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")))).alias("s"),
-        F.array_sort(F.collect_list(F.struct(F.struct(F.col("l_suppkey") % 5).alias("k"), blob.alias("profile")))).alias("p"))
+        F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")))).alias("s"))
+    least = F.array_min(F.transform("s", lambda x: F.struct((x["supp"] % 5).alias("k"), F.concat(F.lit("P"), x["part"].cast("string")).alias("name"))))
+    profile = F.struct(least["name"].alias("name"), F.repeat(F.lit("x"), 260).alias("text"))
     same = F.struct(F.lit("common").alias("name"), F.repeat(F.lit("y"), 300).alias("text"))
     rec = F.struct(
         F.transform("s", lambda x: F.struct(x["line"].alias("line"), x["part"].alias("part"))).alias("source_evidence"), F.transform("s", lambda x: x["supp"]).alias("inventory"),
-        F.transform("s", lambda x: same).alias("feedback"), F.col("p")[0]["profile"].alias("profile"))
+        F.transform("s", lambda x: same).alias("feedback"), profile.alias("profile"))
     return t.orders.join(rows, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("key"), F.to_json(rec).alias("text"))
 
 

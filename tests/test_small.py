@@ -689,6 +689,32 @@ def test_mapper_files_are_dealt_once(spark):
     assert steps(text.mapper_entries(df), "Exchange hashpartitioning") == 1
 
 
+def test_merged_findings_are_grouped_once_and_carry_only_what_is_asked(spark):
+    from pathloom.sources.findings import merge_findings
+
+    place, node = "array<struct<file_path: string, lines: array<int>>>", "array<array<struct<file_path: string, line_number: int>>>"
+    rows = [(n, f"t{n}", "c", [("src/a", [1])], [[("src/a", 1)]] if n < 4 else []) for n in (3, 1, 2, 4)] + [(None, "t", "c", [("src/a", [1])], [])]
+    df = spark.createDataFrame(rows, f"seq int, tool string, category string, affected {place}, flows {node}")
+    merged = merge_findings(df, F.col("category"), "seq")[0]
+    assert sorted((r.seq or 0, r.tool, r.claims) for r in merged.select("seq", "tool", "claims").collect()) == [(0, "t", 2), (1, "t1", 3)]
+    short = merge_findings(df, F.col("category"), "seq")[0].select("fingerprint", "seq", "claims")
+    assert steps(short, "Exchange") == 1 and steps(short, "SortAggregate") == 0
+
+
+def test_json_nodes_are_told_once(spark, monkeypatch):
+    from pathloom.operators import records
+
+    def never(df):
+        raise AssertionError("a checkpoint runs its rows twice")
+
+    monkeypatch.setattr(records, "cut_lineage", never, raising=False)
+    df = spark.createDataFrame([(1, '{"a": {"b": [1, "{x", {}], "c": null}, "d": "[y"}')], "key int, text string")
+    rows = records.json_nodes(df, "key", "text").collect()
+    assert sorted((".".join(r.path), r.json, r.named, r.container, r.object) for r in rows) == [
+        ("a", '{"b":[1,"{x",{}],"c":null}', True, True, True), ("a.b", '[1,"{x",{}]', True, True, False), ("a.b.0", "1", False, False, False),
+        ("a.b.1", '"{x"', False, False, False), ("a.b.2", "{}", False, True, True), ("a.c", "null", True, False, False), ("d", '"[y"', True, False, False)]
+
+
 def test_a_frequent_name_does_not_meet_all_its_callables(spark, monkeypatch):
     from pathloom.operators import scoring
     from pathloom.session import cut_lineage, stored
