@@ -153,9 +153,12 @@ def structural_meetings(prefixes: DataFrame, suffixes: DataFrame, edges: DataFra
     ``prefixes(tip, owner, type)`` and ``suffixes`` alike; at most ``per_type`` suffixes of a type meet a prefix.
     """
     right = top_k(suffixes.select(F.col("tip").alias("right"), F.col("owner").alias("right_owner"), "type").distinct(), ["type"], [F.col("right")], per_type).drop("rank")
-    met = prefixes.select(F.col("tip").alias("left"), F.col("owner").alias("left_owner"), "type").distinct().join(right, "type").filter("left <> right")
-    return met.join(edges.select(F.col("src").alias("left"), F.col("dst").alias("right")), ["left", "right"], "left_anti").select(
-        "left", "right", F.when(F.col("left_owner") == F.col("right_owner"), "intra_method_hop").otherwise("shared_class_hop").alias("kind"))
+    left = prefixes.select(F.col("tip").alias("left"), F.col("owner").alias("left_owner"), "type").distinct()
+    # What a prefix may not meet, at most ``per_type`` suffixes, is told to it beforehand, so that pairs are not dealt again.
+    linked = edges.select(F.col("src").alias("left"), F.col("dst").alias("right")).join(right.select("right", "type").distinct(), "right")
+    linked = linked.groupBy("left", "type").agg(F.collect_set("right").alias("linked"))
+    met = left.join(linked, ["left", "type"], "left").join(right, "type").filter((F.col("left") != F.col("right")) & ~F.coalesce(F.array_contains("linked", F.col("right")), F.lit(False)))
+    return met.select("left", "right", F.when(F.col("left_owner") == F.col("right_owner"), "intra_method_hop").otherwise("shared_class_hop").alias("kind"))
 
 
 def meetings_omitted(suffixes: DataFrame, per_type: int = 20) -> DataFrame:

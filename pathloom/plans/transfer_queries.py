@@ -115,7 +115,7 @@ def i05(t):
     WHERE (l.owner, r20.owner) NOT IN (SELECT (src, dst) FROM call_edges)""", "inputs", "effects", "methods", "call_edges"))
 def i06(t):
     typed = lambda df, c: df.join(t.methods.select("method", F.col("package").alias("type")), "method").select(F.col(c).alias("tip"), F.col("method").alias("owner"), "type")
-    left, right = typed(t.inputs, "input_id").distinct(), typed(t.effects, "effect_id").distinct()
+    left, right = typed(t.inputs, "input_id"), typed(t.effects, "effect_id")
     linked = left.join(t.call_edges, F.col("owner") == F.col("src")).select(F.col("tip").alias("a"), "dst").join(right.select(F.col("tip").alias("b"), F.col("owner").alias("dst")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return X.structural_meetings(left, right, linked)
 

@@ -715,6 +715,33 @@ def test_json_nodes_are_told_once(spark, monkeypatch):
         ("a.b.1", '"{x"', False, False, False), ("a.b.2", "{}", False, True, True), ("a.c", "null", True, False, False), ("d", '"[y"', True, False, False)]
 
 
+def test_pools_read_reports_once_and_group_both_sides_in_one_table(spark):
+    from pathloom.operators.pools import preservation
+
+    import __spark_entry__ as entry
+
+    for name in ("c24_pool_coverage", "c24_coverage_totals", "d15_preservation"):
+        assert steps(entry.queries()[name](spark, "/root/testdata/sf0.001"), "ObjectHashAggregate") == 0
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "id string")
+    got = preservation(ids("a", "a", "b", "c", None), ids("b", "c", "c", "x", None), "id")
+    assert steps(got, "Join") == 0
+    assert tuple(got.first()) == (4, 4, 2, 1, 0.5, "FAIL")
+
+
+def test_meetings_are_not_dealt_by_pair(spark):
+    from pathloom.operators.transfers import structural_meetings
+
+    left = [(f"l{i}", f"m{i % 3}", f"t{i % 2}") for i in range(6)] + [("l0", "m0", "t0"), ("r1", "m1", "t1")]
+    right = [(f"r{i}", f"m{i % 3}", f"t{i % 2}") for i in range(12)]
+    edges = [("l0", "r0"), ("l0", "r0"), ("l0", "r1"), ("l0", "r10"), ("l3", "r1"), ("l9", "r1"), (None, "r3")]
+    two = lambda rows: spark.createDataFrame(rows, "tip string, owner string, type string")
+    got = structural_meetings(two(left), two(right), spark.createDataFrame(edges, "src string, dst string"), 3)
+    kept = {ty: sorted(r for r in set(right) if r[2] == ty)[:3] for ty in ("t0", "t1")}
+    want = sorted((a, b, "intra_method_hop" if o == p else "shared_class_hop") for a, o, ty in set(left) for b, p, _ in kept[ty] if a != b and (a, b) not in edges)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_frequent_name_does_not_meet_all_its_callables(spark, monkeypatch):
     from pathloom.operators import scoring
     from pathloom.session import cut_lineage, stored
