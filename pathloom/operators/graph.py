@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.skew import first_by, top_k
-from pathloom.session import cut_lineage
+from pathloom.session import cut_lineage, stored
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -81,19 +81,34 @@ def meet_nodes(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Least node id of each undirected component: neighbour minimum, then a jump to the label's own label."""
-    both = cut_lineage(edges.select("src", "dst").unionByName(reverse(edges)).distinct().repartition("dst"))
-    labels = cut_lineage(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    """Least node id of each undirected component.
+
+    A round points every node at its least neighbour, follows the pointers to their ends and keeps only the edges between
+    different ends. An end has a neighbour that is none, so at most half the nodes are left: rounds are few and their
+    tables shrink. A node's component is then the end of its end.
+    """
+    known = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+    both = stored(known.unionByName(reverse(known)).distinct())
+    ends = []
     while True:
-        offers = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("offer"))
-        near = labels.join(offers, F.col("node") == F.col("src")).select("node", F.least("label", "offer").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        moved = near.join(jump, "label").select("node", F.least("label", "root").alias("label"), )
-        new = cut_lineage(moved)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter(F.col("label") < F.col("old"))
-        if changed.isEmpty():
-            return new
-        labels = new
+        up = stored(both.groupBy("src").agg(F.min("dst").alias("least")).select(F.col("src").alias("node"), F.least("src", "least").alias("up")))
+        while True:
+            further = up.select(F.col("node").alias("up"), F.col("up").alias("end"))
+            jumped = stored(up.select("node", "up").join(further, "up").select("node", F.col("end").alias("up"), (F.col("end") != F.col("up")).alias("moved")))
+            up = jumped
+            if jumped.filter("moved").isEmpty():
+                break
+        up = up.select("node", "up")
+        ends.append(up)
+        left, right = up.select(F.col("node").alias("src"), F.col("up").alias("a")), up.select(F.col("node").alias("dst"), F.col("up").alias("b"))
+        both = stored(both.join(left, "src").join(right, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        if both.isEmpty():
+            break
+    labels = ends.pop().select("node", F.col("up").alias("label"))
+    for up in reversed(ends):
+        later = labels.select(F.col("node").alias("up"), "label")
+        labels = up.join(later, "up", "left").select("node", F.coalesce("label", "up").alias("label"))
+    return stored(labels)
 
 
 def simple_paths(

@@ -742,6 +742,21 @@ def test_meetings_are_not_dealt_by_pair(spark):
     assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_components_shrink_without_checkpoints(spark, monkeypatch):
+    from pathloom.operators import graph
+
+    def never(df):
+        raise AssertionError("a checkpoint runs its rows twice")
+
+    monkeypatch.setattr(graph, "cut_lineage", never)
+    rng = random.Random(5)
+    order = rng.sample(range(100, 160), 60)
+    edges = [*zip(order, order[1:]), (1, 1), (3, 2), (4, 3), (2, 3), (9, 7), (8, 9), (6, 8), (50, None), (None, 50)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {n: 100 for n in order} | {1: 1, 2: 2, 3: 2, 4: 2, 6: 6, 7: 6, 8: 6, 9: 6}
+    assert graph.components(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
 def test_a_frequent_name_does_not_meet_all_its_callables(spark, monkeypatch):
     from pathloom.operators import scoring
     from pathloom.session import cut_lineage, stored
