@@ -757,6 +757,12 @@ def test_components_shrink_without_checkpoints(spark, monkeypatch):
     assert graph.components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_files_go_by_number_so_a_path_given_twice_mixes_nothing(spark):
+    src = "package p;\nclass A {\n  @Mark int f = 1;\n  void run(int a) { go(a); }\n}\n"
+    told = lambda rows: sorted(map(str, entities.extract_entities(spark.createDataFrame(rows, "path string, text string"))[0].collect()))
+    assert told([("a/A.java", src), ("a/A.java", src)]) == told([("a/A.java", src)])
+
+
 def test_a_frequent_name_does_not_meet_all_its_callables(spark, monkeypatch):
     from pathloom.operators import scoring
     from pathloom.session import cut_lineage, stored
