@@ -49,12 +49,27 @@ def closure_transfers(allocations: DataFrame, arguments: DataFrame, callbacks: D
 
     ``allocations(call, ctor, type)``, ``callbacks(type, method)``, ``captures(ctor, position, field)``,
     ``field_outputs(field, method, site, role, index)``.
+
+    Arguments are told apart before callbacks multiply them: a callback of one type meets each argument once, so only
+    callbacks of several types, those that are also an output, and outputs are told apart afterwards.
     """
-    made = allocations.join(arguments.filter("NOT constant").select("call", "index"), "call").join(callbacks, "type")
-    held = made.join(captures.select("ctor", F.col("position").alias("index"), "field"), ["ctor", "index"]).join(
-        field_outputs.select("field", "method", "site", F.col("role").alias("o_role"), F.col("index").alias("o_index")), ["field", "method"])
-    return _rows(made, "call", "ARGUMENT", F.col("index"), "method", "RECEIVER", -1, "closure_object_bridge").unionByName(
-        _rows(held, "call", "ARGUMENT", F.col("index"), "site", F.col("o_role"), F.col("o_index"), "closure_object_bridge")).distinct()
+    kind = "closure_object_bridge"
+    given = allocations.join(arguments.filter("NOT constant").select("call", "index"), "call")
+    made = given.select(F.col("call").cast("string").alias("call"), F.col("index").cast("int").alias("index"), "type").distinct()
+    hooks = callbacks.filter("type IS NOT NULL").select("type", F.col("method").cast("string").alias("sink"))
+    ports = field_outputs.filter("role = 'RECEIVER' AND index = -1").select(F.lit(None).cast(hooks.schema["type"].dataType).alias("type"), F.col("site").cast("string").alias("sink"))
+    known = hooks.withColumn("port", F.lit(False)).unionByName(ports.withColumn("port", F.lit(True))).groupBy("sink").agg(
+        F.min("type").alias("type"), F.max("type").alias("last"), F.max("port").alias("port"))
+    once = (F.col("type") == F.col("last")) & ~F.col("port")
+    sole = known.filter(once).select("type", "sink")
+    several = known.filter(~once).select(F.col("sink").alias("__sink"))
+    shared = hooks.join(several, F.col("sink").eqNullSafe(F.col("__sink")), "left_semi")
+    bridges = callbacks.select("type", "method").join(
+        field_outputs.select("field", "method", "site", F.col("role").alias("o_role"), F.col("index").alias("o_index")), "method").drop("method")
+    held = given.join(captures.select("ctor", F.col("position").alias("index"), "field"), ["ctor", "index"]).join(bridges, ["type", "field"])
+    receivers = lambda hooks: _rows(made.join(hooks, "type"), "call", "ARGUMENT", F.col("index"), "sink", "RECEIVER", -1, kind)
+    return receivers(sole).unionByName(receivers(shared).unionByName(
+        _rows(held, "call", "ARGUMENT", F.col("index"), "site", F.col("o_role"), F.col("o_index"), kind)).distinct())
 
 
 def builder_transfers(updates: DataFrame, arguments: DataFrame, uses: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ def call_rows(t):
     return t.calls.select(F.col("site_id").alias("call"), F.col("callee").alias("target"), (F.col("kind") == "DIRECT_CALL").alias("direct"))
 
 
-def argument_rows(t):
+def argument_rows(calls):
     """Every call has three arguments; the one at its line's place modulo three is a constant."""
-    return t.calls.select(F.col("site_id").alias("call"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("index"), "line").select(
+    return calls.select(F.col("site_id").alias("call"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("index"), "line").select(
         "call", "index", (F.col("line") % 3 == F.col("index")).alias("constant"))
 
 
@@ -42,7 +42,7 @@ def c21(t):
     flow = inputs.select("owner", F.col("node").alias("src"), F.col("line").alias("a")).join(outputs.select("owner", F.col("node").alias("dst"), F.col("line").alias("b")), "owner").filter("a < b")
     through = t.methods.filter("status = 'F'").select(F.col("method").alias("target"), F.lit(0).alias("position"))
     returns = t.methods.filter("status <> 'P'").select(F.col("method").alias("target"))
-    return X.static_transfers(inputs, outputs, flow, call_rows(t), argument_rows(t), param_rows(t), through, returns)
+    return X.static_transfers(inputs, outputs, flow, call_rows(t), argument_rows(t.calls), param_rows(t), through, returns)
 
 
 @query("c22_closure_transfers", oracle(ARGS + """, al AS (SELECT call, target AS ctor, target AS ty FROM cl WHERE NOT direct), cb AS (SELECT package AS ty, method FROM methods WHERE status = 'F'),
@@ -54,7 +54,8 @@ def c22_closure(t):
     callbacks = t.methods.filter("status = 'F'").select(F.col("package").alias("type"), "method")
     captures = t.methods.filter("status <> 'P'").select(F.col("method").alias("ctor"), F.lit(0).alias("position"), F.col("package").alias("field"))
     outputs = t.effects.join(t.methods.select("method", F.col("package").alias("field")), "method").select("field", "method", F.col("effect_id").alias("site"), F.lit("ARGUMENT").alias("role"), (F.col("line") % 3).alias("index"))
-    return X.closure_transfers(allocations, argument_rows(t), callbacks, captures, outputs)
+    # Direct calls allocate nothing, so their arguments meet no allocation.
+    return X.closure_transfers(allocations, argument_rows(t.calls.filter("kind <> 'DIRECT_CALL'")), callbacks, captures, outputs)
 
 
 @query("c22_builder_transfers", oracle(ARGS + """, up AS (SELECT site_id AS call, caller AS method, CASE WHEN receiver % 2 = 0 THEN 0 END AS variable, line, receiver, callee % 3 > 0 AS recv FROM calls), gv AS (SELECT up.*, ix FROM up JOIN ar USING (call))
@@ -63,7 +64,7 @@ def c22_closure(t):
     UNION SELECT gv.call, 'ARGUMENT', ix, u.call, 'CALL_RECEIVER', -1, 'builder_receiver_bridge' FROM gv JOIN up u ON u.method = gv.method AND u.variable = gv.variable AND u.call <> gv.call AND (gv.line, gv.receiver) < (u.line, u.receiver)""", *CB))
 def c22_builder(t):
     rows = t.calls.select(F.col("site_id").alias("call"), F.col("caller").alias("method"), F.when(F.col("receiver") % 2 == 0, 0).alias("variable"), "line", F.col("receiver").alias("col"), (F.col("callee") % 3 > 0).alias("has_receiver"))
-    return X.builder_transfers(rows, argument_rows(t), rows)
+    return X.builder_transfers(rows, argument_rows(t.calls), rows)
 
 
 @query("c23_array_transfers", oracle(ARGS + """SELECT cl.call AS source, 'ARGUMENT' AS from_role, ix AS from_index, CAST(cl.target AS VARCHAR) AS sink, 'PARAMETER' AS to_role, position AS to_index, 'array_varargs_bridge' AS kind
@@ -73,7 +74,7 @@ def c23(t):
     array = F.concat_ws(":", F.col("part").cast("string"), F.col("supp").cast("string")).alias("array")
     into = t.inputs.select(array, F.col("input_id").alias("site"), F.lit("CALL_RESULT").alias("role"), F.lit(-1).alias("index"))
     out = t.effects.select(array, F.col("effect_id").alias("site"), F.lit("ARGUMENT").alias("role"), (F.col("line") % 3).alias("index"))
-    return X.array_transfers(call_rows(t), argument_rows(t), param_rows(t), into, out)
+    return X.array_transfers(call_rows(t), argument_rows(t.calls), param_rows(t), into, out)
 
 
 # -- value paths -----------------------------------------------------------------------------------

@@ -742,6 +742,64 @@ def test_meetings_are_not_dealt_by_pair(spark):
     assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def most_told_apart(df):
+    """The most rows that one aggregate of a query gave; the query has been run."""
+    def walk(plan):
+        kind = plan.nodeName()
+        if "HashAggregate" in kind:
+            yield plan.metrics().apply("numOutputRows").value()
+        if kind == "AdaptiveSparkPlan":
+            inside = [plan.executedPlan()]
+        elif kind.endswith("QueryStage"):
+            inside = [plan.plan()]
+        else:
+            inside = [plan.children().apply(i) for i in range(plan.children().size())]
+        for child in inside:
+            yield from walk(child)
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def closure_rows(allocations, arguments, callbacks, captures, outputs):
+    given = {(c, k, i, ty) for c, k, ty in allocations for d, i, constant in arguments if c is not None and c == d and constant is False}
+    made = {(c, k, i, ty, m) for c, k, i, ty in given for uy, m in callbacks if ty is not None and ty == uy}
+    rows = {(c, i, m, "RECEIVER", -1) for c, _, i, _, m in made}
+    for c, k, i, _, m in made:
+        fields = {f for ctor, position, f in captures if (ctor, position) == (k, i) and f is not None}
+        rows |= {(c, i, site, role, x) for f, n, site, role, x in outputs if f in fields and n == m and m is not None}
+    return sorted(((c, "ARGUMENT", i, sink, role, x, "closure_object_bridge") for c, i, sink, role, x in rows), key=str)
+
+
+def closure_frames(spark, *rows):
+    kinds = ("call string, ctor int, type int", "call string, index int, constant boolean", "type int, method string", "ctor int, position int, field int", "field int, method string, site string, role string, index int")
+    return [spark.createDataFrame(r, k) for r, k in zip(rows, kinds)]
+
+
+def test_closure_arguments_are_told_apart_before_callbacks_multiply_them(spark):
+    n = 60
+    rows = [(f"c{i}", i % 3, 7) for i in range(n)], [(f"c{i}", j, j == 2) for i in range(n) for j in range(3)], [(7, f"m{i}") for i in range(n)], [(0, 0, 9)], [(9, "m1", "s", "ARGUMENT", 1)]
+    df = transfers.closure_transfers(*closure_frames(spark, *rows))
+    assert sorted(map(tuple, df.collect()), key=str) == closure_rows(*rows)
+    assert df.count() == 2 * n * n + n // 3
+    assert most_told_apart(df) <= 2 * n
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_closure_rows_come_once(spark, seed):
+    # Rows given twice, calls and callbacks of several types, nulls, and outputs that are receivers of a callback's name.
+    rng = random.Random(seed)
+    pick = lambda *of: rng.choice(of)
+    some = lambda m, make: (rows := [make() for _ in range(m)]) + rows[: m // 3]
+    methods = ("m1", "m2", "m3", "m4", None)
+    rows = (
+        some(12, lambda: (pick("a", "b", "c", "d", None), pick(1, 2, None), pick(1, 2, 3, None))),
+        some(14, lambda: (pick("a", "b", "c", "d", None), pick(0, 1, None), pick(False, False, True, None))),
+        some(8, lambda: (pick(1, 2, 3, None), pick(*methods))),
+        some(5, lambda: (pick(1, 2), pick(0, 1), pick(5, 6, None))),
+        some(12, lambda: (pick(5, 6, None), pick(*methods), pick("m1", "m3", "s", None), pick("RECEIVER", "ARGUMENT", None), pick(-1, 0, None))))
+    assert sorted(map(tuple, transfers.closure_transfers(*closure_frames(spark, *rows)).collect()), key=str) == closure_rows(*rows)
+
+
 def test_components_shrink_without_checkpoints(spark, monkeypatch):
     from pathloom.operators import graph
 
