@@ -6,6 +6,7 @@ from pathloom.bindings import oracle
 from pathloom.operators import evidence as V
 from pathloom.operators import records as N
 from pathloom.registry import query
+from pathloom.session import stored
 
 SITE = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)"
 
@@ -134,7 +135,10 @@ def graph_edges(t):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("l_suppkey") % len(values) + 1).cast("int"))
     li = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("o_orderkey") == F.col("l_orderkey"))
     s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = li.withColumn("edge_id", F.concat_ws("-", site(), F.col("l_quantity").cast("int").cast("string"), "l_returnflag"))
+    # Lines meet their orders once; all that hangs on an edge is read from this table.
+    e = stored(li.select(
+        F.concat_ws("-", site(), F.col("l_quantity").cast("int").cast("string"), "l_returnflag").alias("edge_id"),
+        "l_orderkey", "o_custkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"))
     edges = e.select("edge_id", s("c", "o_custkey").alias("src"), s("p", "l_partkey").alias("dst"), pick(RELATIONS).alias("relation"), F.when(F.col("l_linenumber") == 7, "STRUCTURAL_EVIDENCE").otherwise(pick(SUPPORTS)).alias("support"),
                      F.col("l_orderkey").alias("proposal_id"), (F.col("l_quantity") > 2).alias("provenance"))
     refs = e.filter("l_quantity > 4").select("edge_id", F.when(F.col("l_quantity") == 50, F.concat(F.lit("x"), "edge_id")).otherwise(F.col("edge_id")).alias("evidence_id"))

@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import defaultdict
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import scalars as S
 from pathloom.operators import coverage, endpoints, entities, graph, intervals, journal, pools, ranking, reach, scoring, skew, structure, text, transfers
+from pathloom import session
 from pathloom.session import checkpoint_dir
 from pathloom.sources import files as FS
 from pathloom.sources import findings as FN
@@ -932,3 +934,65 @@ def test_cheapest_walks_over_text_nodes(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 3), ("a", "c", 5), ("c", "d", 1)], "src string, dst string, cost int")
     got = {(r.node, r.cost, r.parent) for r in graph.cheapest(edges, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {("a", 0, None), ("b", 1, "a"), ("c", 4, "b"), ("d", 5, "c")}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def left_behind(spark, before):
+    """Shuffle files that a step leaves; they go in the background."""
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    return left
+
+
+def test_written_steps_give_their_shuffle_files_back(spark):
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("v"))
+    before = shuffle_files(spark)
+    tables = [session.stored(rows), session.cut_lineage(rows)]
+    assert session.some(rows) and not session.some(rows.filter("v < 0"))
+    assert not left_behind(spark, before)
+    assert [sorted(map(tuple, t.collect())) for t in tables] == [sorted((k, sum(range(k, 1000, 7))) for k in range(7))] * 2
+    assert spark.conf.get(session.FREED) == "false"
+
+
+def test_admission_asks_evidence_once_and_keeps_no_shuffle_files(spark, monkeypatch):
+    from pathloom.operators import evidence as V
+
+    def never(df):
+        raise AssertionError("evidence is written as a checkpoint")
+
+    monkeypatch.setattr(V, "cut_lineage", never)
+    call, declares, wrapper = ("CODEQL_CALL", "DETERMINISTIC_FACT"), ("DECLARES", "STRUCTURAL_EVIDENCE"), ("WRAPPER_FLOW", "ADMISSIBLE_SEMANTIC_PROPOSAL")
+    # id: ends, kind, proposal, provenance; cited evidence; tools used; what becomes of it.
+    cases = {
+        "ok": ("a", "b", call, None, True, ["v1"], [1], None), "kind": ("a", "b", ("X", "DETERMINISTIC_FACT"), None, True, ["v1"], [1], "UNKNOWN_RELATION_OR_SUPPORT"),
+        "node": ("a", "gone", call, None, True, ["v1"], [1], "EDGE_NODE_NOT_FOUND"), "cross": ("a", "o", call, None, True, ["v1"], [1], "CROSS_REPOSITORY_EDGE"),
+        "class": ("a", "b", ("CODEQL_CALL", "STRUCTURAL_EVIDENCE"), None, True, ["v1"], [1], "SUPPORT_CLASS_MISMATCH"),
+        "bare": ("a", "b", call, None, True, [], [1], "ANONYMOUS_EDGE"), "origin": ("a", "b", call, None, False, ["v1"], [1], "EDGE_PROVENANCE_REQUIRED"),
+        "missing": ("a", "b", call, None, True, ["v1", "v9"], [1], "EVIDENCE_REF_NOT_FOUND"), "lost": ("a", "b", call, None, True, ["v1", "v2"], [1], "EVIDENCE_ENTITY_NOT_FOUND"),
+        "null": ("a", "b", call, None, True, ["v6"], [1], "EVIDENCE_ENTITY_NOT_FOUND"), "made": ("a", "b", call, None, True, ["v3"], [1], "FABRICATED_CODEQL_EDGE"),
+        "tool": ("a", "b", call, None, True, ["v1"], [1, 9], "CODEQL_TOOL_CALL_NOT_FOUND"), "fail": ("a", "b", call, None, True, ["v1"], [1, 2], "CODEQL_TOOL_CALL_NOT_OK"),
+        "far": ("a", "c", call, None, True, ["v1"], [1], "CODEQL_TOOL_EVIDENCE_MISMATCH"), "other": ("a", "b", call, None, True, ["v1"], [1, 3], "CODEQL_TOOL_EVIDENCE_MISMATCH"),
+        "text": ("a", "b", declares, None, True, ["v3"], [], None), "none": ("a", "b", declares, None, True, ["v1"], [], "REPOSITORY_EVIDENCE_REQUIRED"),
+        "end": ("a", "c", declares, None, True, ["v3"], [], "REPOSITORY_EVIDENCE_ENDPOINT_MISMATCH"), "flow": ("a", "b", wrapper, 1, True, ["v1", "v3"], [], None),
+        "less": ("a", "b", wrapper, 1, True, ["v1"], [], "PROPOSAL_EVIDENCE_MISMATCH"), "swap": ("a", "b", wrapper, 1, True, ["v1", "v4"], [], "PROPOSAL_EVIDENCE_MISMATCH"),
+        "shut": ("a", "b", wrapper, 2, True, ["v1"], [], "PROPOSAL_NOT_ADMISSIBLE"), "free": ("a", "b", wrapper, None, True, ["v1"], [], "PROPOSAL_NOT_ADMISSIBLE"),
+    }
+    frame = spark.createDataFrame
+    edges = frame([(k, a, b, *kind, p, ok) for k, (a, b, kind, p, ok, *_) in cases.items()], "edge_id string, src string, dst string, relation string, support string, proposal_id int, provenance boolean")
+    refs = frame([(k, v) for k, c in cases.items() for v in c[5] * 2], "edge_id string, evidence_id string")
+    used = frame([(k, v) for k, c in cases.items() for v in c[6]], "edge_id string, tool_id int")
+    nodes = frame([("a", "m"), ("b", "m"), ("c", "m"), ("o", "n")], "node string, project string")
+    evidence = frame([("v1", "CODEQL_CALL", 1), ("v2", "CODEQL_CALL", 1), ("v3", "SOURCE_SNIPPET", None), ("v4", "SOURCE_SNIPPET", None), ("v6", "CODEQL_CALL", 1)], "evidence_id string, source_kind string, tool_id int")
+    covers = frame([(v, n) for v, of in (("v1", "ab"), ("v2", "abx"), ("v3", "ab"), ("v4", "a"), ("v6", "ab")) for n in of] + [("v1", "a"), ("v6", None)], "evidence_id string, node string")
+    tools, proposals = frame([(1, "OK"), (2, "ERROR"), (3, "OK")], "tool_id int, status string"), frame([(1, "ADMISSIBLE"), (2, "REJECTED")], "proposal_id int, status string")
+    asked = frame([(1, "v1"), (1, "v3"), (1, "v3"), (2, "v1")], "proposal_id int, evidence_id string")
+    before = shuffle_files(spark)
+    kept, refused = V.admit_edges(edges, refs, used, nodes, evidence, covers, tools, proposals, asked)
+    assert not left_behind(spark, before)
+    assert {r.edge_id: None for r in kept.collect()} | {r.edge_id: r.code for r in refused.collect()} == {k: c[7] for k, c in cases.items()}
+    assert kept.columns == edges.columns and kept.count() + refused.count() == len(cases)
