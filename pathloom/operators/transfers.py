@@ -162,14 +162,16 @@ def value_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges:
     return out.select("start", "end", "path", (F.size("path") - 1).alias("length"), "weak").distinct()
 
 
-def structural_meetings(prefixes: DataFrame, suffixes: DataFrame, edges: DataFrame, per_type: int = 20) -> DataFrame:
+def structural_meetings(prefixes: DataFrame, suffixes: DataFrame, edges: DataFrame, per_type: int | None = None) -> DataFrame:
     """Explored prefix ends beside suffix starts of one enclosing type, not already joined by an edge.
 
-    ``prefixes(tip, owner, type)`` and ``suffixes`` alike; at most ``per_type`` suffixes of a type meet a prefix.
+    ``prefixes(tip, owner, type)`` and ``suffixes`` alike. All suffixes of a type meet a prefix; with ``per_type`` only so many, as a search bound.
     """
-    right = top_k(suffixes.select(F.col("tip").alias("right"), F.col("owner").alias("right_owner"), "type").distinct(), ["type"], [F.col("right")], per_type).drop("rank")
+    right = suffixes.select(F.col("tip").alias("right"), F.col("owner").alias("right_owner"), "type").distinct()
+    if per_type is not None:
+        right = top_k(right, ["type"], [F.col("right")], per_type).drop("rank")
     left = prefixes.select(F.col("tip").alias("left"), F.col("owner").alias("left_owner"), "type").distinct()
-    # What a prefix may not meet, at most ``per_type`` suffixes, is told to it beforehand, so that pairs are not dealt again.
+    # What a prefix may not meet, the suffixes its own edges lead to, is told to it beforehand, so that pairs are not dealt again.
     linked = edges.select(F.col("src").alias("left"), F.col("dst").alias("right")).join(right.select("right", "type").distinct(), "right")
     linked = linked.groupBy("left", "type").agg(F.collect_set("right").alias("linked"))
     met = left.join(linked, ["left", "type"], "left").join(right, "type").filter((F.col("left") != F.col("right")) & ~F.coalesce(F.array_contains("linked", F.col("right")), F.lit(False)))
@@ -177,7 +179,7 @@ def structural_meetings(prefixes: DataFrame, suffixes: DataFrame, edges: DataFra
 
 
 def meetings_omitted(suffixes: DataFrame, per_type: int = 20) -> DataFrame:
-    """``type, omitted``: suffixes that :func:`structural_meetings` leaves out."""
+    """``type, omitted``: suffixes that :func:`structural_meetings` leaves out under such a bound."""
     return left_out(suffixes.select("tip", "owner", "type").distinct(), ["type"], per_type)
 
 

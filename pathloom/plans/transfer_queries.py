@@ -111,9 +111,9 @@ def i05(t):
     return rows.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
-@query("i06_structural_meetings", oracle("""WITH l AS (SELECT DISTINCT input_id AS tip, i.method AS owner, package AS ty FROM inputs i JOIN methods m ON m.method = i.method), r AS (SELECT DISTINCT effect_id AS tip, e.method AS owner, package AS ty FROM effects e JOIN methods m ON m.method = e.method),
-    r20 AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY ty ORDER BY tip) <= 20) SELECT l.tip AS "left", r20.tip AS "right", CASE WHEN l.owner = r20.owner THEN 'intra_method_hop' ELSE 'shared_class_hop' END AS kind FROM l JOIN r20 USING (ty)
-    WHERE (l.owner, r20.owner) NOT IN (SELECT (src, dst) FROM call_edges)""", "inputs", "effects", "methods", "call_edges"))
+@query("i06_structural_meetings", oracle("""WITH l AS (SELECT DISTINCT input_id AS tip, i.method AS owner, package AS ty FROM inputs i JOIN methods m ON m.method = i.method), r AS (SELECT DISTINCT effect_id AS tip, e.method AS owner, package AS ty FROM effects e JOIN methods m ON m.method = e.method)
+    SELECT l.tip AS "left", r.tip AS "right", CASE WHEN l.owner = r.owner THEN 'intra_method_hop' ELSE 'shared_class_hop' END AS kind FROM l JOIN r USING (ty)
+    WHERE (l.owner, r.owner) NOT IN (SELECT (src, dst) FROM call_edges)""", "inputs", "effects", "methods", "call_edges"))
 def i06(t):
     typed = lambda df, c: df.join(t.methods.select("method", F.col("package").alias("type")), "method").select(F.col(c).alias("tip"), F.col("method").alias("owner"), "type")
     left, right = typed(t.inputs, "input_id"), typed(t.effects, "effect_id")

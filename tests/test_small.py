@@ -996,3 +996,11 @@ def test_admission_asks_evidence_once_and_keeps_no_shuffle_files(spark, monkeypa
     assert not left_behind(spark, before)
     assert {r.edge_id: None for r in kept.collect()} | {r.edge_id: r.code for r in refused.collect()} == {k: c[7] for k, c in cases.items()}
     assert kept.columns == edges.columns and kept.count() + refused.count() == len(cases)
+
+
+def test_a_prefix_meets_every_suffix_of_its_type(spark):
+    two = lambda rows: spark.createDataFrame(rows, "tip string, owner string, type string")
+    suffixes = [(f"r{i:02}", f"m{i % 3}", "t0") for i in range(45)]
+    got = transfers.structural_meetings(two([("l", "m1", "t0")]), two(suffixes), spark.createDataFrame([("l", "r07"), ("l", "r44")], "src string, dst string"))
+    want = [("l", r, "intra_method_hop" if o == "m1" else "shared_class_hop") for r, o, _ in suffixes if r not in ("r07", "r44")]
+    assert sorted(map(tuple, got.collect())) == want
