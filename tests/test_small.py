@@ -1027,3 +1027,31 @@ def test_site_graph_and_meetings_are_told_apart_by_kind(spark):
         frame([(4, "c"), (5, "c"), (1, "d"), (6, "e")], "method int, type_name string"))
     assert not left_behind(spark, before)
     assert sorted(map(tuple, met.collect())) == [(1, 1, "intra_method_hop"), (1, 2, "field_state_bridge"), (1, 6, None), (2, 3, "cha_poly_bridge"), (4, 5, "shared_class_hop")]
+
+
+def test_parts_of_static_paths_cut_no_position(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pathloom.plans import graph_queries as gq
+
+    rng = random.Random(4)
+    site = lambda n: [(f"{n}{k}", rng.randrange(6), rng.randrange(2)) for k in range(14)]
+    inputs, effects = site("i"), site("e")
+    pairs = {(a, b): rng.randrange(4) for a in range(6) for b in range(6) if rng.random() < 0.6}
+    frame = spark.createDataFrame
+    t = SimpleNamespace(
+        inputs=frame(inputs, "input_id string, method int, line int"), effects=frame(effects, "effect_id string, method int, line int"),
+        methods=frame([(m, f"p{m % 2}") for m in range(6)], "method int, project string"))
+    monkeypatch.setattr(gq, "gate_methods", lambda t: frame([(a, b, d) for (a, b), d in pairs.items()], "input int, effect int, gate_distance int"))
+    monkeypatch.setattr(gq, "AT_ONCE", 8)
+    before = shuffle_files(spark)
+    got = gq.in_parts(t, lambda best: best.select(*gq.P.PATH_KEY, "candidate_path_id"))
+    assert not left_behind(spark, before)
+    want = {}
+    for i, m, x in inputs:
+        for e, n, y in effects:
+            if (m, n) in pairs:
+                key = (f"p{m % 2}", f"M{m}", x, f"M{n}", y)
+                want[key] = min(want.get(key, "t"), f"st-{i}-{e}")
+    assert {tuple(r)[:5]: r.candidate_path_id for r in got.collect()} == want and got.count() == len(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") > 1
